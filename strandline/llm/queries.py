@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_files
+from . import media_chunks, token_files
 from .common import table
 
 
@@ -20,7 +20,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_rows(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.media_rows(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_media_chunks": op9_media_chunks,
     "op10_token_files": op10_token_files,
 }
 
