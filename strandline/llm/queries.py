@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media_chunks, token_files
+from . import media_chunks, token_files, url_lists
 from .common import table
 
 
@@ -20,13 +20,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_rows(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lists.verdicts(table(spark, sf_dir, "pages"))
+
+
 def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_chunks.media_rows(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_url_lists": op5_url_lists,
     "op9_media_chunks": op9_media_chunks,
     "op10_token_files": op10_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_url_lists": url_lists.ORACLE,
+}
