@@ -16,7 +16,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -47,6 +47,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
     def _each(self, pieces: list[str]) -> dict[str, bytes]:
         found = {}
@@ -57,75 +59,61 @@ class WordEncoder:
         return found
 
     def _in_runs(self, words: list[str]) -> dict[str, bytes]:
-        """Words of letters alone, encoded many at a time: each is one word of the tokenizer's own count, else they go one by one."""
+        """Words of letters alone, encoded many at a time and parted where an id ends a word; should the count differ, they go one by one."""
         found = {}
-        for at in range(0, len(words), 5_000):
-            some = words[at : at + 5_000]
-            e = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0]
-            owner, ids = e.word_ids, np.array(e.ids, self.width).tobytes()
-            if None in owner or owner[-1] != len(some) - 1:
-                found |= self._each(some)
-                continue
-            ends = (np.flatnonzero(np.diff(np.array(owner), append=-1)) + 1) * self.width.itemsize
-            ends = ends.tolist()
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            runs = self.tokenizer.encode_batch_fast([" ".join(some[i : i + 50]) for i in range(0, len(some), 50)], add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(e.ids for e in runs), self.width)
+            ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * self.width.itemsize).tolist()
             if len(ends) != len(some):
                 found |= self._each(some)
                 continue
-            found |= zip(some, [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True)
+            raw = ids.tobytes()
+            found |= zip(some, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True)
         return found
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        plain, rest = [], []
-        for w, m in zip(pieces, map(WORD_THEN_MARKS, pieces), strict=True):
-            if m:
-                plain.append((w, *m.groups()))
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        words, rest, parts = [w for w in pieces if w.isalpha()], [], []
+        for w in pieces.difference(words):
+            if m := WORD_THEN_MARKS(w):
+                parts.append((w, m[1], m[2]))
             else:
                 rest.append(w)
-        words = self._in_runs(list({x for _, x, _ in plain}))
-        marks = self._each(list({x for _, _, x in plain}))
-        return self._each(rest) | {w: words[x] + marks[y] for w, x, y in plain}
+        found = self._in_runs(words)
+        found |= self._in_runs(list({x for _, x, _ in parts}.difference(found).difference(self.known)))
+        marks = self._each(list({x for _, _, x in parts}))
+        known = self.known
+        return self._each(rest) | found | {w: (found.get(x) or known[x]) + marks[y] for w, x, y in parts}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [x.replace("\n", " ").split(" ") for x in texts]
-        fresh = set(chain.from_iterable(pieces)).difference(self.known)
-        ids = self.known
-        if fresh:
-            new = self._learn(list(fresh))
-            if len(self.known) + len(new) <= KEPT_WORDS:
-                self.known |= new
-            else:
-                ids = _Either(new, self.known)
-        return [b"".join(map(ids.__getitem__, x)) for x in pieces]
+        pieces, known = [x.replace("\n", " ").split(" ") for x in texts], self.known
+        new = self._learn(set(chain.from_iterable(pieces)).difference(known))
+        known |= new
+        out = [b"".join(map(known.__getitem__, x)) for x in pieces]
+        if len(known) > KEPT_WORDS:
+            for w in new:
+                known.pop(w, None)
+        return out
 
     def counts(self, texts: list[str]) -> list[int]:
         return [len(x) // self.width.itemsize for x in self.encode(texts)]
 
 
-class _Either(dict):
-    """Looks words up in two dictionaries without copying the larger one."""
-
-    def __init__(self, first: dict, second: dict) -> None:
-        super().__init__(first)
-        self.second = second
-
-    def __missing__(self, key: str) -> bytes:
-        return self.second[key]
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def in_parts(texts: list[str], most: int = 8_000_000) -> Iterator[list[str]]:
-    """Runs of texts of at most so many characters, or one longer text."""
+def in_parts(texts: Iterable[str], most: int = 8_000_000) -> Iterator[list[str]]:
+    """Runs of texts of about so many characters."""
     some, size = [], 0
     for x in texts:
-        if some and size + len(x) > most:
-            yield some
-            some, size = [], 0
         some.append(x)
         size += len(x)
+        if size >= most:
+            yield some
+            some, size = [], 0
     if some:
         yield some
 
@@ -196,6 +184,13 @@ class TokenFile:
         return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, "<u4"), *parts])
 
 
+def _texts(batches: Iterable[pa.RecordBatch], doc_ids: list) -> Iterator[str]:
+    for batch in batches:
+        doc_ids.extend(batch.column(0).to_pylist())
+        for x in batch.column(1).to_pylist():
+            yield x or ""
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, seq_len: int = 1024) -> list[dict]:
     """Writes the files; returns one entry a file, in order: its number, ids and documents."""
     spark = docs.sparkSession
@@ -208,12 +203,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, seq_len
 
         def fill(sink: pa.NativeFile) -> None:
             out = _Writer(sink, enc.width, seq_len)
-            for batch in batches:
-                doc_ids.extend(batch.column(0).to_pylist())
-                for some in in_parts([x or "" for x in batch.column(1).to_pylist()]):
-                    got = enc.encode(some)
-                    sizes.extend(len(x) // enc.width.itemsize + 1 for x in got)
-                    out.add(np.frombuffer(end.join([*got, b""]), enc.width))
+            for some in in_parts(_texts(batches, doc_ids)):
+                got = enc.encode(some)
+                sizes.extend(len(x) // enc.width.itemsize + 1 for x in got)
+                out.add(np.frombuffer(end.join([*got, b""]), enc.width))
             out.close()
 
         put(f"{folder}/ids-{part:05d}.arrow", fill)
