@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media_chunks, token_files, url_lists
+from . import media_chunks, quality_net, tag_paths, token_files, url_lists
 from .common import table
 
 
@@ -24,12 +24,22 @@ def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.verdicts(table(spark, sf_dir, "pages"))
 
 
+def op7_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tag_paths.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_net.quality_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_chunks.media_rows(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_lists": op5_url_lists,
+    "op7_tag_paths": op7_tag_paths,
+    "op8_quality_net": op8_quality_net,
     "op9_media_chunks": op9_media_chunks,
     "op10_token_files": op10_token_files,
 }
