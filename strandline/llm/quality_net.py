@@ -58,13 +58,13 @@ def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = np.cumsum(ends - starts) - (ends - starts)
     spot = at - np.repeat(starts, ends - starts)
     chars = data[at]
-    words = np.add.reduceat(BYTE[chars] * POWER[spot & 63], first)
+    words = np.add.reduceat(BYTE[chars] * POWER[spot & 63], first, dtype=np.uint32)
     kind = CLASS[chars]
     change = np.concatenate(([True], kind[1:] != kind[:-1]))
     change[first] = True
     nth = np.cumsum(change) - 1
     nth -= np.repeat(nth[first], ends - starts)
-    shapes = np.add.reduceat(np.where(change, BYTE[kind] * POWER[np.minimum(nth, 15)], np.uint32(0)), first)
+    shapes = np.add.reduceat(np.where(change, BYTE[kind] * POWER[np.minimum(nth, 15)], np.uint32(0)), first, dtype=np.uint32)
     mixed = [((x ^ (x >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> np.uint32(s) for x, s in ((words, 17), (shapes, 21))]
     return mixed[0].astype(np.int64), mixed[1].astype(np.int64), where
 
