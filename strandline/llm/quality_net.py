@@ -1,6 +1,6 @@
 """Quality scores: random-indexing word vectors pooled per document, a two-layer network, calibrated probabilities.
 
-Random indexing.  Every word and every word shape (its runs of letter case, digits and marks) falls into a bucket, and
+Random indexing.  Every word and every word shape (its runs of letter case, digits and marks, and whether the word is the one before again) falls into a bucket, and
 every bucket has a fixed sparse random vector.  A bucket's context vector is the sum of the random vectors of the
 words within two places of it in the sample.  A document is the mean context vector of its words beside that of
 its shapes.  A hidden layer of tanh units and one output follow, and a temperature fitted on rows that training
@@ -65,8 +65,11 @@ def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     nth = np.cumsum(change) - 1
     nth -= np.repeat(nth[first], ends - starts)
     shapes = np.add.reduceat(np.where(change, BYTE[kind] * POWER[np.minimum(nth, 15)], np.uint32(0)), first, dtype=np.uint32)
-    mixed = [((x ^ (x >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> np.uint32(s) for x, s in ((words, 17), (shapes, 21))]
-    return mixed[0].astype(np.int64), mixed[1].astype(np.int64), where
+    mixed = [((x ^ (x >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> np.uint32(s) for x, s in ((words, 17), (shapes, 22))]
+    ditto = np.zeros(len(starts), np.int64)
+    ditto[1:] = words[1:] == words[:-1]
+    ditto[where[:-1][np.diff(where) > 0]] = 0
+    return mixed[0].astype(np.int64), mixed[1].astype(np.int64) + ditto * (SHAPES // 2), where
 
 
 def index_vectors(n: int, seed: int) -> np.ndarray:
