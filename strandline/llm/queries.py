@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media_chunks, quality_net, tag_paths, token_files, url_lists
+from . import lang_spans, media_chunks, quality_net, tag_paths, token_files, url_lists
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_rows(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op2_lang_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_spans.language_rows(table(spark, sf_dir, "documents"))
+
+
 def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.verdicts(table(spark, sf_dir, "pages"))
 
@@ -37,6 +41,7 @@ def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lang_spans": op2_lang_spans,
     "op5_url_lists": op5_url_lists,
     "op7_tag_paths": op7_tag_paths,
     "op8_quality_net": op8_quality_net,
