@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_spans, media_chunks, quality_net, tag_paths, token_files, url_lists
+from . import lang_spans, media_chunks, quality_net, tag_paths, template_leaks, token_files, url_lists
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.verdicts(table(spark, sf_dir, "pages"))
 
 
+def op6_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag_paths.extract(table(spark, sf_dir, "pages"))
 
@@ -43,6 +47,7 @@ def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lang_spans": op2_lang_spans,
     "op5_url_lists": op5_url_lists,
+    "op6_template_leaks": op6_template_leaks,
     "op7_tag_paths": op7_tag_paths,
     "op8_quality_net": op8_quality_net,
     "op9_media_chunks": op9_media_chunks,
@@ -51,4 +56,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op5_url_lists": url_lists.ORACLE,
+    "op6_template_leaks": template_leaks.ORACLE,
 }
