@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_spans, length_buckets, media_chunks, quality_net, tag_paths, template_leaks, token_files, url_lists
+from . import lang_spans, length_buckets, media_chunks, order_minhash, quality_net, tag_paths, template_leaks, token_files, url_lists
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_buckets.packed(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.verdicts(table(spark, sf_dir, "pages"))
 
@@ -51,6 +55,7 @@ def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lang_spans": op2_lang_spans,
     "op3_length_buckets": op3_length_buckets,
+    "op4_order_minhash": op4_order_minhash,
     "op5_url_lists": op5_url_lists,
     "op6_template_leaks": op6_template_leaks,
     "op7_tag_paths": op7_tag_paths,
