@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_spans, length_buckets, media_chunks, order_minhash, quality_net, tag_paths, template_leaks, token_files, url_lists
+from . import lang_spans, length_buckets, media_chunks, order_minhash, quality_net, suffix_dedup, tag_paths, template_leaks, token_files, url_lists
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_rows(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_rows(table(spark, sf_dir, "documents"))
+
+
 def op2_lang_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_spans.language_rows(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_lang_spans": op2_lang_spans,
     "op3_length_buckets": op3_length_buckets,
     "op4_order_minhash": op4_order_minhash,
