@@ -234,9 +234,9 @@ def covered(spans: np.ndarray) -> list[tuple[int, int]]:
 # Handing each scan partition what concerns it.
 
 
-def stable(docs: DataFrame) -> DataFrame:
-    """doc_id and text whose partitions are the same in every scan: a plain scan as it is, anything else written first."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def stable(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """doc_id, text and other columns, whose partitions are the same in every scan: a plain scan as it is, anything else written first."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in keep])
     plan = rows._jdf.queryExecution().executedPlan().toString()
     return rows if "FileScan" in plan and not any(x in plan for x in ("Exchange", "Join", "Union", "Aggregate", "InPandas", "InArrow", "PythonUDF", "Coalesce")) else cut(rows, "texts")
 
@@ -358,7 +358,7 @@ def _collections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve()
 
 
-def _cut_out(path: str):
+def _cut_out(path: str, keep: list[str]):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row = TaskContext.get().partitionId(), 0
         want = handed(path, part)
@@ -382,7 +382,7 @@ def _cut_out(path: str):
             row += len(texts)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column(0), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(sums, pa.string()), "spans": pa.array(spans, kind), "kept_text": pa.array(left, pa.string())}
+                dict(zip(keep, batch.columns[2:], strict=True)) | {"doc_id": batch.column(0), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(sums, pa.string()), "spans": pa.array(spans, kind), "kept_text": pa.array(left, pa.string())}
             )
 
     return step
@@ -391,12 +391,14 @@ def _cut_out(path: str):
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept_text string"
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """A row for each document: what is removed (byte runs), and the text that is left (characters that lose a byte go whole)."""
+def dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """A row for each document: what is removed (byte runs), and the text that is left (a character that loses a byte goes whole).  keep: other columns to pass on."""
+    keep = keep or []
     spark = docs.sparkSession
     small_batches(spark)
-    texts = stable(docs)
-    found = cut(texts.mapInArrow(_scan, SW), "super-windows")
+    texts = stable(docs, keep)
+    bare = texts.select("doc_id", "text")
+    found = cut(bare.mapInArrow(_scan, SW), "super-windows")
     often = found.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.max("own").alias("own")).where("c > 1 or own").select(F.col("h").alias("h2"))
     shared = cut(found.join(often, F.col("h") == F.col("h2"), "left_semi"), "shared-windows")
     drop(found)
@@ -404,14 +406,15 @@ def dedup(docs: DataFrame) -> DataFrame:
     kinds = cut(kinds.select("h", "d", "copies", "r.*"), "kinds")
     hot = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT).select(F.col("h").alias("h2"), F.lit(True).alias("hot"))
     wanted = hand(kinds.join(hot, F.col("h") == F.col("h2"), "left").select("part", "row", "start", "n", "anchor", "h", "d", "copies", F.coalesce("hot", F.lit(False)).alias("hot")), "wanted")
-    pieces = texts.mapInArrow(_pieces(wanted), "h long, k2 long, d long, copies long, off int, n int, data binary")
+    pieces = bare.mapInArrow(_pieces(wanted), "h long, k2 long, d long, copies long, off int, n int, data binary")
     pieces = pieces.repartition(partitions(spark), "h", "k2").sortWithinPartitions("h", "k2", "d", "off")
     repeats = pieces.mapInArrow(_collections, "h long, d long, a array<int>, b array<int>").select(F.col("h").alias("h2"), F.col("d").alias("d2"), F.explode(F.arrays_zip("a", "b")).alias("z"))
     again = shared.join(repeats, (F.col("h") == F.col("h2")) & (F.col("d") == F.col("d2"))).select("part", "row", (F.col("start") + F.col("z.a")).alias("a"), (F.col("start") + F.col("z.b")).alias("b"))
     spans = hand(again, "spans")
     drop(shared)
     drop(kinds)
-    return texts.mapInArrow(_cut_out(spans), CUT)
+    kinds_of = ", ".join(f"`{c}` {t}" for c, t in texts.dtypes[2:])
+    return texts.mapInArrow(_cut_out(spans, keep), f"{kinds_of}, {CUT}" if keep else CUT)
 
 
 def removed_rows(docs: DataFrame) -> DataFrame:
