@@ -5,11 +5,11 @@
    windows long: every window lies in one, and equal windows meet in the group of their minimizer.  Minimizers of
    one super-window, once in it, leave at once: their windows are unique.
 2. Copies.  Equal super-windows of a group are counted and one of them is kept, whole, with the count.
-3. Suffix order.  The super-windows of a group are a collection whose documents are their eight phases, each a run of 8-byte symbols,
-   so that a window is 25 symbols of one phase.  Column by column from the right, one symbol of each document is inserted per round,
+3. Suffix order.  The super-windows of a group are a collection whose documents are their 25 phases, each a run of 25-byte symbols
+   (named by 64-bit hashes), so that a window is 8 symbols of one phase.  Column by column from the right, one symbol of each document is inserted per round,
    and each round rewrites the collection's transform and its common prefixes in one sequential pass.  Many
    groups advance together as separate stretches of the same pass.
-4. A window repeats if the common prefix with a neighbour is 25 symbols, or its super-window has copies.  Repeated windows go
+4. A window repeats if the common prefix with a neighbour is 8 symbols, or its super-window has copies.  Repeated windows go
    back to all copies, and the covered bytes are cut out.
 
 The transform is kept as its inverse: `tail[i]`, the place of the suffix after the first symbol of suffix i.  The symbol before
@@ -39,19 +39,19 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, drop, new_folder, partitions, small_batches, store_of
+from .common import cut, drop, in_arrow, new_folder, partitions, small_batches, store_of
 from .token_files import in_parts
 
-LENGTH, GRAM, SYMBOL = 200, 24, 8
+LENGTH, GRAM, SYMBOL = 200, 24, 25
 REACH = LENGTH - GRAM + 1
 DEPTH = LENGTH // SYMBOL
 HOT, BLOCK = 4096, 16
-PASS_SUFFIXES = 1_200_000
+PASS_SUFFIXES = 200_000
 
 _RNG = np.random.default_rng(20_240_303)
-LETTER = _RNG.integers(1, 1 << 63, (2, 256), np.uint64)
+LETTER = _RNG.integers(1, 1 << 63, 256, np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+FACTOR = _RNG.integers(1, 1 << 63, 64, np.uint64) | np.uint64(1)
 PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -63,7 +63,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A hash of the GRAM bytes from each place on; the last places have no meaning."""
     n = len(data)
-    h, b, span = LETTER[0][data], int(BASE), 1
+    h, b, span = LETTER[data], int(BASE), 1
     while span < 8:
         h[: n - span] = h[: n - span] * np.uint64(b) + h[span:]
         b, span = b * b % (1 << 64), span * 2
@@ -74,6 +74,13 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return _mix(g)
 
 
+def symbol_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the SYMBOL bytes from each place on, which names the symbol."""
+    g = gram_hashes(data)
+    g[:-GRAM] = _mix(g[:-GRAM] * BASE + LETTER[data[GRAM:]])
+    return g
+
+
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     m, span = x.copy(), 1
     while span * 2 <= width:
@@ -113,14 +120,9 @@ def super_windows(raw: list[bytes]) -> tuple[np.ndarray, ...]:
         start = np.flatnonzero(new)
     n = np.diff(np.concatenate((start, [len(text)])))
     s = at[start]
-    power = np.full(len(data) + 1, BASE)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(LETTER[1][data] * power[:-1], dtype=np.uint64)))
-    back = np.full(len(data) + 1, INVERSE)
-    back[0] = 1
-    back = np.multiply.accumulate(back)
-    d = _mix((sums[s + n + LENGTH - 1] - sums[s]) * back[s] + n.astype(np.uint64) * BASE)
+    # The hash of a super-window: those of its strings of GRAM bytes side by side, and of its last ones.
+    steps = np.minimum(np.arange(0, REACH + LENGTH, GRAM), (n + LENGTH - 1 - GRAM)[:, None])
+    d = _mix((g[s[:, None] + steps] ^ (steps.astype(np.uint64) * BASE)) * FACTOR[: steps.shape[1]]).sum(1, dtype=np.uint64) + n.astype(np.uint64) * BASE
     return text[start], s - base[text[start]], n, where[start] - s, where[start + n - 1] != where[start], h[start].view(np.int64), d.view(np.int64)
 
 
@@ -132,62 +134,72 @@ def order_suffixes(symbols: np.ndarray, first: np.ndarray, size: np.ndarray, gro
     rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
     bits = max(1, int(len(symbols) + 1).bit_length())
     rank += np.repeat(group.astype(np.int64) << bits, size)
+    rank <<= bits
     low = np.int64((1 << bits) - 1)
-    place = np.full(len(size), -1, np.int64)  # of each document's last inserted suffix
-    keyed = np.zeros(0, np.int64)  # first symbol and tail's place plus one, of each suffix in order
-    prefix = np.zeros(0, np.int16)
-    owner = np.zeros(0, np.int32)
-    length = np.zeros(0, np.int16)
+    place = np.zeros(len(size), np.int64)  # of each document's last inserted suffix, plus one
+    keyed = np.zeros(0, np.int64)  # first symbol, and the tail's place plus one, of each suffix in order
+    prefix = np.zeros(0, np.int8)
+    owner = np.zeros(0, np.int32)  # the symbol's own number, which tells document and length
     by_size = np.argsort(-size, kind="stable")
     falling = -size[by_size]
+    end = first + size
     for j in range(1, int(size.max(initial=0)) + 1):
         docs = by_size[: np.searchsorted(falling, -j, "right")]
-        q = (rank[first[docs] + size[docs] - j] << bits) | (place[docs] + 1)
+        q = rank[end[docs] - j] | place[docs]
         order = np.argsort(q, kind="stable")
         docs, q = docs[order], q[order]
         m, n = len(docs), len(keyed)
         at = np.searchsorted(keyed, q)
         new = at + np.arange(m)
-        moved = np.arange(n)
-        moved += np.cumsum(np.bincount(at, minlength=n + 1))[:n]
-        symbol, tail = q >> bits, (q & low) - 1
+        tail = q & low
         # Common prefixes: one more than the least between the two tails, if the first symbols agree.
-        fresh = np.zeros(m, np.int16)
-        again = np.concatenate(([False], at[1:] == at[:-1]))  # stands right after another new suffix
-        old = keyed[np.maximum(at - 1, 0)] if n else np.zeros(m, np.int64)
-        before_symbol = np.where(again, np.concatenate(([-1], symbol[:-1])), np.where(at > 0, old >> bits, -1) if n else -1)
-        before_tail = np.where(again, np.concatenate(([-1], tail[:-1])), (old & low) - 1)
-        ask = np.flatnonzero(before_symbol == symbol)
+        fresh = np.zeros(m, np.int8)
+        again = np.zeros(m, bool)
+        np.equal(at[1:], at[:-1], out=again[1:])  # stands right after another new suffix
+        before = np.empty(m, np.int64)
+        before[0] = -1
+        before[1:] = q[:-1]
+        if n:
+            before = np.where(again, before, np.where(at > 0, keyed[at - 1], -1))
+        ask = np.flatnonzero((before ^ q) >> bits == 0)
         fresh[ask] = 1
-        deep = ask[(before_tail[ask] >= 0) & (tail[ask] >= 0)]
-        last = np.concatenate((at[1:] != at[:-1], [True]))
-        after = np.flatnonzero(last & (at < n))
         if n:
-            after = after[keyed[at[after]] >> bits == symbol[after]]
-            next_tail = (keyed[at[after]] & low) - 1
-            both = (next_tail >= 0) & (tail[after] >= 0)
-            spans = np.concatenate((np.stack((before_tail[deep] + 1, tail[deep] + 1), 1), np.stack((tail[after][both] + 1, next_tail[both] + 1), 1)))
+            before_tail = before & low
+            deep = ask[(before_tail[ask] > 0) & (tail[ask] > 0)]
+            last = np.ones(m, bool)
+            last[:-1] = ~again[1:]
+            after = np.flatnonzero(last & (at < n))
+            beyond = keyed[at[after]]
+            agree = (beyond ^ q[after]) >> bits == 0
+            after, next_tail = after[agree], beyond[agree] & low
+            both = (next_tail > 0) & (tail[after] > 0)
+            spans = np.concatenate((np.stack((before_tail[deep], tail[deep]), 1), np.stack((tail[after][both], next_tail[both]), 1)))
+            changed = np.ones(len(after), np.int8)
             if len(spans):
-                least = np.minimum.reduceat(np.append(prefix, np.int16(0)), spans.ravel())[::2]
+                least = np.minimum.reduceat(np.append(prefix, np.int8(0)), spans.ravel())[::2]
                 fresh[deep] += least[: len(deep)]
-                changed = np.ones(len(after), np.int16)
                 changed[both] += least[len(deep) :]
-            else:
-                changed = np.ones(len(after), np.int16)
             prefix[at[after]] = changed
-        # The pass: old and new suffixes merge, and tails follow their suffixes.
-        old_tail = (keyed & low) - 1
-        keyed = (keyed & ~low) | np.where(old_tail >= 0, moved[old_tail] + 1, 0) if n else keyed
-        tail = np.where(tail >= 0, moved[tail], -1) if n else tail
+            # Places move by the number of new suffixes before them; tails follow.
+            moved = np.zeros(n + 1, np.int64)
+            moved[1:] = np.cumsum(np.bincount(at, minlength=n + 1)[:n])
+            keyed += moved[keyed & low]
+            q += moved[tail]
+            place += moved[place]
+            old = moved[1:] + np.arange(n)
+        else:
+            old = np.zeros(0, np.int64)
+        # The pass: old and new suffixes merge.
         merged = []
-        for was, put in ((keyed, (symbol << bits) | (tail + 1)), (prefix, fresh), (owner, docs), (length, j)):
+        for was, put in ((keyed, q), (prefix, fresh), (owner, (end[docs] - j).astype(np.int32))):
             out = np.empty(n + m, was.dtype)
-            out[moved], out[new] = was, put
+            out[old] = was
+            out[new] = put
             merged.append(out)
-        keyed, prefix, owner, length = merged
-        place[by_size] = np.where(place[by_size] >= 0, moved[place[by_size]], -1) if n else place[by_size]
-        place[docs] = new
-    return owner, length, (keyed & low) - 1, prefix
+        keyed, prefix, owner = merged
+        place[docs] = new + 1
+    doc = np.repeat(np.arange(len(size), dtype=np.int32), size)[owner]
+    return doc, end[doc] - owner, (keyed & low) - 1, prefix
 
 
 def repeated_starts(pieces: list[bytes], windows: list[int], copies: list[int], group: np.ndarray) -> list[np.ndarray]:
@@ -202,9 +214,7 @@ def repeated_starts(pieces: list[bytes], windows: list[int], copies: list[int],
     data = np.frombuffer(b"".join(pieces), np.uint8)
     first = np.cumsum(size) - size
     at = np.repeat((np.cumsum(length) - length)[piece] + phase - SYMBOL * first, size) + SYMBOL * np.arange(size.sum())
-    symbols = data[at].astype(np.uint64)
-    for k in range(1, SYMBOL):
-        symbols = symbols << np.uint64(8) | data[at + k]
+    symbols = symbol_hashes(data)[at]
     owner, left, _, prefix = order_suffixes(symbols, first, size, group[piece])
     near = prefix >= DEPTH
     near[:-1] |= prefix[1:] >= DEPTH
@@ -271,7 +281,7 @@ def _encoded(texts: list[str]) -> list[bytes]:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, row = TaskContext.get().partitionId(), 0
-    for some in in_parts(_raw(batches), 4_000_000):
+    for some in in_parts(_raw(batches), 1_000_000):
         raw = _encoded(some)
         text, start, n, anchor, own, h, d = super_windows(raw)
         for at in range(0, len(text), 50_000):
@@ -295,7 +305,7 @@ def _pieces(path: str):
             return
         want = want.sort_by([("row", "ascending"), ("start", "ascending")])
         cols = {c: want.column(c).to_numpy() for c in ("row", "start", "n", "anchor", "h", "d", "copies", "hot")}
-        for some in in_parts(_raw(batches), 4_000_000):
+        for some in in_parts(_raw(batches), 1_000_000):
             raw = _encoded(some)
             lo, hi = np.searchsorted(cols["row"], (row, row + len(raw)))
             out: list[tuple] = []
@@ -398,7 +408,7 @@ def dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     small_batches(spark)
     texts = stable(docs, keep)
     bare = texts.select("doc_id", "text")
-    found = cut(bare.mapInArrow(_scan, SW), "super-windows")
+    found = cut(in_arrow(bare, _scan, SW), "super-windows")
     often = found.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.max("own").alias("own")).where("c > 1 or own").select(F.col("h").alias("h2"))
     shared = cut(found.join(often, F.col("h") == F.col("h2"), "left_semi"), "shared-windows")
     drop(found)
@@ -406,15 +416,15 @@ def dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     kinds = cut(kinds.select("h", "d", "copies", "r.*"), "kinds")
     hot = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT).select(F.col("h").alias("h2"), F.lit(True).alias("hot"))
     wanted = hand(kinds.join(hot, F.col("h") == F.col("h2"), "left").select("part", "row", "start", "n", "anchor", "h", "d", "copies", F.coalesce("hot", F.lit(False)).alias("hot")), "wanted")
-    pieces = bare.mapInArrow(_pieces(wanted), "h long, k2 long, d long, copies long, off int, n int, data binary")
+    pieces = in_arrow(bare, _pieces(wanted), "h long, k2 long, d long, copies long, off int, n int, data binary")
     pieces = pieces.repartition(partitions(spark), "h", "k2").sortWithinPartitions("h", "k2", "d", "off")
-    repeats = pieces.mapInArrow(_collections, "h long, d long, a array<int>, b array<int>").select(F.col("h").alias("h2"), F.col("d").alias("d2"), F.explode(F.arrays_zip("a", "b")).alias("z"))
+    repeats = in_arrow(pieces, _collections, "h long, d long, a array<int>, b array<int>").select(F.col("h").alias("h2"), F.col("d").alias("d2"), F.explode(F.arrays_zip("a", "b")).alias("z"))
     again = shared.join(repeats, (F.col("h") == F.col("h2")) & (F.col("d") == F.col("d2"))).select("part", "row", (F.col("start") + F.col("z.a")).alias("a"), (F.col("start") + F.col("z.b")).alias("b"))
     spans = hand(again, "spans")
     drop(shared)
     drop(kinds)
     kinds_of = ", ".join(f"`{c}` {t}" for c, t in texts.dtypes[2:])
-    return texts.mapInArrow(_cut_out(spans, keep), f"{kinds_of}, {CUT}" if keep else CUT)
+    return in_arrow(texts, _cut_out(spans, keep), f"{kinds_of}, {CUT}" if keep else CUT)
 
 
 def removed_rows(docs: DataFrame) -> DataFrame:
