@@ -93,7 +93,7 @@ def variants_page(order: DataFrame, result: DataFrame, kmers: DataFrame, row0: i
     own = order.where((F.col("row") >= row0) & (F.col("row") < row0 + min(limit, 10_000))).select("query_id", "row", "vi")
     met = own.join(result.select("query_id", "vi", "q", "variant", "mismatches", "leaf"), ["query_id", "vi"]).join(kmers.select(F.col("kmer").alias("leaf"), "copies"), "leaf")
     places = F.transform(K.mismatch_positions(F.col("q"), F.col("variant")), lambda p: p + 1)
-    return met.select("query_id", "row", K.unpack(F.col("variant")).alias("variant"), "mismatches", F.col("copies").alias("sites"), places.alias("positions"))
+    return met.withColumn("positions", places).select("query_id", "row", K.unpack(F.col("variant")).alias("variant"), "mismatches", F.col("copies").alias("sites"), "positions")
 
 
 def sites_page(hit: DataFrame, start: int, end: int, limit: int = 5000) -> DataFrame:
