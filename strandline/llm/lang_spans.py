@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small_batches
+from .common import in_arrow, small_batches
 from .samples import labelled_texts
 from .token_files import in_parts
 
@@ -220,12 +220,12 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
         if not cache:
             cache.append(pickle.loads(sent.value))
         for batch in batches:
-            got = [x for some in in_parts([x or "" for x in batch.column(1).to_pylist()], 4_000_000) for x in cache[0].label(some)]
+            got = [x for some in in_parts([x or "" for x in batch.column(1).to_pylist()], 1_000_000) for x in cache[0].label(some)]
             spans = [[{"start": a, "end": b, "lang": k} for a, b, k in s] for _, _, s in got]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "lang_pred": pa.array([x for x, _, _ in got], pa.string()), "score": pa.array([x for _, x, _ in got], pa.float64()), "spans": pa.array(spans, kind)})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(step, "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
+    return in_arrow(rows, step, "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
 
 
 def language_rows(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import cut, small_batches
+from .common import cut, in_arrow, small_batches
 from .token_files import encoder, in_parts
 
 STEP, BUCKETS, BUDGET = 8, 16, 65_536
@@ -55,7 +55,7 @@ def lengths(docs: DataFrame, tokenizer: str, keep: list[str] | None = None) -> D
                 n, counts = counts[: b.num_rows], counts[b.num_rows :]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
 
-    return rows.mapInArrow(step, rows.drop("__text").schema.add("n_tokens", "long")).withColumn("n_tokens", F.col("n_tokens") + 1)
+    return in_arrow(rows, step, rows.drop("__text").schema.add("n_tokens", "long")).withColumn("n_tokens", F.col("n_tokens") + 1)
 
 
 def bounds(sizes: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:

@@ -29,7 +29,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, new_folder, opened, put, small_batches
+from .common import cut, in_arrow, new_folder, opened, put, small_batches
 from .token_files import in_parts
 
 UNIT = 64
@@ -184,7 +184,8 @@ def store(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
                 }
             )
 
-    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(step, f"{RECIPE}, {CHUNK.removeprefix('part int, ')}")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    both = in_arrow(rows, step, f"{RECIPE}, {CHUNK.removeprefix('part int, ')}")
     both = cut(both, "chunk-lists")
     again = both.sparkSession.read.schema(both.schema).parquet(both._strandline_path)  # with columns of its own
     return both.where("sha is not null").select("part", "doc_id", "n_bytes", "sha", "chunks"), again.where("digest is not null").select("part", "chunk", "digest", "block", "off", "len")

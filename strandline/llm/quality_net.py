@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small_batches
+from .common import in_arrow, small_batches
 from .samples import labelled_texts
 from .token_files import in_parts
 
@@ -191,11 +191,11 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
             cache.append(pickle.loads(sent.value))
         for batch in batches:
             texts = [x or "" for x in batch.column(batch.num_columns - 1).to_pylist()]
-            got = [cache[0].scores(some) for some in in_parts(texts, 4_000_000)]
+            got = [cache[0].scores(some) for some in in_parts(texts, 1_000_000)]
             values = np.concatenate(got) if got else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], names=[*cols, "__score"])
 
-    return rows.mapInArrow(step, schema).withColumnRenamed("__score", "score")
+    return in_arrow(rows, step, schema).withColumnRenamed("__score", "score")
 
 
 def quality_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:

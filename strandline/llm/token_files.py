@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import BATCH_ROWS, new_folder, opened, partitions, put, small_batches
+from .common import BATCH_ROWS, in_arrow, new_folder, opened, partitions, put, small_batches
 
 #: Words whose ids one Python worker keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 ROWS_A_BATCH = 256
 #: Letters, then marks that neither are letters, digits or white space nor begin with an apostrophe: the tokenizer parts them there.
 WORD_THEN_MARKS = re.compile("([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!#$%&()*+,./:;=?@|-]*)").fullmatch
@@ -105,7 +105,7 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def in_parts(texts: Iterable[str], most: int = 8_000_000) -> Iterator[list[str]]:
+def in_parts(texts: Iterable[str], most: int = 6_000_000) -> Iterator[list[str]]:
     """Runs of texts of about so many characters."""
     some, size = [], 0
     for x in texts:
@@ -221,7 +221,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, seq_len
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_ids": pa.array([int(n.sum())], pa.int64()), "n_docs": pa.array([len(n)], pa.int64())})
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text")).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    found = rows.mapInArrow(step, "part int, n_ids long, n_docs long").collect()  # as many rows as partitions
+    found = in_arrow(rows, step, "part int, n_ids long, n_docs long").collect()  # as many rows as partitions
     return sorted((r.asDict() for r in found if r.n_docs), key=lambda r: r["part"])
 
 
@@ -244,7 +244,7 @@ def read_documents(spark: SparkSession, folder: str, files: list[dict]) -> DataF
                 yield from out.to_batches(max_chunksize=10 * BATCH_ROWS)
 
     n = max(1, len(starts))
-    return spark.range(0, len(starts), 1, n).mapInArrow(step, "doc_id long, start long, n_tokens long, ids_crc32 long, file int, file_start long")
+    return in_arrow(spark.range(0, len(starts), 1, n), step, "doc_id long, start long, n_tokens long, ids_crc32 long, file int, file_start long")
 
 
 def token_rows(docs: DataFrame, tokenizer: str, end_id: int = 1, seq_len: int = 1024) -> DataFrame:
