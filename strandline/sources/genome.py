@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import kmer as K
 
@@ -118,9 +118,10 @@ def runs(genome: DataFrame, pattern: str = "[^ACGTacgt]+") -> DataFrame:
     return each.select("contig_id", (F.sum(F.col("z.g") + F.col("z.s")).over(w) - F.col("z.s")).alias("start"), F.sum(F.col("z.g") + F.col("z.s")).over(w).alias("end"))
 
 
-def fetch(genome: DataFrame, where: DataFrame, start: int, end: int) -> Column | DataFrame:
+def fetch(genome: DataFrame, where: DataFrame, start: int, end: int) -> DataFrame:
     """contig_id and the letters of [start, end) of the concatenation, in order; what is no letter of ACGT is N, case stays."""
-    own = genome.join(where.where((F.col("offset") < end) & (F.col("offset") + F.col("len") > start)).select("contig_id", "offset"), "contig_id")
+    met = where.where((F.col("len") > 0) & (F.col("offset") < end) & (F.col("offset") + F.col("len") > start))
+    own = genome.join(met.select("contig_id", "offset"), "contig_id")
     lo, hi = F.greatest(F.lit(0), F.lit(start) - F.col("offset")), F.least(F.length("seq").cast("long"), F.lit(end) - F.col("offset"))
     text = F.substring(F.col("seq"), (lo + 1).cast("int"), (hi - lo).cast("int"))
     return own.select("contig_id", (F.col("offset") + lo).alias("start"), F.regexp_replace(text, "[^ACGTacgt]", "N").alias("letters"))
