@@ -107,3 +107,10 @@ def in_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[
             release()
 
     return df.mapInArrow(run, schema)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that none of these is."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name

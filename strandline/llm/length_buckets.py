@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import cut, in_arrow, small_batches
+from .common import cut, in_arrow, small_batches, unused
 from .token_files import encoder, in_parts
 
 STEP, BUCKETS, BUDGET = 8, 16, 65_536
@@ -36,7 +36,8 @@ def lengths(docs: DataFrame, tokenizer: str, keep: list[str] | None = None) -> D
     """keep (columns, doc_id by default) and n_tokens, with the end id."""
     small_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
+    text = unused("text_of", keep)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(text))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -55,7 +56,7 @@ def lengths(docs: DataFrame, tokenizer: str, keep: list[str] | None = None) -> D
                 n, counts = counts[: b.num_rows], counts[b.num_rows :]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
 
-    return in_arrow(rows, step, rows.drop("__text").schema.add("n_tokens", "long")).withColumn("n_tokens", F.col("n_tokens") + 1)
+    return in_arrow(rows, step, rows.drop(text).schema.add("n_tokens", "long")).withColumn("n_tokens", F.col("n_tokens") + 1)
 
 
 def bounds(sizes: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import in_arrow, small_batches
+from .common import in_arrow, small_batches, unused
 from .samples import labelled_texts
 from .token_files import in_parts
 
@@ -177,13 +177,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """keep (columns of docs, all by default), and score."""
+    """keep (columns of docs, all by default), and score, as the last column (`_score` if there is a score, and so on)."""
     spark = docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(pickle.dumps(model))  # bounded by WORDS, SHAPES and DIM
     cols = docs.columns if keep is None else keep
-    rows = docs.select(*[F.col(f"`{c}`") for c in cols], F.col("text").alias("__text"))
-    schema = rows.drop("__text").schema.add("__score", "double")
+    text, to = unused("text_of", cols), unused("score", cols)
+    rows = docs.select(*[F.col(f"`{c}`") for c in cols], F.col("text").alias(text))
+    schema = rows.drop(text).schema.add(to, "double")
     cache: list[Model] = []
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,9 +194,9 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
             texts = [x or "" for x in batch.column(batch.num_columns - 1).to_pylist()]
             got = [cache[0].scores(some) for some in in_parts(texts, 1_000_000)]
             values = np.concatenate(got) if got else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], names=[*cols, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], names=[*cols, to])
 
-    return in_arrow(rows, step, schema).withColumnRenamed("__score", "score")
+    return in_arrow(rows, step, schema)
 
 
 def quality_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -205,4 +206,5 @@ def quality_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, with their own columns."""
-    return score(docs, fit(docs, labels)).where(F.col("score") >= KEEP_FROM).drop("score")
+    scored = score(docs, fit(docs, labels))
+    return scored.where(F.col(scored.columns[-1]) >= KEEP_FROM).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import unused
+
 #: Captures of the query are dated within this year, and lists change within it.
 YEAR_START, YEAR = 1_704_067_200, 31_536_000
 DAY = 86_400
@@ -43,17 +45,18 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "fetch_s") -> DataFrame:
     """captures with host, n_active, verdict, rule_key, rule_list, rule_from and rule_to."""
-    own = captures.withColumns({"__host": host_of(F.col(url)), "__at": F.col(at)})
-    pairs = own.select("__host", "__at").where("__host <> '' and __at is not null").distinct()
+    host, when = unused("__host", captures.columns), unused("__at", captures.columns)
+    own = captures.withColumns({host: host_of(F.col(url)), when: F.col(at)})
+    pairs = own.select(F.col(host).alias("__host"), F.col(when).alias("__at")).where("__host <> '' and __at is not null").distinct()
     asked = pairs.select("__host", "__at", F.explode(keys_of(F.col("__host"))).alias("key"))
     met = asked.join(intervals(entries), "key").where("__at >= from_s and (to_s is null or __at < to_s)")
     rank = F.struct((-F.length("key")).alias("n"), (F.col("action") == "block").alias("b"), "list", "from_s", "key", "action", "to_s")
     best = met.groupBy("__host", "__at").agg(F.count(F.lit(1)).alias("__n"), F.min(rank).alias("__r"))
     best = best.select(F.col("__host").alias("__h"), F.col("__at").alias("__t"), "__n", "__r")
-    out = own.join(best, (F.col("__host") == F.col("__h")) & (F.col("__at") == F.col("__t")), "left")
+    out = own.join(best, (F.col(host) == F.col("__h")) & (F.col(when) == F.col("__t")), "left")
     return out.select(
         *captures.columns,
-        F.col("__host").alias("host"),
+        F.col(host).alias("host"),
         F.coalesce("__n", F.lit(0)).cast("long").alias("n_active"),
         F.coalesce("__r.action", F.lit("none")).alias("verdict"),
         F.col("__r.key").alias("rule_key"),
