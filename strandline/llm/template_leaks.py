@@ -33,13 +33,15 @@ NAME, NUMBER, UNIT, POINT = "\ue000", "\ue001", "\ue002", "\ue003"
 # Unit words.
 UNITS = "kg g mg lb lbs oz km m cm mm mi mile miles ft feet foot inch inches yd yards meter meters metre metres l ml litre litres liter liters gallon gallons s sec seconds second min minute minutes h hr hour hours day days week weeks month months year years eur usd dollar dollars euro euros cent cents percent mph kmh w kw v a hz khz mhz ghz kb mb gb tb".split()
 
-# (pattern, replacement) steps before and after lower case; group references are numbers.
-BEFORE = [(rf"([\p{{L}}\p{{N}},;){NAME}] )(\p{{Lu}})", 1, NAME, 2)] * 2
+# (pattern, replacement) steps before and after lower case; group references are numbers.  A name follows a letter, digit, comma, semicolon or
+# bracket and a space.  Where one step looks around, SQL's engine, which cannot, takes two that consume what they see.
+BEFORE = [(r" (?=\p{Lu})(?<=[\p{L}\p{N},;)] )", f" {NAME}")]
+BEFORE_SQL = [(rf"([\p{{L}}\p{{N}},;){NAME}] )(\p{{Lu}})", 1, NAME, 2)] * 2
+POINTS = [(r"(?<=[0-9])[.,:/](?=[0-9])", POINT)]
+POINTS_SQL = [(r"([0-9])[.,:/]([0-9])", 1, POINT, 2)] * 2
 AFTER = [
-    (r"([0-9])[.,:/]([0-9])", 1, POINT, 2),
-    (r"([0-9])[.,:/]([0-9])", 1, POINT, 2),
     (rf"([0-9][0-9{POINT}]*)", NUMBER, 1, " "),
-    (rf"[^\p{{L}}\p{{N}}{NAME}-{POINT}]+", " "),
+    (rf"[^a-z0-9\p{{L}}\p{{N}}{NAME}-{POINT}]+", " "),
     (rf"({NUMBER}[^ ]* )({'|'.join(UNITS)})( )", 1, UNIT, 2, 3),
 ]
 TO_TEMPLATE = (rf"([{NAME}-{UNIT}])[^ ]*", 1)
@@ -55,7 +57,7 @@ def marked(text: Column) -> Column:
     for step in BEFORE:
         x = _replace(x, step)
     x = F.lower(x)
-    for step in AFTER:
+    for step in POINTS + AFTER:
         x = _replace(x, step)
     return x
 
@@ -148,10 +150,10 @@ def _sql_marked(text: str) -> str:
         return f"regexp_replace({x}, '{s[0]}', '{''.join(chr(92) + str(y) if isinstance(y, int) else y for y in s[1:])}', 'g')"
 
     x = f"' ' || coalesce({text}, '') || ' '"
-    for s in BEFORE:
+    for s in BEFORE_SQL:
         x = step(x, s)
     x = f"lower({x})"
-    for s in AFTER:
+    for s in POINTS_SQL + AFTER:
         x = step(x, s)
     return x
 
