@@ -61,7 +61,7 @@ def result_sites(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One feature for each run between line ends: kind is the language, name the source."""
     own = genome(spark, sf_dir)
-    met = G.runs(own, "[^N]+").join(own.select("contig_id", "description", "source"), "contig_id").join(contigs(spark, sf_dir).select("contig_id", "offset"), "contig_id")
+    met = G.runs(own, "[^N]").join(own.select("contig_id", "description", "source"), "contig_id").join(contigs(spark, sf_dir).select("contig_id", "offset"), "contig_id")
     strand = F.when((F.col("end") - F.col("start")) % 2 == 0, F.lit("+")).otherwise(F.lit("-"))
     return met.select(F.lit("lines").alias("set"), (F.col("offset") + F.col("start")).alias("start"), (F.col("offset") + F.col("end")).alias("end"), F.col("description").alias("kind"), F.col("source").alias("name"), strand.alias("strand"))
 

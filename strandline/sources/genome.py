@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,16 +147,20 @@ def located(points: DataFrame, where: DataFrame, pos: str = "pos") -> DataFrame:
     return hit.withColumn("local", F.col(pos) - F.col("offset")).drop("__bin", "offset", "len")
 
 
-def runs(genome: DataFrame, pattern: str = "[^ACGTacgt]+") -> DataFrame:
-    """contig_id, start, end of the maximal runs of a class of characters: other letters, or soft-masked ones with '[a-z]+'.  Found within each
-    contig by lengths of what lies between, in one pass."""
-    own = genome.select("contig_id", F.split("seq", pattern).alias("gaps"), F.regexp_extract_all("seq", F.lit(f"({pattern})"), F.lit(1)).alias("hits"))
-    sizes = F.transform("hits", lambda x: F.length(x))
-    gaps = F.transform(F.slice("gaps", 1, F.size("hits")), lambda x: F.length(x))
-    own = own.where(F.size("hits") > 0).select("contig_id", F.arrays_zip(gaps.alias("g"), sizes.alias("s")).alias("z"))
-    each = own.select("contig_id", F.posexplode("z").alias("i", "z"))
-    w = Window.partitionBy("contig_id").orderBy("i")
-    return each.select("contig_id", (F.sum(F.col("z.g") + F.col("z.s")).over(w) - F.col("z.s")).alias("start"), F.sum(F.col("z.g") + F.col("z.s")).over(w).alias("end"))
+def runs(genome: DataFrame, kind: str = "[^ACGTacgt]") -> DataFrame:
+    """contig_id, start, end of the maximal runs of a class of characters: other letters, or soft-masked ones with '[a-z]'.  Sequences are single-byte text,
+    and each is one pass over its bytes."""
+    table = np.array([bool(re.fullmatch(kind, chr(i))) for i in range(256)])
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for contig, letters in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                inside = table[np.frombuffer(letters or b"", np.uint8)]
+                edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
+                if len(edge):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(edge) // 2, contig, np.int64)), pa.array(edge[::2]), pa.array(edge[1::2])], names=["contig_id", "start", "end"])
+
+    return genome.select(F.col("contig_id").cast("long").alias("contig_id"), F.col("seq").cast("binary").alias("b")).mapInArrow(step, "contig_id long, start long, end long")
 
 
 def fetch(genome: DataFrame, where: DataFrame, start: int, end: int) -> DataFrame:
