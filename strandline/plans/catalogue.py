@@ -132,7 +132,7 @@ def variants_by_mismatch(spark, sf):
     return S.by_mismatch(X.variants(spark, sf, N), X.kmers(spark, sf), N).select("query_id", "mismatches", "variants", "sites")
 
 
-@query(f"{_BY} SELECT query_id, mismatches, sum(variants) OVER w AS cum_variants, (sum(sites) OVER w)::BIGINT AS cum_sites, round((SELECT count(*) FROM k) * CASE mismatches {_CHANCE} END, 12) AS expected_chance_hits FROM t WINDOW w AS (PARTITION BY query_id ORDER BY mismatches)")
+@query(f"{_BY} SELECT query_id, mismatches, (sum(variants) OVER w)::BIGINT AS cum_variants, (sum(sites) OVER w)::BIGINT AS cum_sites, round((SELECT count(*) FROM k) * CASE mismatches {_CHANCE} END, 12) AS expected_chance_hits FROM t WINDOW w AS (PARTITION BY query_id ORDER BY mismatches)")
 def cumulative_counts(spark, sf):
     return S.by_mismatch(X.variants(spark, sf, N), X.kmers(spark, sf), N).select("query_id", "mismatches", "cum_variants", "cum_sites", F.round("expected_chance_hits", 12).alias("expected_chance_hits"))
 
@@ -354,7 +354,7 @@ def gc_bins(spark, sf):
     return T.gc_bins(T.bin_tiles(X.genome(spark, sf), X.contigs(spark, sf))).withColumn("share", F.round(F.col("gc") / F.col("acgt"), 6))
 
 
-@query(f"WITH {O.SIGNAL} SELECT track, bin, round(total / cov, 4) AS mean, cov, high FROM b0")
+@query(f"WITH {O.SIGNAL} SELECT track, bin, round(total / cov, 4) AS mean, cov::BIGINT AS cov, high FROM b0")
 def signal_level0(spark, sf):
     return X.base_bins(spark, sf).select("track", "bin", F.round(F.col("total") / F.col("cov"), 4).alias("mean"), "cov", "high")
 
