@@ -45,7 +45,7 @@ from .token_files import in_parts
 LENGTH, GRAM, SYMBOL = 200, 24, 25
 REACH = LENGTH - GRAM + 1
 DEPTH = LENGTH // SYMBOL
-HOT, BLOCK = 4096, 16
+HOT, BLOCK = 1000, 16
 PASS_SUFFIXES = 200_000
 
 _RNG = np.random.default_rng(20_240_303)
@@ -410,8 +410,10 @@ def dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     bare = texts.select("doc_id", "text")
     found = cut(in_arrow(bare, _scan, SW), "super-windows")
     often = found.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.max("own").alias("own")).where("c > 1 or own").select(F.col("h").alias("h2"))
+    often = cut(often, "often")  # a written side lets Spark split a hot minimizer's rows
     shared = cut(found.join(often, F.col("h") == F.col("h2"), "left_semi"), "shared-windows")
     drop(found)
+    drop(often)
     kinds = shared.groupBy("h", "d").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("part", "row", "start", "n", "anchor")).alias("r"))
     kinds = cut(kinds.select("h", "d", "copies", "r.*"), "kinds")
     hot = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT).select(F.col("h").alias("h2"), F.lit(True).alias("hot"))
