@@ -34,7 +34,7 @@ WORD = re.compile(r"[a-z]+")
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "option": {"select"}}
@@ -84,7 +84,8 @@ def _left_out(tag: str, had: dict[str, str], inside: bool) -> bool:
         return False
     if had.get("role") in OUT_ROLES or "hidden" in had or had.get("aria-hidden") == "true" or "display:none" in had.get("style", "").replace(" ", ""):
         return True
-    words = set(WORD.findall(f"{had.get('class', '')} {had.get('id', '')}")) & OUT_WORDS
+    names = f"{had.get('class', '')} {had.get('id', '')}".split()
+    words = {w for x in names if not x.startswith(("no-", "no_", "has-", "has_", "with-", "with_", "without-")) for w in WORD.findall(x)} & OUT_WORDS
     return bool(words - HEADER_WORDS if inside else words)
 
 
