@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 N = 8
-REGION = (50_000, 450_000)
+REGION = (50_000, 1_450_000)
 WIDTH, HEIGHT = 200, 60
 
 
@@ -363,7 +363,7 @@ _PYR = ",\n".join(f"b{i} AS (SELECT track, bin // 4 AS bin, sum(total) AS total,
 _ALL = " UNION ALL ".join(f"SELECT track, {i} AS level, bin, total / cov AS mean, high, cov FROM b{i}" for i in range(T.levels(X.SIGNAL_LENGTH)))
 
 
-@query(f"WITH {O.SIGNAL}, {_PYR} SELECT track, level, bin, round(mean, 3) AS mean, high, cov::BIGINT AS cov FROM ({_ALL})")
+@query(f"WITH {O.SIGNAL}, {_PYR} SELECT track, level, bin, round(mean::FLOAT::DOUBLE, 3) AS mean, high, cov::BIGINT AS cov FROM ({_ALL})")
 def signal_pyramid(spark, sf):
     own = T.pyramid(X.base_bins(spark, sf), X.SIGNAL_LENGTH)
     return own.withColumns({"mean": F.round(F.col("mean").cast("double"), 3), "high": F.round(F.col("high").cast("double"), 2)})
