@@ -430,3 +430,75 @@ _M = 12
 def exact_motif_hits(spark, sf):
     own = G.texts_of_windows(X.genome(spark, sf), _M).join(X.contigs(spark, sf).select("contig_id", "offset"), "contig_id").select((F.col("offset") + F.col("start")).alias("pos"), "w")
     return P.motif_centres(P.motif_hits(own, X.queries(spark, sf), _M), _M)
+
+
+# What the other operators leave.
+
+
+@query(f"WITH {O.SIGNAL}, r AS (SELECT track, (total / cov)::FLOAT AS mean, row_number() OVER (PARTITION BY track ORDER BY (total / cov)::FLOAT) - 1 AS i, count(*) OVER (PARTITION BY track) AS n FROM b0), p AS (SELECT track, max(mean) FILTER (i = floor((n - 1) * 0.01))::DOUBLE AS p01, max(mean) FILTER (i = floor((n - 1) * 0.99))::DOUBLE AS p99, max(mean)::DOUBLE AS high FROM r GROUP BY track) SELECT track, least(0.0, p01)::DOUBLE AS lo, round(CASE WHEN p99 > least(0.0, p01) THEN p99 ELSE high END, 3) AS hi FROM p")
+def signal_scale(spark, sf):
+    return T.scaled(T.statistics(X.base_bins(spark, sf), X.SIGNAL_LENGTH)).withColumn("hi", F.round("hi", 3))
+
+
+@query(f"WITH {O.SIGNAL} SELECT track, round((total / cov)::FLOAT::DOUBLE, 3) AS value FROM b0 WHERE bin = (SELECT min(bin) FROM b0 WHERE bin >= 3000)")
+def signal_value_at(spark, sf):
+    first = X.base_bins(spark, sf).where("bin >= 3000").agg(F.min("bin")).first()[0]
+    return T.value_at(X.base_bins(spark, sf), first * T.BIN).withColumn("value", F.round(F.col("value").cast("double"), 3))
+
+
+@query(f"WITH {O.SIGNAL}, x AS (SELECT track, bin, (total / cov)::FLOAT AS value FROM b0), y AS (SELECT *, max(value) OVER (PARTITION BY track ORDER BY bin RANGE BETWEEN 16 PRECEDING AND 16 FOLLOWING) AS most FROM x) SELECT track, bin, round(value::DOUBLE, 3) AS value FROM y WHERE most <= value ORDER BY y.value DESC, track, bin LIMIT 100")
+def top_peaks(spark, sf):
+    return T.local_maxima(X.base_bins(spark, sf), top=100).select("track", "bin", F.round(F.col("value").cast("double"), 3).alias("value"))
+
+
+@query(f"WITH {O.variants(4)} SELECT g.name AS contig, s.start, s.start + 31 AS \"end\", s.variant, s.mismatches, s.strand FROM s JOIN g USING (contig_id)")
+def sites_export_bed(spark, sf):
+    return V.export_rows(S.hits(X.variants(spark, sf, 4), X.sites(spark, sf)), X.contigs(spark, sf), bed=True)
+
+
+_OWN = " ".join(f"WHEN '{q}' THEN (SELECT off + {s} FROM g WHERE contig_id = {c})" for q, c, s in X.WINDOWS)
+
+
+@query(f"WITH {O.variants(4)}, t AS (SELECT query_id, pos, vi, CASE query_id {_OWN} END AS own FROM s) SELECT query_id, pos, vi, own FROM t WHERE own IS NULL OR abs(pos - own) > 2079")
+def own_site_exclusion(spark, sf):
+    where = X.contigs(spark, sf)
+    named = F.coalesce(*[F.when(F.col("contig_id") == c, F.struct(F.lit(q).alias("query_id"), (F.col("offset") + s).alias("own"))) for q, c, s in X.WINDOWS])
+    own = where.where(F.col("contig_id").isin([c for _, c, _ in X.WINDOWS])).select(named.alias("z")).select("z.*")
+    return P.not_own(X.result_sites(spark, sf, 4).join(F.broadcast(own), "query_id", "left")).select("query_id", "pos", "vi", "own")
+
+
+@query(f"{_RASTER}, z AS (SELECT query_id, x, y, least(count(*), 65535) AS n, min(mismatches) AS m, bit_or(CASE WHEN strand = '-' THEN 2 ELSE 1 END) AS s FROM c GROUP BY query_id, x, y) SELECT query_id, x, y, lower(printf('%02x%02x%02x%02x', n % 256, n // 256, m, s)) AS cell FROM z")
+def raster_bytes(spark, sf):
+    cells = V.raster(X.result_sites(spark, sf, N), _order(spark, sf), *REGION, WIDTH, 0, _ROWS, HEIGHT)
+    return V.packed(cells).withColumn("cell", F.lower(F.hex("cell")))
+
+
+_PICKED = "substr(md5(contig_id || '-' || start), 1, 8) < '00005'"
+
+
+@query(f"WITH {O.SITES}, p AS (SELECT contig_id || ':' || start AS query_id, fwd AS q FROM w WHERE {_PICKED} ORDER BY md5(contig_id || '-' || start), contig_id, start LIMIT 24), p2 AS (SELECT query_id, q, q AS o, false AS flipped FROM p UNION ALL SELECT query_id, q, reverse(translate(q, 'ACGT', 'TGCA')), true FROM p) SELECT query_id, CASE WHEN flipped THEN reverse(translate(kmer, 'ACGT', 'TGCA')) ELSE kmer END AS variant, hamming(kmer, o)::INTEGER AS mismatches FROM k, p2 WHERE hamming(kmer, o) <= 3")
+def search_batch_n3(spark, sf):
+    """A hash-drawn sample of windows, searched as one batch."""
+    draw = F.md5(F.concat(F.col("contig_id").cast("string"), F.lit("-"), F.col("start").cast("string")))
+    own = X.sites(spark, sf).withColumn("h", draw).where(F.substring("h", 1, 8) < "00005").orderBy("h", "contig_id", "start").limit(24)
+    batch = own.select(F.concat("contig_id", F.lit(":"), "start").alias("query_id"), F.col("fwd").alias("q"))
+    return S.blocks(X.kmers(spark, sf), batch, 3).select("query_id", text("variant"), "mismatches")
+
+
+@query(f"WITH {O.variants(N)} {O.ordered(N, N)} SELECT o.query_id, o.vi, array_to_string(list_sort(list_transform(list_filter(range(31), lambda i: substr(v.q, i + 1, 1) <> substr(v.variant, i + 1, 1)), lambda i: 4 * (30 - i) + 3 - (strpos('ACGT', substr(v.variant, i + 1, 1)) - 1))), ',') AS mirrored FROM o JOIN v USING (query_id, vi)")
+def mirrored_characters(spark, sf):
+    own = X.variants(spark, sf, N)
+    turned = F.array_sort(K.mirror(K.characters(F.col("q"), F.col("variant"))).cast("array<int>"))
+    return own.select("query_id", "vi", F.array_join(turned.cast("array<string>"), ",").alias("mirrored"))
+
+
+@query()
+def permutation_study(spark, sf):
+    """Sites of the stated queries: own sites out, thinned, at most 500, against hashed shifts; summarised by class."""
+    own = P.subsampled(P.thinned(_profile_sites(spark, sf)))
+    stats = P.profile_stats(own, X.base_bins(spark, sf), P.shifts(n=20))
+    level = P.tested(stats, "level").select("query_id", "track", F.col("p").alias("level_p"))
+    count = own.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("effective"))
+    rows = P.tested(stats).join(level, ["query_id", "track"]).join(count, "query_id")
+    rows = rows.select(F.when(F.col("query_id") == "top", "te").otherwise("unique").alias("class"), "track", F.lit(4).alias("n"), "effective", "z", "p", "level_p")
+    return P.class_summary(rows)

@@ -23,6 +23,6 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["mst_order", "mst_clades", "thinned_sites"])
+@pytest.mark.parametrize("name", ["mst_order", "mst_clades", "thinned_sites", "permutation_study"])
 def test_queries_without_sql(spark, sf, name):
     assert entry.queries()[name](spark, sf).count() > 0

@@ -112,3 +112,19 @@ def test_summaries_and_verdicts(spark):
     motif = [(f"q{i}", s, z, 0.001) for i in range(6) for s, z in (("H8", 3.0), ("E8c", 5.0 if i < 4 else 1.0))]
     v = P.motif_verdict(spark.createDataFrame(motif, "query_id string, set string, z double, p double")).first()
     assert (v.qualifying, v.beaten, v.verdict) == (6, 4, "PIVOT")
+
+
+def test_sampling(spark):
+    from strandline.operators import sampling
+    from strandline.sources import genome as G, synthetic
+
+    own = synthetic.genome(spark, synthetic.Spec(seed=5, contig_lens=(2000,)))
+    site = G.sites(own).persist()
+    kmers = G.kmers(site)
+    assert sampling.drawn(site, 7).count() == 7 and sampling.unique_windows(site, kmers, 5).count() == 5 and sampling.random_absent(kmers, 6).count() == 6
+    twins = sampling.shuffled_twins(spark, [("a", "ACGT" * 7 + "ACG"), ("b", "A" * 30 + "C")], kmers).collect()
+    assert {r.query_id for r in twins} == {"a", "b"}
+    assert sampling.fit_line([(1, 3.0), (2, 5.0), (4, 9.0)]) == (pytest.approx(1), pytest.approx(2)) and sampling.fit_line([(1, 4.0), (2, 4.0), (4, 1.0)])[0] == 0 and sampling.fit_line([]) is None
+    where = {"c": {"offset": 100, "len": 50}, "d:x": {"offset": 150, "len": 5000}}
+    assert [sampling.parse_region(t, where, 9) for t in ("all", "c", "c:11", "d:x:1,001", "c:2-5")] == [(0, 9), (100, 150), (110, 150), (1150, 2150), (101, 105)]
+    assert sampling.timed(lambda: None) >= 0
