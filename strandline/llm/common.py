@@ -39,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='strandline-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found if "://" in found or found.startswith("file:/") else f"file://{found}"
@@ -97,10 +99,16 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def in_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow that leaves the worker small."""
+#: What a worker keeps between tasks, by the name of its user; the steps of others clear it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def in_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, keeps: str = "") -> DataFrame:
+    """mapInArrow that leaves the worker small.  keeps: whose kept memory the step goes on with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in [n for n in KEPT if n != keeps]:
+            KEPT.pop(name)()
         try:
             yield from step(batches)
         finally:

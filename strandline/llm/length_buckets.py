@@ -56,7 +56,7 @@ def lengths(docs: DataFrame, tokenizer: str, keep: list[str] | None = None) -> D
                 n, counts = counts[: b.num_rows], counts[b.num_rows :]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
 
-    return in_arrow(rows, step, rows.drop(text).schema.add("n_tokens", "long")).withColumn("n_tokens", F.col("n_tokens") + 1)
+    return in_arrow(rows, step, rows.drop(text).schema.add("n_tokens", "long"), "words").withColumn("n_tokens", F.col("n_tokens") + 1)
 
 
 def bounds(sizes: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:

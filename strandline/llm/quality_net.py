@@ -22,11 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import in_arrow, small_batches, unused
+from .common import in_arrow, release, small_batches, unused
 from .samples import labelled_texts
 from .token_files import in_parts
 
-ROWS, CHARS = 4000, 16_000_000
+ROWS, CHARS = 4000, 8_000_000
 WORDS, SHAPES, DIM, HIDDEN, REACH = 1 << 15, 1 << 11, 24, 24, 2
 KEEP_FROM = 0.3
 
@@ -85,7 +85,7 @@ def context_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Of words and of shapes: summed random vectors of the words near by, unit length, zero where never seen."""
     word_index, shape_index = index_vectors(WORDS, 1), index_vectors(SHAPES, 2)
     out = np.zeros((WORDS, DIM), np.float32), np.zeros((SHAPES, DIM), np.float32)
-    for some in in_parts(texts, 2_000_000):
+    for some in in_parts(texts, 500_000):
         words, shapes, where = units(some)
         owner = np.repeat(np.arange(len(some)), np.diff(where))
         vectors = word_index[words] + shape_index[shapes]
@@ -160,7 +160,7 @@ class Model:
         texts = [t for _, t in pairs]
         # One class in turn with the other would let the held part differ from the rest; the draw's order is by id.
         self.vectors = context_vectors(texts)
-        parts = [pooled(some, *self.vectors) for some in in_parts(texts, 2_000_000)]
+        parts = [pooled(some, *self.vectors) for some in in_parts(texts, 500_000)]
         self.network = Network(np.concatenate(parts) if parts else np.zeros((0, 2 * DIM)), np.array([int(y) for y, _ in pairs]))
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -173,7 +173,9 @@ def is_held_out(doc_id: str = "doc_id"):
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & ~is_held_out())
-    return Model(labelled_texts(docs, usable, "quality", ROWS, CHARS))
+    model = Model(labelled_texts(docs, usable, "quality", ROWS, CHARS))
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

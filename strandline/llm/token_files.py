@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import BATCH_ROWS, in_arrow, new_folder, opened, partitions, put, small_batches
+from .common import BATCH_ROWS, KEPT, in_arrow, new_folder, opened, partitions, put, small_batches
 
 #: Words whose ids one Python worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 350_000
 ROWS_A_BATCH = 256
 #: Letters, then marks that neither are letters, digits or white space nor begin with an apostrophe: the tokenizer parts them there.
 WORD_THEN_MARKS = re.compile("([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!#$%&()*+,./:;=?@|-]*)").fullmatch
@@ -100,11 +100,17 @@ class WordEncoder:
         return [len(x) // self.width.itemsize for x in self.encode(texts)]
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder with the words it knows."""
+    KEPT["words"] = _encoder.cache_clear
+    return _encoder(path)
+
+
 def in_parts(texts: Iterable[str], most: int = 6_000_000) -> Iterator[list[str]]:
     """Runs of texts of about so many characters."""
     some, size = [], 0
@@ -221,7 +227,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, seq_len
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_ids": pa.array([int(n.sum())], pa.int64()), "n_docs": pa.array([len(n)], pa.int64())})
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text")).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    found = in_arrow(rows, step, "part int, n_ids long, n_docs long").collect()  # as many rows as partitions
+    found = in_arrow(rows, step, "part int, n_ids long, n_docs long", "words").collect()  # as many rows as partitions
     return sorted((r.asDict() for r in found if r.n_docs), key=lambda r: r["part"])
 
 
