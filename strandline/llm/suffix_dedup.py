@@ -30,6 +30,7 @@ treated whole.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -245,12 +246,29 @@ def covered(spans: np.ndarray) -> list[tuple[int, int]]:
 
 
 def stable(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """doc_id, text and other columns, whose partitions are the same in every scan: a plain scan as it is, anything else written first."""
+    """doc_id, text and other columns, whose partitions are the same in every scan: a plain scan as it is, anything else written first.
+
+    How Spark splits files follows the number of cores it has unless spark.sql.files.minPartitionNum is set; so it is, to what they are
+    now, since executors may come and go.  Later scans compare checksums of the texts all the same."""
+    conf = docs.sparkSession.conf
+    if not conf.get("spark.sql.files.minPartitionNum", None):
+        conf.set("spark.sql.files.minPartitionNum", str(docs.sparkSession.sparkContext.defaultParallelism))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in keep])
     plan = rows._jdf.queryExecution().executedPlan().toString()
     return rows if "FileScan" in plan and not any(x in plan for x in ("Exchange", "Join", "Union", "Aggregate", "InPandas", "InArrow", "PythonUDF", "Coalesce")) else cut(rows, "texts")
 
 
+def same_text(raw: list[bytes], rows: np.ndarray, sums: np.ndarray) -> None:
+    """Stops the job if a scan's partitions hold other texts than in the first scan."""
+    seen: dict[int, int] = {}
+    for r, t in zip(rows.tolist(), sums.tolist(), strict=True):
+        if seen.setdefault(r, t) != t or r >= len(raw):
+            raise ValueError("the scan's partitions have changed")
+    for r, t in seen.items():
+        if zlib.crc32(raw[r]) != t:
+            raise ValueError("the scan's partitions have changed")
+
+
 def hand(df: DataFrame, label: str) -> str:
     path = new_folder(df.sparkSession, label)
     df.repartition(partitions(df.sparkSession), "part").write.partitionBy("part").parquet(path)
@@ -284,13 +302,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for some in in_parts(_raw(batches), 1_000_000):
         raw = _encoded(some)
         text, start, n, anchor, own, h, d = super_windows(raw)
+        t = np.array([zlib.crc32(x) for x in raw], np.int64)
         for at in range(0, len(text), 50_000):
             s = slice(at, at + 50_000)
-            yield pa.RecordBatch.from_pydict({"part": np.full(len(text[s]), part, np.int32), "row": (text[s] + row).astype(np.int32), "start": start[s].astype(np.int32), "n": n[s].astype(np.int16), "anchor": anchor[s].astype(np.int16), "own": own[s].astype(bool), "h": h[s], "d": d[s]})
+            yield pa.RecordBatch.from_pydict({"part": np.full(len(text[s]), part, np.int32), "row": (text[s] + row).astype(np.int32), "t": t[text[s]], "start": start[s].astype(np.int32), "n": n[s].astype(np.int16), "anchor": anchor[s].astype(np.int16), "own": own[s].astype(bool), "h": h[s], "d": d[s]})
         row += len(raw)
 
 
-SW = "part int, row int, start int, n short, anchor short, own boolean, h long, d long"
+SW = "part int, row int, t long, start int, n short, anchor short, own boolean, h long, d long"
 
 
 def _pieces(path: str):
@@ -304,11 +323,12 @@ def _pieces(path: str):
                 pass
             return
         want = want.sort_by([("row", "ascending"), ("start", "ascending")])
-        cols = {c: want.column(c).to_numpy() for c in ("row", "start", "n", "anchor", "h", "d", "copies", "hot")}
+        cols = {c: want.column(c).to_numpy() for c in ("row", "t", "start", "n", "anchor", "h", "d", "copies", "hot")}
         for some in in_parts(_raw(batches), 1_000_000):
             raw = _encoded(some)
             lo, hi = np.searchsorted(cols["row"], (row, row + len(raw)))
             out: list[tuple] = []
+            same_text(raw, cols["row"][lo:hi] - row, cols["t"][lo:hi])
             for r, s, n, anchor, h, d, c, hot in zip(*(cols[k][lo:hi].tolist() for k in ("row", "start", "n", "anchor", "h", "d", "copies", "hot")), strict=True):
                 data = raw[r - row][s : s + n + LENGTH - 1]
                 if hot:
@@ -375,13 +395,17 @@ def _cut_out(path: str, keep: list[str]):
         cols = None
         if want is not None:
             want = want.sort_by([("row", "ascending"), ("a", "ascending")])
+            sums_of = want.column("t").to_numpy()
             cols = want.column("row").to_numpy(), np.stack((want.column("a").to_numpy(), want.column("b").to_numpy()), 1)
         for batch in batches:
             texts, n_removed, n_spans, sums, n_bytes, left, spans = batch.column(1).to_pylist(), [], [], [], [], [], []
             lo = np.searchsorted(cols[0], np.arange(row, row + len(texts) + 1)) if cols else np.zeros(len(texts) + 1, np.int64)
             for i, x in enumerate(texts):
                 data = (x or "").encode("utf-8", "surrogatepass")
-                found = covered(cols[1][lo[i] : lo[i + 1]]) if lo[i + 1] > lo[i] else []
+                found = []
+                if lo[i + 1] > lo[i]:
+                    same_text([data], np.zeros(1, np.int64), sums_of[lo[i] : lo[i] + 1])
+                    found = covered(cols[1][lo[i] : lo[i + 1]])
                 rest = data if not found else b"".join(data[a:b] for a, b in zip([0, *(e for _, e in found)], [*(s for s, _ in found), len(data)], strict=True))
                 n_bytes.append(len(data))
                 n_removed.append(len(data) - len(rest))
@@ -414,14 +438,14 @@ def dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     shared = cut(found.join(often, F.col("h") == F.col("h2"), "left_semi"), "shared-windows")
     drop(found)
     drop(often)
-    kinds = shared.groupBy("h", "d").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("part", "row", "start", "n", "anchor")).alias("r"))
+    kinds = shared.groupBy("h", "d").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("part", "row", "t", "start", "n", "anchor")).alias("r"))
     kinds = cut(kinds.select("h", "d", "copies", "r.*"), "kinds")
     hot = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT).select(F.col("h").alias("h2"), F.lit(True).alias("hot"))
-    wanted = hand(kinds.join(hot, F.col("h") == F.col("h2"), "left").select("part", "row", "start", "n", "anchor", "h", "d", "copies", F.coalesce("hot", F.lit(False)).alias("hot")), "wanted")
+    wanted = hand(kinds.join(hot, F.col("h") == F.col("h2"), "left").select("part", "row", "t", "start", "n", "anchor", "h", "d", "copies", F.coalesce("hot", F.lit(False)).alias("hot")), "wanted")
     pieces = in_arrow(bare, _pieces(wanted), "h long, k2 long, d long, copies long, off int, n int, data binary")
     pieces = pieces.repartition(partitions(spark), "h", "k2").sortWithinPartitions("h", "k2", "d", "off")
     repeats = in_arrow(pieces, _collections, "h long, d long, a array<int>, b array<int>").select(F.col("h").alias("h2"), F.col("d").alias("d2"), F.explode(F.arrays_zip("a", "b")).alias("z"))
-    again = shared.join(repeats, (F.col("h") == F.col("h2")) & (F.col("d") == F.col("d2"))).select("part", "row", (F.col("start") + F.col("z.a")).alias("a"), (F.col("start") + F.col("z.b")).alias("b"))
+    again = shared.join(repeats, (F.col("h") == F.col("h2")) & (F.col("d") == F.col("d2"))).select("part", "row", "t", (F.col("start") + F.col("z.a")).alias("a"), (F.col("start") + F.col("z.b")).alias("b"))
     spans = hand(again, "spans")
     drop(shared)
     drop(kinds)
