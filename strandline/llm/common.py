@@ -82,6 +82,8 @@ def put(uri: str, write: Callable[[pa.NativeFile], None]) -> None:
     part = f"{path}.{uuid.uuid4().hex}"
     with store.open_output_stream(part) as sink:
         write(sink)
+    if store.get_file_info(path).type != fs.FileType.NotFound:  # not every store moves onto a file that is there
+        store.delete_file(path)
     store.move(part, path)
 
 
