@@ -2,13 +2,18 @@
 
 Sketch.  A text's items are its runs of K words, each labelled with how often the same run came before.  Each of BANDS hash
 functions takes the two least items and keeps their order in the text, so the sketch depends on edits and moves, not
-on the set alone.  Texts that share a band's sketch are candidates: every member of such a group is paired with the group's
-first document alone, so a group gives as many pairs as it has members.
+on the set alone.  Texts that share a band's sketch are candidates.  Every member of such a group is first compared with the
+group's least document; then all pairs of a group whose two texts are not yet in one class are compared too, so no near pair of a group
+depends on a document that is near neither.
 
 Check.  A pair is near if the edit distance of the word sequences is at most 1 - SIMILARITY of the longer; it is computed in a
 band of that width around the diagonal, one column of bits at a time.  Equal texts are grouped by hash beforehand, and only the
 first of them is compared.  Classes are the connected components of exact and near links; class_id is the least doc_id.
 
+Second comparison.  A text's words are counted in CELLS hashed cells.  One edit raises at most one cell by one and lowers at most one by one,
+so what the cells differ by bounds the edit distance from below: a pair over the bound is dropped without its texts, and no
+near pair is.  A group's members are dealt into blocks, and a task compares two blocks.
+
 Plan.  One pass makes sketches (no shuffle of texts).  Texts that take part in a pair are then joined to their pairs, dealt by
 (first document, salt) with at most MEMBERS members a salt, and stream past the first document's words.
 
@@ -35,6 +40,8 @@ K, BANDS, SIMILARITY = 5, 32, 0.8
 #: In short texts one edit touches most runs of K words, so texts of at most SHORT words get as many sketches again over runs of SHORT_K.
 SHORT, SHORT_K = 50, 2
 MEMBERS = 200
+#: Counted cells of a text's words, and members of a block in the second comparison.
+CELLS, BLOCK = 64, 500
 
 _RNG = np.random.default_rng(20_240_202)
 SCALE = _RNG.integers(1, 1 << 63, BANDS, np.uint64) | np.uint64(1)
@@ -65,9 +72,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def sketches(texts: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """(number of words, BANDS sketches over runs of k words) of each text."""
-    words, where = word_hashes(texts)
+def cells(words: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """How many words of each text fall in each of CELLS cells, cut off at what 16 bits hold (which brings two texts only nearer)."""
+    n = np.diff(where)
+    spot = np.repeat(np.arange(len(n)), n) * CELLS + (words % np.uint64(CELLS)).astype(np.int64)
+    return np.minimum(np.bincount(spot, minlength=len(n) * CELLS), (1 << 15) - 1).astype(np.int16).reshape(-1, CELLS)
+
+
+def sketches(texts: list[str], k: int = K, found: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(number of words, BANDS sketches over runs of k words) of each text.  found: the texts' word_hashes()."""
+    words, where = found or word_hashes(texts)
     n = np.diff(where)
     out = np.zeros((len(texts), BANDS), np.int64)
     full = np.flatnonzero(n)
@@ -161,14 +175,16 @@ def near(a: list[str], b: list[str], similarity: float = SIMILARITY) -> bool:
 
 
 def sketch_table(docs: DataFrame) -> DataFrame:
-    """doc_id, t1, t2 (two hashes of the text), n_words, bands; without null doc_ids."""
+    """doc_id, t1, t2 (two hashes of the text), n_words, bands, cells; without null doc_ids."""
     small_batches(docs.sparkSession)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, bands = [], []
+            sizes, bands, counts = [], [], []
             for some in in_parts([x or "" for x in batch.column(3).to_pylist()], 1_000_000):
-                n, own = sketches(some)
+                found = word_hashes(some)
+                n, own = sketches(some, found=found)
+                counts += [x.tobytes() for x in cells(*found)]
                 short = np.flatnonzero((n > 0) & (n <= SHORT))
                 more = dict(zip(short.tolist(), sketches([some[i] for i in short], SHORT_K)[1], strict=True)) if len(short) else {}
                 sizes.append(n)
@@ -176,10 +192,10 @@ def sketch_table(docs: DataFrame) -> DataFrame:
             n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
             ends = np.concatenate(([0], np.cumsum([len(x) for x in bands]))).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n.astype(np.int32)), bands], names=["doc_id", "t1", "t2", "n_words", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n.astype(np.int32)), bands, pa.array(counts, pa.binary())], names=["doc_id", "t1", "t2", "n_words", "bands", "cells"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text").where("doc_id is not null")
-    return in_arrow(rows, step, "doc_id long, t1 long, t2 long, n_words int, bands array<long>")
+    return in_arrow(rows, step, "doc_id long, t1 long, t2 long, n_words int, bands array<long>, cells binary")
 
 
 def candidates(firsts: DataFrame) -> DataFrame:
@@ -190,6 +206,61 @@ def candidates(firsts: DataFrame) -> DataFrame:
     return each.join(head, (F.col("j") == F.col("j2")) & (F.col("s") == F.col("s2"))).where("doc_id <> first").select(F.col("doc_id").alias("member"), "first").distinct()
 
 
+def may_be_near(counts: np.ndarray, sizes: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """Which texts (a row of cells and a number of words each) the bound leaves within reach of one text of n words."""
+    most = (np.maximum(sizes, n) * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+    apart = counts.astype(np.int32) - own
+    return (np.abs(apart).sum(1) + np.abs(apart.sum(1)) <= 2 * most) & (np.abs(sizes - n) <= most)
+
+
+def others(copies: DataFrame, roots: DataFrame) -> DataFrame:
+    """member and first: the pairs of a group whose texts are in different classes so far and may be near, once.
+
+    copies: doc_id, n_words, bands, cells; roots: node and root."""
+    own = copies.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_words", "bands", "cells", F.coalesce("root", "doc_id").alias("class"))
+    each = own.select("doc_id", "class", "n_words", "cells", F.posexplode("bands").alias("j", "s"))
+    mixed = each.groupBy("j", "s").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    mixed = cut(mixed.where("lo <> hi").select(F.col("j").alias("j2"), F.col("s").alias("s2"), "blocks"), "mixed")
+    met = each.join(mixed, (F.col("j") == F.col("j2")) & (F.col("s") == F.col("s2")))
+    met = met.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("j", "s", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), (F.col("block") > F.col("with")).cast("int").alias("role"), "doc_id", "class", "n_words", "cells")
+    met = met.repartition(partitions(copies.sparkSession), "j", "s", "a", "b").sortWithinPartitions("j", "s", "a", "b", "role")
+
+    def pairs(a: int, b: int, group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        role, doc, root, n = (np.array([x[i] for x in group], np.int64) for i in range(4))
+        counts = np.frombuffer(b"".join(x[4] for x in group), np.int16).reshape(-1, CELLS)
+        us, vs = [], []
+        if len(set(root.tolist())) > 1:
+            left = np.flatnonzero(role == 0) if a < b else np.arange(len(doc))
+            begin = len(left)  # the other block's members follow
+            for i in left.tolist():
+                k = begin if a < b else i + 1
+                hit = np.flatnonzero(may_be_near(counts[k:], n[k:], counts[i], n[i]) & (root[k:] != root[i])) + k
+                us.append(np.maximum(doc[hit], doc[i]))
+                vs.append(np.minimum(doc[hit], doc[i]))
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(us or none), np.concatenate(vs or none)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+        for batch in batches:
+            found = []
+            for j, s, a, b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (j, s, a, b) != key:
+                    if group:
+                        found.append(pairs(*key[2:], group))
+                    key, group = (j, s, a, b), []
+                group.append(row)
+            for u, v in found:
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["member", "first"])
+        if group:
+            u, v = pairs(*key[2:], group)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["member", "first"])
+
+    return in_arrow(met, step, "member long, first long").distinct()
+
+
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """u and v: the pairs whose texts are near.  pairs: member, first; it is read twice."""
     sizes = cut(pairs.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts")), "sizes")
@@ -222,12 +293,15 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id of every row."""
     table = cut(sketch_table(docs), "sketches")
-    copies = table.where("n_words > 0").groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.min("n_words").alias("n_words"), F.min("bands").alias("bands"))
+    copies = table.where("n_words > 0").groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.min("n_words").alias("n_words"), F.min("bands").alias("bands"), F.min("cells").alias("cells"))
     copies = cut(copies, "copies")
-    pairs = cut(candidates(copies.select(F.col("first").alias("doc_id"), "n_words", "bands")), "pairs")
+    firsts = copies.select(F.col("first").alias("doc_id"), "n_words", "bands", "cells")
+    pairs = cut(candidates(firsts), "pairs")
     exact = table.where("n_words > 0").select("doc_id", "t1", "t2").join(copies.select(F.col("t1").alias("a"), F.col("t2").alias("b"), "first"), (F.col("t1") == F.col("a")) & (F.col("t2") == F.col("b")))
     exact = exact.where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    roots = components(verified(docs, pairs).union(exact))
+    roots = cut(components(verified(docs, pairs).union(exact)), "roots")
+    rest = cut(others(firsts, roots), "others")
+    roots = components(verified(docs, rest).union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     return own.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
 

@@ -160,6 +160,33 @@ def test_near_copies(spark):
     assert sorted((r.doc_id or 0) for r in order_minhash.kept(docs(spark)).collect()) == [0, 0, 1, 3, 4, 5, 6, 7, 8]
 
 
+def test_near_copies_that_share_only_a_common_passage(spark):
+    """Groups of a passage are led by a text that is near neither of two near copies."""
+    rng = np.random.default_rng(3)
+    rows, want = [], []
+    for case in range(60):
+        word = lambda: f"w{rng.integers(1 << 40)}"
+        passage, own = [word() for _ in range(40)], [word() for _ in range(20)]
+        changed = [word() if i in (0, 5, 10, 15) else w for i, w in enumerate(own)]
+        rows += [(case * 100 + i, " ".join(passage + [word() for _ in range(20)])) for i in range(12)]
+        rows += [(case * 100 + 50, " ".join(passage + own)), (case * 100 + 51, " ".join(passage + changed))]
+        want.append((case * 100 + 51, case * 100 + 50))
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(d, got[d]) for d, _ in want] == want
+    assert all(got[d] == d for d, _ in rows if d % 100 != 51)
+
+
+def test_cells_bound_the_distance():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a = [f"w{i}" for i in rng.integers(0, 40, rng.integers(1, 60))]
+        b = [w for w in a if rng.random() > 0.1]
+        b = [f"w{rng.integers(40)}" if rng.random() < 0.1 else w for w in b] + ["w1"] * int(rng.integers(0, 4))
+        counts = order_minhash.cells(*order_minhash.word_hashes([" ".join(a), " ".join(b)]))
+        if order_minhash.near(a, b):
+            assert order_minhash.may_be_near(counts[:1], np.array([len(a)]), counts[1], len(b)).all()
+
+
 def test_banded_alignment():
     import random
 
