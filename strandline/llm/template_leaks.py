@@ -7,15 +7,16 @@ becomes a space.  The template is the marked text with the values cut off, so qu
 Search.  The documents' templates are cut into tiles of WIDTH tokens side by side, a WIDTH-th of all windows; of the items, every
 window is taken.  A shared passage of 2 WIDTH - 1 tokens holds a whole tile wherever it begins.  Windows with fewer than
 PLAIN ordinary tokens say too little and are left out.  Tiles are joined with windows by hash; the benchmark side is
-broadcast only if its counted windows are at most BROADCAST_ROWS.  Each hit gives an alignment of an item in a document; along it, the
+broadcast only if its counted windows are at most BROADCAST_ROWS.  Runs of an item that would leak it but that some place of
+the tiles leaves without a tile (those of short items, and those with many placeholders) are searched whole, among all the documents' windows
+of their size.  Each hit gives an alignment of an item in a document; along it, the
 templates are compared token by token.  The item is leaked if RUN tokens in a row agree (or all but one of a
-shorter item's), and the slots are consistent: one value of the item is never two values in the document.
+shorter item's; all of one with fewer than WIDTH), at least PLAIN of them ordinary, and the slots are consistent: one value of the item is never two values in the document.
 
 Plan.  One pass over the documents makes tiles (regular expressions and hashes, no Python); hits are few; the documents that have hits are
 read again with a join on (doc_id, hash of text), which Spark broadcasts or shuffles by measured size.
 
-Cases.  A null or empty text has no tiles and is clean.  Items with null text or fewer than WIDTH tokens are never matched;
-those with fewer than 2 WIDTH - 1 only where a tile falls inside.  Items with equal text are all reported.  Rows that
+Cases.  A null or empty text has no tiles and is clean.  Items with null text or fewer than PLAIN ordinary tokens are never matched.  Items with equal text are all reported.  Rows that
 repeat get equal results and are all kept.  Extra columns are ignored whatever their names.  Empty tables: no rows, or all clean.
 Long texts are searched whole.  Native: DataFrame functions only.
 """
@@ -70,10 +71,15 @@ def tokens(x: Column) -> Column:
     return F.split(F.trim(x), " ")
 
 
-def telling(window: Column) -> Column:
-    """Whether a window has PLAIN tokens besides placeholders: it is longer than they and the spaces explain."""
+def telling(window: Column, size: Column | int = WIDTH) -> Column:
+    """Whether a window of so many tokens has PLAIN tokens besides placeholders: it is longer than they and the spaces explain."""
     marks = F.length(window) - F.length(F.translate(window, NAME + NUMBER + UNIT, ""))
-    return WIDTH - marks >= PLAIN
+    return size - marks >= PLAIN
+
+
+def needed(n: Column) -> Column:
+    """How many tokens in a row leak an item of n."""
+    return F.when(n < WIDTH, n).otherwise(F.least(F.lit(RUN), n - 1))
 
 
 def tiles(docs: DataFrame) -> DataFrame:
@@ -91,13 +97,40 @@ def windows(items: DataFrame) -> DataFrame:
     return own.select("item_id", "mt", "tt", F.posexplode(each).alias("ip", "s")).where(telling(F.col("s"))).select("item_id", "mt", "tt", "ip", F.xxhash64("s").alias("w"))
 
 
+def untiled(items: DataFrame) -> DataFrame:
+    """item_id, ip, r, w: the runs of r tokens that leak an item but hold no telling window at some place of the tiles."""
+    own = items.select("item_id", tokens(template(marked(F.col("text")))).alias("tt")).withColumn("n", F.size("tt")).withColumn("r", needed(F.col("n")))
+    told = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - WIDTH, F.lit(0))), lambda i: telling(F.array_join(F.slice("tt", i + 1, WIDTH), " ")))
+    own = own.where(F.col("r") >= PLAIN).select("item_id", "tt", "r", told.alias("told"), F.explode(F.sequence(F.lit(0), F.col("n") - F.col("r"))).alias("ip"))
+    # The tiles of a document meet a run at one of WIDTH places.
+    places = F.filter(F.sequence(F.col("ip"), F.col("ip") + F.greatest(F.col("r") - WIDTH, F.lit(0))), lambda i: F.get("told", i))
+    own = own.withColumn("safe", (F.col("r") >= WIDTH) & (F.size(F.array_distinct(F.transform(places, lambda i: i % WIDTH))) == WIDTH)).where("not safe")
+    own = own.withColumn("s", F.array_join(F.slice("tt", F.col("ip") + 1, F.col("r")), " "))
+    return own.where(telling(F.col("s"), F.col("r"))).select("item_id", "ip", "r", F.xxhash64("s").alias("w"))
+
+
+def met_untiled(docs: DataFrame, items: DataFrame) -> DataFrame | None:
+    """did, h, item_id, shift: where a document holds a run of untiled(), whatever its place."""
+    runs = untiled(items)
+    sizes = {r["r"]: r["n"] for r in runs.groupBy("r").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most RUN rows
+    if not sizes:
+        return None
+    runs = F.broadcast(runs) if sum(sizes.values()) <= BROADCAST_ROWS else runs
+    own = docs.select(F.col("doc_id").alias("did"), F.xxhash64("text").alias("h"), tokens(template(marked(F.col("text")))).alias("t"))
+    own = own.withColumn("r", F.explode(F.array(*[F.lit(r) for r in sorted(sizes)]))).where(F.size("t") >= F.col("r"))
+    each = F.transform(F.sequence(F.lit(0), F.size("t") - F.col("r")), lambda i: F.xxhash64(F.array_join(F.slice("t", i + 1, F.col("r")), " ")))
+    return own.select("did", "h", "r", F.posexplode(each).alias("at", "w")).join(runs, ["r", "w"]).select("did", "h", "item_id", (F.col("at") - F.col("ip")).alias("shift"))
+
+
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """did, h, item_id, run, n_tokens (of the item), n_changed: the leaked items of each text, by their best alignment."""
     side = windows(items)
     small = side.select("item_id", "ip", "w")
     if small.count() <= BROADCAST_ROWS:
         small = F.broadcast(small)
-    met = tiles(docs).join(small, "w").select("did", "h", "item_id", (F.col("at") - F.col("ip")).alias("shift")).distinct()
+    met = tiles(docs).join(small, "w").select("did", "h", "item_id", (F.col("at") - F.col("ip")).alias("shift"))
+    more = met_untiled(docs, items)
+    met = (met if more is None else met.union(more)).distinct()
     texts = docs.select(F.col("doc_id").alias("d2"), F.xxhash64("text").alias("h2"), "text")
     own = met.join(texts, F.col("did").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2"))).select("did", "h", "item_id", "shift", marked(F.col("text")).alias("m"))
     own = own.select("did", "h", "item_id", "shift", tokens(F.col("m")).alias("dm"), tokens(template(F.col("m"))).alias("dt"))
@@ -126,7 +159,7 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     cell = cell.select(*keys, F.aggregate("c", zero, step)["most"].alias("run"), slots.alias("slots"))
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["x"])))
     changed = F.size(F.filter("slots", lambda s: s["x"] != s["y"]))
-    leaked = cell.where((F.col("run") >= F.least(F.lit(RUN), F.col("n_tokens") - 1)) & consistent).select("did", "h", "item_id", "n_tokens", "run", changed.alias("n_changed"))
+    leaked = cell.where((F.col("run") >= needed(F.col("n_tokens"))) & consistent).select("did", "h", "item_id", "n_tokens", "run", changed.alias("n_changed"))
     best = leaked.groupBy("did", "h", "item_id", "n_tokens").agg(F.min(F.struct((-F.col("run")).alias("r"), "n_changed")).alias("b"))
     return best.select("did", "h", "item_id", "n_tokens", (-F.col("b.r")).alias("run"), F.col("b.n_changed").alias("n_changed"))
 

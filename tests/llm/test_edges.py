@@ -252,6 +252,16 @@ long enough to matter, surely.</p><ul><li>item one, of a list</li><li>item two</
 <div class="comments"><p>A reader says: this is long, and has marks, and more.</p></div><form><label>Mail</label><input></form><script>var x = "<p>no</p>";</script><footer>&copy; 2024, all rights.</footer></body></html>"""
 
 
+def test_templates_of_short_and_number_heavy_items(spark):
+    """Copies are found at every place of the tiles."""
+    texts = {1: "why do owls sleep all day", 2: "where do seven wise owls sleep", 3: "what makes rivers bend", 4: "why is the sky over the sea so blue at noon", 5: "add 1 2 3 4 then 5 6 7 8 then 9 10 11 12 and stop"}
+    items = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    copies = texts | {4: texts[4].removesuffix("noon") + "dusk"}
+    rows = [(100 * k + lead, "filler " * lead + x + " and so on" * 3) for k, x in copies.items() for lead in range(6)]
+    got = {r.doc_id: r.item_id for r in template_leaks.leaks(spark.createDataFrame([*rows, (0, "nothing to see here " * 9)], "doc_id long, text string"), items).collect()}
+    assert got == {d: d // 100 for d, _ in rows} | {0: None}
+
+
 def test_html(spark):
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<p>cut off <b>te"), (5, "u", "no markup at all"), (5, "u", "no markup at all"), (None, "u", "<<<>>> & < >"), (6, "u", "<article>" + "<p>Some text, here.</p>" * 5000 + "</article>")]
     own = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("clash"), "n_chars": F.lit(1)})
