@@ -389,10 +389,15 @@ def local_maxima(spark, sf):
 # Profiles.
 
 
-def _profile_sites(spark, sf) -> DataFrame:
-    """Sites of the stated queries within 4 mismatches, inside the signal."""
+def _all_sites(spark, sf) -> DataFrame:
+    """Sites of the stated queries within 4 mismatches, in the whole genome."""
     own = S.hits(X.variants(spark, sf, 4), X.sites(spark, sf)).join(X.contigs(spark, sf).select("contig_id", "offset", "len"), "contig_id")
-    return own.where(F.col("pos") < O.SIGNAL_SPAN).select("query_id", "contig_id", "offset", "len", "pos", (F.col("strand") == "-").alias("reverse")).distinct()
+    return own.select("query_id", "contig_id", "offset", "len", "pos", (F.col("strand") == "-").alias("reverse")).distinct()
+
+
+def _profile_sites(spark, sf) -> DataFrame:
+    """Those inside the signal."""
+    return _all_sites(spark, sf).where(F.col("pos") < O.SIGNAL_SPAN)
 
 
 _SH = 20
@@ -420,7 +425,7 @@ def circular_shift_null(spark, sf):
 
 @query()
 def thinned_sites(spark, sf):
-    return P.thinned(_profile_sites(spark, sf))
+    return P.thinned(_all_sites(spark, sf))
 
 
 _M = 12
@@ -495,8 +500,8 @@ def mirrored_characters(spark, sf):
 @query()
 def permutation_study(spark, sf):
     """Sites of the stated queries: own sites out, thinned, at most 500, against hashed shifts; summarised by class."""
-    own = P.subsampled(P.thinned(_profile_sites(spark, sf)))
-    stats = P.profile_stats(own, X.base_bins(spark, sf), P.shifts(n=20))
+    own = P.subsampled(P.thinned(_all_sites(spark, sf)))
+    stats = P.profile_stats(own, X.whole_base_bins(spark, sf), P.shifts(n=20))
     level = P.tested(stats, "level").select("query_id", "track", F.col("p").alias("level_p"))
     count = own.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("effective"))
     rows = P.tested(stats).join(level, ["query_id", "track"]).join(count, "query_id")

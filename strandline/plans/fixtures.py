@@ -68,10 +68,24 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A track per event type: each event is 64 letters of its value."""
-    start = F.pmod(F.expr("timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts)"), F.lit(SIGNAL_SPAN))
+    return _signal(spark, sf_dir, F.lit(SIGNAL_SPAN))
+
+
+def _signal(spark: SparkSession, sf_dir: str, span) -> DataFrame:
+    start = F.pmod(F.expr("timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts)"), span)
     own = spark.read.parquet(f"{sf_dir}/events.parquet").where("value is not null and ts is not null")
     return own.select(F.col("event_type").alias("track"), start.alias("start"), (start + 64).alias("end"), "value")
 
 
+def whole_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signal over the whole genome: places are modulo its length."""
+    length = contigs(spark, sf_dir).agg(F.max(F.col("offset") + F.col("len")).alias("n")).first()["n"]
+    return _signal(spark, sf_dir, F.lit(length or 1).cast("long"))
+
+
+def whole_base_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(spark, sf_dir, "whole-base", lambda: tracks.base_bins(whole_signal(spark, sf_dir)))
+
+
 def base_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(spark, sf_dir, "base", lambda: tracks.base_bins(signal(spark, sf_dir)))

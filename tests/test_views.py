@@ -128,3 +128,17 @@ def test_sampling(spark):
     where = {"c": {"offset": 100, "len": 50}, "d:x": {"offset": 150, "len": 5000}}
     assert [sampling.parse_region(t, where, 9) for t in ("all", "c", "c:11", "d:x:1,001", "c:2-5")] == [(0, 9), (100, 150), (110, 150), (1150, 2150), (101, 105)]
     assert sampling.timed(lambda: None) >= 0
+
+
+def test_thinned_sites_and_permutations_reach_the_whole_genome(spark):
+    """The sites past the first million letters count, and have signal."""
+    from strandline.plans import catalogue, fixtures
+
+    sf = "/root/testdata/sf0.01"
+    own = catalogue.QUERIES["thinned_sites"](spark, sf)
+    assert own.agg(F.max("pos")).first()[0] > 1_000_000
+    length = fixtures.contigs(spark, sf).agg(F.max(F.col("offset") + F.col("len"))).first()[0]
+    assert length - 100_000 < fixtures.whole_signal(spark, sf).agg(F.max("start")).first()[0] < length
+    effective = {min(r["count"], 500) for r in own.groupBy("query_id").count().collect()}
+    got = {r.median_sites for r in catalogue.QUERIES["permutation_study"](spark, sf).collect()}
+    assert got and got <= effective
