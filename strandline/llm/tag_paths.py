@@ -3,8 +3,8 @@
 Every text node has a root-to-leaf tag path.  Per page, the nodes of a path are taken together: characters and
 punctuation marks per node, and the share of characters in links.  Both ratios are smoothed over the paths in page order,
 fused into one score, and the paths over a share of the text-weighted mean score are content.  The smallest
-element that holds most of the content's text is the container; its text nodes are the result, and so are
-content paths beside it that score as high as the container's own.  Elements that by name, role, class or id are menus, page
+element that holds most of the content's text is the container; the result is every text node on a content path, and what
+else is in the container.  Elements that by name, role, class or id are menus, page
 headers, footers, sidebars, notices, adverts, forms or reader comments are left out beforehand.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined
@@ -197,10 +197,9 @@ def main_text(page: str | None) -> str:
     # The deepest element with enough of the text and more than one block, so that one long paragraph is not the container.
     fit = [e for e, w in weight.items() if w >= HELD * total and (len(blocks_in[e]) > 1 or e == 0)]
     holder = max(fit, key=lambda e: (depth[e], e))
-    best = max((scores[x.path][0] for x in nodes if holder in x.chain), default=0.0)
     out: dict[int, list[str]] = {}
     for x in nodes:
-        if holder in x.chain or x.path in content and scores[x.path][0] >= best:
+        if holder in x.chain or x.path in content:
             out.setdefault(x.block, []).append(x.text)
     return " ".join(t for parts in out.values() if (t := " ".join("".join(parts).split())))
 

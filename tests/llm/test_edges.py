@@ -271,6 +271,13 @@ def test_html(spark):
     assert got[6].text == " ".join(["Some text, here."] * 5000) and tag_paths.extract(own).count() == 8 and tag_paths.extract(own.limit(0)).count() == 0
 
 
+def test_main_text_beside_the_container():
+    lead = "".join(f"<p>Lead {i}, a shorter paragraph with some words, and more.</p>" for i in range(3))
+    body = "".join(f"<p>Body {i}, {'a longer paragraph with many words, and then more of them. ' * 3}</p>" for i in range(6))
+    text = tag_paths.main_text(f"<html><body><main><div class='lead'>{lead}</div><div class='body'>{body}</div></main></body></html>")
+    assert all(f"Lead {i}," in text for i in range(3)) and all(f"Body {i}," in text for i in range(6))
+
+
 def test_quality(spark):
     rows = [(i, SENTENCE if i % 3 else "SPAM!! BUY!! NOW!! | $$$ | $$$ " * 5) for i in range(300)]
     own = spark.createDataFrame(rows, "doc_id long, text string").withColumns(clash())
