@@ -10,9 +10,10 @@ Check.  A pair is near if the edit distance of the word sequences is at most 1 -
 band of that width around the diagonal, one column of bits at a time.  Equal texts are grouped by hash beforehand, and only the
 first of them is compared.  Classes are the connected components of exact and near links; class_id is the least doc_id.
 
-Second comparison.  A text's words are counted in CELLS hashed cells.  One edit raises at most one cell by one and lowers at most one by one,
+Second comparison.  A text's words are counted in CELLS hashed cells of four bits.  One edit raises at most one cell by one and lowers at most one by one,
 so what the cells differ by bounds the edit distance from below: a pair over the bound is dropped without its texts, and no
-near pair is.  A group's members are dealt into blocks, and a task compares two blocks.
+near pair is.  A group's members are dealt into blocks, and a task compares two blocks; a pair that shares several groups is compared in
+the first of them alone.
 
 Plan.  One pass makes sketches (no shuffle of texts).  Texts that take part in a pair are then joined to their pairs, dealt by
 (first document, salt) with at most MEMBERS members a salt, and stream past the first document's words.
@@ -37,15 +38,18 @@ from .quality_net import BYTE, POWER, SPACE
 from .token_files import in_parts
 
 K, BANDS, SIMILARITY = 5, 32, 0.8
-#: In short texts one edit touches most runs of K words, so texts of at most SHORT words get as many sketches again over runs of SHORT_K.
+#: In short texts one edit touches most runs of K words, so pairs with a text of at most SHORT words get as many sketches again over runs of SHORT_K.
+#: The other text of such a pair has at most SHORT / SIMILARITY words, so all texts up to there have them.
 SHORT, SHORT_K = 50, 2
+TWICE = int(SHORT / SIMILARITY)
 MEMBERS = 200
-#: Counted cells of a text's words, and members of a block in the second comparison.
-CELLS, BLOCK = 64, 500
+#: Counted cells of a text's words, those of a first, coarser comparison, the most that a cell counts, and members of a block in the second comparison.
+CELLS, COARSE, CELL_MOST, BLOCK = 1024, 64, 15, 500
 
 _RNG = np.random.default_rng(20_240_202)
 SCALE = _RNG.integers(1, 1 << 63, BANDS, np.uint64) | np.uint64(1)
 SHIFT = _RNG.integers(1, 1 << 63, BANDS, np.uint64)
+#: Places in a run of texts are told apart by so many bits; a longer text takes as many as it needs.
 PLACE_BITS = 20
 
 
@@ -73,10 +77,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def cells(words: np.ndarray, where: np.ndarray) -> np.ndarray:
-    """How many words of each text fall in each of CELLS cells, cut off at what 16 bits hold (which brings two texts only nearer)."""
+    """How many words of each text fall in each of CELLS cells, two cells a byte, cut off at CELL_MOST (which brings two texts only nearer)."""
     n = np.diff(where)
     spot = np.repeat(np.arange(len(n)), n) * CELLS + (words % np.uint64(CELLS)).astype(np.int64)
-    return np.minimum(np.bincount(spot, minlength=len(n) * CELLS), (1 << 15) - 1).astype(np.int16).reshape(-1, CELLS)
+    counts = np.minimum(np.bincount(spot, minlength=len(n) * CELLS), CELL_MOST).astype(np.uint8).reshape(-1, CELLS // 2, 2)
+    return counts[:, :, 0] << 4 | counts[:, :, 1]
+
+
+def counted(packed: np.ndarray) -> np.ndarray:
+    """cells() with a byte for each cell."""
+    return np.stack((packed >> 4, packed & 15), 2).reshape(len(packed), CELLS)
 
 
 def sketches(texts: list[str], k: int = K, found: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +117,9 @@ def sketches(texts: list[str], k: int = K, found: tuple[np.ndarray, np.ndarray]
         label = np.zeros(len(run), np.uint64)
         label[order] = nth.astype(np.uint64)
         run = np.where(label > 0, _mix(run + label * np.uint64(0xD6E8FEB86659FD93)), run)
-    place = np.minimum(at, (1 << PLACE_BITS) - 1).astype(np.uint64)
-    low, most = np.uint64((1 << PLACE_BITS) - 1), np.uint64(0xFFFFFFFFFFFFFFFF)
+    bits = max(PLACE_BITS, int(items.max()).bit_length())
+    place = at.astype(np.uint64)
+    low, most = np.uint64((1 << bits) - 1), np.uint64(0xFFFFFFFFFFFFFFFF)
     two = items >= 2
     for j in range(BANDS):
         v = (run ^ SHIFT[j]) * SCALE[j]
@@ -116,7 +127,8 @@ def sketches(texts: list[str], k: int = K, found: tuple[np.ndarray, np.ndarray]
         a = np.minimum.reduceat(v, head)
         v[head + (a & low).astype(np.int64)] = most
         b = np.where(two, np.minimum.reduceat(v, head), a)
-        x, y = np.where((a & low) <= (b & low), a, b) >> np.uint64(PLACE_BITS), np.where((a & low) <= (b & low), b, a) >> np.uint64(PLACE_BITS)
+        a, b = head + (a & low).astype(np.int64), head + (b & low).astype(np.int64)
+        x, y = run[np.minimum(a, b)], run[np.maximum(a, b)]  # in the order of the text
         out[full, j] = _mix(_mix(x + np.uint64(j)) * np.uint64(3) + y).view(np.int64)
     return n, out
 
@@ -185,7 +197,7 @@ def sketch_table(docs: DataFrame) -> DataFrame:
                 found = word_hashes(some)
                 n, own = sketches(some, found=found)
                 counts += [x.tobytes() for x in cells(*found)]
-                short = np.flatnonzero((n > 0) & (n <= SHORT))
+                short = np.flatnonzero((n > 0) & (n <= TWICE))
                 more = dict(zip(short.tolist(), sketches([some[i] for i in short], SHORT_K)[1], strict=True)) if len(short) else {}
                 sizes.append(n)
                 bands += [np.concatenate((x, more[i])) if i in more else x for i, x in enumerate(own)]
@@ -207,10 +219,15 @@ def candidates(firsts: DataFrame) -> DataFrame:
 
 
 def may_be_near(counts: np.ndarray, sizes: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
-    """Which texts (a row of cells and a number of words each) the bound leaves within reach of one text of n words."""
+    """Which texts (a row of counted cells and a number of words each) the bound leaves within reach of one text of n words."""
     most = (np.maximum(sizes, n) * (1 - SIMILARITY) + 1e-9).astype(np.int64)
-    apart = counts.astype(np.int32) - own
-    return (np.abs(apart).sum(1) + np.abs(apart.sum(1)) <= 2 * most) & (np.abs(sizes - n) <= most)
+    apart = counts.astype(np.int16) - own
+    return (np.abs(apart).sum(1, dtype=np.int64) + np.abs(apart.sum(1, dtype=np.int64)) <= 2 * most) & (np.abs(sizes - n) <= most)
+
+
+def coarser(counts: np.ndarray) -> np.ndarray:
+    """Sums of neighbouring cells, for which the bound holds as well."""
+    return counts.reshape(len(counts), COARSE, -1).sum(2, dtype=np.int16)
 
 
 def others(copies: DataFrame, roots: DataFrame) -> DataFrame:
@@ -218,47 +235,57 @@ def others(copies: DataFrame, roots: DataFrame) -> DataFrame:
 
     copies: doc_id, n_words, bands, cells; roots: node and root."""
     own = copies.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_words", "bands", "cells", F.coalesce("root", "doc_id").alias("class"))
-    each = own.select("doc_id", "class", "n_words", "cells", F.posexplode("bands").alias("j", "s"))
+    each = own.select("doc_id", "class", "n_words", "bands", "cells", F.posexplode("bands").alias("j", "s"))
     mixed = each.groupBy("j", "s").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     mixed = cut(mixed.where("lo <> hi").select(F.col("j").alias("j2"), F.col("s").alias("s2"), "blocks"), "mixed")
     met = each.join(mixed, (F.col("j") == F.col("j2")) & (F.col("s") == F.col("s2")))
     met = met.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("j", "s", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), (F.col("block") > F.col("with")).cast("int").alias("role"), "doc_id", "class", "n_words", "cells")
+    earlier = F.slice("bands", F.lit(1), F.col("j"))
+    met = met.select("j", "s", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), (F.col("block") > F.col("with")).cast("int").alias("role"), "doc_id", "class", "n_words", "cells", earlier.alias("earlier"))
     met = met.repartition(partitions(copies.sparkSession), "j", "s", "a", "b").sortWithinPartitions("j", "s", "a", "b", "role")
 
-    def pairs(a: int, b: int, group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(j: int, a: int, b: int, group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         role, doc, root, n = (np.array([x[i] for x in group], np.int64) for i in range(4))
-        counts = np.frombuffer(b"".join(x[4] for x in group), np.int16).reshape(-1, CELLS)
-        us, vs = [], []
-        if len(set(root.tolist())) > 1:
-            left = np.flatnonzero(role == 0) if a < b else np.arange(len(doc))
-            begin = len(left)  # the other block's members follow
-            for i in left.tolist():
-                k = begin if a < b else i + 1
-                hit = np.flatnonzero(may_be_near(counts[k:], n[k:], counts[i], n[i]) & (root[k:] != root[i])) + k
-                us.append(np.maximum(doc[hit], doc[i]))
-                vs.append(np.minimum(doc[hit], doc[i]))
-        none = [np.zeros(0, np.int64)]
-        return np.concatenate(us or none), np.concatenate(vs or none)
+        none = np.zeros(0, np.int64)
+        if len(set(root.tolist())) < 2:
+            return none, none
+        counts = counted(np.frombuffer(b"".join(x[4] for x in group), np.uint8).reshape(len(group), -1))
+        coarse = coarser(counts)
+        # A band before this one that both texts share; short texts alone have bands beyond the first BANDS.
+        before = np.zeros((len(group), j), np.int64)
+        for i, x in enumerate(group):
+            before[i] = x[5]
+        left = np.flatnonzero(role == 0) if a < b else np.arange(len(doc))
+        begin = len(left)  # the other block's members follow
+        us, vs = [none], [none]
+        for i in left.tolist():
+            k = begin if a < b else i + 1
+            hit = np.flatnonzero((root[k:] != root[i]) & may_be_near(coarse[k:], n[k:], coarse[i], n[i])) + k
+            hit = hit[~(before[hit] == before[i]).any(1)]
+            hit = hit[may_be_near(counts[hit], n[hit], counts[i].astype(np.int16), n[i])]
+            us.append(np.maximum(doc[hit], doc[i]))
+            vs.append(np.minimum(doc[hit], doc[i]))
+        return np.concatenate(us), np.concatenate(vs)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
+
+        def solved() -> Iterator[pa.RecordBatch]:
+            u, v = pairs(key[0], *key[2:], group)
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["member", "first"])
+
         for batch in batches:
-            found = []
             for j, s, a, b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (j, s, a, b) != key:
                     if group:
-                        found.append(pairs(*key[2:], group))
+                        yield from solved()
                     key, group = (j, s, a, b), []
                 group.append(row)
-            for u, v in found:
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["member", "first"])
         if group:
-            u, v = pairs(*key[2:], group)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["member", "first"])
+            yield from solved()
 
-    return in_arrow(met, step, "member long, first long").distinct()
+    return in_arrow(met, step, "member long, first long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def test_suffix_dedup(spark, monkeypatch, hot):
     want = [(i, *x) for (i, _), x in zip(rows, brute_spans([t for _, t in rows]), strict=True)]
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     kept = {r.doc_id: r.kept_text for r in suffix_dedup.dedup(own, ["lang"]).collect()}
-    assert kept[3] is None and kept[4] == "" and kept[1] == "" and kept[7] == "" or True
+    assert kept[3] is None and kept[4] == "" and kept[1] == "" and kept[7] == ""
     assert suffix_dedup.removed_rows(none(spark)).count() == 0
 
 
@@ -182,9 +182,36 @@ def test_cells_bound_the_distance():
         a = [f"w{i}" for i in rng.integers(0, 40, rng.integers(1, 60))]
         b = [w for w in a if rng.random() > 0.1]
         b = [f"w{rng.integers(40)}" if rng.random() < 0.1 else w for w in b] + ["w1"] * int(rng.integers(0, 4))
-        counts = order_minhash.cells(*order_minhash.word_hashes([" ".join(a), " ".join(b)]))
+        counts = order_minhash.counted(order_minhash.cells(*order_minhash.word_hashes([" ".join(a), " ".join(b)])))
         if order_minhash.near(a, b):
-            assert order_minhash.may_be_near(counts[:1], np.array([len(a)]), counts[1], len(b)).all()
+            for c in (counts.astype(np.int16), order_minhash.coarser(counts)):
+                assert order_minhash.may_be_near(c[:1], np.array([len(a)]), c[1], len(b)).all()
+
+
+def test_sketches_of_long_texts():
+    """Places beyond 2 ** 20 count: a sketch is that of the two least items in the order of the text, by a plain computation."""
+    rng = np.random.default_rng(6)
+    words = rng.integers(0, 1 << 40, 1_300_000)
+    text = " ".join(map(str, words.tolist()))
+    n, got = order_minhash.sketches([text])
+    assert n[0] == len(words)
+    hashes, _ = order_minhash.word_hashes([text])
+    run = hashes.copy()
+    for d in range(1, order_minhash.K):
+        run = order_minhash._mix(run * np.uint64(31) + np.concatenate((hashes[d:], np.full(d, 7, np.uint64))))
+    run = run[: len(words) - order_minhash.K + 1]
+    for j in range(order_minhash.BANDS):
+        v = (run ^ order_minhash.SHIFT[j]) * order_minhash.SCALE[j]
+        i, k = np.sort(np.argsort(v ^ (v >> np.uint64(31)))[:2])
+        assert got[0, j] == order_minhash._mix(order_minhash._mix(run[[i]] + np.uint64(j)) * np.uint64(3) + run[[k]]).view(np.int64)[0]
+
+
+def test_short_texts_share_all_sketches(spark):
+    """Any pair with a text of at most SHORT words has the sketches of short texts on both sides."""
+    assert order_minhash.near(["w"] * 50, ["w"] * order_minhash.TWICE) and not order_minhash.near(["w"] * 50, ["w"] * (order_minhash.TWICE + 1))
+    rows = [(n, " ".join(f"w{i}" for i in range(n))) for n in (1, 50, 51, order_minhash.TWICE, order_minhash.TWICE + 1)]
+    got = {r.doc_id: len(r.bands) for r in order_minhash.sketch_table(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {n: order_minhash.BANDS * (2 if n <= order_minhash.TWICE else 1) for n, _ in rows}
 
 
 def test_banded_alignment():
