@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import kmer as K
+from . import shared
 
 #: Windows of one tile.  A tile repeats the 30 letters that its last windows need.
 TILE = 512
@@ -31,27 +32,80 @@ def from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("contig_id"), F.concat(F.lit("doc"), F.col("doc_id")).alias("name"), F.col("lang").alias("description"), F.col("source"), F.translate(letters, LETTERS, AS_BASES).alias("seq"))
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """genome(contig_id, name, description, seq).  Records are split by the reader, so files of any size are read in parallel; gzip by extension.
-
-    Trailing white space of each line is dropped, empty records are kept, text before the first header is an error.
-    The order of records is that of their places in the file."""
-    chunks = spark.read.option("lineSep", "\n>").text(path).select(F.monotonically_increasing_id().alias("at"), F.col("value"))
-    lead = F.when(F.col("value").startswith(">"), F.expr("substring(value, 2)")).when(F.col("value").rlike(r"^\s*$"), F.lit(None)).otherwise(F.raise_error(F.lit("text before the first header")))
-    rec = chunks.select("at", F.when(F.col("at") == 0, lead).otherwise(F.col("value")).alias("v")).where("v is not null").select("at", F.split("v", "\n").alias("l"))
+def fasta_files(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """The files of a path, a pattern or a list of them: in the order given, and by name within each."""
+    out = []
+    for one in [path] if isinstance(path, str) else path:
+        fs, where = shared.file_system(spark, one)
+        found = [f.getPath().toString() for f in (fs.globStatus(where) or [])]
+        if not found:
+            raise FileNotFoundError(one)
+        for f in sorted(found):
+            fs, where = shared.file_system(spark, f)
+            inside = [x for x in (fs.listStatus(where) if fs.getFileStatus(where).isDirectory() else [fs.getFileStatus(where)]) if not x.getPath().getName().startswith(("_", "."))]
+            out += sorted(x.getPath().toString() for x in inside)
+    return out
+
+
+def _gzipped(spark: SparkSession, file: str) -> bool:
+    """By the first two bytes, whatever the file is called."""
+    fs, where = shared.file_system(spark, file)
+    if not fs.getFileStatus(where).getLen():
+        return False
+    source = fs.open(where)
+    two = source.read(), source.read()
+    source.close()
+    return two == (0x1F, 0x8B)
+
+
+def _unpacked(spark: SparkSession, file: str) -> str:
+    """A gzipped file without the extension that Spark's readers go by, written again with it."""
+    fs, where = shared.file_system(spark, file)
+    to = f"{shared.new_folder(spark, 'fasta')}/{where.getName()}.gz"
+    fs2, there = shared.file_system(spark, to)
+    jvm = spark.sparkContext._jvm
+    jvm.org.apache.hadoop.fs.FileUtil.copy(fs, where, fs2, there, False, spark.sparkContext._jsc.hadoopConfiguration())
+    return to
+
+
+def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """genome(contig_id, name, description, seq).  Records are split by the reader, so plain files of any size are read in parallel; gzip by its first bytes.
+
+    Trailing white space of each line is dropped, empty records are kept, text before the first header of a file is an error.
+    The order of records is that of the files (see `fasta_files`) and of their places in them."""
+    files = fasta_files(spark, path)
+    chunks = None
+    for i, f in enumerate(files):
+        one = spark.read.option("lineSep", "\n>").text(_unpacked(spark, f) if _gzipped(spark, f) and not f.endswith(".gz") else f)
+        one = one.select(F.lit(i).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+        chunks = one if chunks is None else chunks.unionByName(one)
+    # Only the first record of a file still has its mark: the separator took those of the others.
+    lead = F.when(F.col("value").startswith(">"), F.expr("substring(value, 2)")).when(F.col("value").rlike(r"^\s*$"), F.lit(None)).when(F.ltrim("value").startswith(">"), F.expr("substring(value, instr(value, '>') + 1)")).otherwise(F.raise_error(F.lit("text before the first header")))
+    first = chunks.where("block = 0").select("file", "block", "at").groupBy("file", "block").agg(F.min("at").alias("first"))
+    chunks = chunks.join(F.broadcast(first), ["file", "block"], "left")  # a row a file
+    rec = chunks.select("file", "block", "at", F.when(F.col("at") == F.col("first"), lead).otherwise(F.col("value")).alias("v")).where("v is not null").select("file", "block", "at", F.split("v", "\n").alias("l"))
     head = F.regexp_replace(F.get("l", F.lit(0)), r"\s+$", "")
     seq = F.array_join(F.transform(F.slice("l", F.lit(2), F.size("l")), lambda x: F.regexp_replace(x, r"\s+$", "")), "")
-    out = rec.select("at", F.regexp_extract(head, r"^(\S*)", 1).alias("name"), F.trim(F.regexp_replace(head, r"^\S*\s*", "")).alias("description"), seq.alias("seq"))
-    return numbered(out, "at", "contig_id").select("contig_id", "name", "description", "seq")
+    out = rec.select("file", "block", "at", F.regexp_extract(head, r"^(\S*)", 1).alias("name"), F.trim(F.regexp_replace(head, r"^\S*\s*", "")).alias("description"), seq.alias("seq"))
+    return numbered(out, ["file", "block", "at"], "contig_id").select("contig_id", "name", "description", "seq")
+
 
+def numbered(df: DataFrame, order: str | list[str], to: str) -> DataFrame:
+    """Dense numbers from 0 in an order, without bringing all rows into one task.
 
-def numbered(df: DataFrame, order: str, to: str) -> DataFrame:
-    """Dense numbers from 0 in the order of a column, without bringing all rows into one task: counts per range, and a rank within it."""
-    ranged = df.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
-    counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select(F.col("__p").alias("__q"), (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__b"))  # a row a partition
-    rank = F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1
-    return ranged.withColumn("__r", rank).join(F.broadcast(before), F.col("__p") == F.col("__q")).withColumn(to, F.col("__b") + F.col("__r")).drop("__p", "__q", "__b", "__r")
+    Rows are dealt by ranges and sorted once, and that table is written (a checkpoint), so its partitions and their rows stay as they are however
+    often it is read, and whichever executor is lost.  A row's number is its place in its partition and the rows of the partitions before."""
+    order = [order] if isinstance(order, str) else order
+    spark = df.sparkSession
+    rows = shared.settled(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("__at", F.monotonically_increasing_id())
+    low = (1 << 33) - 1  # a partition's rows; its number stands above
+    sizes = rows.groupBy(F.shiftright("__at", 33).alias("p")).agg((F.max(F.col("__at").bitwiseAND(F.lit(low))) + 1).alias("n")).collect()  # a row a partition
+    before, sums = 0, []
+    for r in sorted(sizes, key=lambda r: r.p):
+        sums.append((r.p, before))
+        before += r.n
+    known = F.broadcast(spark.createDataFrame(sums or [(0, 0)], "__p long, __b long"))
+    return rows.join(known, F.shiftright("__at", 33) == F.col("__p")).withColumn(to, F.col("__b") + F.col("__at").bitwiseAND(F.lit(low))).drop("__at", "__p", "__b")
 
 
 def fasta_lines(genome: DataFrame, width: int = 80) -> DataFrame:
@@ -65,18 +119,28 @@ def write_fasta(genome: DataFrame, path: str) -> None:
     fasta_lines(genome).orderBy("contig_id").select("value").write.text(path)
 
 
+#: Contigs are summed up in groups of so many numbers, and then group after group.
+SUMMED = 1 << 12
+
+
 def contigs(genome: DataFrame) -> DataFrame:
-    """contig_id, name, description, len, offset (in the concatenation by contig_id).  Contigs are few next to windows; offsets are one running sum."""
-    w = Window.orderBy("contig_id").rowsBetween(Window.unboundedPreceding, -1)
-    return genome.select("contig_id", "name", "description", F.length("seq").cast("long").alias("len")).withColumn("offset", F.coalesce(F.sum("len").over(w), F.lit(0)).cast("long"))
+    """contig_id, name, description, len, offset (in the concatenation by contig_id): running sums within groups of numbers, after those of the groups
+    before (one row of two numbers a group)."""
+    own = genome.select("contig_id", "name", "description", F.length("seq").cast("long").alias("len"), F.floor(F.col("contig_id") / SUMMED).alias("__g"))
+    sums = own.groupBy("__g").agg(F.sum("len").alias("__n"))
+    before = sums.select("__g", (F.sum("__n").over(Window.orderBy("__g")) - F.col("__n")).alias("__b"))
+    w = Window.partitionBy("__g").orderBy("contig_id").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("__o", F.coalesce(F.sum("len").over(w), F.lit(0))).join(before, "__g")
+    return own.select("contig_id", "name", "description", "len", (F.col("__b") + F.col("__o")).cast("long").alias("offset"))
 
 
 def tiles(genome: DataFrame, k: int = K.K, by: int = TILE, text: bool = True) -> DataFrame:
-    """contig_id, at (letters before the tile), bit (its text, or its bytes).  Sequences shorter than a window have none."""
-    own = genome.where(F.length("seq") >= k).select("contig_id", F.col("seq").cast("binary").alias("b"))
+    """contig_id, at (letters before the tile), bit (its text, or its bytes), and offset if the genome has it.  Sequences shorter than a window have none."""
+    more = [c for c in ("offset",) if c in genome.columns]
+    own = genome.where(F.length("seq") >= k).select("contig_id", *more, F.col("seq").cast("binary").alias("b"))
     starts = F.sequence(F.lit(0), F.octet_length("b") - k, F.lit(by))
     bit = F.substring(F.col("b"), F.col("at") + 1, F.lit(by + k - 1))
-    return own.select("contig_id", "b", F.explode(starts).alias("at")).select("contig_id", "at", (bit.cast("string") if text else bit).alias("bit"))
+    return own.select("contig_id", *more, "b", F.explode(starts).alias("at")).select("contig_id", *more, "at", (bit.cast("string") if text else bit).alias("bit"))
 
 
 def texts_of_windows(genome: DataFrame, k: int = K.K) -> DataFrame:
@@ -109,27 +173,30 @@ def packed_windows(letters: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(genome: DataFrame) -> DataFrame:
-    """contig_id, start, fwd, rc, kmer (the lesser), fwd_canonical.
+    """contig_id, start, fwd, rc, kmer (the lesser), fwd_canonical; and pos, if the genome has offset.
 
     Packing is a dozen passes over the letters of a tile in arrays, some twenty times as fast as a string conversion per window; the rest is
     generated code."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for contig, at, bit in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for contig, at, bit, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 start, fwd = packed_windows(bit)
                 if len(start):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), contig, np.int64)), pa.array(start + at), pa.array(fwd)], names=["contig_id", "start", "fwd"])
+                    start += at
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), contig, np.int64)), pa.array(start), pa.array(fwd), pa.array(start + base)], names=["contig_id", "start", "fwd", "pos"])
 
-    own = tiles(genome, by=LONG_TILE, text=False).select(F.col("contig_id").cast("long").alias("contig_id"), F.col("at").cast("long").alias("at"), "bit").mapInArrow(step, "contig_id long, start long, fwd long")
-    own = own.withColumn("rc", K.revcomp(F.col("fwd")))
-    return own.select("contig_id", "start", "fwd", "rc", F.least("fwd", "rc").alias("kmer"), (F.col("fwd") <= F.col("rc")).alias("fwd_canonical"))
+    placed = "offset" in genome.columns
+    base = F.col("offset") if placed else F.lit(0)
+    own = tiles(genome, by=LONG_TILE, text=False).select(F.col("contig_id").cast("long").alias("contig_id"), F.col("at").cast("long").alias("at"), "bit", base.cast("long").alias("base"))
+    own = own.mapInArrow(step, "contig_id long, start long, fwd long, pos long").withColumn("rc", K.revcomp(F.col("fwd")))
+    return own.select("contig_id", "start", *(["pos"] if placed else []), "fwd", "rc", F.least("fwd", "rc").alias("kmer"), (F.col("fwd") <= F.col("rc")).alias("fwd_canonical"))
 
 
 def sites(genome: DataFrame, where: DataFrame | None = None) -> DataFrame:
-    """windows with pos, the place in the concatenation."""
+    """windows with pos, the place in the concatenation.  Offsets meet the sequences, a byte a letter, and not their windows."""
     where = contigs(genome) if where is None else where
-    return windows(genome).join(where.select("contig_id", "offset"), "contig_id").select("contig_id", "start", (F.col("offset") + F.col("start")).alias("pos"), "fwd", "kmer", "fwd_canonical")
+    return windows(genome.join(where.select("contig_id", "offset"), "contig_id")).select("contig_id", "start", "pos", "fwd", "kmer", "fwd_canonical")
 
 
 def kmers(site: DataFrame) -> DataFrame:
