@@ -123,10 +123,11 @@ def preorder(parent: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def mst(result: DataFrame, n: int) -> DataFrame:
-    """query_id, row, vi, parent_vi (null: the query), edge, depth (emitted: one more than the node's, at most 255), size: results of up to MST_LIMIT variants; larger ones give no row here
-    and are ordered by `ordered` (see `order_mode`).  A query's tree is sequential, so each is one group."""
+    """query_id, row, vi, parent_vi (null: the query), edge, depth (emitted: one more than the node's, at most 255), size.  A query's tree is sequential, so each is
+    one group of at most MST_LIMIT variants.  Larger results stand in the order of `ordered`, every variant a child of the query."""
     own = result.where(F.col("mismatches") <= n)
-    small = own.groupBy("query_id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") <= MST_LIMIT).select("query_id")
+    sizes = own.groupBy("query_id").agg(F.count(F.lit(1)).alias("c"))
+    small, large = sizes.where(F.col("c") <= MST_LIMIT).select("query_id"), sizes.where(F.col("c") > MST_LIMIT).select("query_id")
 
     def group(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("vi", ignore_index=True)
@@ -136,7 +137,10 @@ def mst(result: DataFrame, n: int) -> DataFrame:
         up = pd.array([None if p < 0 else int(vi[p]) for p in parent[order]], dtype="Int64")
         return pd.DataFrame({"query_id": g.query_id[0], "row": np.arange(len(g)), "vi": vi[order], "parent_vi": up, "edge": edge[order], "depth": np.minimum(depth[order] + 1, 255), "size": size[order]})
 
-    return own.join(small, "query_id", "left_semi").groupBy("query_id").applyInPandas(group, "query_id string, row long, vi long, parent_vi long, edge long, depth long, size long")
+    trees = own.join(small, "query_id", "left_semi").groupBy("query_id").applyInPandas(group, "query_id string, row long, vi long, parent_vi long, edge long, depth long, size long")
+    one = F.lit(1).cast("long")
+    rest = ordered(own.join(large, "query_id", "left_semi"), n).select("query_id", F.col("row").cast("long").alias("row"), F.col("vi").cast("long").alias("vi"), F.lit(None).cast("long").alias("parent_vi"), F.col("mismatches").cast("long").alias("edge"), one.alias("depth"), one.alias("size"))
+    return trees.unionByName(rest)
 
 
 def mst_clades(tree: DataFrame) -> DataFrame:

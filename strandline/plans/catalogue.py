@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 N = 8
+#: Of the queries that fetch a region; views cover the whole genome.
 REGION = (50_000, 1_450_000)
 WIDTH, HEIGHT = 200, 60
 
@@ -49,9 +50,15 @@ def canonical_counts(spark, sf):
     return k.select("copies", "kmers", text("least"), text("most"))
 
 
-@query(f"WITH {O.SITES} SELECT contig_id, start, fwd, rc FROM w WHERE contig_id < 40")
+@query(f"WITH {O.SITES} SELECT contig_id, substr(rc, 1, 2) AS lead, count(*) AS n_windows, min(rc) AS least_rc, max(rc) AS most_rc, sum(start)::BIGINT AS starts, sum(start) FILTER (substr(rc, 31, 1) = 'A')::BIGINT AS starts_a, sum(start) FILTER (substr(rc, 16, 1) = 'C')::BIGINT AS starts_c FROM w GROUP BY contig_id, substr(rc, 1, 2)")
 def kmer_revcomp(spark, sf):
-    return G.windows(X.genome(spark, sf).where("contig_id < 40")).select("contig_id", "start", text("fwd"), text("rc"))
+    """All windows' reverse complements, summed up by contig and first two letters."""
+    own = G.windows(X.genome(spark, sf)).select("contig_id", "start", "rc", K.window(F.col("rc"), 2, 0).alias("lead"), K.base_at(F.col("rc"), F.lit(30)).alias("last"), K.base_at(F.col("rc"), F.lit(15)).alias("mid"))
+    own = own.groupBy("contig_id", "lead").agg(
+        F.count(F.lit(1)).alias("n_windows"), F.min("rc").alias("least_rc"), F.max("rc").alias("most_rc"), F.sum("start").alias("starts"),
+        F.sum(F.when(F.col("last") == 0, F.col("start"))).alias("starts_a"), F.sum(F.when(F.col("mid") == 1, F.col("start"))).alias("starts_c"),
+    )
+    return own.withColumns({"lead": K.unpack(F.col("lead"), 2), "least_rc": K.unpack(F.col("least_rc")), "most_rc": K.unpack(F.col("most_rc"))})
 
 
 @query(f"WITH {O.SITES} SELECT kmer, copies FROM k ORDER BY copies DESC, kmer LIMIT 1")
@@ -64,10 +71,9 @@ def contig_offsets(spark, sf):
     return X.contigs(spark, sf)
 
 
-@query(f"WITH {O.GENOME}, e AS (SELECT event_id, date_diff('second', TIMESTAMP '2024-01-01', ts) % 1000003 AS pos FROM events) SELECT event_id, pos, contig_id, name, pos - off AS local FROM e JOIN g ON pos >= off AND pos < off + len")
+@query(f"WITH {O.GENOME}, e AS (SELECT event_id, date_diff('second', TIMESTAMP '2024-01-01', ts) % {O.L} AS pos FROM events) SELECT event_id, pos, contig_id, name, pos - off AS local FROM e JOIN g ON pos >= off AND pos < off + len")
 def pos_to_contig(spark, sf):
-    pos = F.pmod(F.expr("timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts)"), F.lit(1_000_003))
-    points = spark.read.parquet(f"{sf}/events.parquet").select("event_id", pos.alias("pos"))
+    points = spark.read.parquet(f"{sf}/events.parquet").select("event_id", X.seconds(spark, sf).alias("pos"))
     return G.located(points, X.contigs(spark, sf)).select("event_id", "pos", "contig_id", "name", "local")
 
 
@@ -166,48 +172,59 @@ def sites_in_region(spark, sf):
 
 # Views.
 
-_COL = f"least(floor((greatest(pos, {REGION[0]}) - {REGION[0]})::DOUBLE * {WIDTH}::DOUBLE / {REGION[1] - REGION[0]}::DOUBLE), {WIDTH - 1})::BIGINT"
+_COL = f"least(floor(greatest(pos, 0)::DOUBLE * {WIDTH}::DOUBLE / {O.L}::DOUBLE), {WIDTH - 1})::BIGINT"
 _IN = f"pos + 31 > {REGION[0]} AND pos < {REGION[1]}"
 
 
-@query(f"WITH {O.variants(N)} SELECT query_id, {_COL} AS col, mismatches, count(*) AS sites FROM s WHERE {_IN} GROUP BY ALL")
+def _whole(spark, sf) -> tuple[int, int]:
+    return 0, X.length(spark, sf)
+
+
+@query(f"WITH {O.variants(N)} SELECT query_id, {_COL} AS col, mismatches, count(*) AS sites FROM s GROUP BY ALL")
 def site_histogram(spark, sf):
-    return V.histogram(X.result_sites(spark, sf, N), N, *REGION, WIDTH)
+    return V.histogram(X.result_sites(spark, sf, N), N, *_whole(spark, sf), WIDTH)
 
 
-@query(f"WITH {O.variants(N)}, h AS (SELECT query_id, {_COL} AS col, mismatches, count(*) AS sites FROM s WHERE {_IN} GROUP BY ALL), t AS (SELECT *, sum(sites) OVER (PARTITION BY query_id, col) AS total FROM h) SELECT query_id, col, mismatches, sites, total::BIGINT AS total, round(sites / total, 9) AS share, round(total / max(total) OVER (PARTITION BY query_id), 9) AS height FROM t")
+@query(f"WITH {O.variants(N)}, h AS (SELECT query_id, {_COL} AS col, mismatches, count(*) AS sites FROM s GROUP BY ALL), t AS (SELECT *, sum(sites) OVER (PARTITION BY query_id, col) AS total FROM h) SELECT query_id, col, mismatches, sites, total::BIGINT AS total, round(sites / total, 9) AS share, round(total / max(total) OVER (PARTITION BY query_id), 9) AS height FROM t")
 def histogram_stacked(spark, sf):
-    own = V.stacked(V.histogram(X.result_sites(spark, sf, N), N, *REGION, WIDTH))
+    own = V.stacked(V.histogram(X.result_sites(spark, sf, N), N, *_whole(spark, sf), WIDTH))
     return own.withColumns({"share": F.round("share", 9), "height": F.round("height", 9)})
 
 
-_ROWS = 300
 _RASTER = f"""WITH {O.variants(N)} {O.ordered(N, N)},
-d AS (SELECT s.query_id, s.pos, s.strand, s.mismatches, o.row_ AS r FROM s JOIN o USING (query_id, vi) WHERE {_IN} AND o.row_ < {_ROWS}),
-e AS (SELECT *, {_COL} AS x0, ceil((least(pos + 31, {REGION[1]}) - {REGION[0]})::DOUBLE * {WIDTH}::DOUBLE / {REGION[1] - REGION[0]}::DOUBLE)::BIGINT AS x1,
-        least(floor(r::DOUBLE * {HEIGHT}::DOUBLE / {_ROWS}::DOUBLE), {HEIGHT - 1})::BIGINT AS y0, ceil((r + 1)::DOUBLE * {HEIGHT}::DOUBLE / {_ROWS}::DOUBLE)::BIGINT AS y1 FROM d),
+rn AS (SELECT max(row_) + 1 AS n FROM o),
+d AS (SELECT s.query_id, s.pos, s.strand, s.mismatches, o.row_ AS r, rn.n AS n_rows FROM s JOIN o USING (query_id, vi), rn),
+e AS (SELECT *, {_COL} AS x0, ceil(least(pos + 31, {O.L})::DOUBLE * {WIDTH}::DOUBLE / {O.L}::DOUBLE)::BIGINT AS x1,
+        least(floor(r::DOUBLE * {HEIGHT}::DOUBLE / n_rows::DOUBLE), {HEIGHT - 1})::BIGINT AS y0, ceil((r + 1)::DOUBLE * {HEIGHT}::DOUBLE / n_rows::DOUBLE)::BIGINT AS y1 FROM d),
 x AS (SELECT query_id, mismatches, strand, y0, y1, unnest(range(x0, greatest(least(x1, {WIDTH}), x0 + 1))) AS x FROM e),
 c AS (SELECT query_id, mismatches, strand, x, unnest(range(y0, greatest(least(y1, {HEIGHT}), y0 + 1))) AS y FROM x)"""
 
 
 def _order(spark, sf):
-    return tree.ordered(X.variants(spark, sf, N), N)
+    return X.order(spark, sf, N)
+
+
+def _cells(spark, sf) -> DataFrame:
+    """The picture of the whole genome and of all rows (those of the longest result)."""
+    order = _order(spark, sf)
+    rows = order.agg(F.max("row")).first()[0]
+    return V.raster(X.result_sites(spark, sf, N), order, *_whole(spark, sf), WIDTH, 0, (rows or 0) + 1, HEIGHT)
 
 
 @query(f"{_RASTER} SELECT query_id, x, y, least(count(*), 65535) AS sites, min(mismatches) AS min_mismatches, bit_or(CASE WHEN strand = '-' THEN 2 ELSE 1 END) AS strands FROM c GROUP BY query_id, x, y")
 def raster_cells(spark, sf):
-    return V.raster(X.result_sites(spark, sf, N), _order(spark, sf), *REGION, WIDTH, 0, _ROWS, HEIGHT)
+    return _cells(spark, sf)
 
 
 @query(f"{_RASTER}, z AS (SELECT query_id, x, y, least(count(*), 65535) AS sites FROM c GROUP BY query_id, x, y) SELECT query_id, x, y, sites, round(ln(1 + sites::DOUBLE) / ln(1 + (max(sites) OVER (PARTITION BY query_id))::DOUBLE) * 255)::INTEGER AS level FROM z")
 def raster_intensity(spark, sf):
-    cells = V.raster(X.result_sites(spark, sf, N), _order(spark, sf), *REGION, WIDTH, 0, _ROWS, HEIGHT)
-    return V.intensity(cells).select("query_id", "x", "y", "sites", "level")
+    return V.intensity(_cells(spark, sf)).select("query_id", "x", "y", "sites", "level")
 
 
 @query(f"{_RASTER} SELECT query_id, count(*) AS sites_drawn FROM d GROUP BY query_id")
 def sites_drawn(spark, sf):
-    return V.sites_drawn(X.result_sites(spark, sf, N), _order(spark, sf), *REGION, 0, _ROWS)
+    order = _order(spark, sf)
+    return V.sites_drawn(X.result_sites(spark, sf, N), order, *_whole(spark, sf), 0, (order.agg(F.max("row")).first()[0] or 0) + 1)
 
 
 @query(f"WITH {O.variants(N)} {O.ordered(N, N)} SELECT o.query_id, o.row_ AS \"row\", o.variant, o.mismatches, v.copies AS sites, array_to_string(list_transform(list_filter(range(31), lambda i: substr(v.q, i + 1, 1) <> substr(v.variant, i + 1, 1)), lambda i: i + 1), ',') AS positions FROM o JOIN v USING (query_id, vi) WHERE o.row_ >= 10 AND o.row_ < 110")
@@ -284,12 +301,28 @@ def tree_length(spark, sf):
     return tree.lengths(_order(spark, sf))
 
 
-@query()
+#: Prim's steps as rows of lists, one for each query: edges, parents, and which windows are not in the tree yet; then the way to each node.
+_MST = f"""WITH RECURSIVE {O.variants(N)},
+vv AS MATERIALIZED (SELECT query_id, vi, variant, mismatches FROM v),
+dm AS MATERIALIZED (SELECT a.query_id, a.vi AS i, list(hamming(a.variant, b.variant)::INTEGER ORDER BY b.vi) AS d FROM vv a JOIN vv b USING (query_id) GROUP BY a.query_id, a.vi),
+pm AS (SELECT query_id, count(*) AS n, 0 AS step, list(mismatches::INTEGER ORDER BY vi) AS edge, list(-1::BIGINT ORDER BY vi) AS parent, list(true ORDER BY vi) AS open FROM vv GROUP BY query_id
+  UNION ALL SELECT p.query_id, n, step + 1, list_transform(range(1, n + 1), lambda k: CASE WHEN open[k] AND k <> i AND d[k] < edge[k] THEN d[k] ELSE edge[k] END),
+    list_transform(range(1, n + 1), lambda k: CASE WHEN open[k] AND k <> i AND d[k] < edge[k] THEN i - 1 ELSE parent[k] END), list_transform(range(1, n + 1), lambda k: open[k] AND k <> i)
+  FROM (SELECT *, list_position(list_transform(range(1, n + 1), lambda k: CASE WHEN open[k] THEN edge[k] ELSE 99 END), list_min(list_transform(range(1, n + 1), lambda k: CASE WHEN open[k] THEN edge[k] ELSE 99 END))) AS i FROM pm WHERE step < n) p
+  JOIN (SELECT query_id AS dq, i AS di, d FROM dm) x ON dq = p.query_id AND di = p.i - 1),
+tn AS MATERIALIZED (SELECT query_id, unnest(range(n)) AS vi, unnest(parent) AS parent, unnest(edge) AS edge FROM pm WHERE step = n),
+pt AS (SELECT query_id, vi, parent, edge, [edge * 1000000 + vi] AS path FROM tn WHERE parent = -1
+  UNION ALL SELECT t.query_id, t.vi, t.parent, t.edge, list_append(p.path, t.edge * 1000000 + t.vi) FROM tn t JOIN pt p ON p.query_id = t.query_id AND p.vi = t.parent),
+pn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY path) - 1 AS row_ FROM pt),
+mt AS (SELECT a.query_id, a.row_, a.vi, CASE WHEN a.parent >= 0 THEN a.parent END AS parent_vi, a.edge, least(len(a.path), 255) AS depth, count(*) AS size FROM pn a JOIN pn b ON a.query_id = b.query_id AND b.path[1:len(a.path)] = a.path GROUP BY ALL)"""
+
+
+@query(f'{_MST} SELECT query_id, row_ AS "row", vi, parent_vi, edge::BIGINT AS edge, depth::BIGINT AS depth, size FROM mt')
 def mst_order(spark, sf):
     return tree.mst(X.variants(spark, sf, N), N)
 
 
-@query()
+@query(f'{_MST} SELECT query_id, depth::INTEGER AS depth, row_ AS start, row_ + size AS "end" FROM mt WHERE size >= 2 UNION ALL SELECT query_id, 0, 0, count(*) FROM mt GROUP BY query_id')
 def mst_clades(spark, sf):
     return tree.mst_clades(tree.mst(X.variants(spark, sf, N), N))
 
@@ -316,19 +349,18 @@ def feature_kinds(spark, sf):
     return FE.kind_counts(X.features(spark, sf))
 
 
-_S, _E = REGION
-_C0 = f"least(floor((greatest(start, {_S}) - {_S})::DOUBLE / {_E - _S}::DOUBLE * {WIDTH}::DOUBLE)::BIGINT, {WIDTH - 1})"
-_C1 = f"ceil((least(end_, {_E}) - {_S})::DOUBLE / {_E - _S}::DOUBLE * {WIDTH}::DOUBLE)::BIGINT"
+_C0 = f"least(floor(start::DOUBLE / {O.L}::DOUBLE * {WIDTH}::DOUBLE)::BIGINT, {WIDTH - 1})"
+_C1 = f"ceil(end_::DOUBLE / {O.L}::DOUBLE * {WIDTH}::DOUBLE)::BIGINT"
 
 
-@query(f"WITH {O.FEATURES}, d AS (SELECT {_C0} AS c0, {_C1} AS c1 FROM f WHERE start < {_E} AND end_ > {_S} AND kind IN ('en', 'fr')) SELECT col, count(*) AS features FROM (SELECT unnest(range(c0, least(greatest(c1, c0 + 1), {WIDTH}))) AS col FROM d) GROUP BY col")
+@query(f"WITH {O.FEATURES}, d AS (SELECT {_C0} AS c0, {_C1} AS c1 FROM f WHERE kind IN ('en', 'fr')) SELECT col, count(*) AS features FROM (SELECT unnest(range(c0, least(greatest(c1, c0 + 1), {WIDTH}))) AS col FROM d) GROUP BY col")
 def feature_density(spark, sf):
-    return FE.density(X.features(spark, sf), *REGION, WIDTH, ["en", "fr"])
+    return FE.density(X.features(spark, sf), *_whole(spark, sf), WIDTH, ["en", "fr"])
 
 
-@query(f"WITH {O.FEATURES}, r AS (SELECT event_id AS region_id, date_diff('second', TIMESTAMP '2024-01-01', ts) % {O.SIGNAL_SPAN} AS r_start FROM events) SELECT region_id, r_start, r_start + 500 AS r_end, start, end_ AS \"end\", kind, name, strand, set_ AS \"set\" FROM r JOIN f ON start < r_start + 500 AND end_ > r_start")
+@query(f"WITH {O.FEATURES}, r AS (SELECT event_id AS region_id, date_diff('second', TIMESTAMP '2024-01-01', ts) % {O.L} AS r_start FROM events) SELECT region_id, r_start, r_start + 500 AS r_end, start, end_ AS \"end\", kind, name, strand, set_ AS \"set\" FROM r JOIN f ON start < r_start + 500 AND end_ > r_start")
 def feature_join(spark, sf):
-    start = F.pmod(F.expr("timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts)"), F.lit(O.SIGNAL_SPAN))
+    start = X.seconds(spark, sf)
     regions = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("region_id"), start.alias("start"), (start + 500).alias("end"))
     return FE.join_overlapping(regions, X.features(spark, sf))
 
@@ -354,34 +386,43 @@ def gc_bins(spark, sf):
     return T.gc_bins(T.bin_tiles(X.genome(spark, sf), X.contigs(spark, sf))).withColumn("share", F.round(F.col("gc") / F.col("acgt"), 6))
 
 
-@query(f"WITH {O.SIGNAL} SELECT track, bin, round(total / cov, 4) AS mean, cov::BIGINT AS cov, high FROM b0")
+@query(f"WITH {O.GENOME}, {O.SIGNAL} SELECT track, bin, round(total / cov, 4) AS mean, cov::BIGINT AS cov, high FROM b0")
 def signal_level0(spark, sf):
     return X.base_bins(spark, sf).select("track", "bin", F.round(F.col("total") / F.col("cov"), 4).alias("mean"), "cov", "high")
 
 
-_PYR = ",\n".join(f"b{i} AS (SELECT track, bin // 4 AS bin, sum(total) AS total, sum(cov) AS cov, max(high) AS high FROM b{i - 1} GROUP BY track, bin // 4)" for i in range(1, T.levels(X.SIGNAL_LENGTH)))
-_ALL = " UNION ALL ".join(f"SELECT track, {i} AS level, bin, total / cov AS mean, high, cov FROM b{i}" for i in range(T.levels(X.SIGNAL_LENGTH)))
+#: Levels that SQL makes; those of more than the top number of bins before are kept.
+_MOST = 10
+_PYR = ",\n".join(f"b{i} AS (SELECT track, bin // 4 AS bin, sum(total) AS total, sum(cov) AS cov, max(high) AS high FROM b{i - 1} GROUP BY track, bin // 4)" for i in range(1, _MOST))
+_ALL = " UNION ALL ".join(f"SELECT track, {i} AS level, bin, total / cov AS mean, high, cov FROM b{i}" + (f" WHERE ceil({O.L} / {32 * 4 ** (i - 1)}) > {T.TOP}" if i else "") for i in range(_MOST))
 
 
-@query(f"WITH {O.SIGNAL}, {_PYR} SELECT track, level, bin, round(mean::FLOAT::DOUBLE, 3) AS mean, high, cov::BIGINT AS cov FROM ({_ALL})")
+@query(f"WITH {O.GENOME}, {O.SIGNAL}, {_PYR} SELECT track, level, bin, round(mean::FLOAT::DOUBLE, 3) AS mean, high, cov::BIGINT AS cov FROM ({_ALL})")
 def signal_pyramid(spark, sf):
-    own = T.pyramid(X.base_bins(spark, sf), X.SIGNAL_LENGTH)
+    own = T.pyramid(X.base_bins(spark, sf), X.length(spark, sf))
     return own.withColumns({"mean": F.round(F.col("mean").cast("double"), 3), "high": F.round(F.col("high").cast("double"), 2)})
 
 
-@query(f"WITH {O.SIGNAL}, r AS (SELECT track, (total / cov)::FLOAT AS mean, row_number() OVER (PARTITION BY track ORDER BY (total / cov)::FLOAT) - 1 AS i, count(*) OVER (PARTITION BY track) AS n FROM b0) SELECT track, round(max(mean) FILTER (i = floor((n - 1) * 0.01))::DOUBLE, 3) AS p01, round(max(mean) FILTER (i = floor((n - 1) * 0.99))::DOUBLE, 3) AS p99, round(min(mean)::DOUBLE, 3) AS low, round(max(mean)::DOUBLE, 3) AS high, round(count(*) / {X.SIGNAL_LENGTH // 32}, 9) AS coverage FROM r GROUP BY track")
+@query(f"WITH {O.GENOME}, {O.SIGNAL}, r AS (SELECT track, (total / cov)::FLOAT AS mean, row_number() OVER (PARTITION BY track ORDER BY (total / cov)::FLOAT) - 1 AS i, count(*) OVER (PARTITION BY track) AS n FROM b0) SELECT track, round(max(mean) FILTER (i = floor((n - 1) * 0.01))::DOUBLE, 3) AS p01, round(max(mean) FILTER (i = floor((n - 1) * 0.99))::DOUBLE, 3) AS p99, round(min(mean)::DOUBLE, 3) AS low, round(max(mean)::DOUBLE, 3) AS high, round(count(*) / ceil({O.L} / 32), 9) AS coverage FROM r GROUP BY track")
 def signal_stats(spark, sf):
-    own = T.statistics(X.base_bins(spark, sf), X.SIGNAL_LENGTH)
+    own = T.statistics(X.base_bins(spark, sf), X.length(spark, sf))
     return own.select("track", *[F.round(F.col(c).cast("double"), 3).alias(c) for c in ("p01", "p99", "low", "high")], F.round("coverage", 9).alias("coverage"))
 
 
-@query(f"WITH {O.SIGNAL}, {_PYR}, c AS (SELECT i AS col, floor(floor(1000.0 + i * 2480.0) / 2048)::BIGINT AS b0_, greatest(ceil(ceil(1000.0 + (i + 1) * 2480.0) / 2048)::BIGINT, floor(floor(1000.0 + i * 2480.0) / 2048)::BIGINT + 1) AS b1_ FROM range(400) AS r(i)) SELECT track, col, round(avg((total / cov)::FLOAT::DOUBLE)::FLOAT::DOUBLE, 3) AS mean, max(high) AS high FROM b3 JOIN c ON bin >= b0_ AND bin < least(b1_, 512) GROUP BY track, col")
+_COLS = 400
+_LV = f"lv AS (SELECT max(i) AS i, max(32 * pow(4, i))::BIGINT AS size FROM range({_MOST}) AS r(i) WHERE i = 0 OR (32 * pow(4, i) <= {O.L} / {_COLS} AND ceil({O.L} / (32 * pow(4, i - 1))) > {T.TOP}))"
+
+
+@query(f"""WITH {O.GENOME}, {O.SIGNAL}, {_PYR}, al AS ({_ALL}), {_LV},
+c AS (SELECT r.i AS col, lv.i AS level, floor(floor(r.i * ({O.L}::DOUBLE / {_COLS})) / size)::BIGINT AS b0_, ceil(ceil((r.i + 1) * ({O.L}::DOUBLE / {_COLS})) / size)::BIGINT AS b1_, ceil({O.L} / size) AS most FROM range({_COLS}) AS r(i), lv)
+SELECT track, col, round(avg(mean::FLOAT::DOUBLE)::FLOAT::DOUBLE, 3) AS mean, max(high) AS high FROM al JOIN c ON al.level = c.level AND bin >= b0_ AND bin < least(greatest(b1_, b0_ + 1), most) GROUP BY track, col""")
 def track_summary(spark, sf):
-    own = T.summary(T.pyramid(X.base_bins(spark, sf), X.SIGNAL_LENGTH), X.SIGNAL_LENGTH, 1000, 993_000, 400)
+    length = X.length(spark, sf)
+    own = T.summary(T.pyramid(X.base_bins(spark, sf), length), length, 0, length, _COLS)
     return own.select("track", "col", F.round(F.col("mean").cast("double"), 3).alias("mean"), F.round(F.col("high").cast("double"), 2).alias("high"))
 
 
-@query(f"WITH {O.SIGNAL}, x AS (SELECT track, bin, (total / cov)::FLOAT AS value FROM b0), y AS (SELECT *, max(value) OVER (PARTITION BY track ORDER BY bin RANGE BETWEEN 16 PRECEDING AND 16 FOLLOWING) AS most FROM x) SELECT track, bin, round(value::DOUBLE, 3) AS value FROM y WHERE most <= value")
+@query(f"WITH {O.GENOME}, {O.SIGNAL}, x AS (SELECT track, bin, (total / cov)::FLOAT AS value FROM b0), y AS (SELECT *, max(value) OVER (PARTITION BY track ORDER BY bin RANGE BETWEEN 16 PRECEDING AND 16 FOLLOWING) AS most FROM x) SELECT track, bin, round(value::DOUBLE, 3) AS value FROM y WHERE most <= value")
 def local_maxima(spark, sf):
     return T.local_maxima(X.base_bins(spark, sf)).select("track", "bin", F.round(F.col("value").cast("double"), 3).alias("value"))
 
@@ -389,41 +430,66 @@ def local_maxima(spark, sf):
 # Profiles.
 
 
+#: Means of values with two decimals are often half way between two roundings, where engines may differ in the last bit; this moves them off.
+_OFF = 1.234e-8
+
+
 def _all_sites(spark, sf) -> DataFrame:
     """Sites of the stated queries within 4 mismatches, in the whole genome."""
     own = S.hits(X.variants(spark, sf, 4), X.sites(spark, sf)).join(X.contigs(spark, sf).select("contig_id", "offset", "len"), "contig_id")
     return own.select("query_id", "contig_id", "offset", "len", "pos", (F.col("strand") == "-").alias("reverse")).distinct()
 
 
-def _profile_sites(spark, sf) -> DataFrame:
-    """Those inside the signal."""
-    return _all_sites(spark, sf).where(F.col("pos") < O.SIGNAL_SPAN)
+def _own_places(spark, sf) -> DataFrame:
+    """query_id and own: where the stated windows were taken from."""
+    named = F.coalesce(*[F.when(F.col("contig_id") == c, F.struct(F.lit(q).alias("query_id"), (F.col("offset") + s).alias("own"))) for q, c, s in X.WINDOWS])
+    return X.contigs(spark, sf).where(F.col("contig_id").isin([c for _, c, _ in X.WINDOWS])).select(named.alias("z")).select("z.*")
+
+
+_OWN = " ".join(f"WHEN '{q}' THEN (SELECT off + {s} FROM g WHERE contig_id = {c})" for q, c, s in X.WINDOWS)
+
+
+def _thin(out: str, source: str) -> str:
+    """In SQL, of each query's sites those more than two half widths after the last kept one, walked one by one."""
+    return f"""{out}_(query_id, pos) AS (SELECT query_id, min(pos) FROM {source} GROUP BY query_id
+  UNION ALL SELECT t.query_id, min(p.pos) FROM {out}_ t JOIN {source} p ON p.query_id = t.query_id AND p.pos > t.pos + {2 * P.HALF} GROUP BY t.query_id),
+{out} AS (SELECT * EXCLUDE (k) FROM (SELECT p.*, row_number() OVER (PARTITION BY p.query_id, p.pos ORDER BY p.reverse) AS k FROM {source} p JOIN {out}_ USING (query_id, pos)) WHERE k = 1)"""
 
 
-_SH = 20
-_PROFILE = f"""WITH {O.variants(4)}, {O.SIGNAL},
-ps AS (SELECT DISTINCT s.query_id, g.off, g.len, s.pos, s.strand = '-' AS reverse FROM s JOIN g USING (contig_id) WHERE s.pos < {O.SIGNAL_SPAN}),
-sh AS (SELECT i::INTEGER AS shift, CASE WHEN i = 0 THEN 0 ELSE 10000 + 7919 * i * i % 10000000 END AS delta FROM range({_SH + 1}) AS r(i)),
-pc AS (SELECT *, off + (pos + 15 - off + delta) % len AS c FROM ps, sh),
+_PS0 = "ps0 AS MATERIALIZED (SELECT DISTINCT s.query_id, s.contig_id, g.off, g.len, s.pos, s.strand = '-' AS reverse FROM s JOIN g USING (contig_id))"
+
+
+def _stats(source: str, shifts: int) -> str:
+    """In SQL, the profile statistics of sites, sample by sample."""
+    return f"""sh AS (SELECT i::INTEGER AS shift, CASE WHEN i = 0 THEN 0 ELSE 10000 + 7919 * i * i % 10000000 END AS delta FROM range({shifts + 1}) AS r(i)),
+pc AS (SELECT *, off + (pos + 15 - off + delta) % len AS c FROM {source}, sh),
 px AS (SELECT *, CASE WHEN reverse THEN c - o ELSE c + o END AS x FROM pc, (SELECT -2048 + 32 * i AS o FROM range(129) AS r(i))),
 pv AS (SELECT px.query_id, b0.track, px.shift, px.pos, px.reverse, px.o, (b0.total / b0.cov)::FLOAT::DOUBLE AS v FROM px JOIN b0 ON b0.bin = px.x // 32 WHERE x >= off AND x < off + len),
 pe AS (SELECT query_id, track, shift, pos, reverse, avg(v) FILTER (abs(o) <= 96) AS m, avg(v) FILTER (abs(o) >= 1024) AS f, avg(v) AS a FROM pv GROUP BY ALL),
 pr AS (SELECT query_id, track, shift, avg(m - f) AS shape, avg(a) AS level FROM pe GROUP BY ALL)"""
 
 
-@query(f"{_PROFILE} SELECT query_id, track, shift, round(shape, 6) AS shape, round(level, 6) AS level FROM pr WHERE shift = 0")
+def _test(out: str, what: str) -> str:
+    return f"""{out}n AS (SELECT query_id, track, count({what}) AS n, avg({what}) AS m, stddev_samp({what}) AS sd FROM pr WHERE shift > 0 GROUP BY ALL),
+{out}o AS (SELECT query_id, track, {what} AS obs FROM pr WHERE shift = 0),
+{out}e AS (SELECT pr.query_id, pr.track, count(*) AS e FROM pr JOIN {out}n USING (query_id, track) JOIN {out}o USING (query_id, track) WHERE shift > 0 AND abs(round({what} - m, 9)) >= abs(round(obs - m, 9)) GROUP BY ALL),
+{out} AS (SELECT query_id, track, obs, CASE WHEN obs IS NOT NULL AND n >= 10 THEN CASE WHEN sd > 0 THEN (obs - m) / sd ELSE 0 END END AS z, CASE WHEN obs IS NOT NULL AND n >= 10 THEN (coalesce(e, 0) + 1) / (n + 1) END AS p
+  FROM {out}o LEFT JOIN {out}n USING (query_id, track) LEFT JOIN {out}e USING (query_id, track))"""
+
+
+@query(f"WITH {O.variants(4)}, {O.SIGNAL}, {_PS0}, {_stats('ps0', 0)} SELECT query_id, track, shift, round(shape + {_OFF}, 6) AS shape, round(level + {_OFF}, 6) AS level FROM pr")
 def profile_shape(spark, sf):
-    own = P.profile_stats(_profile_sites(spark, sf), X.base_bins(spark, sf))
-    return own.select("query_id", "track", "shift", F.round("shape", 6).alias("shape"), F.round("level", 6).alias("level"))
+    own = P.profile_stats(_all_sites(spark, sf), X.base_bins(spark, sf), X.length(spark, sf))
+    return own.select("query_id", "track", "shift", F.round(F.col("shape") + _OFF, 6).alias("shape"), F.round(F.col("level") + _OFF, 6).alias("level"))
 
 
-@query(f"{_PROFILE}, n AS (SELECT query_id, track, count(shape) AS n, avg(shape) AS m, stddev_samp(shape) AS sd FROM pr WHERE shift > 0 GROUP BY ALL), ob AS (SELECT query_id, track, shape AS obs FROM pr WHERE shift = 0), ex AS (SELECT pr.query_id, pr.track, count(*) AS e FROM pr JOIN n USING (query_id, track) JOIN ob USING (query_id, track) WHERE shift > 0 AND abs(shape - m) >= abs(obs - m) GROUP BY ALL) SELECT query_id, track, round(obs, 6) AS obs, CASE WHEN obs IS NOT NULL AND n >= 10 THEN round(CASE WHEN sd > 0 THEN (obs - m) / sd ELSE 0 END, 5) END AS z, CASE WHEN obs IS NOT NULL AND n >= 10 THEN round((coalesce(e, 0) + 1) / (n + 1), 9) END AS p FROM ob LEFT JOIN n USING (query_id, track) LEFT JOIN ex USING (query_id, track)")
+@query(f"WITH RECURSIVE {O.variants(4)}, {O.SIGNAL}, {_PS0}, {_thin('th', 'ps0')}, {_stats('th', P.SHIFTS)}, {_test('ts', 'shape')} SELECT query_id, track, round(obs + {_OFF}, 6) AS obs, round(z + {_OFF}, 5) AS z, round(p, 9) AS p FROM ts")
 def circular_shift_null(spark, sf):
-    own = P.tested(P.profile_stats(_profile_sites(spark, sf), X.base_bins(spark, sf), P.stated_shifts(_SH)))
-    return own.select("query_id", "track", F.round("obs", 6).alias("obs"), F.round("z", 5).alias("z"), F.round("p", 9).alias("p"))
+    own = P.tested(P.profile_stats(P.thinned(_all_sites(spark, sf)), X.base_bins(spark, sf), X.length(spark, sf), P.stated_shifts()))
+    return own.select("query_id", "track", F.round(F.col("obs") + _OFF, 6).alias("obs"), F.round(F.col("z") + _OFF, 5).alias("z"), F.round("p", 9).alias("p"))
 
 
-@query()
+@query(f"WITH RECURSIVE {O.variants(4)}, {_PS0}, {_thin('th', 'ps0')} SELECT query_id, contig_id, off AS \"offset\", len, pos, reverse FROM th")
 def thinned_sites(spark, sf):
     return P.thinned(_all_sites(spark, sf))
 
@@ -440,18 +506,18 @@ def exact_motif_hits(spark, sf):
 # What the other operators leave.
 
 
-@query(f"WITH {O.SIGNAL}, r AS (SELECT track, (total / cov)::FLOAT AS mean, row_number() OVER (PARTITION BY track ORDER BY (total / cov)::FLOAT) - 1 AS i, count(*) OVER (PARTITION BY track) AS n FROM b0), p AS (SELECT track, max(mean) FILTER (i = floor((n - 1) * 0.01))::DOUBLE AS p01, max(mean) FILTER (i = floor((n - 1) * 0.99))::DOUBLE AS p99, max(mean)::DOUBLE AS high FROM r GROUP BY track) SELECT track, least(0.0, p01)::DOUBLE AS lo, round(CASE WHEN p99 > least(0.0, p01) THEN p99 ELSE high END, 3) AS hi FROM p")
+@query(f"WITH {O.GENOME}, {O.SIGNAL}, r AS (SELECT track, (total / cov)::FLOAT AS mean, row_number() OVER (PARTITION BY track ORDER BY (total / cov)::FLOAT) - 1 AS i, count(*) OVER (PARTITION BY track) AS n FROM b0), p AS (SELECT track, max(mean) FILTER (i = floor((n - 1) * 0.01))::DOUBLE AS p01, max(mean) FILTER (i = floor((n - 1) * 0.99))::DOUBLE AS p99, max(mean)::DOUBLE AS high FROM r GROUP BY track) SELECT track, least(0.0, p01)::DOUBLE AS lo, round(CASE WHEN p99 > least(0.0, p01) THEN p99 ELSE high END, 3) AS hi FROM p")
 def signal_scale(spark, sf):
-    return T.scaled(T.statistics(X.base_bins(spark, sf), X.SIGNAL_LENGTH)).withColumn("hi", F.round("hi", 3))
+    return T.scaled(T.statistics(X.base_bins(spark, sf), X.length(spark, sf))).withColumn("hi", F.round("hi", 3))
 
 
-@query(f"WITH {O.SIGNAL} SELECT track, round((total / cov)::FLOAT::DOUBLE, 3) AS value FROM b0 WHERE bin = (SELECT min(bin) FROM b0 WHERE bin >= 3000)")
+@query(f"WITH {O.GENOME}, {O.SIGNAL} SELECT track, round((total / cov)::FLOAT::DOUBLE, 3) AS value FROM b0 WHERE bin = (SELECT min(bin) FROM b0 WHERE bin >= 3000)")
 def signal_value_at(spark, sf):
     first = X.base_bins(spark, sf).where("bin >= 3000").agg(F.min("bin")).first()[0]
     return T.value_at(X.base_bins(spark, sf), first * T.BIN).withColumn("value", F.round(F.col("value").cast("double"), 3))
 
 
-@query(f"WITH {O.SIGNAL}, x AS (SELECT track, bin, (total / cov)::FLOAT AS value FROM b0), y AS (SELECT *, max(value) OVER (PARTITION BY track ORDER BY bin RANGE BETWEEN 16 PRECEDING AND 16 FOLLOWING) AS most FROM x) SELECT track, bin, round(value::DOUBLE, 3) AS value FROM y WHERE most <= value ORDER BY y.value DESC, track, bin LIMIT 100")
+@query(f"WITH {O.GENOME}, {O.SIGNAL}, x AS (SELECT track, bin, (total / cov)::FLOAT AS value FROM b0), y AS (SELECT *, max(value) OVER (PARTITION BY track ORDER BY bin RANGE BETWEEN 16 PRECEDING AND 16 FOLLOWING) AS most FROM x) SELECT track, bin, round(value::DOUBLE, 3) AS value FROM y WHERE most <= value ORDER BY y.value DESC, track, bin LIMIT 100")
 def top_peaks(spark, sf):
     return T.local_maxima(X.base_bins(spark, sf), top=100).select("track", "bin", F.round(F.col("value").cast("double"), 3).alias("value"))
 
@@ -461,33 +527,21 @@ def sites_export_bed(spark, sf):
     return V.export_rows(S.hits(X.variants(spark, sf, 4), X.sites(spark, sf)), X.contigs(spark, sf), bed=True)
 
 
-_OWN = " ".join(f"WHEN '{q}' THEN (SELECT off + {s} FROM g WHERE contig_id = {c})" for q, c, s in X.WINDOWS)
-
-
 @query(f"WITH {O.variants(4)}, t AS (SELECT query_id, pos, vi, CASE query_id {_OWN} END AS own FROM s) SELECT query_id, pos, vi, own FROM t WHERE own IS NULL OR abs(pos - own) > 2079")
 def own_site_exclusion(spark, sf):
-    where = X.contigs(spark, sf)
-    named = F.coalesce(*[F.when(F.col("contig_id") == c, F.struct(F.lit(q).alias("query_id"), (F.col("offset") + s).alias("own"))) for q, c, s in X.WINDOWS])
-    own = where.where(F.col("contig_id").isin([c for _, c, _ in X.WINDOWS])).select(named.alias("z")).select("z.*")
-    return P.not_own(X.result_sites(spark, sf, 4).join(F.broadcast(own), "query_id", "left")).select("query_id", "pos", "vi", "own")
+    return P.not_own(X.result_sites(spark, sf, 4).join(_own_places(spark, sf), "query_id", "left")).select("query_id", "pos", "vi", "own")
 
 
 @query(f"{_RASTER}, z AS (SELECT query_id, x, y, least(count(*), 65535) AS n, min(mismatches) AS m, bit_or(CASE WHEN strand = '-' THEN 2 ELSE 1 END) AS s FROM c GROUP BY query_id, x, y) SELECT query_id, x, y, lower(printf('%02x%02x%02x%02x', n % 256, n // 256, m, s)) AS cell FROM z")
 def raster_bytes(spark, sf):
-    cells = V.raster(X.result_sites(spark, sf, N), _order(spark, sf), *REGION, WIDTH, 0, _ROWS, HEIGHT)
-    return V.packed(cells).withColumn("cell", F.lower(F.hex("cell")))
-
-
-_PICKED = "substr(md5(contig_id || '-' || start), 1, 8) < '00005'"
+    return V.packed(_cells(spark, sf)).withColumn("cell", F.lower(F.hex("cell")))
 
 
-@query(f"WITH {O.SITES}, p AS (SELECT contig_id || ':' || start AS query_id, fwd AS q FROM w WHERE {_PICKED} ORDER BY md5(contig_id || '-' || start), contig_id, start LIMIT 24), p2 AS (SELECT query_id, q, q AS o, false AS flipped FROM p UNION ALL SELECT query_id, q, reverse(translate(q, 'ACGT', 'TGCA')), true FROM p) SELECT query_id, CASE WHEN flipped THEN reverse(translate(kmer, 'ACGT', 'TGCA')) ELSE kmer END AS variant, hamming(kmer, o)::INTEGER AS mismatches FROM k, p2 WHERE hamming(kmer, o) <= 3")
+@query(f"WITH {O.SITES}, p AS (SELECT contig_id::VARCHAR AS query_id, arg_min(fwd, start) AS q FROM w WHERE contig_id % 50 = 0 GROUP BY contig_id), p2 AS (SELECT query_id, q, q AS o, false AS flipped FROM p UNION ALL SELECT query_id, q, reverse(translate(q, 'ACGT', 'TGCA')), true FROM p) SELECT query_id, CASE WHEN flipped THEN reverse(translate(kmer, 'ACGT', 'TGCA')) ELSE kmer END AS variant, hamming(kmer, o)::INTEGER AS mismatches FROM k, p2 WHERE hamming(kmer, o) <= 3")
 def search_batch_n3(spark, sf):
-    """A hash-drawn sample of windows, searched as one batch."""
-    draw = F.md5(F.concat(F.col("contig_id").cast("string"), F.lit("-"), F.col("start").cast("string")))
-    own = X.sites(spark, sf).withColumn("h", draw).where(F.substring("h", 1, 8) < "00005").orderBy("h", "contig_id", "start").limit(24)
-    batch = own.select(F.concat("contig_id", F.lit(":"), "start").alias("query_id"), F.col("fwd").alias("q"))
-    return S.blocks(X.kmers(spark, sf), batch, 3).select("query_id", text("variant"), "mismatches")
+    """The first window of every contig whose id is divisible by 50, against all windows, as one batch."""
+    batch = X.sites(spark, sf).where("contig_id % 50 = 0").groupBy("contig_id").agg(F.min_by("fwd", "start").alias("q"))
+    return S.blocks(X.kmers(spark, sf), batch.select(F.col("contig_id").cast("string").alias("query_id"), "q"), 3).select("query_id", text("variant"), "mismatches")
 
 
 @query(f"WITH {O.variants(N)} {O.ordered(N, N)} SELECT o.query_id, o.vi, array_to_string(list_sort(list_transform(list_filter(range(31), lambda i: substr(v.q, i + 1, 1) <> substr(v.variant, i + 1, 1)), lambda i: 4 * (30 - i) + 3 - (strpos('ACGT', substr(v.variant, i + 1, 1)) - 1))), ',') AS mirrored FROM o JOIN v USING (query_id, vi)")
@@ -497,13 +551,19 @@ def mirrored_characters(spark, sf):
     return own.select("query_id", "vi", F.array_join(turned.cast("array<string>"), ",").alias("mirrored"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {O.variants(4)}, {O.SIGNAL}, {_PS0}, no AS MATERIALIZED (SELECT * EXCLUDE (own) FROM (SELECT *, CASE query_id {_OWN} END AS own FROM ps0) WHERE own IS NULL OR abs(pos - own) > {P.HALF + 31}), {_thin('th', 'no')},
+su AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY md5(pos || '-0'), pos, reverse) AS k FROM th) WHERE k <= {P.MOST_SITES}), {_stats('su', P.SHIFTS)}, {_test('ts', 'shape')}, {_test('tl_', 'level')},
+ef AS (SELECT query_id, count(*) AS effective FROM su GROUP BY query_id),
+rw AS (SELECT CASE WHEN query_id = 'top' THEN 'te' ELSE 'unique' END AS class, ts.track, effective, ts.z, ts.p, tl_.p AS level_p FROM ts JOIN tl_ USING (query_id, track) JOIN ef USING (query_id) WHERE ts.p IS NOT NULL)
+SELECT class, track, 4 AS n, count(*) AS testable, (list_sort(list(effective))[count(*) // 2 + 1])::INTEGER AS median_sites, count(*) FILTER (p <= {P.ALPHA}) AS significant, round(count(*) FILTER (p <= {P.ALPHA}) / count(*), 9) AS share,
+       round(list_sort(list(z))[count(*) // 2 + 1] + {_OFF}, 5) AS median_z, round(count(*) FILTER (level_p <= {P.ALPHA}) / count(*), 9) AS level_share FROM rw GROUP BY class, track""")
 def permutation_study(spark, sf):
-    """Sites of the stated queries: own sites out, thinned, at most 500, against hashed shifts; summarised by class."""
-    own = P.subsampled(P.thinned(_all_sites(spark, sf)))
-    stats = P.profile_stats(own, X.whole_base_bins(spark, sf), P.shifts(n=20))
+    """Sites of the stated queries: own sites out, thinned, at most 500, against a hundred shifts; summarised by class."""
+    away = P.not_own(_all_sites(spark, sf).join(_own_places(spark, sf), "query_id", "left")).drop("own")
+    own = P.subsampled(P.thinned(away))
+    stats = P.profile_stats(own, X.base_bins(spark, sf), X.length(spark, sf), P.stated_shifts()).persist()
     level = P.tested(stats, "level").select("query_id", "track", F.col("p").alias("level_p"))
     count = own.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("effective"))
     rows = P.tested(stats).join(level, ["query_id", "track"]).join(count, "query_id")
     rows = rows.select(F.when(F.col("query_id") == "top", "te").otherwise("unique").alias("class"), "track", F.lit(4).alias("n"), "effective", "z", "p", "level_p")
-    return P.class_summary(rows)
+    return P.class_summary(rows).withColumns({"share": F.round("share", 9), "median_z": F.round(F.col("median_z") + _OFF, 5), "level_share": F.round("level_share", 9)})

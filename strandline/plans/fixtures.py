@@ -7,16 +7,13 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import search, tracks
+from ..operators import search, tracks, tree
 from ..sources import genome as G
 
 #: Stated windows: query, contig, start.
 WINDOWS = [("a", 7, 100), ("b", 12, 200), ("c", 30, 300)]
-#: The signal's places are within this many letters.
-SIGNAL_LENGTH = 1 << 20
-SIGNAL_SPAN = 1_000_000
-
 _KEPT: dict[tuple[str, str, str], DataFrame] = {}
+_LENGTH: dict[tuple[str, str], int] = {}
 
 
 def _kept(spark: SparkSession, sf_dir: str, what: str, make) -> DataFrame:
@@ -34,6 +31,14 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(spark, sf_dir, "contigs", lambda: G.contigs(genome(spark, sf_dir)))
 
 
+def length(spark: SparkSession, sf_dir: str) -> int:
+    """Letters of the whole genome."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _LENGTH:
+        _LENGTH[key] = contigs(spark, sf_dir).agg(F.coalesce(F.sum("len"), F.lit(0)).alias("n")).first()["n"]
+    return _LENGTH[key]
+
+
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(spark, sf_dir, "sites", lambda: G.sites(genome(spark, sf_dir), contigs(spark, sf_dir)))
 
@@ -44,6 +49,10 @@ def kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three stated windows, and the window with most copies."""
+    return _kept(spark, sf_dir, "queries", lambda: _queries(spark, sf_dir))
+
+
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = sites(spark, sf_dir)
     picked = F.coalesce(*[F.when((F.col("contig_id") == c) & (F.col("start") == s), F.lit(q)) for q, c, s in WINDOWS])
     stated = own.where(F.col("contig_id").isin([c for _, c, _ in WINDOWS])).select(picked.alias("query_id"), F.col("fwd").alias("q")).where("query_id is not null")
@@ -54,6 +63,10 @@ def variants(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     return _kept(spark, sf_dir, f"variants{n}", lambda: search.result_set(search.scan(kmers(spark, sf_dir), queries(spark, sf_dir), n)))
 
 
+def order(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    return _kept(spark, sf_dir, f"order{n}", lambda: tree.ordered(variants(spark, sf_dir, n), n))
+
+
 def result_sites(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     return search.result_sites(variants(spark, sf_dir, n), sites(spark, sf_dir))
 
@@ -66,26 +79,17 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select(F.lit("lines").alias("set"), (F.col("offset") + F.col("start")).alias("start"), (F.col("offset") + F.col("end")).alias("end"), F.col("description").alias("kind"), F.col("source").alias("name"), strand.alias("strand"))
 
 
-def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A track per event type: each event is 64 letters of its value."""
-    return _signal(spark, sf_dir, F.lit(SIGNAL_SPAN))
+def seconds(spark: SparkSession, sf_dir: str):
+    """The time of an event as a place of the genome: seconds of 2024, modulo its length."""
+    return F.pmod(F.expr("timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts)"), F.lit(max(1, length(spark, sf_dir))).cast("long"))
 
 
-def _signal(spark: SparkSession, sf_dir: str, span) -> DataFrame:
-    start = F.pmod(F.expr("timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts)"), span)
+def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A track per event type over the whole genome: each event is 64 letters of its value."""
+    start = seconds(spark, sf_dir)
     own = spark.read.parquet(f"{sf_dir}/events.parquet").where("value is not null and ts is not null")
     return own.select(F.col("event_type").alias("track"), start.alias("start"), (start + 64).alias("end"), "value")
 
 
-def whole_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The signal over the whole genome: places are modulo its length."""
-    length = contigs(spark, sf_dir).agg(F.max(F.col("offset") + F.col("len")).alias("n")).first()["n"]
-    return _signal(spark, sf_dir, F.lit(length or 1).cast("long"))
-
-
-def whole_base_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kept(spark, sf_dir, "whole-base", lambda: tracks.base_bins(whole_signal(spark, sf_dir)))
-
-
 def base_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(spark, sf_dir, "base", lambda: tracks.base_bins(signal(spark, sf_dir)))

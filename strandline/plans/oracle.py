@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .fixtures import SIGNAL_SPAN, WINDOWS
+from .fixtures import WINDOWS
 
 _PICK = " OR ".join(f"(contig_id = {c} AND start = {s})" for _, c, s in WINDOWS)
 _NAME = " ".join(f"WHEN contig_id = {c} THEN '{q}'" for q, c, _ in WINDOWS)
@@ -10,14 +10,19 @@ _NAME = " ".join(f"WHEN contig_id = {c} THEN '{q}'" for q, c, _ in WINDOWS)
 GENOME = """
 g0 AS (SELECT doc_id AS contig_id, 'doc' || doc_id AS name, lang, source,
          translate(regexp_replace(lower(coalesce(text, '')), '[^a-z\n]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz\n', 'ACGTACGTACGTACGTACGTACGTACN') AS seq FROM documents),
-g AS (SELECT *, length(seq)::BIGINT AS len, (coalesce(sum(length(seq)) OVER (ORDER BY contig_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS off FROM g0)"""
+g AS (SELECT *, length(seq)::BIGINT AS len, (coalesce(sum(length(seq)) OVER (ORDER BY contig_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS off FROM g0),
+gl AS (SELECT coalesce(sum(len), 0)::BIGINT AS n FROM g)"""
+
+#: The genome's length.
+L = "(SELECT n FROM gl)"
 
 SITES = (
     GENOME
     + """,
-w0 AS (SELECT contig_id, off, start, substr(seq, start + 1, 31) AS fwd FROM (SELECT contig_id, off, seq, unnest(range(len - 30)) AS start FROM g WHERE len >= 31)),
-w AS (SELECT contig_id, start, off + start AS pos, fwd, reverse(translate(fwd, 'ACGT', 'TGCA')) AS rc, least(fwd, reverse(translate(fwd, 'ACGT', 'TGCA'))) AS kmer,
-        fwd <= reverse(translate(fwd, 'ACGT', 'TGCA')) AS fc FROM w0 WHERE fwd NOT LIKE '%N%'),
+tl AS (SELECT contig_id, off, a, substr(seq, a + 1, 542) AS bit FROM (SELECT contig_id, off, seq, unnest(range(0, len - 30, 512)) AS a FROM g WHERE len >= 31)),
+tr AS (SELECT *, length(bit) AS n, reverse(translate(bit, 'ACGT', 'TGCA')) AS rev FROM tl),
+w0 AS (SELECT contig_id, a + i AS start, off + a + i AS pos, substr(bit, i + 1, 31) AS fwd, substr(rev, n - i - 30, 31) AS rc FROM (SELECT *, unnest(range(n - 30)) AS i FROM tr)),
+w AS (SELECT contig_id, start, pos, fwd, rc, least(fwd, rc) AS kmer, fwd <= rc AS fc FROM w0 WHERE NOT contains(fwd, 'N')),
 k AS (SELECT kmer, count(*) AS copies FROM w GROUP BY kmer)"""
 )
 
@@ -62,8 +67,9 @@ f0 AS (SELECT *, off + coalesce(sum(length(piece) + 1) OVER (PARTITION BY contig
 f AS (SELECT 'lines' AS set_, start::BIGINT AS start, (start + length(piece))::BIGINT AS end_, lang AS kind, source AS name, CASE WHEN length(piece) % 2 = 0 THEN '+' ELSE '-' END AS strand FROM f0 WHERE length(piece) > 0)"""
 )
 
-SIGNAL = f"""
-sg AS (SELECT event_type AS track, date_diff('second', TIMESTAMP '2024-01-01', ts) % {SIGNAL_SPAN} AS start, date_diff('second', TIMESTAMP '2024-01-01', ts) % {SIGNAL_SPAN} + 64 AS end_, value
+#: Stands after GENOME.
+SIGNAL = """
+sg AS (SELECT event_type AS track, date_diff('second', TIMESTAMP '2024-01-01', ts) % (SELECT greatest(n, 1) FROM gl) AS start, date_diff('second', TIMESTAMP '2024-01-01', ts) % (SELECT greatest(n, 1) FROM gl) + 64 AS end_, value
        FROM events WHERE value IS NOT NULL AND ts IS NOT NULL),
 sb AS (SELECT *, unnest(range(start // 32, (end_ - 1) // 32 + 1)) AS bin FROM sg),
 b0 AS (SELECT track, bin, sum(value * (least(end_, (bin + 1) * 32) - greatest(start, bin * 32))) AS total, sum(least(end_, (bin + 1) * 32) - greatest(start, bin * 32)) AS cov, max(value) AS high

@@ -21,8 +21,3 @@ def test_same_as_sql(spark, sf, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
-
-
-@pytest.mark.parametrize("name", ["mst_order", "mst_clades", "thinned_sites"])
-def test_queries_without_sql(spark, sf, name):
-    assert entry.queries()[name](spark, sf).count() > 0
