@@ -46,16 +46,17 @@ RANGES = [
     (0x1100, 10), (0x1200, 11), (0x13A0, 0), (0x1C80, 3), (0x1C90, 9), (0x1CC0, 0), (0x1D00, 1), (0x1F00, 2), (0x2000, 0), (0x2C60, 1), (0x2C80, 0),
     (0x2DE0, 3), (0x2E00, 13), (0x3040, 12), (0x3100, 13), (0x3130, 10), (0x3190, 13), (0xA000, 0), (0xA640, 3), (0xA6A0, 0), (0xA720, 1), (0xA800, 7),
     (0xA960, 10), (0xA980, 0), (0xAB30, 1), (0xABC0, 0), (0xAC00, 10), (0xD800, 0), (0xF900, 13), (0xFB00, 1), (0xFB13, 4), (0xFB1D, 5), (0xFB50, 6),
-    (0xFE00, 0), (0xFE70, 6), (0xFF00, 0), (0xFF21, 1), (0xFF66, 12), (0xFFA0, 10), (0xFFE0, 0), (0x20000, 13),
+    (0xFE00, 0), (0xFE70, 6), (0xFF00, 0), (0xFF21, 1), (0xFF66, 12), (0xFFA0, 10), (0xFFE0, 0), (0x20000, 13), (0x40000, 0),
 ]
-TOP = 0x20001
+#: Letters end before the first, marks stand from the second to before the third; no code point from there on is either.
+LETTERS_END, MARKS_FROM, TOP = 0x40000, 0xE0100, 0xE01F0
 
 
 @lru_cache(maxsize=1)
 def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By code point: the small letter or 0, whether it is a letter that begins a word, and its script.  Marks continue words."""
-    lower, letter, script = np.zeros(TOP, np.uint32), np.zeros(TOP, bool), np.zeros(TOP, np.uint8)
-    for c in range(TOP):
+    lower, letter, script = np.zeros(TOP + 1, np.uint32), np.zeros(TOP + 1, bool), np.zeros(TOP + 1, np.uint8)
+    for c in (*range(LETTERS_END), *range(MARKS_FROM, TOP)):
         x = chr(c)
         if x.isalpha():
             y = x.lower()
@@ -77,7 +78,7 @@ class Words:
     def __init__(self, texts: list[str]) -> None:
         small, letter, script = tables()
         joined = "\n".join(texts) + "\n"
-        points = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), np.uint32(TOP - 1))
+        points = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), np.uint32(TOP))
         low = small[points]
         inside = low != 0
         edge = np.flatnonzero(np.diff(np.concatenate(([False], inside)).astype(np.int8)))

@@ -8,11 +8,13 @@ place of a known batch, and a mapped file gives it as a view.
 
 Cases.  A null or empty text is the end id alone.  A null `doc_id` comes first.  Rows with equal `doc_id` are all
 kept, in order of their text.  Columns besides the two named ones are ignored, whatever their names.  An empty table
-gives no files and no rows.  Long texts are encoded whole.
+gives no files and no rows.  Long texts are encoded whole.  A tokenizer whose description does not prove that pieces between spaces can be
+encoded one by one encodes whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -34,17 +36,36 @@ ROWS_A_BATCH = 256
 WORD_THEN_MARKS = re.compile("([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!#$%&()*+,./:;=?@|-]*)").fullmatch
 
 
-class WordEncoder:
-    """Encodes texts by their space-separated pieces, each distinct piece once.
+#: Fixed value: a pre-tokenizer's pattern none of whose matches holds white space, and which parts letters from the marks after them.
+PARTING = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def parts_at_spaces(config: dict) -> bool:
+    """Whether a tokenizer's own description proves that a text's ids are those of its pieces between spaces and line ends, one after the other.
 
-    Right for tokenizers whose pieces never join across a space or a line end, as those that drop white space;
-    `tests/llm` compares it with whole-text encoding."""
+    No step may look across a space.  Composition and case do not: a space joins with nothing and ends a word.  Runs of white space become one
+    space, which the pattern then drops (only what it matches is kept, and no match holds white space).  Added tokens are looked for in the raw text, so they
+    may neither hold nor strip white space, nor ask for word borders, nor be made of letters and the marks that WORD_THEN_MARKS parts.  The model sees one match at a time."""
+    normal, pre, model = config.get("normalizer"), config.get("pre_tokenizer") or {}, config.get("model", {})
+    steps = normal.get("normalizers", [normal]) if normal else []
+    local = all(x["type"] in ("NFC", "NFD", "Lowercase") or x == {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "} for x in steps)
+    split = {"type": "Split", "pattern": {"Regex": PARTING}, "behavior": "Removed", "invert": True}
+    parts = pre.get("pretokenizers", [pre])
+    parted = parts[:1] == [split] and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in parts[1:])
+    plain = all(not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or re.search(r"\s", x["content"]) or WORD_THEN_MARKS(x["content"])) for x in config.get("added_tokens", []))
+    alone = model.get("type") == "BPE" and not model.get("dropout") and model.get("end_of_word_suffix") == "</w>"
+    return local and parted and plain and alone and not config.get("truncation") and not config.get("padding")
+
+
+class WordEncoder:
+    """Encodes whole texts; if the tokenizer parts them at spaces (see `parts_at_spaces`), by their pieces, each distinct piece once."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.parts = parts_at_spaces(json.loads(self.tokenizer.to_str()))
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -87,6 +108,8 @@ class WordEncoder:
         return self._each(rest) | found | {w: (found.get(x) or known[x]) + marks[y] for w, x, y in parts}
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.parts:
+            return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         pieces, known = [x.replace("\n", " ").split(" ") for x in texts], self.known
         new = self._learn(set(chain.from_iterable(pieces)).difference(known))
         known |= new

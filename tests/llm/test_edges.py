@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
 import zlib
 
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 pytest.importorskip("strandline.llm")
@@ -101,6 +104,8 @@ def test_languages(spark):
     assert [s.lang for s in by[1].spans] == ["en", "de"] and by[1].lang_pred == "en" and 0 < by[1].score < 1
     assert "".join(text[s.start : s.end] for s in by[1].spans).replace(" ", "") == text.replace(" ", "")
     assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (2, 3, 4))
+    odd = [(1, "\ue000\uf8ff"), (2, "\U000e0100"), (3, "\U000f0000 \U0010fffd"), (4, "\U0001f642 \u0301"), (5, "\U00020000\U0002a700"), (6, "\U00031350")]
+    assert {x.doc_id: x.lang_pred == "und" for x in lang_spans.label(docs(spark, odd), model).collect()} == {1: True, 2: True, 3: True, 4: True, 5: False, 6: False}
     assert lang_spans.language_rows(docs(spark)).count() == 12 and lang_spans.language_rows(none(spark)).count() == 0
     nolabel = docs(spark).withColumn("lang", F.lit(None).cast("string"))
     assert {x.lang_pred for x in lang_spans.language_rows(nolabel).collect()} == {"und"}
@@ -133,6 +138,10 @@ def test_packing(spark):
     assert all(sorted(s) == list(range(len(s))) for s in batches.values())
     assert all(len(s) == 1 or len(s) * k[0] <= length_buckets.BUDGET for k, s in batches.items())
     assert length_buckets.packed(none(spark), TOKENIZER).count() == 0
+    # Lengths of any size are told apart; rows without doc_id, and those that share one, are all placed.
+    sized = spark.createDataFrame([(None, 200_001)] * 3 + [(7, 200_002)] * 3 + [(8, 1)], "doc_id long, n_tokens long")
+    got = length_buckets.pack(sized, buckets=3).collect()
+    assert sorted((r.bucket_len, r.padding) for r in got) == [(1, 0)] + [(200_001, 0)] * 3 + [(200_002, 0)] * 3 and len({(r.bucket_len, r.batch, r.slot) for r in got}) == 7
     sized = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 97 + 1).alias("n_tokens"))
     got = length_buckets.pack(sized, buckets=4, budget=1000).collect()
     places: dict = {}
@@ -142,12 +151,10 @@ def test_packing(spark):
 
 
 def test_bounds_are_best():
-    import itertools
-
     rng = np.random.default_rng(0)
     for _ in range(60):
         m, k = int(rng.integers(1, 8)), int(rng.integers(1, 5))
-        sizes, counts = np.sort(rng.choice(np.arange(1, 60), m, replace=False)) * 8, rng.integers(1, 50, m)
+        sizes, counts = np.sort(rng.choice(np.arange(1, 60), m, replace=False)), rng.integers(1, 50, m)
         pad = lambda b: sum(c * (min(x for x in b if x >= s) - s) for s, c in zip(sizes, counts, strict=True))  # noqa: B023, E731
         got = length_buckets.bounds(sizes, counts, k)
         assert len(got) <= k and pad(got) == min(pad([*x, sizes[-1]]) for r in range(k) for x in itertools.combinations(sizes[:-1], min(r, m - 1)))
@@ -345,11 +352,30 @@ def test_token_files(spark):
     assert token_files.token_rows(docs(spark), TOKENIZER).count() == 12 and token_files.token_rows(none(spark), TOKENIZER).count() == 0
 
 
-def test_words_as_whole_texts():
-    enc = token_files.WordEncoder(TOKENIZER)
-    texts = ["It's what we've said: don't! ÉCOLE naïve...", "a1b2 3.14 ½ x_y z--w", "İstanbul ΣΑΣ ς ﬁ Å é   tab\tx", "<|endoftext|> <|startoftext|>x", "日本語 テスト 한국어 🙂🙂", "", "  double  spaces \n\n lines "]
-    whole = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(x, enc.width).tolist() for x in enc.encode(texts)] == whole
+LETTERS = st.text(st.sampled_from("aAbBzZéÉßİıΣσςﬁÅ\u0301\u0308\u0387ǅ0९½²_'’!?.,<>|-+=~\u0338 \t\n\r\u00a0\u2003\u200d日本한👍🏽") | st.characters(), max_size=40)
+
+
+@pytest.fixture(scope="module")
+def words():
+    return token_files.WordEncoder(TOKENIZER)
+
+
+@settings(max_examples=400, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(LETTERS | st.lists(st.sampled_from(["it's", "we've", "'s", "x''ll", "<|endoftext|>", "<|endoftext|", "|>", "don't!", "a!'re", "3.14", "İ", "word..", "=\u0338"]), max_size=8).map(" ".join))
+def test_words_as_whole_texts(words, text):
+    assert words.parts
+    text = text.encode("utf-8", "ignore").decode()
+    assert np.frombuffer(words.encode([text])[0], words.width).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_encode_whole_texts():
+    other = token_files.WordEncoder(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
+    texts = ["a  b", " lead", "it's\n\n  spaced", ""]
+    assert not other.parts and [np.frombuffer(x, other.width).tolist() for x in other.encode(texts)] == [e.ids for e in other.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    config = json.loads(token_files.WordEncoder(TOKENIZER).tokenizer.to_str())
+    assert token_files.parts_at_spaces(config)
+    for change in ({"normalizer": {"type": "Prepend", "prepend": "x"}}, {"pre_tokenizer": None}, {"truncation": {"max_length": 3}}, {"added_tokens": [{**config["added_tokens"][0], "lstrip": True}]}, {"added_tokens": [{**config["added_tokens"][0], "content": "a b"}]}, {"added_tokens": [{**config["added_tokens"][0], "content": "word"}]}):
+        assert not token_files.parts_at_spaces(config | change)
 
 
 def test_random_access(spark, tmp_path):
@@ -359,3 +385,19 @@ def test_random_access(spark, tmp_path):
     whole = f.ids(0, files[0]["n_ids"])
     ids, mask = f.sequence(1)
     assert ids.tolist() == whole[16:32].tolist() and all(mask.to_pylist()) and ids.base is not None
+
+
+def test_held_out_languages(spark, sf):
+    """Learned from the other documents alone, nearly all held-out ones are labelled as the table says."""
+    own = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = lang_spans.language_rows(own).where("held_out").join(own.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'").collect()
+    assert len(rows) > 20 and sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows)
+
+
+def test_held_out_quality(spark, sf):
+    """Held-out rows of label 1 mostly score over those of label 0."""
+    path = sf.replace("sf0.001", "sf0.01")
+    own, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    rows = quality_net.quality_rows(own, labels).where("held_out").join(labels, "doc_id").where("quality is not null").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    assert len(good) > 10 and len(bad) > 5 and np.mean([a > b for a in good for b in bad]) >= 0.9
