@@ -2,11 +2,12 @@
 
 Random indexing.  Every word and every word shape (its runs of letter case, digits and marks, and whether the word is the one before again) falls into a bucket, and
 every bucket has a fixed sparse random vector.  A bucket's context vector is the sum of the random vectors of the
-words within two places of it in the sample.  A document is the mean context vector of its words beside that of
+words within two places of it, over all documents (whole numbers, summed by partition and then by bucket).  A document is the mean context vector of its words beside that of
 its shapes.  A hidden layer of tanh units and one output follow, and a temperature fitted on rows that training
 did not see scales the output.
 
-The model learns from at most ROWS labelled rows (and CHARS characters) a label, drawn by hash; it scores every whole text.
+The network learns from at most ROWS labelled rows (and CHARS characters) a label, drawn by hash; it scores every whole text.  With fewer than ten
+rows none are kept aside, and the temperature is 1.
 
 Cases.  A null, empty or blank text has the zero vector, and the score that the network gives it.  Without labelled
 rows, or with one label alone, every score is the smoothed share of label 1.  Repeated rows are all kept; extra columns
@@ -75,37 +76,66 @@ def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def index_vectors(n: int, seed: int) -> np.ndarray:
     """Sparse random vectors: six entries of +1 or -1 in each."""
     rng = np.random.default_rng(seed)
-    out = np.zeros((n, DIM), np.float32)
+    out = np.zeros((n, DIM), np.int8)
     places = np.argsort(rng.random((n, DIM)), axis=1)[:, :6]
-    out[np.arange(n)[:, None], places] = rng.choice(np.float32([-1, 1]), (n, 6))
+    out[np.arange(n)[:, None], places] = rng.choice(np.int8([-1, 1]), (n, 6))
     return out
 
 
-def context_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Of words and of shapes: summed random vectors of the words near by, unit length, zero where never seen."""
-    word_index, shape_index = index_vectors(WORDS, 1), index_vectors(SHAPES, 2)
-    out = np.zeros((WORDS, DIM), np.float32), np.zeros((SHAPES, DIM), np.float32)
-    for some in in_parts(texts, 500_000):
-        words, shapes, where = units(some)
-        owner = np.repeat(np.arange(len(some)), np.diff(where))
-        vectors = word_index[words] + shape_index[shapes]
-        near = np.zeros_like(vectors)
+class ContextSums:
+    """Of words and, after them, of shapes: the summed random vectors of the words near by."""
+
+    def __init__(self) -> None:
+        self.words, self.shapes = index_vectors(WORDS, 1), index_vectors(SHAPES, 2)
+        self.sums = np.zeros((WORDS + SHAPES, DIM), np.int64)
+
+    def add(self, texts: list[str]) -> None:
+        words, shapes, where = units(texts)
+        if not len(words):
+            return
+        owner = np.repeat(np.arange(len(texts)), np.diff(where))
+        vectors = self.words[words] + self.shapes[shapes]
+        near = np.zeros_like(vectors)  # at most 2 * REACH vectors with entries from -2 to 2
         for d in range(1, REACH + 1):
             same = (owner[d:] == owner[:-d])[:, None]
-            near[d:] += np.where(same, vectors[:-d], 0)
-            near[:-d] += np.where(same, vectors[d:], 0)
-        for target, bucket in zip(out, (words, shapes), strict=True):
+            near[d:] += vectors[:-d] * same
+            near[:-d] += vectors[d:] * same
+        for bucket in (words, shapes + WORDS):
             order = np.argsort(bucket, kind="stable")
-            if len(order):
-                b = bucket[order]
-                head = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
-                target[b[head]] += np.add.reduceat(near[order], head, axis=0)
-    for target in out:
-        size = np.linalg.norm(target, axis=1, keepdims=True)
-        np.divide(target, size, out=target, where=size > 0)
+            b = bucket[order]
+            head = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+            self.sums[b[head]] += np.add.reduceat(near[order], head, axis=0, dtype=np.int64)
+
+
+def context_sums(docs: DataFrame) -> np.ndarray:
+    """ContextSums over all documents: a row a bucket from each partition, added up by bucket.  The driver gets WORDS + SHAPES rows at most."""
+    small_batches(docs.sparkSession)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = ContextSums()
+        for batch in batches:
+            for some in in_parts([x or "" for x in batch.column(0).to_pylist()], 500_000):
+                own.add(some)
+        seen = np.flatnonzero(own.sums.any(1))
+        for at in range(0, len(seen), 4096):
+            b = seen[at : at + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), *(pa.array(own.sums[b, i]) for i in range(DIM))], names=["b", *(f"s{i}" for i in range(DIM))])
+
+    rows = in_arrow(docs.select("text"), step, "b int, " + ", ".join(f"s{i} long" for i in range(DIM)))
+    total = rows.groupBy("b").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(DIM)]).toArrow()
+    out = np.zeros((WORDS + SHAPES, DIM), np.int64)
+    if total.num_rows:
+        out[total.column("b").to_numpy()] = np.stack([total.column(f"s{i}").to_numpy() for i in range(DIM)], 1)
     return out
 
 
+def context_vectors(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of words and of shapes, at unit length; zero where never seen."""
+    size = np.linalg.norm(sums.astype(float), axis=1, keepdims=True)
+    unit = np.divide(sums, size, out=np.zeros(sums.shape), where=size > 0).astype(np.float32)
+    return unit[:WORDS], unit[WORDS:]
+
+
 def pooled(texts: list[str], word_vectors: np.ndarray, shape_vectors: np.ndarray) -> np.ndarray:
     out = np.zeros((len(texts), 2 * DIM), np.float32)
     words, shapes, where = units(texts)
@@ -122,12 +152,14 @@ class Network:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, steps: int = 600, rate: float = 0.02, decay: float = 1e-4) -> None:
         self.prior = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
-        self.fitted = len(set(y.tolist())) == 2 and len(y) >= 20
+        self.fitted = len(set(y.tolist())) == 2
         self.temperature = 1.0
         if not self.fitted:
             return
         rng = np.random.default_rng(5)
         held = np.arange(len(y)) % 5 == 4
+        if len(y) < 10 or len(set(y[~held].tolist())) < 2:
+            held[:] = False
         self.mean, self.scale = x[~held].mean(0), x[~held].std(0) + 1e-4
         a, b = (x[~held] - self.mean) / self.scale, y[~held].astype(float)
         self.w = [rng.normal(0, 1 / np.sqrt(a.shape[1]), (a.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
@@ -156,10 +188,10 @@ class Network:
 
 
 class Model:
-    def __init__(self, pairs: list[tuple[int, str]]) -> None:
+    def __init__(self, pairs: list[tuple[int, str]], sums: np.ndarray) -> None:
         texts = [t for _, t in pairs]
         # One class in turn with the other would let the held part differ from the rest; the draw's order is by id.
-        self.vectors = context_vectors(texts)
+        self.vectors = context_vectors(sums)
         parts = [pooled(some, *self.vectors) for some in in_parts(texts, 500_000)]
         self.network = Network(np.concatenate(parts) if parts else np.zeros((0, 2 * DIM)), np.array([int(y) for y, _ in pairs]))
 
@@ -173,7 +205,7 @@ def is_held_out(doc_id: str = "doc_id"):
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & ~is_held_out())
-    model = Model(labelled_texts(docs, usable, "quality", ROWS, CHARS))
+    model = Model(labelled_texts(docs, usable, "quality", ROWS, CHARS), context_sums(docs))
     release()
     return model
 

@@ -16,9 +16,10 @@ def labelled_texts(docs: DataFrame, labels: DataFrame | None, label: str, rows:
     """(label, text) pairs, at most `rows` and about `chars` characters a label, by the hash of doc_id.
 
     docs: doc_id, text and, without `labels`, the label; labels: doc_id and the label.  The number of different labels is
-    small.  All labelled rows stand for the draw; what is drawn is bounded by the two parameters, whatever the input."""
+    small.  All labelled ids stand for the draw, each once however often it comes (with its least label and text); what is drawn is bounded by the two
+    parameters, whatever the input."""
     from_ = docs if labels is None else labels
-    keys = from_.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).where("doc_id is not null and label is not null")
+    keys = from_.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
     counts = {r["label"]: r["n"] for r in keys.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
@@ -29,7 +30,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame | None, label: str, rows:
     if labels is None:
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(label).alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (place(F.col("doc_id")) < limit))
     else:
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn.groupBy("doc_id").agg(F.min("label").alias("label"))), "doc_id")
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min(F.struct("label", "text")).alias("t")).select("doc_id", "t.label", "t.text")
     sizes = texts.select("doc_id", "label", F.coalesce(F.length("text"), F.lit(0)).alias("n"), place(F.col("doc_id")).alias("h")).collect()
     room, taken, ids = {k: chars for k in counts}, {k: rows for k in counts}, []
     for r in sorted(sizes, key=lambda r: (r.h, r.doc_id, r.n)):

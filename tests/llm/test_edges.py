@@ -13,7 +13,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 pytest.importorskip("strandline.llm")
-from strandline.llm import lang_spans, length_buckets, media_chunks, order_minhash, quality_net, suffix_dedup, tag_paths, template_leaks, token_files, url_lists
+from strandline.llm import lang_spans, length_buckets, media_chunks, order_minhash, quality_net, samples, suffix_dedup, tag_paths, template_leaks, token_files, url_lists
 
 TOKENIZER = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 #: Columns whose names the operators use inside.
@@ -319,6 +319,21 @@ def test_quality(spark):
     got = quality_net.quality_rows(own, labels).collect()
     assert all(r.predicted == (1 if r.doc_id % 3 else 0) and 0 <= r.score <= 1 for r in got) and {r.held_out for r in got} == {True, False}
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    few = quality_net.quality_rows(own, labels.where("doc_id < 8")).select("score").distinct().count()
+    assert few > 1  # a handful of rows trains the network too
+    # Context vectors are of all documents: a plain sum over words, neighbour by neighbour.
+    sums, plain = quality_net.context_sums(own.limit(40).repartition(3)), quality_net.ContextSums()
+    want = np.zeros_like(sums)
+    for r in own.limit(40).collect():
+        w, s, _ = quality_net.units([r.text])
+        for i in range(len(w)):
+            for j in range(max(0, i - 2), min(len(w), i + 3)):
+                if j != i:
+                    for b in (w[i], quality_net.WORDS + s[i]):
+                        want[b] += plain.words[w[j]].astype(int) + plain.shapes[s[j]]
+    assert (sums == want).all()
+    repeated = own.union(own.where("doc_id = 1")).union(own.where("doc_id = 1"))
+    assert len(samples.labelled_texts(repeated, labels, "quality", 10, 10**6)) <= 40 and len(samples.labelled_texts(repeated.where("doc_id = 1"), labels, "quality", 1000, 10**6)) == 1
     model = quality_net.fit(own, labels)
     assert quality_net.score(docs(spark).drop("score"), model).where("score is null or score < 0 or score > 1").count() == 0
     assert quality_net.quality_rows(docs(spark), labels.limit(0)).select("score").distinct().count() == 1
