@@ -7,11 +7,14 @@ import ctypes
 import gc
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: Rows of one Arrow batch that goes to Python; texts may be long.
 BATCH_ROWS = 1000
@@ -39,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='strandline-')}"
         spark.sparkContext.setCheckpointDir(found)
@@ -124,3 +127,48 @@ def unused(name: str, columns: list[str]) -> str:
     while name.lower() in {c.lower() for c in columns}:
         name = f"_{name}"
     return name
+
+
+# Handing each scan partition what concerns it.
+
+
+def stable(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """doc_id, text and other columns, whose partitions are the same in every scan: a plain scan as it is (its plan has no step but these), anything else written first.
+
+    How Spark splits files follows the number of cores it has unless spark.sql.files.minPartitionNum is set; so it is, to what they are
+    now, since executors may come and go.  Later scans compare checksums of the texts all the same."""
+    conf = docs.sparkSession.conf
+    if not conf.get("spark.sql.files.minPartitionNum", None):
+        conf.set("spark.sql.files.minPartitionNum", str(docs.sparkSession.sparkContext.defaultParallelism))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in keep])
+    plan = [x.strip(" +-:*()0123456789").split(" ")[0].split("(")[0] for x in rows._jdf.queryExecution().executedPlan().toString().splitlines() if x.strip()]
+    return rows if "FileScan" in plan and set(plan) <= {"FileScan", "Project", "Filter", "ColumnarToRow", "WholeStageCodegen"} else cut(rows, "texts")
+
+
+def same_text(raw: list[bytes], rows: np.ndarray, sums: np.ndarray) -> None:
+    """Stops the job if a scan's partitions hold other texts than in the first scan."""
+    seen: dict[int, int] = {}
+    for r, t in zip(rows.tolist(), sums.tolist(), strict=True):
+        if seen.setdefault(r, t) != t or r >= len(raw):
+            raise ValueError("the scan's partitions have changed")
+    for r, t in seen.items():
+        if zlib.crc32(raw[r]) != t:
+            raise ValueError("the scan's partitions have changed")
+
+
+def hand(df: DataFrame, label: str) -> str:
+    path = new_folder(df.sparkSession, label)
+    df.repartition(partitions(df.sparkSession), "part").write.partitionBy("part").parquet(path)
+    return path
+
+
+def handed(path: str, part: int) -> pa.Table | None:
+    store, root = store_of(f"{path}/part={part}")
+    if store.get_file_info(root).type == fs.FileType.NotFound:
+        return None
+    files = [f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet")]
+    tables = []
+    for f in sorted(files):
+        with store.open_input_file(f) as source:
+            tables.append(pq.ParquetFile(source).read())
+    return pa.concat_tables(tables) if tables else None

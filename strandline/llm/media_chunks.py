@@ -1,17 +1,21 @@
 """Media columns as content-defined chunks: a chunk store, ordered chunk lists, and verified reads.
 
-`store` pads each payload with zero bytes to a positive multiple of 64 and cuts it where a rolling gear hash says.  Each
-scan partition writes the chunks it has not yet seen into one container in the shared folder (compressed blocks and
-an index), and a document keeps the ordered list of its chunks.  Chunk digests are then deduplicated by a
-Spark join: every digest gets one home, the least place that holds it, and `read` rebuilds every payload from
-the homes alone, and checks it against the digest taken when it was stored.
+`store` pads each payload with zero bytes to a positive multiple of 64 and cuts it where a rolling gear hash says.  The stored form of a
+document is its chunk list: `CDC1`, the payload's length, the number of chunks, and for each chunk its 16-byte digest and length.  It is
+written as a binary column.  Equal payloads have equal lists.
 
-The stored form of a document is its chunk list: `CDC1`, the payload's length, the number of chunks, and for each chunk
-its 16-byte digest and length.  Equal payloads have equal lists.
+Chunk digests are deduplicated by Spark: every digest gets one home, the least place (partition, row, offset) that has it, however many documents hold it.
+A second scan of the texts writes each partition's home chunks, and nothing else, into one container in the shared folder (compressed blocks and their
+offsets).  `read` reads the lists back, joins their digests with the places of the chunks, rebuilds every payload in the order of its list, and checks
+it against the digest taken when it was stored.
+
+Plan.  Both scans read the same file partitions (see `stable`), and the second checks every chunk's digest.  The join moves a row for each chunk of a document, not
+its bytes; a very common digest's rows are on the side that Spark can split.  Rows are then dealt by partition and SLICE documents, so that the
+blocks of a container are read together.
 
 Cases.  A null or empty text is 64 zero bytes.  Rows with equal or null `doc_id` are all kept.  Other columns are
 ignored, whatever their names.  An empty table gives no rows.  Long texts are cut in more chunks; memory holds
-one text, one block, and a bounded number of blocks of other containers.
+one text, one batch, and a bounded number of blocks of containers.
 """
 
 from __future__ import annotations
@@ -23,13 +27,12 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, in_arrow, new_folder, opened, put, small_batches
+from .common import cut, hand, handed, in_arrow, new_folder, opened, partitions, put, small_batches, stable
 from .token_files import in_parts
 
 UNIT = 64
@@ -38,11 +41,14 @@ LEAST, MOST, BITS = 256, 4096, 10
 WINDOW = 32
 BLOCK = 1 << 18
 KEPT_BLOCKS = 64
+#: Documents of one scan partition that are read by one task.
+SLICE = 1000
+HEAD, HEAD_SIZE = "<4sQI", 16
 
 GEAR = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=4).digest(), "little") for b in range(256)], np.uint32)
 
-RECIPE = "part int, doc_id long, n_bytes long, sha binary, chunks array<int>"
-CHUNK = "part int, chunk int, digest binary, block int, off int, len int"
+LIST = "part int, row int, doc_id long, n_bytes long, sha binary, form binary, ends array<int>"
+PLACE = "digest binary, h_part int, h_block int, h_off int"
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -83,23 +89,28 @@ def cuts(payloads: list[bytes]) -> list[list[int]]:
     return out
 
 
+def digest_of(chunk: bytes) -> bytes:
+    return hashlib.blake2b(chunk, digest_size=16).digest()
+
+
+def form_of(data: bytes, ends: list[int]) -> bytes:
+    """The stored form of a payload that is cut at these places."""
+    return struct.pack(HEAD, b"CDC1", len(data), len(ends)) + b"".join(digest_of(data[a:b]) + struct.pack("<I", b - a) for a, b in zip([0, *ends], ends, strict=False))
+
+
 class _Container:
     """Chunks of one scan partition: compressed blocks, then the offsets of the blocks."""
 
     def __init__(self, sink: pa.NativeFile) -> None:
         self.sink, self.press = sink, zstandard.ZstdCompressor(level=1)
-        self.known: dict[bytes, int] = {}
-        self.rows: list[tuple[bytes, int, int, int]] = []
         self.ends, self.block = [0], bytearray()
 
-    def chunk(self, data: bytes) -> int:
-        digest = hashlib.blake2b(data, digest_size=16).digest()
-        if (at := self.known.get(digest)) is None:
-            at = self.known[digest] = len(self.rows)
-            self.rows.append((digest, len(self.ends) - 1, len(self.block), len(data)))
-            self.block += data
-            if len(self.block) >= BLOCK:
-                self.flush()
+    def add(self, data: bytes) -> tuple[int, int]:
+        """The block and the offset in it."""
+        at = len(self.ends) - 1, len(self.block)
+        self.block += data
+        if len(self.block) >= BLOCK:
+            self.flush()
         return at
 
     def flush(self) -> None:
@@ -144,57 +155,83 @@ class _Blocks:
         return self.kept[key][off : off + size]
 
 
-def store(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Writes the containers; gives the chunk lists of the documents, and the chunks of each container."""
-    small_batches(docs.sparkSession)
+def lists_of(texts: DataFrame) -> DataFrame:
+    """The chunk list of every document, with its place in the scan and the ends of its chunks."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, row = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            doc_ids, at = batch.column(0), 0
+            for some in in_parts([x or "" for x in batch.column(1).to_pylist()]):
+                padded = [payload_of(x) for x in some]
+                ends = cuts([p for p, _ in padded])
+                n = len(some)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "part": np.full(n, part, np.int32), "row": np.arange(row, row + n, dtype=np.int32), "doc_id": doc_ids.slice(at, n), "n_bytes": pa.array([k for _, k in padded], pa.int64()),
+                        "sha": pa.array([hashlib.sha256(p).digest() for p, _ in padded], pa.binary()), "form": pa.array([form_of(p, e) for (p, _), e in zip(padded, ends, strict=True)], pa.binary()), "ends": pa.array(ends, pa.list_(pa.int32())),
+                    }
+                )
+                row, at = row + n, at + n
+
+    return in_arrow(texts, step, LIST)
+
+
+def uses_of(lists: DataFrame) -> DataFrame:
+    """A row for each chunk of a document, as its list has it."""
+    each = lists.select("part", "row", F.posexplode("ends").alias("seq", "end"), "ends", "form")
+    digest = F.substring(F.col("form"), HEAD_SIZE + 1 + 20 * F.col("seq"), F.lit(16))
+    return each.select("part", "row", "seq", digest.alias("digest"), F.when(F.col("seq") == 0, 0).otherwise(F.get("ends", F.col("seq") - 1)).alias("off"), "end")
+
+
+def write_homes(texts: DataFrame, wanted: str, folder: str) -> DataFrame:
+    """Writes each partition's home chunks (handed over in `wanted`) and gives their places."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        lists: list[tuple] = []
+        part, row = TaskContext.get().partitionId(), 0
+        want = handed(wanted, part)
+        if want is None:
+            for _ in batches:
+                pass
+            return
+        want = want.sort_by([("row", "ascending"), ("off", "ascending")])
+        rows, off, end, digest = (want.column(c) for c in ("row", "off", "end", "digest"))
+        rows, off, end = (x.to_numpy() for x in (rows, off, end))
+        block, spot = np.zeros(len(rows), np.int32), np.zeros(len(rows), np.int32)
 
         def fill(sink: pa.NativeFile) -> None:
-            box = _Container(sink)
+            nonlocal row
+            box, done = _Container(sink), 0
             for batch in batches:
-                doc_ids = iter(batch.column(0).to_pylist())
-                for some in in_parts([x or "" for x in batch.column(1).to_pylist()]):
-                    padded = [payload_of(x) for x in some]
-                    for (data, n), ends in zip(padded, cuts([p for p, _ in padded]), strict=True):
-                        chunks = [box.chunk(data[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-                        lists.append((next(doc_ids), n, hashlib.sha256(data).digest(), chunks))
+                for i, text in enumerate(batch.column(1)):
+                    if done < len(rows) and rows[done] == row + i:
+                        data = payload_of(text.as_py())[0]
+                        while done < len(rows) and rows[done] == row + i:
+                            chunk = data[off[done] : end[done]]
+                            if digest_of(chunk) != digest[done].as_py():
+                                raise ValueError("the scan's partitions have changed")
+                            block[done], spot[done] = box.add(chunk)
+                            done += 1
+                row += batch.num_rows
+            if done < len(rows):
+                raise ValueError("the scan's partitions have changed")
             box.close()
-            lists.append(box.rows)
 
         put(f"{folder}/chunks-{part:05d}.bin", fill)
-        rows = lists.pop()
-        for at in range(0, max(len(lists), len(rows)), 5000):
-            a, b = lists[at : at + 5000], rows[at : at + 5000]
-            none = [None] * len(b)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "part": pa.array([part] * (len(a) + len(b)), pa.int32()),
-                    "doc_id": pa.array([x[0] for x in a] + none, pa.int64()),
-                    "n_bytes": pa.array([x[1] for x in a] + none, pa.int64()),
-                    "sha": pa.array([x[2] for x in a] + none, pa.binary()),
-                    "chunks": pa.array([x[3] for x in a] + none, pa.list_(pa.int32())),
-                    "chunk": pa.array([None] * len(a) + list(range(at, at + len(b))), pa.int32()),
-                    "digest": pa.array([None] * len(a) + [x[0] for x in b], pa.binary()),
-                    "block": pa.array([None] * len(a) + [x[1] for x in b], pa.int32()),
-                    "off": pa.array([None] * len(a) + [x[2] for x in b], pa.int32()),
-                    "len": pa.array([None] * len(a) + [x[3] for x in b], pa.int32()),
-                }
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    both = in_arrow(rows, step, f"{RECIPE}, {CHUNK.removeprefix('part int, ')}")
-    both = cut(both, "chunk-lists")
-    again = both.sparkSession.read.schema(both.schema).parquet(both._strandline_path)  # with columns of its own
-    return both.where("sha is not null").select("part", "doc_id", "n_bytes", "sha", "chunks"), again.where("digest is not null").select("part", "chunk", "digest", "block", "off", "len")
-
-
-def homes(chunks: DataFrame) -> DataFrame:
-    """For each chunk of a container, the one place from which its digest is read.  A digest has at most one row a container here, however common it is."""
-    first = chunks.groupBy("digest").agg(F.min(F.struct("part", "block", "off")).alias("home"))
-    return chunks.join(first, "digest").select("part", "chunk", "digest", "len", F.col("home.part").alias("h_part"), F.col("home.block").alias("h_block"), F.col("home.off").alias("h_off"))
+        out = pa.table({"digest": digest.cast(pa.binary()), "h_part": np.full(len(rows), part, np.int32), "h_block": block, "h_off": spot})
+        yield from out.combine_chunks().to_batches(max_chunksize=10_000)
+
+    return in_arrow(texts, step, PLACE)
+
+
+def store(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Writes the chunk lists and the containers; gives the lists, and the place of each different chunk."""
+    small_batches(docs.sparkSession)
+    texts = stable(docs, [])
+    lists = cut(lists_of(texts), "chunk-lists")
+    homes = uses_of(lists).groupBy("digest").agg(F.min(F.struct("part", "row", "off", "end")).alias("home"))
+    wanted = hand(homes.select("home.part", "home.row", "home.off", "home.end", "digest"), "homes")
+    return lists, cut(write_homes(texts, wanted, folder), "places")
 
 
 def features(samples: np.ndarray) -> str:
@@ -206,28 +243,54 @@ def features(samples: np.ndarray) -> str:
     return f"mean={mean:.3f} dev={dev:.3f} bits={max(0.0, float(-(p * np.log2(p)).sum())):.3f} values={len(p)}"
 
 
-def read(lists: DataFrame, placed: DataFrame, folder: str) -> DataFrame:
-    """Rebuilds every payload from the homes of its chunks, and describes it."""
+def read(lists: DataFrame, places: DataFrame, folder: str) -> DataFrame:
+    """Rebuilds every payload from its stored list and the places of its chunks, and describes it."""
+    uses = uses_of(lists).select("part", "row", "seq", "digest", (F.col("end") - F.col("off")).alias("len"))
+    met = uses.join(places, "digest").select("part", "row", "seq", "len", "h_part", "h_block", "h_off")
+    heads = lists.select("part", "row", F.lit(-1).alias("seq"), "doc_id", "n_bytes", "sha", "form")  # a document's list comes before its chunks
+    rows = met.unionByName(heads, allowMissingColumns=True).withColumn("slice", F.floor(F.col("row") / SLICE))
+    rows = rows.repartition(partitions(lists.sparkSession), "part", "slice").sortWithinPartitions("part", "row", "seq")
 
-    def group(own: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
-        blocks, out = _Blocks(folder), []
-        where = {c: (d, s, p, b, o) for c, d, s, p, b, o in zip(chunks.chunk, chunks.digest, chunks.len, chunks.h_part, chunks.h_block, chunks.h_off, strict=True)}
-        for doc_id, n, sha, ids in zip(own.doc_id, own.n_bytes, own.sha, own.chunks, strict=True):
-            places = [where[i] for i in ids]
-            data = b"".join(blocks.chunk(p, b, o, s) for _, s, p, b, o in places)
-            got = hashlib.sha256(data)
-            if got.digest() != sha:
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, now, data, out = _Blocks(folder), None, [], []
+
+        def done() -> None:
+            doc_id, n, sha, form = now
+            whole = b"".join(data)
+            magic, size, chunks = struct.unpack_from(HEAD, form)
+            got = hashlib.sha256(whole)
+            if magic != b"CDC1" or size != len(whole) or chunks != len(data) or got.digest() != sha:
                 raise ValueError(f"document {doc_id}: the stored payload does not give its digest")
-            form = b"".join([struct.pack("<4sQI", b"CDC1", len(data), len(places)), *(d + struct.pack("<I", s) for d, s, *_ in places)])
-            out.append((doc_id, n, len(data), got.hexdigest(), zlib.crc32(data[-UNIT:]), len(form), hashlib.sha256(form).hexdigest(), features(np.frombuffer(data, np.uint8)), len(places)))
-        frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks"])
-        return frame.astype({"doc_id": "Int64"})
+            out.append((doc_id, n, size, got.hexdigest(), zlib.crc32(whole[-UNIT:]), len(form), hashlib.sha256(form).hexdigest(), features(np.frombuffer(whole, np.uint8)), chunks))
+
+        def flushed() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True))
+            out.clear()
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split(" ")[0] for x in ROW.split(", ")])
+
+        for batch in batches:
+            for seq, size, part, block, off, doc_id, n, sha, form in zip(*(batch.column(c).to_pylist() for c in ("seq", "len", "h_part", "h_block", "h_off", "doc_id", "n_bytes", "sha", "form")), strict=True):
+                if seq < 0:
+                    if now:
+                        done()
+                    now, data = (doc_id, n, sha, form), []
+                else:
+                    data.append(blocks.chunk(part, block, off, size))
+            if len(out) >= 2000:
+                yield flushed()
+        if now:
+            done()
+        if out:
+            yield flushed()
+
+    return in_arrow(rows, step, ROW)
+
 
-    return lists.groupBy("part").cogroup(placed.groupBy("part")).applyInPandas(group, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long")
+ROW = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long"
 
 
 def media_rows(docs: DataFrame) -> DataFrame:
     folder = new_folder(docs.sparkSession, "media")
-    lists, chunks = store(docs, folder)
-    return read(lists, homes(chunks), folder)
+    return read(*store(docs, folder), folder)
 

@@ -35,12 +35,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, drop, in_arrow, new_folder, partitions, small_batches, store_of
+from .common import cut, drop, hand, handed, in_arrow, partitions, same_text, small_batches, stable
 from .token_files import in_parts
 
 LENGTH, GRAM, SYMBOL = 200, 24, 25
@@ -242,51 +240,6 @@ def covered(spans: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(lo[new].tolist(), hi[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(hi) - 1]))].tolist(), strict=True))
 
 
-# Handing each scan partition what concerns it.
-
-
-def stable(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """doc_id, text and other columns, whose partitions are the same in every scan: a plain scan as it is, anything else written first.
-
-    How Spark splits files follows the number of cores it has unless spark.sql.files.minPartitionNum is set; so it is, to what they are
-    now, since executors may come and go.  Later scans compare checksums of the texts all the same."""
-    conf = docs.sparkSession.conf
-    if not conf.get("spark.sql.files.minPartitionNum", None):
-        conf.set("spark.sql.files.minPartitionNum", str(docs.sparkSession.sparkContext.defaultParallelism))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in keep])
-    plan = rows._jdf.queryExecution().executedPlan().toString()
-    return rows if "FileScan" in plan and not any(x in plan for x in ("Exchange", "Join", "Union", "Aggregate", "InPandas", "InArrow", "PythonUDF", "Coalesce")) else cut(rows, "texts")
-
-
-def same_text(raw: list[bytes], rows: np.ndarray, sums: np.ndarray) -> None:
-    """Stops the job if a scan's partitions hold other texts than in the first scan."""
-    seen: dict[int, int] = {}
-    for r, t in zip(rows.tolist(), sums.tolist(), strict=True):
-        if seen.setdefault(r, t) != t or r >= len(raw):
-            raise ValueError("the scan's partitions have changed")
-    for r, t in seen.items():
-        if zlib.crc32(raw[r]) != t:
-            raise ValueError("the scan's partitions have changed")
-
-
-def hand(df: DataFrame, label: str) -> str:
-    path = new_folder(df.sparkSession, label)
-    df.repartition(partitions(df.sparkSession), "part").write.partitionBy("part").parquet(path)
-    return path
-
-
-def handed(path: str, part: int) -> pa.Table | None:
-    store, root = store_of(f"{path}/part={part}")
-    if store.get_file_info(root).type == fs.FileType.NotFound:
-        return None
-    files = [f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet")]
-    tables = []
-    for f in sorted(files):
-        with store.open_input_file(f) as source:
-            tables.append(pq.ParquetFile(source).read())
-    return pa.concat_tables(tables) if tables else None
-
-
 def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
     for batch in batches:
         for x in batch.column(1).to_pylist():

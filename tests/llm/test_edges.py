@@ -13,7 +13,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 pytest.importorskip("strandline.llm")
-from strandline.llm import lang_spans, length_buckets, media_chunks, order_minhash, quality_net, samples, suffix_dedup, tag_paths, template_leaks, token_files, url_lists
+from strandline.llm import common, lang_spans, length_buckets, media_chunks, order_minhash, quality_net, samples, suffix_dedup, tag_paths, template_leaks, token_files, url_lists
 
 TOKENIZER = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 #: Columns whose names the operators use inside.
@@ -341,13 +341,39 @@ def test_quality(spark):
     assert quality_net.kept(own, labels).columns == own.columns and quality_net.kept(own, labels).count() == 200
 
 
+def plain_form(data):
+    """The chunk list of a payload, byte by byte."""
+    ends, last, h = [], 0, 0
+    for i, b in enumerate(data, 1):
+        h = (h * 2 + int(media_chunks.GEAR[b])) % (1 << 32)
+        if i - last == media_chunks.MOST or i - last >= media_chunks.LEAST and h % (1 << media_chunks.BITS) == 0 or i == len(data):
+            ends.append(i)
+            last = i
+    return b"CDC1" + len(data).to_bytes(8, "little") + len(ends).to_bytes(4, "little") + b"".join(hashlib.blake2b(data[a:b], digest_size=16).digest() + (b - a).to_bytes(4, "little") for a, b in zip([0, *ends], ends, strict=False))
+
+
+def plain_feature(data):
+    n = [data.count(bytes([b])) for b in range(256)]
+    mean = sum(b * k for b, k in enumerate(n)) / len(data)
+    dev = (sum((b - mean) ** 2 * k for b, k in enumerate(n)) / len(data)) ** 0.5
+    bits = -sum(k / len(data) * np.log2(k / len(data)) for k in n if k)
+    return [mean, dev, max(0.0, bits), sum(k > 0 for k in n)]
+
+
 def test_media(spark):
-    own = docs(spark)
-    got = sorted(((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in media_chunks.media_rows(own).collect()), key=key)
-    want = [(r.doc_id, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])) for r in own.collect() for p, n in [payload(r.text)]]
-    assert got == sorted(want, key=key)
-    same = media_chunks.media_rows(own).where("doc_id in (1, 2)").select("media_sha256", "media_bytes", "feature").distinct()
-    assert same.count() == 1 and media_chunks.media_rows(none(spark)).count() == 0
+    own = docs(spark).repartition(3)
+    rows = media_chunks.media_rows(own).collect()
+    got = sorted(((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) for r in rows), key=key)
+    want = [(r.doc_id, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(plain_form(p)), hashlib.sha256(plain_form(p)).hexdigest()) for r in own.collect() for p, n in [payload(r.text)]]
+    assert got == sorted(want, key=key) and media_chunks.media_rows(none(spark)).count() == 0
+    plain = {hashlib.sha256(p).hexdigest(): plain_feature(p) for r in own.collect() for p, _ in [payload(r.text)]}
+    for r in rows:
+        assert np.allclose([float(x.split("=")[1]) for x in r.feature.split()], plain[r.payload_sha256], atol=2e-3)
+    # Each different chunk is stored once, whatever partitions hold it.
+    folder = common.new_folder(spark, "media")
+    lists, places = media_chunks.store(own, folder)
+    chunks = {f[i : i + 16] for r in lists.collect() for f in [bytes(r.form)] for i in range(16, len(f), 20)}
+    assert sorted(bytes(r.digest) for r in places.collect()) == sorted(chunks)
     data = np.random.default_rng(3).integers(0, 256, 200_000).astype(np.uint8).tobytes()
     ends = media_chunks.cuts([data, data[1000:], b"\0" * 64])
     assert ends[0][-1] == len(data) and ends[2] == [64] and len({*ends[0]} & {e + 1000 for e in ends[1]}) > 0.9 * len(ends[1])
