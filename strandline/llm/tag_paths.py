@@ -3,9 +3,16 @@
 Every text node has a root-to-leaf tag path.  Per page, the nodes of a path are taken together: characters and
 punctuation marks per node, and the share of characters in links.  Both ratios are smoothed over the paths in page order,
 fused into one score, and the paths over a share of the text-weighted mean score are content.  The smallest
-element that holds most of the content's text is the container; the result is every text node on a content path, and what
-else is in the container.  Elements that by name, role, class or id are menus, page
-headers, footers, sidebars, notices, adverts, forms or reader comments are left out beforehand.
+element that holds most of the content's text is the container, or the article or main element around it; the result is every text node on a
+content path, what else is in the container, and the page's heading of the first rank (its only one, or one that its title begins with).
+
+Evidence against an element: what never shows text (scripts, styles, hidden parts) is out; menus, footers, sidebars, adverts, notices and
+reader comments, by element, role or a word of class or id, are out as well; page headers, forms, and elements with a word that is less sure (and
+no word for content) are out unless that leaves no more than RETAINED of the text and what they hold is prose, as in a page that is one
+form.  A heading of the first rank in a page header stays if the page has no other and its title begins with it.
+
+Work.  One pass over the page: tags are found by their first character and ended outside quoted values; an element knows its parent, and from it
+the nearest open paragraph, item, cell and row, so depth costs nothing.  Sums over elements go up the tree once.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined
 by one space, in page order.  Nothing else is dropped or cut.
@@ -26,9 +33,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import in_arrow, small_batches
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:>|\Z)", re.S)
-NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 WORD = re.compile(r"[a-z]+")
 
 # Fixed values of HTML.
@@ -36,19 +43,26 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table ul".split())
-SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
-SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "option": {"select"}}
-
-# What is no main text, by element, by role, and by a word of its class or id.
-OUT_TAGS = frozenset("head nav footer aside form button select menu dialog svg canvas object audio video map fieldset datalist".split()) | RAW
-OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist".split())
-OUT_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus disclaimer"
-    " donate footer gdpr hidden login masthead menu menus modal nav navbar navigation navi newsletter notice notices notification overlay pager pagination paywall"
-    " popup promo promoted promotion recommend recommended recommendations related replies reply respond share sharing shares sidebar sidenav signin signup skip social sponsor sponsored"
-    " subscribe subscription teaser toc toolbar topbar tracking widget widgets alert header".split()
+#: What an element is as a scope for others (paragraph, item, definition, cell, row, part of a table, option), which of them a new one ends, and for which it is a border.
+OWN = {"p": 0, "li": 1, "dt": 2, "dd": 2, "td": 3, "th": 3, "tr": 4, "thead": 5, "tbody": 5, "tfoot": 5, "option": 6}
+ENDS = {"li": (1,), "dt": (2,), "dd": (2,), "td": (3,), "th": (3,), "tr": (4, 3), "thead": (5, 4), "tbody": (5, 4), "tfoot": (5, 4), "option": (6,)}
+BORDERS = {"table": (0, 3, 4, 5), "td": (0,), "th": (0,), "caption": (0,), "button": (0,), "object": (0,), "ul": (1,), "ol": (1,), "menu": (1,), "dl": (2,), "select": (6,), "tr": (3,), "thead": (3, 4), "tbody": (3, 4), "tfoot": (3, 4)}
+
+# What is no main text: never (3), surely (2), or likely (1); by element, by role, and by a word of class or id.
+NEVER, SURELY, LIKELY = 3, 2, 1
+BY_TAG = dict.fromkeys([*RAW, "head", "button", "select", "svg", "canvas", "object", "audio", "video", "map", "datalist"], NEVER) | dict.fromkeys("nav footer aside menu dialog".split(), SURELY) | dict.fromkeys("form fieldset header".split(), LIKELY)
+BY_ROLE = dict.fromkeys("navigation contentinfo complementary search alertdialog dialog menu menubar toolbar tablist".split(), SURELY) | dict.fromkeys("banner form alert".split(), LIKELY)
+SURE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr masthead menu menus"
+    " nav navbar navigation navi newsletter notice notices pager pagination paywall popup promo promoted promotion replies respond sidebar sidenav sponsor sponsored subscribe subscription".split()
+)
+LIKELY_WORDS = frozenset(
+    "alert disclaimer donate header hidden login modal notification overlay recommend recommended recommendations related reply share sharing shares signin signup skip social teaser toc toolbar topbar tracking widget widgets".split()
 )
+CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 HEADER_WORDS = frozenset(["header", "masthead"])
+#: Likely evidence is dropped if what is left has this share of the text or less, and what it leaves out has a text node of so many characters with a mark in it.
+RETAINED, PROSE = 0.25, 80
 MARKS = re.compile(r"[.,;:!?…。、，！？；：·¿¡\"'«»“”()-]")
 #: A path is content if its score is this share of the mean score, weighted by text.
 SHARE = 0.3
@@ -57,17 +71,17 @@ HELD = 0.8
 
 
 class _Node:
-    __slots__ = ("path", "text", "block", "chain", "link")
+    __slots__ = ("path", "text", "block", "element", "link", "level", "title")
 
-    def __init__(self, path: str, text: str, block: int, chain: tuple, link: bool) -> None:
-        self.path, self.text, self.block, self.chain, self.link = path, text, block, chain, link
+    def __init__(self, path: int, text: str, block: int, element: int, link: bool, level: int, title: int) -> None:
+        self.path, self.text, self.block, self.element, self.link, self.level, self.title = path, text, block, element, link, level, title
 
 
 class _Open:
-    __slots__ = ("tag", "label", "n", "out")
+    __slots__ = ("tag", "n", "path", "level", "inside", "link", "title", "scopes")
 
-    def __init__(self, tag: str, label: str, n: int, out: bool) -> None:
-        self.tag, self.label, self.n, self.out = tag, label, n, out
+    def __init__(self, tag: str, n: int, path: int, level: int, inside: bool, link: bool, title: int, scopes: tuple[int, ...]) -> None:
+        self.tag, self.n, self.path, self.level, self.inside, self.link, self.title, self.scopes = tag, n, path, level, inside, link, title, scopes
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -76,75 +90,114 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'").lower() for m in ATTRIBUTE.finditer(raw)}
 
 
-def _left_out(tag: str, had: dict[str, str], inside: bool) -> bool:
-    """inside: within an article or main element, whose own header is part of it."""
-    if tag in OUT_TAGS or tag == "header" and not inside:
-        return True
-    if tag in ("html", "body", "article", "main") or not had:
-        return False
-    if had.get("role") in OUT_ROLES or "hidden" in had or had.get("aria-hidden") == "true" or "display:none" in had.get("style", "").replace(" ", ""):
-        return True
+def _level(tag: str, had: dict[str, str], inside: bool) -> int:
+    """The evidence against an element.  inside: within an article or main element, whose own header is part of it."""
+    level = 0 if tag == "header" and inside else BY_TAG.get(tag, 0)
+    if not had or tag in ("html", "body", "article", "main"):
+        return level
+    if "hidden" in had or "display:none" in had.get("style", "").replace(" ", ""):
+        return NEVER
+    level = max(level, BY_ROLE.get(had.get("role", ""), 0), SURELY * (had.get("aria-hidden") == "true"))
     names = f"{had.get('class', '')} {had.get('id', '')}".split()
-    words = {w for x in names if not x.startswith(("no-", "no_", "has-", "has_", "with-", "with_", "without-")) for w in WORD.findall(x)} & OUT_WORDS
-    return bool(words - HEADER_WORDS if inside else words)
-
-
-def nodes_of(page: str) -> list[_Node]:
-    """The text nodes outside what is left out, with path, block and the chain of open elements."""
-    stack, found, block, n, at = [_Open("", "", 0, False)], [], 0, 0, 0
-    path, size = "", len(page)
+    words = {w for x in names if not x.startswith(("no-", "no_", "has-", "has_", "with-", "with_", "without-")) for w in WORD.findall(x)}
+    if inside:
+        words -= HEADER_WORDS
+    if words & SURE_WORDS:
+        return max(level, SURELY)
+    return max(level, LIKELY) if words & LIKELY_WORDS and not words & CONTENT_WORDS else level
+
+
+def _tag_end(page: str, at: int, spent: set[str]) -> int:
+    """The place after the `>` that ends a tag; a quote counts if it opens a value.  spent: quotes that the rest of the page has no second of."""
+    while m := STOP.search(page, at):
+        at = m.end()
+        if m[0] == ">":
+            return at
+        before = m.start() - 1
+        while page[before].isspace():
+            before -= 1
+        if page[before] == "=" and m[0] not in spent:
+            end = page.find(m[0], at)
+            if end < 0:
+                spent.add(m[0])
+            else:
+                at = end + 1
+    return len(page)
+
+
+def nodes_of(page: str) -> tuple[list[_Node], list[int], list[int], str]:
+    """The text nodes, the parent of each element (an earlier one; the first has itself), the article or main element around it (itself if none), and the page's title."""
+    stack, parents, majors, count, found = [_Open("", 0, 0, 0, False, False, 0, (-1,) * 7)], [0], [0], {"": 1}, []
+    paths: dict[tuple[int, str], int] = {}
+    block, at, size, title, spent = 0, 0, len(page), "", set()
 
     def text(raw: str) -> None:
-        if stack[-1].out or not raw or raw.isspace() and not found:
-            return
-        chain = tuple(o.n for o in stack)
-        found.append(_Node(path, entities.unescape(raw), block, chain, any(o.tag == "a" for o in stack)))
-
-    while at < size:
-        m = TOKEN.search(page, at)
+        top = stack[-1]
+        if top.level < NEVER and raw and (found or not raw.isspace()):
+            found.append(_Node(top.path, entities.unescape(raw), block, top.n, top.link, top.level, top.title))
+
+    def close(k: int) -> None:
+        while len(stack) > k:
+            count[stack.pop().tag] -= 1
+
+    pending = 0  # where text that is not yet taken begins
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            text(page[pending:])
+            return found, parents, majors, title
+        m = NAME.match(page, at + 1)
+        if m is None and page[at + 1 : at + 2] not in ("!", "?"):
+            at += 1  # no markup
+            continue
+        text(page[pending:at])
         if m is None:
-            text(page[at:])
-            break
-        if m.start() > at:
-            text(page[at : m.start()])
-        at, raw = m.end(), m[0]
-        if raw[1] in "!?":
-            if raw.startswith("<![CDATA["):
-                text(entities.escape(raw[9:].removesuffix("]]>"), quote=False))
+            begin, mark = at, "-->" if page.startswith("<!--", at) else "]]>" if page.startswith("<![CDATA[", at) else ">"
+            end = page.find(mark, at + 4 if mark == "-->" else at + 2)
+            at = pending = size if end < 0 else end + len(mark)
+            if mark == "]]>":
+                text(entities.escape(page[begin + 9 : end if end >= 0 else size], quote=False))
             continue
-        tag = NAME.match(raw)[1].lower()
+        tag, begin = m[1].lower(), at
+        at = pending = _tag_end(page, m.end(), spent)
         if tag not in INLINE:
             block += 1
-        if raw[1] == "/":
-            if any(o.tag == tag for o in stack):
-                while stack.pop().tag != tag:
-                    pass
-                path = "/".join(o.label for o in stack)
+        if page[begin + 1] == "/":
+            if tag and count.get(tag, 0):
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close(k)
             continue
-        if tag in VOID or raw.endswith("/>") and tag not in RAW:
+        closed = page[at - 2] == "/" and tag not in RAW
+        if tag in VOID or closed:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            if tag == "title" and not title:
+                title = " ".join(entities.unescape(page[at : end.start() if end else size]).split())
+            at = pending = _tag_end(page, end.end(), spent) if end else size
             continue
-        if tag in CLOSES_P and any(o.tag == "p" for o in stack):
-            k = max(i for i, o in enumerate(stack) if o.tag == "p")
-            if not any(o.tag in ("table", "td", "th", "button", "object") for o in stack[k:]):
-                del stack[k:]
-        if tag in SAME:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in SCOPE[tag]:
-                    break
-                if stack[k].tag in SAME[tag]:
-                    del stack[k:]
-                    break
-        n += 1
-        had = _attributes(raw)
-        inside = any(o.tag in ("article", "main") for o in stack)
-        label = tag if tag in INLINE else f"{tag}.{had.get('class', '')}"
-        stack.append(_Open(tag, label if tag not in INLINE else "", n, stack[-1].out or _left_out(tag, had, inside)))
-        path = "/".join(o.label for o in stack if o.label)
-    return found
+        if tag in CLOSES_P and stack[-1].scopes[0] >= 0:
+            close(stack[-1].scopes[0])
+        for kind in ENDS.get(tag, ()):
+            if stack[-1].scopes[kind] >= 0:
+                close(stack[-1].scopes[kind])
+                break
+        up, had = stack[-1], _attributes(page[m.end() : at])
+        path = up.path if tag in INLINE else paths.setdefault((up.path, f"{tag}.{had.get('class', '')}"), len(paths) + 1)
+        scopes = up.scopes
+        if tag in OWN or tag in BORDERS:
+            scopes = list(scopes)
+            for kind in BORDERS.get(tag, ()):
+                scopes[kind] = -1
+            if tag in OWN:
+                scopes[OWN[tag]] = len(stack)
+            scopes = tuple(scopes)
+        parents.append(up.n)
+        majors.append(majors[up.n] if up.inside and tag not in ("article", "main") else len(majors))
+        count[tag] = count.get(tag, 0) + 1
+        stack.append(_Open(tag, len(parents) - 1, path, max(up.level, _level(tag, had, up.inside)), up.inside or tag in ("article", "main"), up.link or tag == "a", up.title or (len(parents) - 1) * (tag == "h1"), scopes))
 
 
 def _smooth(x: list[float]) -> list[float]:
@@ -152,9 +205,9 @@ def _smooth(x: list[float]) -> list[float]:
     return [(x[max(i - 1, 0)] + 2 * x[i] + x[min(i + 1, len(x) - 1)]) / 4 for i in range(len(x))]
 
 
-def path_scores(nodes: list[_Node]) -> dict[str, tuple[float, int]]:
+def path_scores(nodes: list[_Node]) -> dict[int, tuple[float, int]]:
     """The fused score and the characters of each path, in order of its first node."""
-    sums: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for x in nodes:
         s = sums.setdefault(x.path, [0, 0, 0, 0])
         size = len(x.text.strip())
@@ -170,36 +223,58 @@ def path_scores(nodes: list[_Node]) -> dict[str, tuple[float, int]]:
     return {p: (t * (1 + m) * f, int(s[0])) for (p, s), t, m, f in zip(sums.items(), text, mark, free, strict=True)}
 
 
+def admitted(nodes: list[_Node], title: str) -> tuple[list[_Node], set[int]]:
+    """The nodes that no evidence leaves out, and the places among them of the page's heading."""
+    sizes = [len(x.text.strip()) for x in nodes]
+    likely = sum(n for x, n in zip(nodes, sizes, strict=True) if x.level == LIKELY)
+    clear = sum(n for x, n in zip(nodes, sizes, strict=True) if not x.level)
+    most = 0
+    if clear <= RETAINED * (clear + likely) and any(x.level == LIKELY and n >= PROSE and not x.link and MARKS.search(x.text) for x, n in zip(nodes, sizes, strict=True)):
+        most = LIKELY
+    heads: dict[int, list[_Node]] = {}
+    for x in nodes:
+        if x.title and x.level <= LIKELY:
+            heads.setdefault(x.title, []).append(x)
+    words = {h: " ".join("".join(x.text for x in own).split()) for h, own in heads.items()}
+    clear_heads = [h for h, own in heads.items() if words[h] and own[0].level <= most]
+    chosen = [h for h in words if words[h] and title.startswith(words[h]) and (h in clear_heads or not clear_heads)][:1] or (clear_heads if len(clear_heads) == 1 else [])
+    kept = [x for x in nodes if x.level <= most or x.title and x.title in chosen]
+    return kept, {i for i, x in enumerate(kept) if x.title and x.title in chosen}
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    nodes = nodes_of(page)
+    nodes, parents, majors, title = nodes_of(page)
+    nodes, heading = admitted(nodes, title)
     scores = path_scores(nodes)
     size = sum(n for _, n in scores.values())
     if not size:
         return ""
     limit = SHARE * sum(s * n for s, n in scores.values()) / size
     content = {p for p, (s, n) in scores.items() if s >= limit and n}
-    weight: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    total = 0
-    for x in nodes:
-        if x.path in content:
-            k = len(x.text.strip())
-            total += k
-            for d, e in enumerate(x.chain):
-                weight[e] = weight.get(e, 0) + k
-                depth[e] = d
-    blocks_in: dict[int, set[int]] = {}
+    # The content's text, and the first and last block, of each element; parents come before their children.
+    weight, depth = [0] * len(parents), [0] * len(parents)
+    first, last = [1 << 60] * len(parents), [-1] * len(parents)
     for x in nodes:
-        for e in x.chain:
-            blocks_in.setdefault(e, set()).add(x.block)
+        e = x.element
+        weight[e] += len(x.text.strip()) * (x.path in content)
+        first[e], last[e] = min(first[e], x.block), max(last[e], x.block)
+    for e in range(1, len(parents)):
+        depth[e] = depth[parents[e]] + 1
+    for e in range(len(parents) - 1, 0, -1):
+        up = parents[e]
+        weight[up] += weight[e]
+        first[up], last[up] = min(first[up], first[e]), max(last[up], last[e])
     # The deepest element with enough of the text and more than one block, so that one long paragraph is not the container.
-    fit = [e for e, w in weight.items() if w >= HELD * total and (len(blocks_in[e]) > 1 or e == 0)]
-    holder = max(fit, key=lambda e: (depth[e], e))
+    holder = max((e for e, w in enumerate(weight) if w >= HELD * weight[0] and (last[e] > first[e] or e == 0)), key=lambda e: (depth[e], e))
+    holder = majors[holder]
+    held = [False] * len(parents)
+    for e in range(len(parents)):
+        held[e] = e == holder or held[parents[e]]
     out: dict[int, list[str]] = {}
-    for x in nodes:
-        if holder in x.chain or x.path in content:
+    for i, x in enumerate(nodes):
+        if held[x.element] or x.path in content or i in heading:
             out.setdefault(x.block, []).append(x.text)
     return " ".join(t for parts in out.values() if (t := " ".join("".join(parts).split())))
 

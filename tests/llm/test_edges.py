@@ -305,6 +305,69 @@ def test_html(spark):
     assert got[6].text == " ".join(["Some text, here."] * 5000) and tag_paths.extract(own).count() == 8 and tag_paths.extract(own.limit(0)).count() == 0
 
 
+PROSE = "It is a sentence of some length, with marks; and it goes on for a while, as sentences in articles do."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<form id=aspnetForm><div><h1>Top</h1><p>{PROSE}</p><p>{PROSE} More.</p></div><button>Go</button></form>", f"Top {PROSE} {PROSE} More."),
+        (f"<div class='widget article-body'><p>{PROSE}</p></div><div class='widget'>Follow us</div>", PROSE),
+        (f"<title>A title - Site</title><header><a>Site</a><h1>A title</h1></header><main><p>{PROSE}</p></main>", f"A title {PROSE}"),
+        (f"<header><h1>Site name</h1></header><main><h1>A title</h1><p>{PROSE}</p></main>", f"A title {PROSE}"),
+        (f"<nav><a>x</a></nav><article><p>{PROSE}</p></article><div id=comments>{f'<p>{PROSE}</p>' * 9}</div>", PROSE),
+        (f"<nav>{'<a>one, two.</a>' * 30}</nav><footer>All rights, reserved.</footer>", ""),
+        (f"<div><h1>A title</h1><span>by me</span><div><p>{PROSE}</p><p>{PROSE}</p></div></div>", f"A title {PROSE} {PROSE}"),
+        (f"<article><h1>A title</h1><div><p>{PROSE}</p><p>{PROSE}</p></div><p>End.</p></article>", f"A title {PROSE} {PROSE} End."),
+        (f"<p title='a > b' data-id=nav>{PROSE}<p x=\"<nav>\">{PROSE}", f"{PROSE} {PROSE}"),
+        (f"<article><table><tr><td>a<table><tr><td>{PROSE}<td>b</table>c<td>d</table></article>", f"a {PROSE} b c d"),
+        (f"<main><ul><li>a<ul><li>b<li>{PROSE}</ul><li>c</ul>", f"a b {PROSE} c"),
+        (f"<main><dl><dt>a<dd><p>{PROSE}<dt>b</dl>", f"a {PROSE} b"),
+        (f"3 < 4 and <5 <p>{PROSE}</p><!-- no --><![CDATA[x < y]]> <script>'</p>'</SCRIPT >end", f"3 < 4 and <5 {PROSE} x < y end"),
+        (f"<p>{PROSE}</p><p><a href='unclosed>cut", f"{PROSE} cut"),
+    ],
+)
+def test_pages(page, text):
+    assert tag_paths.main_text(page) == text
+
+
+def test_generated_pages():
+    """Articles of random blocks among random boilerplate: all of the article, and nothing else."""
+    import random
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    sentence = lambda: " ".join(word() for _ in range(rng.randint(6, 25))).capitalize() + rng.choice([".", "!", "; and so on."])
+    for _ in range(200):
+        want, body = [], []
+        for _ in range(rng.randint(3, 12)):
+            kind = rng.choice(["p", "p", "p", "h2", "ul", "table", "blockquote", "div"])
+            if kind in ("p", "blockquote", "div"):
+                parts = [sentence() for _ in range(rng.randint(1, 5))]
+                want += parts
+                body.append(f"<{kind}>" + rng.choice([" ", "\n  "]).join(f"<b>{x}</b>" if rng.random() < 0.1 else x for x in parts) + (f"</{kind}>" if kind != "p" or rng.random() < 0.7 else ""))
+            elif kind == "h2":
+                want.append(word())
+                body.append(f"<h2>{want[-1]}</h2>")
+            else:
+                cells = [sentence() for _ in range(3)]
+                want += cells
+                body.append("<ul>" + "".join(f"<li>{c}" for c in cells) + "</ul>" if kind == "ul" else "<table><tr>" + "".join(f"<td>{c}" for c in cells) + "</table>")
+        junk = lambda: rng.choice([f"<div class='{rng.choice(['ad', 'site-banner', 'cookie-notice', 'sidebar', 'promo box'])}'><p>{sentence()}</p></div>", f"<nav><ul>{''.join(f'<li><a href=x>{word()}</a></li>' for _ in range(5))}</ul></nav>", f"<aside>{sentence()}</aside>", f"<form><label>{word()}</label><input></form>", f"<div id=comments><p>{sentence()}</p><p>{sentence()}</p></div>", "<script>if (a < b) x = '</p>';</script>", "<!-- <p>no</p> -->"])
+        box = rng.choice(["article", "main", "div class='content'", "div id=story"])
+        page = f"<html><head><title>x</title></head><body>{junk()}{junk()}<{box}>{''.join(body)}</{box.split()[0]}>{junk()}{junk()}<footer>{sentence()}</footer></body></html>"
+        assert tag_paths.main_text(page) == " ".join(want)
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<p>x, y. ", "<ul><li>x", "<b>x", "<a href=\"x", "<a b='", "<!--", "<![CDATA[", "<script>", "<table><tr><td>x", "</div>", "<", "<x ", "&amp", "<p class=\"a b\" "])
+def test_pages_in_linear_time(piece):
+    import time
+
+    began = time.perf_counter()
+    tag_paths.main_text(piece * (400_000 // len(piece)))
+    assert time.perf_counter() - began < 5
+
+
 def test_main_text_beside_the_container():
     lead = "".join(f"<p>Lead {i}, a shorter paragraph with some words, and more.</p>" for i in range(3))
     body = "".join(f"<p>Body {i}, {'a longer paragraph with many words, and then more of them. ' * 3}</p>" for i in range(6))
