@@ -18,7 +18,7 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -134,12 +134,12 @@ def encoder(path: str) -> WordEncoder:
     return _encoder(path)
 
 
-def in_parts(texts: Iterable[str], most: int = 8_000_000) -> Iterator[list[str]]:
+def in_parts(texts: Iterable, most: int = 8_000_000, length: Callable = len) -> Iterator[list]:
     """Runs of texts of about so many characters."""
     some, size = [], 0
     for x in texts:
         some.append(x)
-        size += len(x)
+        size += length(x)
         if size >= most:
             yield some
             some, size = [], 0

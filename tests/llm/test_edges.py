@@ -61,10 +61,16 @@ def brute_spans(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
-def test_suffix_dedup(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "most"), [(4096, 200_000), (1, 200_000), (4096, 1), (3, 1), (0, 200_000)])
+def test_suffix_dedup(spark, monkeypatch, hot, most):
+    """hot: groups are parted, and windows of crowds counted; most: groups are ordered on files."""
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    own = docs(spark)
+    monkeypatch.setattr(suffix_dedup, "PASS_SUFFIXES", most)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 1000)
+    rng = np.random.default_rng(8)
+    passage = "a passage of some length that very many documents go on from in ways of their own, since it is what stands before every text of this kind and " * 2
+    more = [(100 + i, passage[:188] + "".join(rng.choice(list("xyz"), 4)) + f" and on from {i % 5}") for i in range(40)]
+    own = docs(spark).unionByName(docs(spark, more))
     rows = [(r.doc_id, r.text) for r in own.collect()]
     got = suffix_dedup.removed_rows(own).collect()
     want = [(i, *x) for (i, _), x in zip(rows, brute_spans([t for _, t in rows]), strict=True)]
@@ -74,6 +80,46 @@ def test_suffix_dedup(spark, monkeypatch, hot):
     assert suffix_dedup.removed_rows(none(spark)).count() == 0
 
 
+def test_suffix_dedup_of_whole_tables(spark, sf):
+    own = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in own.collect()]
+    want = [(i, *x) for (i, _), x in zip(rows, brute_spans([t for _, t in rows]), strict=True)]
+    assert sorted(map(tuple, suffix_dedup.removed_rows(own).collect()), key=key) == sorted(want, key=key) and any(x[2] for x in want)
+
+
+def test_suffix_order_from_files(tmp_path, monkeypatch):
+    """As in memory, whatever fits in memory at once."""
+    rng = np.random.default_rng(2)
+    for case in range(60):
+        monkeypatch.setattr(suffix_dedup, "CHUNK", int(rng.integers(1, 9)))
+        size = rng.integers(1, 16, rng.integers(1, 30))
+        first = np.cumsum(size) - size
+        symbols = rng.integers(0, 3, size.sum()).astype(np.uint64)
+        files = suffix_dedup._Columns(f"file://{tmp_path}/{case}")
+        for j in range(1, size.max() + 1):
+            with files.writer(f"column-{j}") as f:
+                f.write(symbols[(first + size)[size >= j] - j].tobytes())
+        got = suffix_dedup.order_from_files(files, size)
+        want = suffix_dedup.order_suffixes(symbols, first, size, np.zeros(len(size), np.int64))
+        text = lambda o: [symbols[first[d] + size[d] - k : first[d] + size[d]].tolist() for d, k in zip(o[0], o[1], strict=True)]  # noqa: B023, E731
+        assert text(got) == text(want) and got[3].tolist() == want[3].tolist() and sorted(zip(got[0], got[1], strict=True)) == sorted(zip(want[0], want[1], strict=True))
+        place = {(d, k): i for i, (d, k) in enumerate(zip(got[0].tolist(), got[1].tolist(), strict=True))}
+        assert got[2].tolist() == [place.get((d, k - 1), -1) for d, k in zip(got[0].tolist(), got[1].tolist(), strict=True)]
+        files.close()
+
+
+def test_repeated_windows_by_bytes(monkeypatch):
+    """If names were too few, the bytes would tell."""
+    rng = np.random.default_rng(9)
+    base = bytes(rng.integers(97, 123, 400).astype(np.uint8))
+    pieces = [base[:230], base[10:240], bytes(rng.integers(97, 123, 230).astype(np.uint8)), base[20:220]]
+    windows = [len(p) - 199 for p in pieces]
+    want = suffix_dedup.repeated_starts(pieces, windows, [1] * 4, np.zeros(4, np.int64))
+    assert [w.sum() for w in want] == [21, 21, 0, 1]
+    monkeypatch.setattr(suffix_dedup, "symbol_hashes", lambda data: np.zeros(len(data), np.uint64))
+    assert all((a == b).all() for a, b in zip(want, suffix_dedup.repeated_starts(pieces, windows, [1] * 4, np.zeros(4, np.int64)), strict=True))
+
+
 def test_suffix_order():
     rng = np.random.default_rng(1)
     for _ in range(60):
