@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, in_arrow, partitions, small_batches
+from .common import cut, drop, in_arrow, partitions, small_batches
 from .components import components
 from .quality_net import BYTE, POWER, SPACE
 from .token_files import in_parts
@@ -44,7 +44,7 @@ SHORT, SHORT_K = 50, 2
 TWICE = int(SHORT / SIMILARITY)
 MEMBERS = 200
 #: Counted cells of a text's words, those of a first, coarser comparison, the most that a cell counts, and members of a block in the second comparison.
-CELLS, COARSE, CELL_MOST, BLOCK = 1024, 64, 15, 500
+CELLS, COARSE, CELL_MOST, BLOCK = 512, 64, 15, 500
 
 _RNG = np.random.default_rng(20_240_202)
 SCALE = _RNG.integers(1, 1 << 63, BANDS, np.uint64) | np.uint64(1)
@@ -233,35 +233,41 @@ def coarser(counts: np.ndarray) -> np.ndarray:
 def others(copies: DataFrame, roots: DataFrame) -> DataFrame:
     """member and first: the pairs of a group whose texts are in different classes so far and may be near, once.
 
-    copies: doc_id, n_words, bands, cells; roots: node and root."""
-    own = copies.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_words", "bands", "cells", F.coalesce("root", "doc_id").alias("class"))
-    each = own.select("doc_id", "class", "n_words", "bands", "cells", F.posexplode("bands").alias("j", "s"))
+    copies: doc_id, n_words, bands, cells; roots: node and root.  Groups are found by rows of a few numbers; cells join those rows of documents
+    that stand in a mixed group alone."""
+    own = copies.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("class"), "bands")
+    each = own.select("doc_id", "class", F.posexplode("bands").alias("j", "s"))
     mixed = each.groupBy("j", "s").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     mixed = cut(mixed.where("lo <> hi").select(F.col("j").alias("j2"), F.col("s").alias("s2"), "blocks"), "mixed")
-    met = each.join(mixed, (F.col("j") == F.col("j2")) & (F.col("s") == F.col("s2")))
+    members = cut(each.join(mixed, (F.col("j") == F.col("j2")) & (F.col("s") == F.col("s2"))).select("doc_id", "class", "j", "s", "blocks"), "members")
+    # Of a document: its mixed groups, in order.  Two that share one have a pair there, unless they share one before it.
+    groups = members.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("j", "s"))).alias("groups"))  # at most 2 * BANDS
+    known = copies.select(F.col("doc_id").alias("d"), "n_words", "cells").join(groups, F.col("d") == F.col("doc_id")).select("d", "n_words", "cells", "groups")
+    met = members.join(known, F.col("doc_id") == F.col("d"))
     met = met.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    earlier = F.slice("bands", F.lit(1), F.col("j"))
+    earlier = F.transform(F.filter("groups", lambda g: g["j"] < F.col("j")), lambda g: F.xxhash64(g["s"], g["j"]))
     met = met.select("j", "s", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), (F.col("block") > F.col("with")).cast("int").alias("role"), "doc_id", "class", "n_words", "cells", earlier.alias("earlier"))
     met = met.repartition(partitions(copies.sparkSession), "j", "s", "a", "b").sortWithinPartitions("j", "s", "a", "b", "role")
 
-    def pairs(j: int, a: int, b: int, group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(a: int, b: int, group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         role, doc, root, n = (np.array([x[i] for x in group], np.int64) for i in range(4))
         none = np.zeros(0, np.int64)
         if len(set(root.tolist())) < 2:
             return none, none
         counts = counted(np.frombuffer(b"".join(x[4] for x in group), np.uint8).reshape(len(group), -1))
         coarse = coarser(counts)
-        # A band before this one that both texts share; short texts alone have bands beyond the first BANDS.
-        before = np.zeros((len(group), j), np.int64)
-        for i, x in enumerate(group):
-            before[i] = x[5]
+        # Groups before this one, named by numbers from 0: which of two texts share one.
+        size = [len(x[5]) for x in group]
+        names, which = np.unique(np.array([g for x in group for g in x[5]], np.int64), return_inverse=True)
+        before = np.zeros((len(group), len(names)), bool)
+        before[np.repeat(np.arange(len(group)), size), which] = True
         left = np.flatnonzero(role == 0) if a < b else np.arange(len(doc))
         begin = len(left)  # the other block's members follow
         us, vs = [none], [none]
         for i in left.tolist():
             k = begin if a < b else i + 1
             hit = np.flatnonzero((root[k:] != root[i]) & may_be_near(coarse[k:], n[k:], coarse[i], n[i])) + k
-            hit = hit[~(before[hit] == before[i]).any(1)]
+            hit = hit[~(before[hit] & before[i]).any(1)]
             hit = hit[may_be_near(counts[hit], n[hit], counts[i].astype(np.int16), n[i])]
             us.append(np.maximum(doc[hit], doc[i]))
             vs.append(np.minimum(doc[hit], doc[i]))
@@ -271,7 +277,7 @@ def others(copies: DataFrame, roots: DataFrame) -> DataFrame:
         key, group = None, []
 
         def solved() -> Iterator[pa.RecordBatch]:
-            u, v = pairs(key[0], *key[2:], group)
+            u, v = pairs(*key[2:], group)
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["member", "first"])
 
@@ -319,15 +325,19 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id of every row."""
-    table = cut(sketch_table(docs), "sketches")
-    copies = table.where("n_words > 0").groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.min("n_words").alias("n_words"), F.min("bands").alias("bands"), F.min("cells").alias("cells"))
-    copies = cut(copies, "copies")
-    firsts = copies.select(F.col("first").alias("doc_id"), "n_words", "bands", "cells")
-    pairs = cut(candidates(firsts), "pairs")
-    exact = table.where("n_words > 0").select("doc_id", "t1", "t2").join(copies.select(F.col("t1").alias("a"), F.col("t2").alias("b"), "first"), (F.col("t1") == F.col("a")) & (F.col("t2") == F.col("b")))
-    exact = exact.where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    table = cut(sketch_table(docs).where("n_words > 0").withColumn("at", F.monotonically_increasing_id()), "sketches")
+    # Of equal texts the row with the least doc_id, the first of those that share it, by rows of a few numbers.
+    slim = table.select("at", "doc_id", "t1", "t2")
+    several = slim.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("t1").alias("a"), F.col("t2").alias("b"), "first")
+    twins = cut(slim.join(cut(several, "several"), (F.col("t1") == F.col("a")) & (F.col("t2") == F.col("b"))).select("at", "doc_id", "first", "t1", "t2"), "twins")
+    chosen = twins.where("doc_id = first").groupBy("t1", "t2").agg(F.min("at").alias("one")).select("one")
+    gone = cut(twins.select(F.col("at").alias("gone")).join(chosen, F.col("gone") == F.col("one"), "left_anti"), "gone")
+    copies = cut(table.join(gone, F.col("at") == F.col("gone"), "left_anti").select("doc_id", "n_words", "bands", "cells"), "copies")
+    drop(table)
+    pairs = cut(candidates(copies), "pairs")
+    exact = twins.where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
     roots = cut(components(verified(docs, pairs).union(exact)), "roots")
-    rest = cut(others(firsts, roots), "others")
+    rest = cut(others(copies, roots), "others")
     roots = components(verified(docs, rest).union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     return own.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))

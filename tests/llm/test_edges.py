@@ -213,6 +213,14 @@ def test_near_copies(spark):
     assert sorted((r.doc_id or 0) for r in order_minhash.kept(docs(spark)).collect()) == [0, 0, 1, 3, 4, 5, 6, 7, 8]
 
 
+def test_near_copies_of_several_texts_of_one_id(spark):
+    """Rows that share a doc_id are one document, whose texts all count."""
+    words = SENTENCE.split()
+    other = " ".join(f"other{i}" for i in range(30))
+    rows = [(1, SENTENCE), (1, other), (2, SENTENCE), (3, other), (4, " ".join([*words[:-1], "creek"])), (5, other + " more")]
+    assert {(r.doc_id, r.class_id) for r in order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {(i, 1) for i in range(1, 6)}
+
+
 def test_near_copies_that_share_only_a_common_passage(spark):
     """Groups of a passage are led by a text that is near neither of two near copies."""
     rng = np.random.default_rng(3)
