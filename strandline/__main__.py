@@ -10,7 +10,7 @@ import time
 from pyspark.sql import SparkSession, functions as F
 
 from .functions import kmer as K
-from .operators import search as S, tracks as T, tree
+from .operators import sampling, search as S, tracks as T, tree
 from .plans.session import Session
 from .sources import annotations as A, genome as G, store
 
@@ -31,7 +31,7 @@ def tsv(df) -> None:
 def search(spark: SparkSession, a: argparse.Namespace) -> None:
     s = Session(spark, a.index)
     own = S.query_table(spark, {"q": s.parse(a.query)})
-    found = S.search(s.kmers, own, a.n, a.engine, s.manifest["distinct"]).persist()
+    found = S.search(s.kmers, own, a.n, a.engine, s.manifest["distinct"], s.walks, s.costs).persist()
     if a.output == "summary":
         tsv(S.by_mismatch(found, s.kmers, a.n).drop("query_id").orderBy("mismatches"))
     elif a.output == "variants":
@@ -50,6 +50,9 @@ def annotate(spark: SparkSession, a: argparse.Namespace) -> None:
     aliases = None
     for path in a.aliases:
         aliases = A.alias_table(spark, path, contigs)
+        shown = A.display_names(aliases, contigs).join(contigs.select("contig_id", "name"), "contig_id").where("display <> name")
+        reg = store.registry(spark, a.index)
+        store.write_json(spark, f"{a.index}/annotations.json", reg | {"display": {str(r.contig_id): r.display for r in shown.collect()}})  # names of an alias table
     for path in a.gff:
         features, counts = A.place(A.read_gff(spark, path), contigs, aliases)
         print(store.write_features(features, a.index, "genes", source=path), counts.first().asDict())
@@ -73,21 +76,28 @@ def bench(spark: SparkSession, a: argparse.Namespace) -> None:
     s = Session(spark, a.index)
     own = S.query_table(spark, {"top": s.parse(a.query)} if a.query else {"top": S.top_copy(s.kmers).select(K.unpack(F.col("kmer")).alias("w")).first().w}).persist()
     s.kmers.persist().count()
+    if a.what == "calibrate":
+        print(json.dumps(s.calibrate()))
+        return
     for n in range(a.n + 1):
         if a.what == "search":
-            took = {}
-            for engine in ("scan", "pigeonhole"):
-                began = time.time()
-                took[f"{engine}_variants"] = S.search(s.kmers, own, n, engine).count()
-                took[f"{engine}_ms"] = round((time.time() - began) * 1000)
-            if took["scan_variants"] != took["pigeonhole_variants"]:
-                raise SystemExit(f"the engines differ at {n}: {took}")
-            print(json.dumps({"n": n, "planned": S.plan(s.manifest["distinct"], n)["engine"]} | took))
+            engines = ("scan", "pigeonhole")
+            found = {e: S.search(s.kmers, own, n, e, walks=s.walks) for e in engines}
+            took = {f"{e}_ms": round(sampling.timed(lambda e=e: found[e].count()) * 1000) for e in engines}
+            a_, b_ = (found[e] for e in engines)
+            if a_.exceptAll(b_).count() or b_.exceptAll(a_).count():
+                raise SystemExit(f"the engines differ at {n}")
+            plan = S.plan(s.manifest["distinct"], n, s.manifest["prefix"], **s.costs)
+            print(json.dumps({"n": n, "variants": a_.count(), "planned": plan["engine"], "predicted_ms": {e: round(plan[f"{e}_ms"], 3) for e in engines}} | took))
         else:
+            whole = S.result_set(S.scan(s.kmers, own, a.n)).persist()
             began = time.time()
-            r = tree.lengths(tree.ordered(S.result_set(S.scan(s.kmers, own, n)), n)).first()
+            r = tree.lengths(tree.ordered(whole, n)).first()
+            took = round((time.time() - began) * 1000)
             if r is not None:
-                print(json.dumps({"n": n, "variants": r.variants, "tree_per_variant": r.tree_length / r.variants, "star_per_variant": r.star_length / r.variants, "ms": round((time.time() - began) * 1000)}))
+                frozen = tree.lengths(tree.ordered(whole, n, a.n)).first()
+                spanning = tree.mst(whole, n).agg(F.sum("edge").alias("w")).first().w
+                print(json.dumps({"n": n, "variants": r.variants, "tree_per_variant": r.tree_length / r.variants, "frozen_per_variant": frozen.tree_length / r.variants, "mst_per_variant": spanning / r.variants, "star_per_variant": r.star_length / r.variants, "ms": took}))
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -116,7 +126,7 @@ def main(argv: list[str] | None = None) -> None:
     x.add_argument("--aliases", action="append", default=[])
     x.add_argument("--gc", help="the FASTA to take the GC track from")
     x = sub.add_parser("bench")
-    x.add_argument("what", choices=("search", "order"))
+    x.add_argument("what", choices=("search", "order", "calibrate"))
     x.add_argument("index")
     x.add_argument("--query")
     x.add_argument("-n", type=int, default=6)

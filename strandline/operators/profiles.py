@@ -6,10 +6,15 @@ in steps of 32, against the strand for reverse sites, inside the contig.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import kmer as K
+from ..sources import genome as G
 from .tracks import BIN
 
 HALF, STEP, CENTRE, FLANK = 2048, 32, 96, 1024
@@ -167,20 +172,78 @@ def motif_verdict(rows: DataFrame, qualifying: int = 5, kill: float = 0.8, pivot
     return out.select("qualifying", "beaten", share.alias("share"), word.alias("verdict"))
 
 
-def motif_hits(texts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact occurrences of every k letters of the queries, in either orientation: query_id, w (offset in the query), pos (of the occurrence), rc.
+#: Patterns that are sent to every task at once.
+PATTERNS = 1 << 20
+
+
+def motif_patterns(queries: DataFrame, ks: list[int], mismatches: int = 0) -> DataFrame:
+    """query_id, k, w (offset in the query), rc, value (packed) and mismatches: every run of k letters of the queries, in either orientation, with up to one
+    letter changed."""
+    out = None
+    for k in ks:
+        own = queries.select("query_id", F.lit(k).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(K.K - k))).alias("w"), "q")
+        turned = F.when(F.col("rc"), K.window(K.revcomp(F.col("q")), k, F.lit(K.K - k) - F.col("w"))).otherwise(K.window(F.col("q"), k, F.col("w")))
+        own = own.withColumn("rc", F.explode(F.array(F.lit(False), F.lit(True)))).select("query_id", "k", "w", "rc", turned.alias("value"), F.lit(0).alias("mismatches"))
+        if mismatches:
+            near = own.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("x", F.explode(F.array(*[F.lit(x).cast("long") for x in (1, 2, 3)])))
+            changed = F.col("value").bitwiseXOR(F.call_function("shiftleft", F.col("x"), (2 * F.col("i")).cast("int")))
+            own = own.unionByName(near.select("query_id", "k", "w", "rc", changed.alias("value"), F.lit(1).alias("mismatches")))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def motif_hits(genome: DataFrame, queries: DataFrame, ks: list[int], mismatches: int = 0) -> DataFrame:
+    """Occurrences of every k letters of a stated set of queries, for all ks in one pass over the letters: query_id, k, w, rc, pos, mismatches (0 or 1).
+
+    genome: contig_id, seq, offset.  The patterns are counted and sent to the tasks, which keep only windows that are one; their rows then join the patterns.
+    Over PATTERNS of them, all windows join."""
+    patterns = motif_patterns(queries, ks, mismatches)
+    values = patterns.select("k", "value").distinct()
+    known: dict[int, np.ndarray] | None = None
+    if values.count() <= PATTERNS:
+        rows = values.collect()
+        known = {k: np.sort(np.array([r.value for r in rows if r.k == k], np.int64)) for k in ks}
+    least, most, by = min(ks), max(ks), G.LONG_TILE
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tile, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for k in ks:
+                    start, value = G.packed_windows(tile, k)
+                    keep = start < by  # later ones are the next tile's
+                    if known is not None:
+                        at = np.searchsorted(known[k], value)
+                        keep &= known[k][np.minimum(at, max(len(known[k]) - 1, 0))] == value if len(known[k]) else False
+                    if keep.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(keep.sum(), k, np.int32)), pa.array(value[keep]), pa.array(start[keep] + base)], names=["k", "value", "pos"])
+
+    own = genome.where(F.length("seq") >= least).select(F.col("seq").cast("binary").alias("b"), F.col("offset").cast("long").alias("offset"))
+    own = own.select("b", "offset", F.explode(F.sequence(F.lit(0), F.octet_length("b") - least, F.lit(by))).alias("at"))
+    own = own.select(F.substring(F.col("b"), F.col("at") + 1, F.lit(by + most - 1)).alias("tile"), (F.col("offset") + F.col("at")).alias("base"))
+    found = own.mapInArrow(step, "k int, value long, pos long")
+    return found.join(patterns, ["k", "value"]).select("query_id", "k", "w", "rc", "pos", "mismatches")
+
+
+def motif_centres(hit: DataFrame) -> DataFrame:
+    """hits with centre: the middle of the query's window if it lay around the occurrence."""
+    start = F.when(F.col("rc"), F.col("pos") - (K.K - F.col("k") - F.col("w"))).otherwise(F.col("pos") - F.col("w"))
+    return hit.withColumn("centre", start + K.K // 2)
+
 
-    texts: pos and w, the genome's windows of k letters; queries: query_id and q.  Patterns are a table that is joined by equality, so any number
-    of queries takes one pass."""
-    each = queries.select("query_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(K.K - k)), lambda w: F.substring(K.unpack(F.col("q")), w + 1, F.lit(k)))).alias("at", "p"))
-    both = each.select("query_id", "at", "p", F.lit(False).alias("rc")).unionByName(each.select("query_id", "at", K.revcomp_text(F.col("p")).alias("p"), F.lit(True).alias("rc")))
-    return texts.select("pos", F.col("w").alias("p")).join(both, "p").select("query_id", F.col("at").alias("w"), "pos", "rc")
+def residual(variants: DataFrame, k: int = 12, w: int | None = None) -> DataFrame:
+    """Variants (with q) whose k letters at an offset, the middle by default, are not the query's: what a central motif leaves of a neighbourhood."""
+    w = (K.K - k) // 2 if w is None else w
+    return variants.where(K.window(F.col("variant"), k, w) != K.window(F.col("q"), k, w))
 
 
-def motif_centres(hit: DataFrame, k: int) -> DataFrame:
-    """hits with centre: the middle of the query's window if it lay around the occurrence."""
-    start = F.when(F.col("rc"), F.col("pos") - (K.K - k - F.col("w"))).otherwise(F.col("pos") - F.col("w"))
-    return hit.withColumn("centre", start + K.K // 2)
+def without_motif(variants: DataFrame, k: int, w: int) -> DataFrame:
+    """Variants (with q) that have the query's k letters at offset w at no offset, in either orientation: what the best motif leaves."""
+    own, turned = K.window(F.col("q"), k, w), K.window(K.revcomp(F.col("q")), k, K.K - k - w)
+    has = F.lit(False)
+    for o in range(K.K - k + 1):
+        here = K.window(F.col("variant"), k, o)
+        has = has | (here == own) | (here == turned)
+    return variants.where(~has)
 
 
 def contains_motif(variant, motif: str):

@@ -27,16 +27,49 @@ def random_absent(kmers: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return absent(kmers, kmers.sparkSession.createDataFrame(rows, "query_id string, q long")).orderBy("query_id").limit(n)
 
 
-def shuffled_twins(spark: SparkSession, queries: list[tuple[str, str]], kmers: DataFrame, seed: int = 0, tries: int = 20) -> DataFrame:
-    """For each query, its letters in another order that the genome lacks: the first of some tries."""
-    rng, rows = random.Random(seed), []
-    for i, q in queries:
-        for t in range(tries):
-            x = list(q)
-            rng.shuffle(x)
-            rows.append((i, t, "".join(x)))
-    own = spark.createDataFrame(rows, "query_id string, t int, text string").withColumn("q", K.pack_clean(F.col("text")))
-    return absent(kmers, own).groupBy("query_id").agg(F.min_by("q", "t").alias("q"))
+def shuffled_twins(spark: SparkSession, queries: list[tuple[str, str]], kmers: DataFrame, seed: int = 0, tries: int = 1000, at_once: int = 20) -> DataFrame:
+    """For each query, its letters in another order that the genome lacks: the first of so many tries, a few at once for those that have none yet.  A query without
+    any has no row."""
+    rng, found, missing = random.Random(seed), [], dict(queries)
+    for first in range(0, tries, at_once):
+        rows = [(i, t, "".join(rng.sample(q, len(q)))) for i, q in missing.items() for t in range(first, first + at_once)]
+        own = spark.createDataFrame(rows, "query_id string, t int, text string").withColumn("q", K.pack_clean(F.col("text")))
+        got = absent(kmers, own).groupBy("query_id").agg(F.min_by("q", "t").alias("q")).collect()  # at most a row a query
+        found += [(r.query_id, r.q) for r in got]
+        for r in got:
+            del missing[r.query_id]
+        if not missing:
+            break
+    return spark.createDataFrame(found, "query_id string, q long")
+
+
+def centred(points: DataFrame, site: DataFrame, name: str, n: int, seed: int = 0) -> DataFrame:
+    """class, query_id, q and own of n windows that lie around given places (column pos: the middle), by hash; places without a clean window are passed over."""
+    own = points.select((F.col("pos") - K.K // 2).alias("pos")).distinct().join(site.select("pos", "fwd"), "pos")
+    own = own.orderBy(F.xxhash64("pos", F.lit(seed)), "pos").limit(n)
+    return own.select(F.lit(name).alias("class"), F.concat(F.lit(f"{name}:"), "pos").alias("query_id"), F.col("fwd").alias("q"), F.col("pos").alias("own"))
+
+
+def query_classes(site: DataFrame, kmers: DataFrame, n: int, motif: DataFrame | None = None, peaks: DataFrame | None = None, repeats: DataFrame | None = None, seed: int = 0) -> DataFrame:
+    """class, query_id, q and own (null: none): the queries of a study, n of each class.
+
+    unique: windows that come once; motif: around occurrences of a motif (pos: its middle); summit: around the strongest local maxima of a
+    track (pos); te: windows inside features (start, end); for each of them a twin `<class>_shuf`; absent: random windows."""
+    spark = kmers.sparkSession
+    once = site.join(kmers.where("copies = 1").select("kmer"), "kmer", "left_semi")
+    out = once.orderBy(F.xxhash64("pos", F.lit(seed)), "pos").limit(n).select(F.lit("unique").alias("class"), F.concat(F.lit("unique:"), "pos").alias("query_id"), F.col("fwd").alias("q"), F.col("pos").alias("own"))
+    for name, points in (("motif", motif), ("summit", peaks)):
+        if points is not None:
+            out = out.unionByName(centred(points, site, name, n, seed))
+    if repeats is not None:
+        inside = repeats.where(F.col("end") - F.col("start") >= K.K).select((F.col("start") + F.pmod(F.xxhash64("start", "end", F.lit(seed)), F.col("end") - F.col("start") - K.K + 1) + K.K // 2).alias("pos"))
+        out = out.unionByName(centred(inside, site, "te", n, seed))
+    out = out.persist()
+    genomic = [(f"{r['class']}_shuf/{r.query_id}", r.w) for r in out.select("class", "query_id", K.unpack(F.col("q")).alias("w")).collect()]  # n a class
+    twins = shuffled_twins(spark, genomic, kmers, seed) if genomic else spark.createDataFrame([], "query_id string, q long")
+    twins = twins.select(F.split("query_id", "/")[0].alias("class"), "query_id", "q", F.lit(None).cast("long").alias("own"))
+    none = random_absent(kmers, n, seed).select(F.lit("absent").alias("class"), "query_id", "q", F.lit(None).cast("long").alias("own"))
+    return out.unionByName(twins).unionByName(none)
 
 
 def fit_line(rows: list[tuple[float, float]]) -> tuple[float, float] | None:

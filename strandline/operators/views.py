@@ -104,9 +104,14 @@ def sites_page(hit: DataFrame, start: int, end: int, limit: int = 5000) -> DataF
     return ranked.join(F.broadcast(total), "query_id").drop("k")
 
 
-def export_rows(hit: DataFrame, names: DataFrame, bed: bool = False) -> DataFrame:
-    """Sites as the TSV (places from 1) or BED (from 0) export has them, in the order of place.  names: contig_id, name."""
-    own = hit.join(names.select("contig_id", "name"), "contig_id").orderBy("query_id", "pos", "strand", "variant")
+def export_rows(hit: DataFrame, names: DataFrame, bed: bool = False, order: DataFrame | None = None) -> DataFrame:
+    """Sites as the TSV (places from 1; with the variant's row, if there is an order) or BED (from 0) export has them, in the order of place.  names: contig_id, name;
+    order: query_id, row and variant or vi of the hits."""
+    own = hit.join(names.select("contig_id", "name"), "contig_id")
+    if order is not None:
+        own = own.join(order.select("query_id", "vi", "row"), ["query_id", "vi"])
+    own = own.orderBy("query_id", "pos", "strand", "variant")
     start = F.col("start") if bed else F.col("start") + 1
-    end = F.col("start") + K.K
-    return own.select(F.col("name").alias("contig"), start.alias("start"), end.alias("end"), K.unpack(F.col("variant")).alias("variant"), "mismatches", "strand")
+    end, variant = F.col("start") + K.K, K.unpack(F.col("variant")).alias("kmer" if order is not None else "variant")
+    last = ["strand", variant, "mismatches", "row"] if order is not None else [variant, "mismatches", "strand"]
+    return own.select(F.col("name").alias("contig"), start.alias("start"), end.alias("end"), *last)

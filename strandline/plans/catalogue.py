@@ -494,13 +494,48 @@ def thinned_sites(spark, sf):
     return P.thinned(_all_sites(spark, sf))
 
 
-_M = 12
+_MOTIF = 12
 
 
-@query(f"WITH {O.QUERIES}, m AS (SELECT query_id, i::INTEGER AS w, substr(q, i + 1, {_M}) AS p FROM q, range({31 - _M + 1}) AS r(i)), m2 AS (SELECT query_id, w, p, false AS rc FROM m UNION ALL SELECT query_id, w, reverse(translate(p, 'ACGT', 'TGCA')), true FROM m), t AS (SELECT off + i AS pos, substr(seq, i + 1, {_M}) AS p FROM (SELECT off, seq, unnest(range(len - {_M - 1})) AS i FROM g WHERE len >= {_M})) SELECT query_id, w, pos, rc, CASE WHEN rc THEN pos - (31 - {_M} - w) ELSE pos - w END + 15 AS centre FROM t JOIN m2 USING (p)")
+def _motif_sql(k: int) -> str:
+    return f"SELECT query_id, {k} AS k, i::INTEGER AS w, substr(q, i + 1, {k}) AS p FROM q, range({31 - k + 1}) AS r(i)"
+
+
+def _windows_sql(k: int) -> str:
+    return f"SELECT {k} AS k, off + a + i AS pos, substr(bit, i + 1, {k}) AS p FROM (SELECT off, a, bit, unnest(range(least(512, length(bit) - {k - 1}))) AS i FROM mb)"
+
+
+@query(f"""WITH {O.QUERIES}, m AS ({_motif_sql(8)} UNION ALL {_motif_sql(10)} UNION ALL {_motif_sql(12)}), m2 AS (SELECT query_id, k, w, p, false AS rc FROM m UNION ALL SELECT query_id, k, w, reverse(translate(p, 'ACGT', 'TGCA')), true FROM m),
+mb AS (SELECT off, a, substr(seq, a + 1, 512 + 11) AS bit FROM (SELECT off, seq, unnest(range(0, len - 7, 512)) AS a FROM g WHERE len >= 8)),
+t AS ({_windows_sql(8)} UNION ALL {_windows_sql(10)} UNION ALL {_windows_sql(12)}),
+h AS (SELECT query_id, k, w, rc, pos, CASE WHEN rc THEN pos - (31 - k - w) ELSE pos - w END + 15 AS centre FROM t JOIN m2 USING (k, p))
+SELECT query_id, k, w, rc, count(*) AS hits, min(pos) AS first_pos, max(pos) AS last_pos, sum(centre)::BIGINT AS centres FROM h GROUP BY ALL""")
 def exact_motif_hits(spark, sf):
-    own = G.texts_of_windows(X.genome(spark, sf), _M).join(X.contigs(spark, sf).select("contig_id", "offset"), "contig_id").select((F.col("offset") + F.col("start")).alias("pos"), "w")
-    return P.motif_centres(P.motif_hits(own, X.queries(spark, sf), _M), _M)
+    """Occurrences of every 8, 10 and 12 letters of the stated queries in either orientation, in one pass, summed up by motif."""
+    genome = X.genome(spark, sf).join(X.contigs(spark, sf).select("contig_id", "offset"), "contig_id")
+    hit = P.motif_centres(P.motif_hits(genome, X.queries(spark, sf), [8, 10, 12]))
+    return hit.groupBy("query_id", "k", "w", "rc").agg(F.count(F.lit(1)).alias("hits"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.sum("centre").alias("centres"))
+
+
+@query(f"""WITH {O.QUERIES}, m AS (SELECT query_id, substr(q, 10, {_MOTIF}) AS p FROM q), m2 AS (SELECT query_id, p, false AS rc FROM m UNION ALL SELECT query_id, reverse(translate(p, 'ACGT', 'TGCA')), true FROM m),
+mb AS (SELECT off, a, substr(seq, a + 1, 512 + 11) AS bit FROM (SELECT off, seq, unnest(range(0, len - 11, 512)) AS a FROM g WHERE len >= 12)), t AS ({_windows_sql(_MOTIF)})
+SELECT query_id, rc, pos, hamming(t.p, m2.p)::INTEGER AS mismatches FROM t, m2 WHERE NOT contains(t.p, 'N') AND hamming(t.p, m2.p) <= 1""")
+def near_motif_hits(spark, sf):
+    """Occurrences of the stated queries' central twelve letters with up to one letter changed."""
+    genome = X.genome(spark, sf).join(X.contigs(spark, sf).select("contig_id", "offset"), "contig_id")
+    return P.motif_hits(genome, X.queries(spark, sf), [_MOTIF], 1).where("w = 9").select("query_id", "rc", "pos", "mismatches")
+
+
+@query(f"WITH {O.variants(N)} SELECT query_id, vi, variant FROM v WHERE substr(variant, 10, 12) <> substr(q, 10, 12)")
+def motif_residual(spark, sf):
+    """Variants that the central twelve letters do not explain."""
+    return P.residual(X.variants(spark, sf, N)).select("query_id", "vi", text("variant"))
+
+
+@query(f"WITH {O.variants(N)} SELECT query_id, vi, variant FROM v WHERE NOT contains(variant, substr(q, 5, 8)) AND NOT contains(variant, reverse(translate(substr(q, 5, 8), 'ACGT', 'TGCA')))")
+def best_motif_residual(spark, sf):
+    """Variants without the query's eight letters from the fifth on, at any offset and in either orientation."""
+    return P.without_motif(X.variants(spark, sf, N), 8, 4).select("query_id", "vi", text("variant"))
 
 
 # What the other operators leave.

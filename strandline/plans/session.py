@@ -14,10 +14,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import ball, kmer as K
-from ..operators import search, tree, views
+from ..operators import sampling, search, tree, views
 from ..sources import store
 
-MOST_N, KEPT_RESULTS, KEPT_JOBS = 17, 8, 256
+MOST_N, KEPT_RESULTS, KEPT_JOBS, KEPT_ORDERS = 17, 8, 256, 16
 FINAL = ("ready", "failed", "cancelled")
 _TURN = str.maketrans("ACGT", "TGCA")
 
@@ -55,7 +55,9 @@ class Session:
         self.spark, self.path = spark, path
         self.manifest = store.read_json(spark, f"{path}/manifest.json")
         self.kmers, self.sites, self.contigs = (store.table(spark, path, t) for t in ("kmers", "sites", "contigs"))
-        self.names = {r.name: r.asDict() for r in self.contigs.orderBy(F.desc("contig_id")).collect()}  # the first of equal names wins
+        self.walks = search.Walks.stored(spark, path, self.manifest["prefix"], self.manifest["folder"])
+        self.costs: dict = store.read_json(spark, f"{path}/costs.json", {})
+        self.orders: OrderedDict[tuple, DataFrame] = OrderedDict()
         self.jobs: OrderedDict[int, Job] = OrderedDict()
         self.cache: OrderedDict[tuple[str, int], DataFrame] = OrderedDict()
         self.lock, self.heavy = threading.Lock(), threading.Semaphore(1)
@@ -75,9 +77,30 @@ class Session:
     def at(self, name: str, start: int) -> str:
         if start < 1:
             raise ValueError("places begin at 1")
-        if name not in self.names:
+        return self.at_pos(self.contig(name)["offset"] + start - 1)
+
+    def contig(self, name: str) -> dict:
+        """By its name (the first of equal ones), or by the name that it is shown under."""
+        row = self.contigs.where(F.col("name") == name).orderBy("contig_id").first()
+        shown = None if row else next((c for c, d in store.registry(self.spark, self.path).get("display", {}).items() if d == name), None)
+        if shown is not None:
+            row = self.contigs.where(F.col("contig_id") == int(shown)).first()
+        if row is None:
             raise NotFound(name)
-        return self.at_pos(self.names[name]["offset"] + start - 1)
+        return row.asDict()
+
+    def calibrate(self, steps: tuple[int, ...] = (0, 4, 8)) -> dict:
+        """Measures both engines on the index's top window and fits the constants of `search.plan`, which later searches go by; they are kept beside the index."""
+        own = search.top_copy(self.kmers).select(F.lit("q").alias("query_id"), F.col("kmer").alias("q")).persist()
+        distinct, p = self.manifest["distinct"], self.manifest["prefix"]
+        run = lambda engine, n: sampling.timed(lambda: search.search(self.kmers, own, n, engine, walks=self.walks).count())
+        scans = sampling.fit_line([(0.0, run("scan", 0)), (float(distinct), run("scan", steps[-1]))])
+        walks = sampling.fit_line([(ball.walk_steps(p, n) + 4 * distinct * min(1.0, ball.ball(p, n // 2) / 4**p), run("pigeonhole", n)) for n in steps])
+        own.unpersist()
+        (a, b), (c, d) = scans or (0.0, 0.0), walks or (0.0, 0.0)
+        self.costs = {"scan_ns": (a + b * distinct) / max(distinct, 1) * 1e9, "walk_ns": d * 1e9, "fixed_ns": c * 1e9, "parallel_ns": 0.0}
+        store.write_json(self.spark, f"{self.path}/costs.json", self.costs)
+        return self.costs
 
     def at_pos(self, pos: int) -> str:
         row = self.sites.where(F.col("pos") == pos).select(K.unpack(F.col("fwd")).alias("w")).first()
@@ -117,13 +140,13 @@ class Session:
     def _run(self, job: Job) -> None:
         group = f"query-{job.id}"
         try:
-            plan = search.plan(self.manifest["distinct"], job.max_n)
+            plan = search.plan(self.manifest["distinct"], job.max_n, self.manifest["prefix"], **self.costs)
             with self.heavy:
                 if not job.to("searching"):
                     return
                 self.spark.sparkContext.setJobGroup(group, job.text, True)
                 own = search.query_table(self.spark, {"q": job.canonical})
-                found = search.result_set(search.search(self.kmers, own, job.max_n, plan["engine"])).persist()
+                found = search.result_set(search.search(self.kmers, own, job.max_n, plan["engine"], walks=self.walks)).persist()
                 found.count()
             if not job.to("ordering"):
                 found.unpersist()
@@ -165,14 +188,26 @@ class Session:
 
     def status(self, job: Job) -> list[dict]:
         own = search.by_mismatch(self._result(job), self.kmers, job.max_n)
-        return [r.asDict() for r in own.drop("query_id").orderBy("mismatches").collect()]
+        # Noisy: chance alone would find over half as many.
+        return [r.asDict() | {"noisy": r.expected_chance_hits > 0.5 * r.cum_variants} for r in own.drop("query_id").orderBy("mismatches").collect()]
 
     def ordered(self, job: Job, n: int | None = None) -> DataFrame:
         """query_id, row, vi.  A frozen order is ranked at the job's own max_n, whatever cached result serves it."""
         own, n = self._result(job), self._n(job, n)
+        key = job.canonical, job.order, n, job.max_n if job.order == "frozen" else n
+        with self.lock:
+            if key in self.orders:
+                self.orders.move_to_end(key)
+                return self.orders[key]
         if job.order == "mst" and tree.order_mode("mst", own.where(F.col("mismatches") <= n).count()) == "mst":
-            return tree.mst(own, n)
-        return tree.ordered(own, n, job.max_n if job.order == "frozen" else None)
+            made = tree.mst(own, n).persist()
+        else:
+            made = tree.ordered(own, n, job.max_n if job.order == "frozen" else None).persist()
+        with self.lock:
+            self.orders[key] = made
+            while len(self.orders) > KEPT_ORDERS:
+                self.orders.popitem(last=False)[1].unpersist()
+        return made
 
     def result_sites(self, job: Job, n: int | None = None) -> DataFrame:
         return search.result_sites(self._result(job).where(F.col("mismatches") <= self._n(job, n)), self.sites)
@@ -210,4 +245,4 @@ class Session:
         return own.orderBy("row")
 
     def summary(self) -> dict:
-        return {k: self.manifest[k] for k in ("name", "k", "genome_len", "distinct", "sites", "prefix")} | {"contigs": len(self.names), "chance": [ball.expected_chance_hits(self.manifest["distinct"], n) for n in range(MOST_N + 1)]}
+        return {k: self.manifest[k] for k in ("name", "k", "genome_len", "distinct", "sites", "prefix")} | {"contigs": self.contigs.count(), "chance": [ball.expected_chance_hits(self.manifest["distinct"], n) for n in range(MOST_N + 1)]}

@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import json
 import struct
+from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .functions import kmer as K
 from .operators import features as FE, tracks as T, views
 from .plans.session import Job, NotFound, Session
 from .sources import store
 
-MOST_LETTERS, MOST_WIDTH = 1_000_000, 16_384
+MOST_LETTERS, MOST_WIDTH, MOST_CONTIGS = 1_000_000, 16_384, 100_000
+#: Bytes of an export that are sent at once.
+PIECE = 1 << 20
 
 
 class Api:
-    """Each route gives (content type, bytes, headers)."""
+    """Each route gives (content type, bytes or pieces of them, headers)."""
 
     def __init__(self, session: Session) -> None:
         self.s = session
@@ -33,7 +36,7 @@ class Api:
             case ["health"]:
                 return self.json({"status": "ok"} | s.summary())
             case ["genome"]:
-                return self.json(s.summary() | {"contigs": [c for c in s.names.values()]})
+                return self.json(s.summary() | {"contigs": [r.asDict() for r in s.contigs.orderBy("contig_id").limit(MOST_CONTIGS).collect()]})
             case ["tracks"]:
                 return self.json(store.registry(s.spark, s.path))
             case ["tracks", name]:
@@ -119,12 +122,23 @@ class Api:
                 return self.json({"total": rows[0].total if rows else 0, "sites": [{k: v for k, v in r.asDict().items() if k != "total"} for r in rows]})
             case "export":
                 bed = q.get("format") == "bed"
-                rows = views.export_rows(s.hits(job, n).where((F.col("pos") + K.K > a) & (F.col("pos") < b)), s.contigs, bed)
-                lines = ("\t".join(map(str, r)) + "\n" for r in rows.toLocalIterator())
-                head = "" if bed else "contig\tstart\tend\tvariant\tmismatches\tstrand\n"
-                return "text/tab-separated-values", (head + "".join(lines)).encode(), {"Content-Disposition": f'attachment; filename="{job.text}_n{s._n(job, n)}.{"bed" if bed else "tsv"}"'}
+                hit = s.hits(job, n).where((F.col("pos") + K.K > a) & (F.col("pos") < b))
+                rows = views.export_rows(hit, s.contigs, bed, None if bed else s.ordered(job, n))
+                head = [] if bed else ["contig\tstart\tend\tstrand\tkmer\tmismatches\trow\n"]
+                return "text/plain", self.pieces(head, rows), {"Content-Disposition": f'attachment; filename="{job.text}_n{s._n(job, n)}.{"bed" if bed else "tsv"}"'}
         raise NotFound(view)
 
+    def pieces(self, head: list[str], rows: DataFrame) -> Iterator[bytes]:
+        """Lines in pieces; the driver holds one partition of rows and one piece."""
+        held, size = head, 0
+        for r in rows.toLocalIterator():
+            held.append("\t".join(map(str, r)) + "\n")
+            size += len(held[-1])
+            if size >= PIECE:
+                yield "".join(held).encode()
+                held, size = [], 0
+        yield "".join(held).encode()
+
     def post(self, path: list[str], body: dict) -> tuple[str, bytes, dict]:
         if path != ["queries"]:
             raise NotFound("/".join(path))
@@ -164,10 +178,13 @@ def serve(session: Session, host: str = "127.0.0.1", port: int = 8080) -> Thread
                 code, got = 400, api.json({"error": str(e)})
             kind, data, headers = got
             self.send_response(code)
-            for k, v in {"Content-Type": kind, "Content-Length": str(len(data)), **headers}.items():
+            whole = isinstance(data, bytes)
+            for k, v in {"Content-Type": kind, **({"Content-Length": str(len(data))} if whole else {"Connection": "close"}), **headers}.items():
                 self.send_header(k, v)
             self.end_headers()
-            self.wfile.write(data)
+            for piece in [data] if whole else data:
+                self.wfile.write(piece)
+            self.close_connection = self.close_connection or not whole
 
         def do_GET(self) -> None:
             self._do("GET")

@@ -154,21 +154,22 @@ _CODE = np.full(256, 4, np.uint8)
 _CODE[np.frombuffer(b"ACGTacgt", np.uint8)] = [0, 1, 2, 3, 0, 1, 2, 3]
 
 
-def packed_windows(letters: bytes) -> tuple[np.ndarray, np.ndarray]:
+def packed_windows(letters: bytes, k: int = K.K) -> tuple[np.ndarray, np.ndarray]:
     """(start, packed) of the clean windows of a piece, by doubling: runs of 1, 2, 4, 8 and 16 letters make 31."""
     code = _CODE[np.frombuffer(letters, np.uint8)]
-    n = len(code) - K.K + 1
+    n = len(code) - k + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     bad = np.concatenate(([0], np.cumsum(code == 4)))
     run, size, out, have = code.astype(np.int64) & 3, 1, np.zeros(n, np.int64), 0
     while True:
-        out = (out << 2 * size) | run[have : have + n]
-        have += size
-        if have == K.K:
-            break
+        if k & size:
+            out = (out << 2 * size) | run[have : have + n]
+            have += size
+            if have == k:
+                break
         run, size = (run[:-size] << 2 * size) | run[size:], size * 2
-    start = np.flatnonzero(bad[K.K :] == bad[:n])
+    start = np.flatnonzero(bad[k:] == bad[:n])
     return start, out[start]
 
 

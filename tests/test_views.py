@@ -138,7 +138,7 @@ def test_thinned_sites_and_permutations_reach_the_whole_genome(spark):
     own = catalogue.QUERIES["thinned_sites"](spark, sf)
     assert own.agg(F.max("pos")).first()[0] > 1_000_000
     length = fixtures.contigs(spark, sf).agg(F.max(F.col("offset") + F.col("len"))).first()[0]
-    assert length - 100_000 < fixtures.whole_signal(spark, sf).agg(F.max("start")).first()[0] < length
+    assert length - 100_000 < fixtures.signal(spark, sf).agg(F.max("start")).first()[0] < length
     effective = {min(r["count"], 500) for r in own.groupBy("query_id").count().collect()}
     got = {r.median_sites for r in catalogue.QUERIES["permutation_study"](spark, sf).collect()}
     assert got and got <= effective
