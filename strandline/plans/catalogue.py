@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import ball, kmer as K
 from ..operators import features as FE, profiles as P, search as S, tracks as T, tree, views as V
-from ..sources import genome as G
+from ..sources import annotations as A, genome as G, shared, store
 from . import fixtures as X, oracle as O
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -602,3 +602,174 @@ def permutation_study(spark, sf):
     rows = P.tested(stats).join(level, ["query_id", "track"]).join(count, "query_id")
     rows = rows.select(F.when(F.col("query_id") == "top", "te").otherwise("unique").alias("class"), "track", F.lit(4).alias("n"), "effective", "z", "p", "level_p")
     return P.class_summary(rows).withColumns({"share": F.round("share", 9), "median_z": F.round(F.col("median_z") + _OFF, 5), "level_share": F.round("level_share", 9)})
+
+
+# Files: written from the tables in the shared folder, and read back.
+
+
+def _folder(spark, sf, what: str, write) -> str:
+    """A folder that is written once per session and input."""
+    key = spark.sparkContext.applicationId, sf, what
+    if key not in _WRITTEN:
+        path = shared.new_folder(spark, what)
+        write(path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
+
+
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+@query(f"WITH {O.GENOME} SELECT row_number() OVER (ORDER BY contig_id % 2 DESC, contig_id) - 1 AS contig_id, name, coalesce(lang, '') AS description, len, md5(seq) AS letters FROM g")
+def fasta_files_read(spark, sf):
+    """Two FASTA files, that of the odd contigs first and gzipped, read as one genome."""
+
+    def write(path: str) -> None:
+        own = G.fasta_lines(X.genome(spark, sf))
+        for odd in (1, 0):
+            own.where(F.pmod("contig_id", F.lit(2)) == odd).repartition(1).sortWithinPartitions("contig_id").select("value").write.option("compression", "gzip" if odd else "none").text(f"{path}/{odd}")
+
+    path = _folder(spark, sf, "fasta", write)
+    own = G.read_fasta(spark, [f"{path}/1", f"{path}/0"])
+    return own.select("contig_id", "name", "description", F.length("seq").cast("long").alias("len"), F.md5("seq").alias("letters"))
+
+
+def _index(spark, sf) -> str:
+    return _folder(spark, sf, "index", lambda path: store.build(X.genome(spark, sf).drop("source"), path))
+
+
+_RANKED = f"WITH {O.SITES}, r AS (SELECT kmer, copies, row_number() OVER (ORDER BY kmer) - 1 AS leaf FROM k)"
+
+
+@query(f"{_RANKED} SELECT substr(kmer, 1, 5) AS lead, count(*) AS kmers, sum(copies)::BIGINT AS copies, min(leaf) AS first_leaf, max(leaf) AS last_leaf, sum(leaf)::BIGINT AS leaves, min(kmer) AS least FROM r GROUP BY 1")
+def index_leaves(spark, sf):
+    """Dense ranks of the index on disk, summed up by five letters."""
+    own = store.table(spark, _index(spark, sf), "kmers").groupBy(K.prefix(F.col("kmer"), 5).cast("long").alias("lead"))
+    own = own.agg(F.count(F.lit(1)).alias("kmers"), F.sum("copies").alias("copies"), F.min("leaf").alias("first_leaf"), F.max("leaf").alias("last_leaf"), F.sum("leaf").alias("leaves"), F.min("kmer").alias("least"))
+    return own.withColumns({"lead": K.unpack(F.col("lead"), 5), "least": K.unpack(F.col("least"))})
+
+
+@query(f"{_RANKED} SELECT substr(kmer, 16) || substr(kmer, 1, 15) AS rotated, leaf FROM r ORDER BY rotated LIMIT 5000")
+def index_rotated(spark, sf):
+    """The rotated copy's order: its first five thousand windows, with their ranks."""
+    return store.table(spark, _index(spark, sf), "kmers").orderBy("rotated").limit(5000).select(text("rotated"), "leaf")
+
+
+@query(f"WITH {O.variants(4)} SELECT query_id, variant, mismatches, leaf, flipped FROM v")
+def index_walks_n4(spark, sf):
+    """A pigeonhole search of the index on disk, by its stored prefix length."""
+    path = _index(spark, sf)
+    m = store.read_json(spark, f"{path}/manifest.json")
+    found = S.pigeonhole(S.Walks.stored(spark, path, m["prefix"], m["folder"]), X.queries(spark, sf), 4)
+    return found.select("query_id", text("variant"), "mismatches", text("leaf"), "flipped")
+
+
+@query(f"WITH {O.GENOME} SELECT contig_id, len, md5(replace(seq, 'N', 'A')) AS letters FROM g WHERE len > 0")
+def packed_sequence(spark, sf):
+    """The packed letters of the index on disk, unpacked contig by contig; letters that are none of four are the first."""
+    four = F.udf(lambda bits, n: store.unpacked(bytes(bits), n), "string")
+    own = store.table(spark, _index(spark, sf), "tiles").select("contig_id", F.struct("at", four("bits", "n").alias("text")).alias("t"), F.col("n").cast("long").alias("n"))
+    own = own.groupBy("contig_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["text"]), "").alias("seq"), F.sum("n").alias("len"))
+    return own.select("contig_id", "len", F.md5("seq").alias("letters"))
+
+
+def _lines(spark, sf, what: str, rows) -> str:
+    return _folder(spark, sf, what, lambda path: rows().write.text(path))
+
+
+_LINED = "d AS (SELECT doc_id, lang, source, length(coalesce(text, '')) AS n FROM documents)"
+
+
+def _docs(spark, sf) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "source", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
+
+
+_PLACED = f"WITH {O.GENOME}, {_LINED}, f AS (SELECT off + {{a}} AS start, off + least({{b}}, len) AS end_, {{kind}} AS kind, {{name}} AS name, {{strand}} AS strand, {{a}} AS a_, least({{b}}, len) AS b_ FROM d JOIN g ON g.contig_id = d.doc_id WHERE {{where}}) SELECT '{{set}}' AS \"set\", start, end_ AS \"end\", kind, name, strand FROM f WHERE a_ < b_"
+
+
+@query(_PLACED.format(a="doc_id % 40", b="doc_id % 40 + 50", kind="d.lang", name="'a b%' || doc_id", strand="CASE WHEN doc_id % 2 = 0 THEN '+' ELSE '-' END", where="doc_id % 7 <> 3", set="genes"))
+def gff_features(spark, sf):
+    """A GFF3 line a document: names are percent-coded, ends are clamped to the contig, every seventh line has no number, and contigs of another name are unknown."""
+
+    def rows() -> DataFrame:
+        d = _docs(spark, sf)
+        start = F.when(F.pmod("doc_id", F.lit(7)) == 3, F.lit("x")).otherwise((F.col("doc_id") % 40 + 1).cast("string"))
+        line = F.concat_ws("\t", F.concat(F.lit("doc"), "doc_id"), F.lit("s"), "lang", start, (F.col("doc_id") % 40 + 50).cast("string"), F.lit("."), F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-"), F.lit("."), F.concat(F.lit("ID=i;Name=a%20b%25"), "doc_id", F.lit(";Note=z")))
+        own = d.select(line.alias("value"))
+        more = ["# a comment", "", "doc1\ts\tregion\t1\t9\t.\t+\t.\tID=r", "nowhere\ts\tgene\t1\t9\t.\t+\t.\tID=u"]
+        return own.union(spark.createDataFrame([(x,) for x in more], "value string"))
+
+    return A.place(A.read_gff(spark, _lines(spark, sf, "gff", rows)), X.contigs(spark, sf), set_name="genes")[0]
+
+
+@query(_PLACED.format(a="doc_id % 30", b="doc_id % 30 + 45", kind="'cls/' || d.lang", name="'rep' || doc_id % 5", strand="CASE WHEN doc_id % 3 = 0 THEN '-' ELSE '+' END", where="true", set="repeats"))
+def repeatmasker_features(spark, sf):
+    def rows() -> DataFrame:
+        line = F.concat_ws("  ", F.lit("  12"), F.lit("1.0 0.0 0.0"), F.concat(F.lit("doc"), "doc_id"), (F.col("doc_id") % 30 + 1).cast("string"), (F.col("doc_id") % 30 + 45).cast("string"), F.lit("(0)"), F.when(F.col("doc_id") % 3 == 0, "C").otherwise("+"), F.concat(F.lit("rep"), F.col("doc_id") % 5), F.concat(F.lit("cls/"), "lang"), F.lit("1 2"))
+        heads = spark.createDataFrame([("   SW   perc perc perc  query     position in query",), ("",), ("score   div. del. ins.  sequence  begin end (left) x repeat class",)], "value string")
+        return _docs(spark, sf).select(line.alias("value")).union(heads)
+
+    return A.place(A.read_repeatmasker(spark, _lines(spark, sf, "rmsk", rows)), X.contigs(spark, sf), set_name="repeats")[0]
+
+
+@query(_PLACED.format(a="doc_id % 25", b="doc_id % 25 + 60", kind="'peak'", name="CASE WHEN doc_id % 4 = 0 THEN 'AC' ELSE 'n' || doc_id END", strand="CASE WHEN doc_id % 4 = 0 THEN '.' WHEN doc_id % 2 = 0 THEN '+' ELSE '-' END", where="true", set="peaks"))
+def bed_features(spark, sf):
+    """BED lines of six columns, and of sixteen for tandem repeats, which the last column names."""
+
+    def rows() -> DataFrame:
+        base = F.concat_ws("\t", F.concat(F.lit("doc"), "doc_id"), (F.col("doc_id") % 25).cast("string"), (F.col("doc_id") % 25 + 60).cast("string"))
+        plain = F.concat_ws("\t", base, F.concat(F.lit("n"), "doc_id"), F.lit("0"), F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-"))
+        line = F.when(F.col("doc_id") % 4 == 0, F.concat(base, F.lit("\ttrf" + "\t0" * 11 + "\tAC"))).otherwise(plain)
+        return _docs(spark, sf).select(line.alias("value")).union(spark.createDataFrame([("track name=x",), ("browser position",), ("# c",), ("",)], "value string"))
+
+    return A.place(A.read_bed(spark, _lines(spark, sf, "bed", rows), "peak"), X.contigs(spark, sf), set_name="peaks")[0]
+
+
+@query(f"WITH {O.GENOME}, {_LINED} SELECT 't' AS track, off + doc_id % 20 AS start, off + least(doc_id % 20 + 40, len) AS \"end\", n / 4.0 AS value FROM d JOIN g ON g.contig_id = d.doc_id WHERE doc_id % 20 < least(doc_id % 20 + 40, len)")
+def bedgraph_signal(spark, sf):
+    """bedGraph lines by alias: every contig's second name, in a chain of two rows."""
+
+    def rows() -> DataFrame:
+        return _docs(spark, sf).select(F.concat_ws(" ", F.concat(F.lit("second"), "doc_id"), (F.col("doc_id") % 20).cast("string"), (F.col("doc_id") % 20 + 40).cast("string"), (F.col("n") / 4.0).cast("string")).alias("value"))
+
+    return A.signal_of(A.read_bedgraph(spark, _lines(spark, sf, "bedgraph", rows)), X.contigs(spark, sf), "t", _aliases(spark, sf)).select("track", "start", "end", "value")
+
+
+def _aliases(spark, sf) -> DataFrame:
+    def rows() -> DataFrame:
+        d = _docs(spark, sf)
+        first = d.select(F.col("doc_id").alias("i"), F.lit(0).alias("k"), F.concat_ws("\t", F.concat(F.lit("doc"), "doc_id"), F.concat(F.lit("c"), "doc_id")).alias("value"))
+        second = d.select(F.col("doc_id").alias("i"), F.lit(1).alias("k"), F.concat_ws("\t", F.concat(F.lit("c"), "doc_id"), F.concat(F.lit("second"), "doc_id")).alias("value"))
+        return first.union(second).repartition(1).sortWithinPartitions("k", "i").select("value")
+
+    return A.alias_table(spark, _lines(spark, sf, "aliases", rows), X.contigs(spark, sf))
+
+
+@query(f"WITH {O.GENOME} SELECT 'doc' || contig_id AS alias, contig_id FROM g UNION ALL SELECT 'c' || contig_id, contig_id FROM g UNION ALL SELECT 'second' || contig_id, contig_id FROM g")
+def alias_names(spark, sf):
+    """Names of contigs, their aliases, and the aliases of those."""
+    return _aliases(spark, sf)
+
+
+@query(f"WITH {O.GENOME} SELECT contig_id, CASE WHEN length('c' || contig_id) < length(name) THEN 'c' || contig_id ELSE name END AS display FROM g")
+def display_names(spark, sf):
+    return A.display_names(_aliases(spark, sf), X.contigs(spark, sf))
+
+
+@query(f"WITH {O.variants(N)} {O.ordered(N, N)} SELECT g.name AS contig, s.start + 1 AS start, s.start + 31 AS \"end\", s.strand, s.variant AS kmer, s.mismatches, o.row_ AS \"row\" FROM s JOIN g USING (contig_id) JOIN o ON o.query_id = s.query_id AND o.vi = s.vi")
+def sites_export_rows(spark, sf):
+    """The export as the service streams it, with each variant's row."""
+    return V.export_rows(S.hits(X.variants(spark, sf, N), X.sites(spark, sf)), X.contigs(spark, sf), order=_order(spark, sf))
+
+
+@query(f"WITH {O.variants(N)} SELECT query_id, vi, variant, mismatches FROM v WHERE contains(variant, 'TAGT') OR contains(variant, 'ACTA')")
+def variants_with_motif(spark, sf):
+    return X.variants(spark, sf, N).where(P.contains_motif(F.col("variant"), "TAGT")).select("query_id", "vi", text("variant"), "mismatches")
+
+
+@query(f"WITH {O.variants(N)} SELECT query_id, vi, substr(q, 16) || substr(q, 1, 15) AS rotated, substr(variant, 10, 12) AS core, hamming(substr(q, 1, 15), substr(variant, 1, 15))::INTEGER AS lead, hamming(substr(q, 16), substr(variant, 16))::INTEGER AS back, rpad(substr(variant, 1, 6), 31, 'A') AS masked FROM v")
+def window_functions(spark, sf):
+    """Rotation, inner windows, mismatches of both halves, and prefixes of the variants."""
+    q, v = F.col("q"), F.col("variant")
+    lead = K.hamming_lead(q, v)
+    return X.variants(spark, sf, N).select("query_id", "vi", K.unpack(K.rotate(q)).alias("rotated"), K.unpack(K.window(v, 12, 9), 12).alias("core"), lead.alias("lead"), (K.hamming(q, v) - lead).alias("back"), K.unpack(v.bitwiseAND(F.lit(K.prefix_mask(6)))).alias("masked"))
