@@ -23,7 +23,9 @@ from .common import unused
 #: Captures of the query are dated within this year, and lists change within it.
 YEAR_START, YEAR = 1_704_067_200, 31_536_000
 DAY = 86_400
-HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+#: A host is a name, or an address: four numbers, or anything in square brackets.  Addresses have no parents.
+HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^/?#\]]*\]|[^/:?#]+)"
+ADDRESS = r"^(([0-9]+[.]){3}[0-9]+|\[.*\])$"
 
 
 def host_of(url: Column) -> Column:
@@ -33,7 +35,7 @@ def host_of(url: Column) -> Column:
 def keys_of(host: Column) -> Column:
     """The host and its parent domains of two labels or more."""
     labels = F.split(host, r"\.")
-    return F.when(F.size(labels) >= 2, F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).otherwise(F.array(host))
+    return F.when((F.size(labels) >= 2) & ~host.rlike(ADDRESS), F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).otherwise(F.array(host))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -122,7 +124,7 @@ hosts AS (
   FROM (SELECT DISTINCT host FROM cap WHERE host <> '')),
 domains AS (
   SELECT host, ('0x' || substr(md5(host), 1, 6))::BIGINT AS a
-  FROM (SELECT DISTINCT array_to_string(string_split(host, '.')[-2:], '.') AS host FROM hosts)),
+  FROM (SELECT DISTINCT CASE WHEN regexp_matches(host, '{ADDRESS}') THEN host ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS host FROM hosts)),
 entries AS (
   SELECT 'abuse' AS list, host AS key, 'block' AS action, 'add' AS change, {YEAR_START} + b % 300 * {DAY} AS "at" FROM hosts WHERE a % 4 = 0
   UNION ALL SELECT 'abuse', host, 'block', 'strike', {YEAR_START} + b % 300 * {DAY} + (1 + c % 60) * {DAY} FROM hosts WHERE a % 8 = 0
@@ -135,7 +137,7 @@ spans AS (
   SELECT * FROM (SELECT list, key, action, change, "at" AS from_s, lead("at") OVER (PARTITION BY key, list, action ORDER BY "at", change) AS to_s FROM entries)
   WHERE change = 'add' AND (to_s IS NULL OR to_s > from_s)),
 asked AS (
-  SELECT host, fetch_s, unnest(CASE WHEN len(string_split(host, '.')) >= 2
+  SELECT host, fetch_s, unnest(CASE WHEN len(string_split(host, '.')) >= 2 AND NOT regexp_matches(host, '{ADDRESS}')
     THEN list_transform(range(1, len(string_split(host, '.'))), lambda i: array_to_string(string_split(host, '.')[i:], '.')) ELSE [host] END) AS key
   FROM (SELECT DISTINCT host, fetch_s FROM cap WHERE host <> '')),
 met AS (

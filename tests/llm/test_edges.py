@@ -316,6 +316,8 @@ def test_url_lists(spark):
     got = {(r.page_id, r.verdict, r.rule_key, r.n_active) for r in url_lists.judge(captures, entries).collect()}
     assert got == {(1, "allow", "a.b.com", 2), (2, "none", None, 0), (3, "none", None, 0), (4, "block", "b.com", 1), (5, "none", None, 0), (6, "none", None, 0)}
     assert url_lists.judge(captures, entries).count() == 7
+    hosts = spark.createDataFrame([("http://10.0.0.1:8/x",), ("http://[2001:db8::1]:80/",), ("http://a.b.co/",)], "url string").select(url_lists.host_of(F.col("url")).alias("h"))
+    assert [tuple(r) for r in hosts.select("h", F.array_join(url_lists.keys_of(F.col("h")), " ")).collect()] == [("10.0.0.1", "10.0.0.1"), ("[2001:db8::1]", "[2001:db8::1]"), ("a.b.co", "a.b.co b.co")]
     assert {r.verdict for r in url_lists.judge(captures, entries.limit(0)).collect()} == {"none"} and url_lists.judge(captures.limit(0), entries).count() == 0
 
 
