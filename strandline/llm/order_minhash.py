@@ -37,10 +37,10 @@ from .components import components
 from .quality_net import BYTE, POWER, SPACE
 from .token_files import in_parts
 
-K, BANDS, SIMILARITY = 5, 32, 0.8
-#: In short texts one edit touches most runs of K words, so pairs with a text of at most SHORT words get as many sketches again over runs of SHORT_K.
+K, BANDS, SIMILARITY = 5, 64, 0.8
+#: In short texts one edit touches most runs of K words, so pairs with a text of at most SHORT words get more sketches over runs of SHORT_K.
 #: The other text of such a pair has at most SHORT / SIMILARITY words, so all texts up to there have them.
-SHORT, SHORT_K = 50, 2
+SHORT, SHORT_K, SHORT_BANDS = 50, 2, 32
 TWICE = int(SHORT / SIMILARITY)
 MEMBERS = 200
 #: Counted cells of a text's words, those of a first, coarser comparison, the most that a cell counts, and members of a block in the second comparison.
@@ -89,11 +89,11 @@ def counted(packed: np.ndarray) -> np.ndarray:
     return np.stack((packed >> 4, packed & 15), 2).reshape(len(packed), CELLS)
 
 
-def sketches(texts: list[str], k: int = K, found: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(number of words, BANDS sketches over runs of k words) of each text.  found: the texts' word_hashes()."""
+def sketches(texts: list[str], k: int = K, found: tuple[np.ndarray, np.ndarray] | None = None, bands: int = BANDS) -> tuple[np.ndarray, np.ndarray]:
+    """(number of words, so many sketches over runs of k words) of each text.  found: the texts' word_hashes()."""
     words, where = found or word_hashes(texts)
     n = np.diff(where)
-    out = np.zeros((len(texts), BANDS), np.int64)
+    out = np.zeros((len(texts), bands), np.int64)
     full = np.flatnonzero(n)
     if not len(full):
         return n, out
@@ -121,7 +121,7 @@ def sketches(texts: list[str], k: int = K, found: tuple[np.ndarray, np.ndarray]
     place = at.astype(np.uint64)
     low, most = np.uint64((1 << bits) - 1), np.uint64(0xFFFFFFFFFFFFFFFF)
     two = items >= 2
-    for j in range(BANDS):
+    for j in range(bands):
         v = (run ^ SHIFT[j]) * SCALE[j]
         v = ((v ^ (v >> np.uint64(31))) & ~low) | place
         a = np.minimum.reduceat(v, head)
@@ -198,7 +198,7 @@ def sketch_table(docs: DataFrame) -> DataFrame:
                 n, own = sketches(some, found=found)
                 counts += [x.tobytes() for x in cells(*found)]
                 short = np.flatnonzero((n > 0) & (n <= TWICE))
-                more = dict(zip(short.tolist(), sketches([some[i] for i in short], SHORT_K)[1], strict=True)) if len(short) else {}
+                more = dict(zip(short.tolist(), sketches([some[i] for i in short], SHORT_K, bands=SHORT_BANDS)[1], strict=True)) if len(short) else {}
                 sizes.append(n)
                 bands += [np.concatenate((x, more[i])) if i in more else x for i, x in enumerate(own)]
             n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
@@ -241,7 +241,7 @@ def others(copies: DataFrame, roots: DataFrame) -> DataFrame:
     mixed = cut(mixed.where("lo <> hi").select(F.col("j").alias("j2"), F.col("s").alias("s2"), "blocks"), "mixed")
     members = cut(each.join(mixed, (F.col("j") == F.col("j2")) & (F.col("s") == F.col("s2"))).select("doc_id", "class", "j", "s", "blocks"), "members")
     # Of a document: its mixed groups, in order.  Two that share one have a pair there, unless they share one before it.
-    groups = members.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("j", "s"))).alias("groups"))  # at most 2 * BANDS
+    groups = members.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("j", "s"))).alias("groups"))  # at most BANDS + SHORT_BANDS
     known = copies.select(F.col("doc_id").alias("d"), "n_words", "cells").join(groups, F.col("d") == F.col("doc_id")).select("d", "n_words", "cells", "groups")
     met = members.join(known, F.col("doc_id") == F.col("d"))
     met = met.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

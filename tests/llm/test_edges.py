@@ -237,6 +237,22 @@ def test_near_copies_that_share_only_a_common_passage(spark):
     assert all(got[d] == d for d, _ in rows if d % 100 != 51)
 
 
+def test_links_of_edited_texts(spark):
+    """Pairs with a share of random words changed; all of them are near."""
+    rng = np.random.default_rng(5)
+    rows, cases = [], [(words, share) for words in (30, 60, 200, 1000) for share in (0.05, 0.1, 0.15) for _ in range(40)]
+    for k, (words, share) in enumerate(cases):
+        a = [f"w{x}" for x in rng.integers(0, 1 << 40, words)]
+        b = list(a)
+        for i in rng.choice(words, int(words * share), replace=False):
+            b[i] = f"z{rng.integers(1 << 40)}"
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for share in (0.05, 0.1, 0.15):
+        linked = [got[2 * k + 1] == got[2 * k] for k, (_, s) in enumerate(cases) if s == share]
+        assert np.mean(linked) >= (0.95 if share == 0.15 else 0.99)
+
+
 def test_cells_bound_the_distance():
     rng = np.random.default_rng(4)
     for _ in range(200):
@@ -272,7 +288,7 @@ def test_short_texts_share_all_sketches(spark):
     assert order_minhash.near(["w"] * 50, ["w"] * order_minhash.TWICE) and not order_minhash.near(["w"] * 50, ["w"] * (order_minhash.TWICE + 1))
     rows = [(n, " ".join(f"w{i}" for i in range(n))) for n in (1, 50, 51, order_minhash.TWICE, order_minhash.TWICE + 1)]
     got = {r.doc_id: len(r.bands) for r in order_minhash.sketch_table(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {n: order_minhash.BANDS * (2 if n <= order_minhash.TWICE else 1) for n, _ in rows}
+    assert got == {n: order_minhash.BANDS + order_minhash.SHORT_BANDS * (n <= order_minhash.TWICE) for n, _ in rows}
 
 
 def test_banded_alignment():
