@@ -210,12 +210,17 @@ def sketch_table(docs: DataFrame) -> DataFrame:
     return in_arrow(rows, step, "doc_id long, t1 long, t2 long, n_words int, bands array<long>, cells binary")
 
 
-def candidates(firsts: DataFrame) -> DataFrame:
-    """member and first: every document of a band's group with the group's least doc_id, once."""
-    each = firsts.select("doc_id", "n_words", F.posexplode("bands").alias("j", "s"))
+def shared_groups(copies: DataFrame) -> DataFrame:
+    """doc_id, j, s and first: the members of every band's group of two documents or more, and the group's least doc_id."""
+    each = copies.select("doc_id", F.posexplode("bands").alias("j", "s"))
     head = each.groupBy("j", "s").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("j").alias("j2"), F.col("s").alias("s2"), "first")
     head = cut(head, "groups")  # a written side lets Spark split a hot group's rows
-    return each.join(head, (F.col("j") == F.col("j2")) & (F.col("s") == F.col("s2"))).where("doc_id <> first").select(F.col("doc_id").alias("member"), "first").distinct()
+    return cut(each.join(head, (F.col("j") == F.col("j2")) & (F.col("s") == F.col("s2"))).select("doc_id", "j", "s", "first"), "shared")
+
+
+def candidates(shared: DataFrame) -> DataFrame:
+    """member and first: every document of a group with the group's least doc_id, once."""
+    return shared.where("doc_id <> first").select(F.col("doc_id").alias("member"), "first").distinct()
 
 
 def may_be_near(counts: np.ndarray, sizes: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
@@ -230,13 +235,12 @@ def coarser(counts: np.ndarray) -> np.ndarray:
     return counts.reshape(len(counts), COARSE, -1).sum(2, dtype=np.int16)
 
 
-def others(copies: DataFrame, roots: DataFrame) -> DataFrame:
+def others(shared: DataFrame, copies: DataFrame, roots: DataFrame) -> DataFrame:
     """member and first: the pairs of a group whose texts are in different classes so far and may be near, once.
 
-    copies: doc_id, n_words, bands, cells; roots: node and root.  Groups are found by rows of a few numbers; cells join those rows of documents
+    shared: the groups; copies: doc_id, n_words, cells; roots: node and root.  Groups are found by rows of a few numbers; cells join those rows of documents
     that stand in a mixed group alone."""
-    own = copies.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("class"), "bands")
-    each = own.select("doc_id", "class", F.posexplode("bands").alias("j", "s"))
+    each = shared.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("class"), "j", "s")
     mixed = each.groupBy("j", "s").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     mixed = cut(mixed.where("lo <> hi").select(F.col("j").alias("j2"), F.col("s").alias("s2"), "blocks"), "mixed")
     members = cut(each.join(mixed, (F.col("j") == F.col("j2")) & (F.col("s") == F.col("s2"))).select("doc_id", "class", "j", "s", "blocks"), "members")
@@ -334,10 +338,11 @@ def classes(docs: DataFrame) -> DataFrame:
     gone = cut(twins.select(F.col("at").alias("gone")).join(chosen, F.col("gone") == F.col("one"), "left_anti"), "gone")
     copies = cut(table.join(gone, F.col("at") == F.col("gone"), "left_anti").select("doc_id", "n_words", "bands", "cells"), "copies")
     drop(table)
-    pairs = cut(candidates(copies), "pairs")
+    shared = shared_groups(copies)
+    pairs = cut(candidates(shared), "pairs")
     exact = twins.where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
     roots = cut(components(verified(docs, pairs).union(exact)), "roots")
-    rest = cut(others(copies, roots), "others")
+    rest = cut(others(shared, copies, roots), "others")
     roots = components(verified(docs, rest).union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     return own.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
