@@ -649,10 +649,12 @@ def index_leaves(spark, sf):
     return own.withColumns({"lead": K.unpack(F.col("lead"), 5), "least": K.unpack(F.col("least"))})
 
 
-@query(f"{_RANKED} SELECT substr(kmer, 16) || substr(kmer, 1, 15) AS rotated, leaf FROM r ORDER BY rotated LIMIT 5000")
+@query(f"{_RANKED}, t AS (SELECT substr(kmer, 16) || substr(kmer, 1, 15) AS rotated, leaf FROM r) SELECT substr(rotated, 1, 5) AS lead, count(*) AS kmers, min(rotated) AS least, max(rotated) AS most, arg_min(leaf, rotated) AS first_leaf, arg_max(leaf, rotated) AS last_leaf, sum(leaf)::BIGINT AS leaves FROM t GROUP BY 1")
 def index_rotated(spark, sf):
-    """The rotated copy's order: its first five thousand windows, with their ranks."""
-    return store.table(spark, _index(spark, sf), "kmers").orderBy("rotated").limit(5000).select(text("rotated"), "leaf")
+    """The rotated copy of the index on disk, with the ranks of its windows, summed up by five letters."""
+    own = store.table(spark, _index(spark, sf), "kmers").groupBy(K.prefix(F.col("rotated"), 5).cast("long").alias("lead"))
+    own = own.agg(F.count(F.lit(1)).alias("kmers"), F.min("rotated").alias("least"), F.max("rotated").alias("most"), F.min_by("leaf", "rotated").alias("first_leaf"), F.max_by("leaf", "rotated").alias("last_leaf"), F.sum("leaf").alias("leaves"))
+    return own.withColumns({"lead": K.unpack(F.col("lead"), 5), "least": K.unpack(F.col("least")), "most": K.unpack(F.col("most"))})
 
 
 @query(f"WITH {O.variants(4)} SELECT query_id, variant, mismatches, leaf, flipped FROM v")
