@@ -146,7 +146,7 @@ def survivors(summary: DataFrame, control: str | None = "absent", left_out: tupl
     base = summary.select(F.col("class").alias("c2"), F.col("track").alias("t2"), F.col("n").alias("n2"), F.col("share").alias("control_share"))
     own = summary.where(~F.col("class").isin(list(left_out)) & ~F.col("class").endswith("_shuf") & (F.col("testable") > 0))
     key = F.lit(control) if control else F.concat("class", F.lit("_shuf"))
-    met = own.join(F.broadcast(base), (F.col("c2") == key) & (F.col("t2") == F.col("track")) & (F.col("n2") == F.col("n")), "left")
+    met = own.join(base, (F.col("c2") == key) & (F.col("t2") == F.col("track")) & (F.col("n2") == F.col("n")), "left")
     floor = F.greatest(F.coalesce("control_share", F.lit(0.0)), F.lit(ALPHA))
     return met.where((F.col("share") > 3 * floor) & (F.col("significant") >= 5)).select("class", "track", "n", "testable", "significant", "share", (F.col("share") / floor).alias("times"))
 

@@ -27,7 +27,7 @@ def keys(result: DataFrame, n: int, ranked_at: int | None = None) -> DataFrame:
     """result within n, with key: the ranks of its characters, ascending.  ranked_at: rank by the variants within another n, for a frozen order."""
     ranks = character_ranks(result, n if ranked_at is None else ranked_at)
     maps = ranks.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("char", "rank"))).alias("m"))
-    own = result.where(F.col("mismatches") <= n).join(F.broadcast(maps), "query_id", "left")
+    own = result.where(F.col("mismatches") <= n).join(maps, "query_id", "left")
     key = F.array_sort(F.transform(K.characters(F.col("q"), F.col("variant")), lambda c: F.get(F.array(F.element_at("m", c)), F.lit(0))))
     return own.withColumn("key", F.when(F.col("mismatches") == 0, F.array().cast("array<int>")).otherwise(key)).drop("m")
 
@@ -47,7 +47,7 @@ def ordered(result: DataFrame, n: int, ranked_at: int | None = None) -> DataFram
     sizes = own.groupBy("query_id", "__f").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.withColumn("__b", F.sum("__n").over(Window.partitionBy("query_id").orderBy("__f")) - F.col("__n")).drop("__n")
     w = Window.partitionBy("query_id", "__f").orderBy("key")
-    own = own.withColumns({"__r": F.row_number().over(w) - 1, "lcp": shared(F.lag("key").over(w), F.col("key"))}).join(F.broadcast(before), ["query_id", "__f"])
+    own = own.withColumns({"__r": F.row_number().over(w) - 1, "lcp": shared(F.lag("key").over(w), F.col("key"))}).join(before, ["query_id", "__f"])
     return own.select("query_id", (F.col("__b") + F.col("__r")).alias("row"), "vi", "variant", "mismatches", "key", "lcp")
 
 
@@ -66,7 +66,7 @@ def clade_labels(clade: DataFrame, order: DataFrame, ranks: DataFrame, flipped:
     """clades with label: the substitutions that all its members share; mirrored for a query that was turned round."""
     first = order.select("query_id", F.col("row").alias("start"), "key")
     maps = ranks.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("rank", "char"))).alias("m"))
-    own = clade.join(first, ["query_id", "start"]).join(F.broadcast(maps), "query_id", "left")
+    own = clade.join(first, ["query_id", "start"]).join(maps, "query_id", "left")
     chars = F.transform(F.slice("key", F.lit(1), F.col("depth")), lambda r: F.element_at("m", r))
     chars = F.array_sort(K.mirror(chars)) if flipped else F.array_sort(chars)
     return own.select("query_id", "depth", "start", "end", K.letters_of(chars).alias("label"))

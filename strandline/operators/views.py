@@ -42,7 +42,7 @@ def stacked(bars: DataFrame) -> DataFrame:
     col = Window.partitionBy("query_id", "col")
     totals = bars.groupBy("query_id", "col").agg(F.sum("sites").alias("total"))
     most = totals.groupBy("query_id").agg(F.max("total").alias("highest"))
-    return bars.withColumn("total", F.sum("sites").over(col)).join(F.broadcast(most), "query_id").select("query_id", "col", "mismatches", "sites", "total", (F.col("sites") / F.col("total")).alias("share"), (F.col("total") / F.col("highest")).alias("height"))
+    return bars.withColumn("total", F.sum("sites").over(col)).join(most, "query_id").select("query_id", "col", "mismatches", "sites", "total", (F.col("sites") / F.col("total")).alias("share"), (F.col("total") / F.col("highest")).alias("height"))
 
 
 def raster(site: DataFrame, order: DataFrame, start: int, end: int, width: int, row0: int, row1: int, height: int) -> DataFrame:
@@ -101,7 +101,7 @@ def sites_page(hit: DataFrame, start: int, end: int, limit: int = 5000) -> DataF
     own = hit.where((F.col("pos") + K.K > start) & (F.col("pos") < end))
     total = own.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
     ranked = own.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("pos", "strand", "variant"))).where(F.col("k") <= min(limit, 100_000))
-    return ranked.join(F.broadcast(total), "query_id").drop("k")
+    return ranked.join(total, "query_id").drop("k")
 
 
 def export_rows(hit: DataFrame, names: DataFrame, bed: bool = False, order: DataFrame | None = None) -> DataFrame:
