@@ -72,6 +72,12 @@ def clade_labels(clade: DataFrame, order: DataFrame, ranks: DataFrame, flipped:
     return own.select("query_id", "depth", "start", "end", K.letters_of(chars).alias("label"))
 
 
+def detail(row0: int, row1: int, pixels: int) -> dict:
+    """What a view so many pixels high passes to shown_clades: clades of four pixels or more, 5,000 at most."""
+    pixels = max(1, pixels)
+    return {"row0": row0, "row1": row1, "min_rows": max(2, -(-4 * (row1 - row0) // pixels)), "limit": 5000}
+
+
 def shown_clades(clade: DataFrame, row0: int, row1: int, min_rows: int = 2, limit: int = 20_000) -> DataFrame:
     """Clades but the root that a row window meets and that are large enough, the first so many by (start, -end, depth)."""
     own = clade.where((F.col("depth") > 0) & (F.col("start") < row1) & (F.col("end") > row0) & (F.col("end") - F.col("start") >= max(2, min_rows)))

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import features as FE, profiles as P, tracks as T, views as V
+from strandline.operators import features as FE, profiles as P, tracks as T, tree, views as V
 
 
 @pytest.fixture
@@ -51,6 +51,14 @@ def test_histogram_and_cells(drawn):
     assert V.intensity(cells).agg(F.max("level")).first()[0] == 255
 
 
+def test_requests_of_views():
+    near, far = FE.request("genes", 0, 199_999, 801), FE.request("genes", 0, 200_000, 800)
+    assert "exon" in near["kinds"] and "exon" not in far["kinds"] and FE.request("repeats", 0, 10, 1)["kinds"] is None
+    assert (near["width"], far["width"], far["limit"]) == (401, 400, 1500)
+    assert [tree.detail(0, rows, 400)["min_rows"] for rows in (0, 200, 201, 400, 401)] == [2, 2, 3, 4, 5]
+    assert tree.detail(3, 10, 0) == {"row0": 3, "row1": 10, "min_rows": 28, "limit": 5000}
+
+
 def test_features(spark):
     rows = [("s", 0, 10, "a", "x", "+"), ("s", 5, 40, "b", "y", "-"), ("s", 39, 41, "a", "z", "."), ("s", 100, 90000, "c", "w", "+")]
     f = spark.createDataFrame(rows, "set string, start long, end long, kind string, name string, strand string")
@@ -60,6 +68,8 @@ def test_features(spark):
     regions = spark.createDataFrame([(1, 8, 39), (2, 50_000, 60_000), (3, 95, 100)], "region_id long, start long, end long")
     assert {(r.region_id, r.name) for r in FE.join_overlapping(regions, f).collect()} == {(1, "x"), (1, "y"), (2, "w")}
     assert FE.features_or_density(f, 0, 50, 5, limit=2)[0] == "density" and FE.features_or_density(f, 0, 50, 5)[2] == 3
+    kind, few, total = FE.features_or_density(f, 0, 50, 5, kinds=["a"])
+    assert (kind, total, {r.name for r in few.collect()}) == ("features", 2, {"x", "z"})
     own = FE.sorted_set(f).orderBy("row").collect()
     assert [r.kind_id for r in own] == [0, 1, 0, 2] and [r.max_end for r in own] == [10, 40, 41, 90000]
 
