@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_spans, length_buckets, media_chunks, order_minhash, quality_net, suffix_dedup, tag_paths, template_leaks, token_files, url_lists
+from . import lang_spans, length_buckets, media_chunks, order_minhash, quality_net, spelling_forms, suffix_dedup, tag_paths, template_leaks, token_files, two_fit, url_lists
 from .common import table
 
 
@@ -56,6 +56,14 @@ def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_chunks.media_rows(table(spark, sf_dir, "documents"))
 
 
+def op11_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return two_fit.packed_rows(table(spark, sf_dir, "documents"), _tokenizer())
+
+
+def op12_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms.forms(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_lang_spans": op2_lang_spans,
@@ -67,9 +75,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_net": op8_quality_net,
     "op9_media_chunks": op9_media_chunks,
     "op10_token_files": op10_token_files,
+    "op11_two_fit": op11_two_fit,
+    "op12_spelling_forms": op12_spelling_forms,
 }
 
 ORACLES: dict[str, str] = {
     "op5_url_lists": url_lists.ORACLE,
     "op6_template_leaks": template_leaks.ORACLE,
+    "op12_spelling_forms": spelling_forms.ORACLE,
 }
