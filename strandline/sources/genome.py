@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import kmer as K
 from . import shared
@@ -15,6 +15,8 @@ from . import shared
 #: Windows of one tile.  A tile repeats the 30 letters that its last windows need.
 TILE = 512
 LONG_TILE = 1 << 18
+#: Where a sequence has more letters, the tiles of all are dealt over the cluster before anything is made of them.
+DEALT = 4 * LONG_TILE
 #: Contigs are tiled from binary, in which a slice costs its own length wherever it begins.
 LETTERS, AS_BASES = "abcdefghijklmnopqrstuvwxyz\n", "ACGTACGTACGTACGTACGTACGTACN"
 
@@ -28,8 +30,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """genome(contig_id, name, description, seq): the letters of each document, mapped onto four; a line end breaks windows."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
-    letters = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z\n]", "")
-    return docs.select(F.col("doc_id").alias("contig_id"), F.concat(F.lit("doc"), F.col("doc_id")).alias("name"), F.col("lang").alias("description"), F.col("source"), F.translate(letters, LETTERS, AS_BASES).alias("seq"))
+    return docs.select(F.col("doc_id").alias("contig_id"), F.concat(F.lit("doc"), F.col("doc_id")).alias("name"), F.col("lang").alias("description"), F.col("source"), as_bases(F.col("text")).alias("seq"))
+
+
+def as_bases(text: Column) -> Column:
+    """The letters of a text, mapped onto four; a line end becomes N, all else goes."""
+    return F.translate(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z\n]", ""), LETTERS, AS_BASES)
 
 
 def fasta_files(spark: SparkSession, path: str | list[str]) -> list[str]:
@@ -173,11 +179,17 @@ def packed_windows(letters: bytes, k: int = K.K) -> tuple[np.ndarray, np.ndarray
     return start, out[start]
 
 
-def windows(genome: DataFrame) -> DataFrame:
-    """contig_id, start, fwd, rc, kmer (the lesser), fwd_canonical; and pos, if the genome has offset.
+def longest(genome: DataFrame) -> int:
+    """Letters of the longest sequence."""
+    return genome.agg(F.coalesce(F.max(F.length("seq")), F.lit(0)).alias("n")).first()["n"]
+
+
+def windows(genome: DataFrame, deal: bool | None = None) -> DataFrame:
+    """contig_id, start, fwd, rc, kmer (the lesser), fwd_canonical; and pos, if the genome has offset.  genome: sequences, or tiles of them (contig_id, at, bit).
 
     Packing is a dozen passes over the letters of a tile in arrays, some twenty times as fast as a string conversion per window; the rest is
-    generated code."""
+    generated code.  deal: whether tiles are dealt over the cluster first, so that one sequence is many tasks, for a byte a letter; measured if not given.  Short sequences lie
+    in many rows as they are."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +201,12 @@ def windows(genome: DataFrame) -> DataFrame:
 
     placed = "offset" in genome.columns
     base = F.col("offset") if placed else F.lit(0)
-    own = tiles(genome, by=LONG_TILE, text=False).select(F.col("contig_id").cast("long").alias("contig_id"), F.col("at").cast("long").alias("at"), "bit", base.cast("long").alias("base"))
+    tiled = "bit" in genome.columns
+    own = genome if tiled else tiles(genome, by=LONG_TILE, text=False)
+    own = own.select(F.col("contig_id").cast("long").alias("contig_id"), F.col("at").cast("long").alias("at"), F.col("bit").cast("binary").alias("bit"), base.cast("long").alias("base"))
+    if not tiled and (longest(genome) > DEALT if deal is None else deal):
+        # A number of partitions is given, since adaptive execution would put some megabytes of letters, which are many windows, into one.
+        own = own.repartition(int(genome.sparkSession.conf.get("spark.sql.shuffle.partitions")), "contig_id", "at")
     own = own.mapInArrow(step, "contig_id long, start long, fwd long, pos long").withColumn("rc", K.revcomp(F.col("fwd")))
     return own.select("contig_id", "start", *(["pos"] if placed else []), "fwd", "rc", F.least("fwd", "rc").alias("kmer"), (F.col("fwd") <= F.col("rc")).alias("fwd_canonical"))
 
@@ -197,7 +214,8 @@ def windows(genome: DataFrame) -> DataFrame:
 def sites(genome: DataFrame, where: DataFrame | None = None) -> DataFrame:
     """windows with pos, the place in the concatenation.  Offsets meet the sequences, a byte a letter, and not their windows."""
     where = contigs(genome) if where is None else where
-    return windows(genome.join(where.select("contig_id", "offset"), "contig_id")).select("contig_id", "start", "pos", "fwd", "kmer", "fwd_canonical")
+    deal = where.agg(F.coalesce(F.max("len"), F.lit(0)).alias("n")).first()["n"] > DEALT
+    return windows(genome.join(where.select("contig_id", "offset"), "contig_id"), deal).select("contig_id", "start", "pos", "fwd", "kmer", "fwd_canonical")
 
 
 def kmers(site: DataFrame) -> DataFrame:

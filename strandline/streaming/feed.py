@@ -14,22 +14,35 @@ from ..operators import search
 
 
 def joined(stream: DataFrame, kmers: DataFrame, n: int) -> DataFrame:
-    """variants of a streaming table (query_id, text), as a stream: the index is the static side of a broadcast-free block join."""
+    """variants of a streaming table (query_id, text), as a stream: the index is the static side of a block join.  A hit is taken in the first block that it shares, so a
+    stream needs no distinct."""
     own = stream.select("query_id", K.pack(F.col("text")).alias("q")).where("q is not null")
-    edges = [K.K * i // (n + 1) for i in range(n + 2)]
-    both = own.select("query_id", "q", F.explode(F.array(F.struct(F.col("q").alias("o"), F.lit(False).alias("flipped")), F.struct(K.revcomp(F.col("q")).alias("o"), F.lit(True).alias("flipped")))).alias("z")).select("query_id", "q", "z.*")
-
-    def pieces(x: str):
-        return F.posexplode(F.array(*[K.window(F.col(x), b - a, a) for a, b in zip(edges, edges[1:], strict=False)])).alias("block", "value")
-
-    met = both.select("query_id", "q", "o", "flipped", pieces("o")).join(kmers.select("kmer", pieces("kmer")), ["block", "value"])
+    both = _either_way(own, "query_id", "q")
+    by = search.Blocks(n)
+    met = both.select("query_id", "q", "o", "flipped", by.of("o")).join(kmers.select("kmer", by.of("kmer")), ["block", "value"])
     near = K.hamming(F.col("kmer"), F.col("o"))
-    # Of the blocks that a hit shares, the first one counts, so a stream needs no distinct.
-    first = F.array_position(F.array(*[K.window(F.col("kmer"), b - a, a) == K.window(F.col("o"), b - a, a) for a, b in zip(edges, edges[1:], strict=False)]), True) - 1
-    own = met.where((near <= n) & (first == F.col("block")))
+    own = met.where((near <= n) & (by.first("kmer", "o") == F.col("block")))
     return own.select("query_id", "q", F.when(F.col("flipped"), K.revcomp(F.col("kmer"))).otherwise(F.col("kmer")).alias("variant"), near.alias("mismatches"), F.col("kmer").alias("leaf"), "flipped")
 
 
+def _either_way(own: DataFrame, *keep: str) -> DataFrame:
+    """Two rows for each: o is q or its reverse complement (flipped).  Without a union, which would read a stream twice."""
+    ways = F.array(F.struct(F.col("q").alias("o"), F.lit(False).alias("flipped")), F.struct(K.revcomp(F.col("q")).alias("o"), F.lit(True).alias("flipped")))
+    return own.select(*keep, F.explode(ways).alias("z")).select(*keep, "z.*")
+
+
+def screened(windows: DataFrame, probes: DataFrame, n: int) -> DataFrame:
+    """windows: contig_id, start, fwd, a stream or a table.  probes: query_id and q, a table.  A row for each window within n substitutions of a probe, in either orientation:
+    query_id, contig_id, start, strand, mismatches and variant (the window as the probe reads it).  Probes are the side that Spark may send out, by its own measure of their size."""
+    by = search.Blocks(n)
+    sought = _either_way(probes, "query_id", "q").select("query_id", "q", "o", "flipped", by.of("o"))
+    met = windows.select("contig_id", "start", "fwd", by.of("fwd")).join(sought, ["block", "value"])
+    near = K.hamming(F.col("fwd"), F.col("o"))
+    own = met.where((near <= n) & (by.first("fwd", "o") == F.col("block")))
+    variant = F.when(F.col("flipped"), K.revcomp(F.col("fwd"))).otherwise(F.col("fwd"))
+    return own.select("query_id", "contig_id", "start", F.when(F.col("flipped"), "-").otherwise("+").alias("strand"), near.alias("mismatches"), variant.alias("variant"))
+
+
 def feed(stream: DataFrame, kmers: DataFrame, n: int, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Searches each micro-batch and gives (variants, batch number) to sink."""
 
