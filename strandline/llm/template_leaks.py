@@ -1,6 +1,7 @@
 """Benchmark decontamination by templates: numbers, names and units become typed placeholders.
 
-Marked text.  Inside a sentence, a capitalised word is a name; digits (with inner separators) are a number; a unit word after a
+Marked text.  A capitalised word inside a sentence is a name, and so is one that begins a sentence or stands behind a quote, bracket or line end, unless its lower-case form is common: a
+COMMON-th of all ordinary tokens of the documents or more, so COMMON words at most.  Digits (with inner separators) and number words are numbers; a unit word after a
 number is a unit.  Each gets a mark before its lower-case value, and everything that is no letter, digit or mark
 becomes a space.  The template is the marked text with the values cut off, so questions with other numbers and names share it.
 
@@ -13,11 +14,11 @@ of their size.  Each hit gives an alignment of an item in a document; along it,
 templates are compared token by token.  The item is leaked if RUN tokens in a row agree (or all but one of a
 shorter item's; all of one with fewer than WIDTH), at least PLAIN of them ordinary, and the slots are consistent: one value of the item is never two values in the document.
 
-Plan.  One pass over the documents makes tiles (regular expressions and hashes, no Python); hits are few; the documents that have hits are
-read again with a join on (doc_id, hash of text), which Spark broadcasts or shuffles by measured size.
+Plan.  One pass over the documents marks them and writes the marked text to the shared folder (regular expressions, no Python).  Common words are counted there, and tiles and hits are
+made from it; hits are few, and join it by (doc_id, hash of text), which Spark broadcasts or shuffles by measured size.
 
 Cases.  A null or empty text has no tiles and is clean.  Items with null text or fewer than PLAIN ordinary tokens are never matched.  Items with equal text are all reported.  Rows that
-repeat get equal results and are all kept.  Extra columns are ignored whatever their names.  Empty tables: no rows, or all clean.
+repeat get equal results and are all kept.  Extra columns are ignored whatever their names.  Empty tables: no rows, or all clean; without documents no word is common.
 Long texts are searched whole.  Native: DataFrame functions only.
 """
 
@@ -25,26 +26,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-WIDTH, PLAIN, RUN = 6, 3, 13
+from .common import cut
+
+WIDTH, PLAIN, RUN, COMMON = 6, 3, 13, 1000
 BROADCAST_ROWS = 200_000
 
-#: Marks of names, numbers, units, and of a separator inside a number (private use code points).
-NAME, NUMBER, UNIT, POINT = "\ue000", "\ue001", "\ue002", "\ue003"
+#: Marks of names, numbers, units, of a separator inside a number, and of capitalised words that may be names (private use code points).
+NAME, NUMBER, UNIT, POINT, MAYBE = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
 
 # Unit words.
 UNITS = "kg g mg lb lbs oz km m cm mm mi mile miles ft feet foot inch inches yd yards meter meters metre metres l ml litre litres liter liters gallon gallons s sec seconds second min minute minutes h hr hour hours day days week weeks month months year years eur usd dollar dollars euro euros cent cents percent mph kmh w kw v a hz khz mhz ghz kb mb gb tb".split()
 
+# Number words.
+NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
+
 # (pattern, replacement) steps before and after lower case; group references are numbers.  A name follows a letter, digit, comma, semicolon or
-# bracket and a space.  Where one step looks around, SQL's engine, which cannot, takes two that consume what they see.
-BEFORE = [(r" (?=\p{Lu})(?<=[\p{L}\p{N},;)] )", f" {NAME}")]
-BEFORE_SQL = [(rf"([\p{{L}}\p{{N}},;){NAME}] )(\p{{Lu}})", 1, NAME, 2)] * 2
+# bracket and a space; other capitalised words may be names.  Where one step looks around, SQL's engine, which cannot, takes two that consume what they see.
+BEFORE = [(r" (?=\p{Lu})(?<=[\p{L}\p{N},;)] )", f" {NAME}"), (rf"([^\p{{L}}\p{{N}}{NAME}])(\p{{Lu}})", 1, MAYBE, 2)]
+BEFORE_SQL = [(rf"([\p{{L}}\p{{N}},;){NAME}] )(\p{{Lu}})", 1, NAME, 2)] * 2 + BEFORE[1:]
 POINTS = [(r"(?<=[0-9])[.,:/](?=[0-9])", POINT)]
 POINTS_SQL = [(r"([0-9])[.,:/]([0-9])", 1, POINT, 2)] * 2
-AFTER = [
-    (rf"([0-9][0-9{POINT}]*)", NUMBER, 1, " "),
-    (rf"[^a-z0-9\p{{L}}\p{{N}}{NAME}-{POINT}]+", " "),
-    (rf"({NUMBER}[^ ]* )({'|'.join(UNITS)})( )", 1, UNIT, 2, 3),
-]
+_WORDED = f" {MAYBE}?({'|'.join(NUMBER_WORDS)})"
+_COUNTED = [(rf"([0-9][0-9{POINT}]*)", NUMBER, 1, " "), (rf"[^a-z0-9\p{{L}}\p{{N}}{NAME}-{MAYBE}]+", " ")]
+_MEASURED = [(rf"({NUMBER}[^ ]* )({'|'.join(UNITS)})( )", 1, UNIT, 2, 3)]
+AFTER = [*_COUNTED, (f"{_WORDED}(?= )", " ", NUMBER, 1), *_MEASURED]
+AFTER_SQL = [*_COUNTED, *[(f"{_WORDED}( )", " ", NUMBER, 1, 2)] * 2, *_MEASURED]
 TO_TEMPLATE = (rf"([{NAME}-{UNIT}])[^ ]*", 1)
 
 
@@ -52,8 +58,8 @@ def _replace(text: Column, step: tuple) -> Column:
     return F.regexp_replace(text, step[0], "".join(f"${x}" if isinstance(x, int) else x for x in step[1:]))
 
 
-def marked(text: Column) -> Column:
-    """Tokens between single spaces, with a space at either end."""
+def drafted(text: Column) -> Column:
+    """Tokens between single spaces, with a space at either end; capitalised words that may be names still have a mark of their own."""
     x = F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))
     for step in BEFORE:
         x = _replace(x, step)
@@ -63,6 +69,21 @@ def marked(text: Column) -> Column:
     return x
 
 
+def marked(draft: Column, common: list[str]) -> Column:
+    """Capitalised words that are not common are names, the others ordinary."""
+    if common:
+        draft = _replace(draft, (f"{MAYBE}({'|'.join(common)})( )", 1, 2))
+    return F.translate(draft, MAYBE, NAME)
+
+
+def common_words(drafts: DataFrame) -> list[str]:
+    """drafts: m.  The ordinary tokens that are a COMMON-th of all or more: COMMON words at most, in order."""
+    each = drafts.select(F.explode(F.split(F.trim("m"), " ")).alias("w")).where((F.col("w") != "") & ~F.col("w").rlike(f"[{NAME}-{MAYBE}]"))
+    counts = each.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    return sorted(r["w"] for r in counts.where(F.col("n") * COMMON >= total).collect())  # at most COMMON rows
+
+
 def template(marked_text: Column) -> Column:
     return _replace(marked_text, TO_TEMPLATE)
 
@@ -82,24 +103,23 @@ def needed(n: Column) -> Column:
     return F.when(n < WIDTH, n).otherwise(F.least(F.lit(RUN), n - 1))
 
 
-def tiles(docs: DataFrame) -> DataFrame:
-    """did, h (the hash of the text), at (a token's place), w (the hash of the tile that begins there)."""
-    own = docs.select(F.col("doc_id").alias("did"), F.xxhash64("text").alias("h"), tokens(template(marked(F.col("text")))).alias("t"))
-    own = own.where(F.size("t") >= WIDTH)
+def tiles(texts: DataFrame) -> DataFrame:
+    """texts: did, h (the hash of the text) and m (marked).  did, h, at (a token's place), w (the hash of the tile that begins there)."""
+    own = texts.select("did", "h", tokens(template(F.col("m"))).alias("t")).where(F.size("t") >= WIDTH)
     tile = F.transform(F.sequence(F.lit(0), (F.size("t") / WIDTH).cast("int") - 1), lambda i: F.xxhash64(F.array_join(F.slice("t", i * WIDTH + 1, WIDTH), " ")))
     return own.select("did", "h", F.posexplode(tile).alias("i", "w")).select("did", "h", (F.col("i") * WIDTH).alias("at"), "w")
 
 
 def windows(items: DataFrame) -> DataFrame:
-    """item_id, mt and tt (marked and template tokens), and one row for each telling window: its place and hash."""
-    own = items.select("item_id", marked(F.col("text")).alias("m")).select("item_id", tokens(F.col("m")).alias("mt"), tokens(template(F.col("m"))).alias("tt")).where(F.size("tt") >= WIDTH)
+    """items: item_id and m (marked).  item_id and one row for each telling window: its place and hash."""
+    own = items.select("item_id", tokens(template(F.col("m"))).alias("tt")).where(F.size("tt") >= WIDTH)
     each = F.transform(F.sequence(F.lit(0), F.size("tt") - WIDTH), lambda i: F.array_join(F.slice("tt", i + 1, WIDTH), " "))
-    return own.select("item_id", "mt", "tt", F.posexplode(each).alias("ip", "s")).where(telling(F.col("s"))).select("item_id", "mt", "tt", "ip", F.xxhash64("s").alias("w"))
+    return own.select("item_id", F.posexplode(each).alias("ip", "s")).where(telling(F.col("s"))).select("item_id", "ip", F.xxhash64("s").alias("w"))
 
 
 def untiled(items: DataFrame) -> DataFrame:
     """item_id, ip, r, w: the runs of r tokens that leak an item but hold no telling window at some place of the tiles."""
-    own = items.select("item_id", tokens(template(marked(F.col("text")))).alias("tt")).withColumn("n", F.size("tt")).withColumn("r", needed(F.col("n")))
+    own = items.select("item_id", tokens(template(F.col("m"))).alias("tt")).withColumn("n", F.size("tt")).withColumn("r", needed(F.col("n")))
     told = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - WIDTH, F.lit(0))), lambda i: telling(F.array_join(F.slice("tt", i + 1, WIDTH), " ")))
     own = own.where(F.col("r") >= PLAIN).select("item_id", "tt", "r", told.alias("told"), F.explode(F.sequence(F.lit(0), F.col("n") - F.col("r"))).alias("ip"))
     # The tiles of a document meet a run at one of WIDTH places.
@@ -109,14 +129,14 @@ def untiled(items: DataFrame) -> DataFrame:
     return own.where(telling(F.col("s"), F.col("r"))).select("item_id", "ip", "r", F.xxhash64("s").alias("w"))
 
 
-def met_untiled(docs: DataFrame, items: DataFrame) -> DataFrame | None:
+def met_untiled(texts: DataFrame, items: DataFrame) -> DataFrame | None:
     """did, h, item_id, shift: where a document holds a run of untiled(), whatever its place."""
     runs = untiled(items)
     sizes = {r["r"]: r["n"] for r in runs.groupBy("r").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most RUN rows
     if not sizes:
         return None
     runs = F.broadcast(runs) if sum(sizes.values()) <= BROADCAST_ROWS else runs
-    own = docs.select(F.col("doc_id").alias("did"), F.xxhash64("text").alias("h"), tokens(template(marked(F.col("text")))).alias("t"))
+    own = texts.select("did", "h", tokens(template(F.col("m"))).alias("t"))
     own = own.withColumn("r", F.explode(F.array(*[F.lit(r) for r in sorted(sizes)]))).where(F.size("t") >= F.col("r"))
     each = F.transform(F.sequence(F.lit(0), F.size("t") - F.col("r")), lambda i: F.xxhash64(F.array_join(F.slice("t", i + 1, F.col("r")), " ")))
     return own.select("did", "h", "r", F.posexplode(each).alias("at", "w")).join(runs, ["r", "w"]).select("did", "h", "item_id", (F.col("at") - F.col("ip")).alias("shift"))
@@ -124,17 +144,20 @@ def met_untiled(docs: DataFrame, items: DataFrame) -> DataFrame | None:
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """did, h, item_id, run, n_tokens (of the item), n_changed: the leaked items of each text, by their best alignment."""
-    side = windows(items)
-    small = side.select("item_id", "ip", "w")
+    drafts = cut(docs.select(F.col("doc_id").alias("did"), F.xxhash64("text").alias("h"), drafted(F.col("text")).alias("m")), "marked")
+    common = common_words(drafts)
+    texts = drafts.select("did", "h", marked(F.col("m"), common).alias("m"))
+    items = items.select("item_id", marked(drafted(F.col("text")), common).alias("m"))
+    small = windows(items)
     if small.count() <= BROADCAST_ROWS:
         small = F.broadcast(small)
-    met = tiles(docs).join(small, "w").select("did", "h", "item_id", (F.col("at") - F.col("ip")).alias("shift"))
-    more = met_untiled(docs, items)
+    met = tiles(texts).join(small, "w").select("did", "h", "item_id", (F.col("at") - F.col("ip")).alias("shift"))
+    more = met_untiled(texts, items)
     met = (met if more is None else met.union(more)).distinct()
-    texts = docs.select(F.col("doc_id").alias("d2"), F.xxhash64("text").alias("h2"), "text")
-    own = met.join(texts, F.col("did").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2"))).select("did", "h", "item_id", "shift", marked(F.col("text")).alias("m"))
+    again = texts.select(F.col("did").alias("d2"), F.col("h").alias("h2"), "m")
+    own = met.join(again, F.col("did").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")))
     own = own.select("did", "h", "item_id", "shift", tokens(F.col("m")).alias("dm"), tokens(template(F.col("m"))).alias("dt"))
-    full = items.select(F.col("item_id").alias("i2"), marked(F.col("text")).alias("im")).select("i2", tokens(F.col("im")).alias("mt"), tokens(template(F.col("im"))).alias("tt"))
+    full = items.select(F.col("item_id").alias("i2"), tokens(F.col("m")).alias("mt"), tokens(template(F.col("m"))).alias("tt"))
     pairs = own.join(full, F.col("item_id") == F.col("i2"))
     lo, hi = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("tt"), F.size("dt") - F.col("shift"))
     n = hi - lo
@@ -153,8 +176,12 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     keys = ["did", "h", "item_id", "shift", "n_tokens"]
     cells = F.array_sort(F.collect_list(F.struct("p", "same", "x", "y")))  # as many as the item has tokens
     cell = aligned.distinct().groupBy(*keys).agg(cells.alias("c"))
-    step = lambda acc, c: F.when(c["same"], F.struct((acc["now"] + 1).alias("now"), F.greatest(acc["most"], acc["now"] + 1).alias("most"))).otherwise(F.struct(F.lit(0).alias("now"), acc["most"].alias("most")))
-    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    # A run counts once it holds PLAIN ordinary tokens.
+    ordinary = lambda c: F.when(c["x"].rlike(f"^[{NAME}-{UNIT}]"), 0).otherwise(1)
+    state = lambda now, plain, most: F.struct(now.alias("now"), plain.alias("plain"), most.alias("most"))
+    longer = lambda acc, now, plain: state(now, plain, F.when((plain >= PLAIN) & (now > acc["most"]), now).otherwise(acc["most"]))
+    step = lambda acc, c: F.when(c["same"], longer(acc, acc["now"] + 1, acc["plain"] + ordinary(c))).otherwise(state(F.lit(0), F.lit(0), acc["most"]))
+    zero = state(F.lit(0), F.lit(0), F.lit(0))
     slots = F.array_distinct(F.transform(F.filter("c", lambda c: c["same"] & c["x"].rlike(f"^[{NAME}-{UNIT}]")), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"))))
     cell = cell.select(*keys, F.aggregate("c", zero, step)["most"].alias("run"), slots.alias("slots"))
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["x"])))
@@ -178,7 +205,7 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     return docs.join(found, docs["doc_id"].eqNullSafe(found["did"]) & (F.xxhash64(docs["text"]) == found["h"]), "left_anti")
 
 
-def _sql_marked(text: str) -> str:
+def _sql_drafted(text: str) -> str:
     def step(x: str, s: tuple) -> str:
         return f"regexp_replace({x}, '{s[0]}', '{''.join(chr(92) + str(y) if isinstance(y, int) else y for y in s[1:])}', 'g')"
 
@@ -186,7 +213,7 @@ def _sql_marked(text: str) -> str:
     for s in BEFORE_SQL:
         x = step(x, s)
     x = f"lower({x})"
-    for s in POINTS_SQL + AFTER:
+    for s in POINTS_SQL + AFTER_SQL:
         x = step(x, s)
     return x
 
@@ -195,28 +222,33 @@ def _sql_template(x: str) -> str:
     return f"regexp_replace({x}, '{TO_TEMPLATE[0]}', '{chr(92)}1', 'g')"
 
 
+_SQL_MARKED = f"translate(regexp_replace(m, p, '{chr(92)}1{chr(92)}2', 'g'), '{MAYBE}', '{NAME}')"
+#: Alignments come from any three tokens that an item and a document share, at all places of both, so no tile or telling window is taken on trust.
 ORACLE = f"""
-WITH d AS (SELECT doc_id, text, trim(m) AS m, trim({_sql_template('m')}) AS t FROM (SELECT doc_id, text, {_sql_marked('text')} AS m FROM documents)),
-b AS (SELECT item_id, trim(m) AS m, trim({_sql_template('m')}) AS t FROM (SELECT item_id, {_sql_marked('text')} AS m FROM benchmark)),
-dl AS (SELECT doc_id, text, string_split(m, ' ') AS dm, string_split(t, ' ') AS dt FROM d),
-bl AS (SELECT item_id, string_split(m, ' ') AS mt, string_split(t, ' ') AS tt FROM b),
-tiles AS (SELECT doc_id, text, i * {WIDTH} AS at_, array_to_string(dt[i * {WIDTH} + 1 : i * {WIDTH} + {WIDTH}], ' ') AS w
-          FROM (SELECT doc_id, text, dt, unnest(range(len(dt) // {WIDTH})) AS i FROM dl)),
-wins AS (SELECT * FROM (SELECT item_id, ip, array_to_string(tt[ip + 1 : ip + {WIDTH}], ' ') AS w FROM (SELECT item_id, tt, unnest(range(len(tt) - {WIDTH} + 1)) AS ip FROM bl))
-         WHERE {WIDTH} - (length(w) - length(regexp_replace(w, '[{NAME}-{UNIT}]', '', 'g'))) >= {PLAIN}),
-met AS (SELECT DISTINCT doc_id, text, item_id, at_ - ip AS shift FROM tiles JOIN wins USING (w)),
+WITH d0 AS MATERIALIZED (SELECT doc_id, text, {_sql_drafted('text')} AS m FROM documents),
+tk AS (SELECT unnest(string_split(trim(m), ' ')) AS w FROM d0),
+wn AS (SELECT w, count(*) AS n FROM tk WHERE w <> '' AND NOT regexp_matches(w, '[{NAME}-{MAYBE}]') GROUP BY w),
+pt AS (SELECT '{MAYBE}(' || coalesce(string_agg(w, '|'), '{POINT}{POINT}') || ')( )' AS p FROM wn WHERE n * {COMMON} >= (SELECT sum(n) FROM wn)),
+d AS MATERIALIZED (SELECT doc_id, text, trim(m) AS m, trim({_sql_template('m')}) AS t FROM (SELECT doc_id, text, {_SQL_MARKED} AS m FROM d0, pt)),
+b AS MATERIALIZED (SELECT item_id, trim(m) AS m, trim({_sql_template('m')}) AS t FROM (SELECT item_id, {_SQL_MARKED} AS m FROM (SELECT item_id, {_sql_drafted('text')} AS m FROM benchmark), pt)),
+dl AS MATERIALIZED (SELECT DISTINCT doc_id, text, string_split(m, ' ') AS dm, string_split(t, ' ') AS dt FROM d),
+bl AS MATERIALIZED (SELECT item_id, string_split(m, ' ') AS mt, string_split(t, ' ') AS tt FROM b),
+dw AS (SELECT doc_id, text, i AS at_, array_to_string(dt[i + 1 : i + {PLAIN}], ' ') AS w FROM (SELECT doc_id, text, dt, unnest(range(len(dt) - {PLAIN - 1})) AS i FROM dl)),
+bw AS (SELECT item_id, i AS ip, array_to_string(tt[i + 1 : i + {PLAIN}], ' ') AS w FROM (SELECT item_id, tt, unnest(range(len(tt) - {PLAIN - 1})) AS i FROM bl)),
+met AS (SELECT DISTINCT doc_id, text, item_id, at_ - ip AS shift FROM dw JOIN bw USING (w)),
+al AS (SELECT m.*, l.dm, l.dt, bl.mt, bl.tt, len(bl.tt) AS n_tokens FROM met m JOIN dl l ON m.doc_id = l.doc_id AND m.text = l.text JOIN bl ON bl.item_id = m.item_id),
 cells AS (SELECT doc_id, text, item_id, shift, n_tokens, p, tt[p + 1] = dt[p + shift + 1] AS same, mt[p + 1] AS x, dm[p + shift + 1] AS y
-          FROM (SELECT m.*, l.dm, l.dt, bl.mt, bl.tt, len(bl.tt) AS n_tokens, unnest(range(greatest(0, -shift), least(len(bl.tt), len(l.dt) - shift))) AS p
-                FROM met m JOIN (SELECT DISTINCT * FROM dl) l ON m.doc_id = l.doc_id AND m.text = l.text JOIN bl ON bl.item_id = m.item_id)),
+          FROM (SELECT *, unnest(range(greatest(0, -shift), least(len(tt), len(dt) - shift))) AS p FROM al)),
 runs AS (SELECT doc_id, text, item_id, shift, n_tokens, max(k) AS run FROM (
-           SELECT doc_id, text, item_id, shift, n_tokens, count(*) FILTER (same) AS k
-           FROM (SELECT *, p - sum(CASE WHEN same THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, text, item_id, shift ORDER BY p) AS g FROM cells) GROUP BY ALL) GROUP BY ALL),
+           SELECT doc_id, text, item_id, shift, n_tokens, count(*) FILTER (same) AS k, count(*) FILTER (same AND NOT regexp_matches(x, '^[{NAME}-{UNIT}]')) AS plain
+           FROM (SELECT *, p - sum(CASE WHEN same THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, text, item_id, shift ORDER BY p) AS g FROM cells) GROUP BY doc_id, text, item_id, shift, n_tokens, g) WHERE plain >= {PLAIN} GROUP BY ALL),
+long AS (SELECT * FROM runs WHERE run >= CASE WHEN n_tokens < {WIDTH} THEN n_tokens ELSE least({RUN}, n_tokens - 1) END),
 slots AS (SELECT doc_id, text, item_id, shift, count(*) AS n, count(DISTINCT x) AS nx, count(*) FILTER (x <> y) AS n_changed
-          FROM (SELECT DISTINCT doc_id, text, item_id, shift, x, y FROM cells WHERE same AND regexp_matches(x, '^[{NAME}-{UNIT}]')) GROUP BY ALL),
+          FROM (SELECT DISTINCT doc_id, text, item_id, shift, x, y FROM cells SEMI JOIN long USING (doc_id, text, item_id, shift) WHERE same AND regexp_matches(x, '^[{NAME}-{UNIT}]')) GROUP BY ALL),
 leaked AS (SELECT r.doc_id, r.text, r.item_id, r.run, coalesce(s.n_changed, 0) AS n_changed,
                   row_number() OVER (PARTITION BY r.doc_id, r.text, r.item_id ORDER BY r.run DESC, coalesce(s.n_changed, 0)) AS k
-           FROM runs r LEFT JOIN slots s ON r.doc_id = s.doc_id AND r.text = s.text AND r.item_id = s.item_id AND r.shift = s.shift
-           WHERE r.run >= least({RUN}, r.n_tokens - 1) AND coalesce(s.n = s.nx, true)),
+           FROM long r LEFT JOIN slots s ON r.doc_id = s.doc_id AND r.text = s.text AND r.item_id = s.item_id AND r.shift = s.shift
+           WHERE coalesce(s.n = s.nx, true)),
 best AS (SELECT doc_id, text, item_id, run, n_changed, count(*) OVER (PARTITION BY doc_id, text) AS n, row_number() OVER (PARTITION BY doc_id, text ORDER BY run DESC, item_id, n_changed) AS r
          FROM leaked WHERE k = 1)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_items, item_id, run::INTEGER AS run, n_changed::INTEGER AS n_changed
