@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession, functions as F
 from .functions import kmer as K
 from .operators import sampling, search as S, tracks as T, tree
 from .plans.session import Session
-from .sources import annotations as A, genome as G, store
+from .sources import annotations as A, fasta, genome as G, store
 
 
 def session_of() -> SparkSession:
@@ -133,7 +133,7 @@ def main(argv: list[str] | None = None) -> None:
     a = p.parse_args(argv)
     spark = session_of()
     if a.do == "build":
-        print(json.dumps({k: v for k, v in store.build(G.read_fasta(spark, a.fasta), a.index, a.name, a.spot_checks).items() if k != "files"}))
+        print(json.dumps({k: v for k, v in store.build(fasta.read(spark, a.fasta), a.index, a.name, a.spot_checks).items() if k != "files"}))
     elif a.do == "verify":
         faults = store.verify(spark, a.index, files=True)
         print("\n".join(faults) or "sound")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import kmer as K
-from . import shared
+from . import fasta, shared
 
 #: Windows of one tile.  A tile repeats the 30 letters that its last windows need.
 TILE = 512
@@ -38,62 +38,9 @@ def as_bases(text: Column) -> Column:
     return F.translate(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z\n]", ""), LETTERS, AS_BASES)
 
 
-def fasta_files(spark: SparkSession, path: str | list[str]) -> list[str]:
-    """The files of a path, a pattern or a list of them: in the order given, and by name within each."""
-    out = []
-    for one in [path] if isinstance(path, str) else path:
-        fs, where = shared.file_system(spark, one)
-        found = [f.getPath().toString() for f in (fs.globStatus(where) or [])]
-        if not found:
-            raise FileNotFoundError(one)
-        for f in sorted(found):
-            fs, where = shared.file_system(spark, f)
-            inside = [x for x in (fs.listStatus(where) if fs.getFileStatus(where).isDirectory() else [fs.getFileStatus(where)]) if not x.getPath().getName().startswith(("_", "."))]
-            out += sorted(x.getPath().toString() for x in inside)
-    return out
-
-
-def _gzipped(spark: SparkSession, file: str) -> bool:
-    """By the first two bytes, whatever the file is called."""
-    fs, where = shared.file_system(spark, file)
-    if not fs.getFileStatus(where).getLen():
-        return False
-    source = fs.open(where)
-    two = source.read(), source.read()
-    source.close()
-    return two == (0x1F, 0x8B)
-
-
-def _unpacked(spark: SparkSession, file: str) -> str:
-    """A gzipped file without the extension that Spark's readers go by, written again with it."""
-    fs, where = shared.file_system(spark, file)
-    to = f"{shared.new_folder(spark, 'fasta')}/{where.getName()}.gz"
-    fs2, there = shared.file_system(spark, to)
-    jvm = spark.sparkContext._jvm
-    jvm.org.apache.hadoop.fs.FileUtil.copy(fs, where, fs2, there, False, spark.sparkContext._jsc.hadoopConfiguration())
-    return to
-
-
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """genome(contig_id, name, description, seq).  Records are split by the reader, so plain files of any size are read in parallel; gzip by its first bytes.
-
-    Trailing white space of each line is dropped, empty records are kept, text before the first header of a file is an error.
-    The order of records is that of the files (see `fasta_files`) and of their places in them."""
-    files = fasta_files(spark, path)
-    chunks = None
-    for i, f in enumerate(files):
-        one = spark.read.option("lineSep", "\n>").text(_unpacked(spark, f) if _gzipped(spark, f) and not f.endswith(".gz") else f)
-        one = one.select(F.lit(i).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
-        chunks = one if chunks is None else chunks.unionByName(one)
-    # Only the first record of a file still has its mark: the separator took those of the others.
-    lead = F.when(F.col("value").startswith(">"), F.expr("substring(value, 2)")).when(F.col("value").rlike(r"^\s*$"), F.lit(None)).when(F.ltrim("value").startswith(">"), F.expr("substring(value, instr(value, '>') + 1)")).otherwise(F.raise_error(F.lit("text before the first header")))
-    first = chunks.where("block = 0").select("file", "block", "at").groupBy("file", "block").agg(F.min("at").alias("first"))
-    chunks = chunks.join(F.broadcast(first), ["file", "block"], "left")  # a row a file
-    rec = chunks.select("file", "block", "at", F.when(F.col("at") == F.col("first"), lead).otherwise(F.col("value")).alias("v")).where("v is not null").select("file", "block", "at", F.split("v", "\n").alias("l"))
-    head = F.regexp_replace(F.get("l", F.lit(0)), r"\s+$", "")
-    seq = F.array_join(F.transform(F.slice("l", F.lit(2), F.size("l")), lambda x: F.regexp_replace(x, r"\s+$", "")), "")
-    out = rec.select("file", "block", "at", F.regexp_extract(head, r"^(\S*)", 1).alias("name"), F.trim(F.regexp_replace(head, r"^\S*\s*", "")).alias("description"), seq.alias("seq"))
-    return numbered(out, ["file", "block", "at"], "contig_id").select("contig_id", "name", "description", "seq")
+    """genome(contig_id, name, description, seq): whole records, for those that fit in a row; see `fasta.read` for tiles of any."""
+    return fasta.read(spark, path).genome()
 
 
 def numbered(df: DataFrame, order: str | list[str], to: str) -> DataFrame:
@@ -130,9 +77,10 @@ SUMMED = 1 << 12
 
 
 def contigs(genome: DataFrame) -> DataFrame:
-    """contig_id, name, description, len, offset (in the concatenation by contig_id): running sums within groups of numbers, after those of the groups
+    """contig_id, name, description, len, offset (in the concatenation by contig_id), of sequences or of their lengths (len): running sums within groups of numbers, after those of the groups
     before (one row of two numbers a group)."""
-    own = genome.select("contig_id", "name", "description", F.length("seq").cast("long").alias("len"), F.floor(F.col("contig_id") / SUMMED).alias("__g"))
+    length = F.col("len") if "len" in genome.columns else F.length("seq")
+    own = genome.select("contig_id", "name", "description", length.cast("long").alias("len"), F.floor(F.col("contig_id") / SUMMED).alias("__g"))
     sums = own.groupBy("__g").agg(F.sum("len").alias("__n"))
     before = sums.select("__g", (F.sum("__n").over(Window.orderBy("__g")) - F.col("__n")).alias("__b"))
     w = Window.partitionBy("__g").orderBy("contig_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -212,9 +160,9 @@ def windows(genome: DataFrame, deal: bool | None = None) -> DataFrame:
 
 
 def sites(genome: DataFrame, where: DataFrame | None = None) -> DataFrame:
-    """windows with pos, the place in the concatenation.  Offsets meet the sequences, a byte a letter, and not their windows."""
+    """windows with pos, the place in the concatenation.  Offsets meet the sequences (or tiles), a byte a letter, and not their windows."""
     where = contigs(genome) if where is None else where
-    deal = where.agg(F.coalesce(F.max("len"), F.lit(0)).alias("n")).first()["n"] > DEALT
+    deal = "bit" not in genome.columns and where.agg(F.coalesce(F.max("len"), F.lit(0)).alias("n")).first()["n"] > DEALT
     return windows(genome.join(where.select("contig_id", "offset"), "contig_id"), deal).select("contig_id", "start", "pos", "fwd", "kmer", "fwd_canonical")
 
 
@@ -234,19 +182,29 @@ def located(points: DataFrame, where: DataFrame, pos: str = "pos") -> DataFrame:
 
 
 def runs(genome: DataFrame, kind: str = "[^ACGTacgt]") -> DataFrame:
-    """contig_id, start, end of the maximal runs of a class of characters: other letters, or soft-masked ones with '[a-z]'.  Sequences are single-byte text,
-    and each is one pass over its bytes."""
-    table = np.array([bool(re.fullmatch(kind, chr(i))) for i in range(256)])
+    """contig_id, start, end of the maximal runs of a class of characters: other letters, or soft-masked ones with '[a-z]'.  genome: sequences (single-byte text), or tiles of them with n.
+
+    A sequence or tile is one pass over its bytes; runs that touch an edge of a tile are joined with what touches it from the other side."""
+    table, tiled = np.array([bool(re.fullmatch(kind, chr(i))) for i in range(256)]), "bit" in genome.columns
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for contig, letters in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for contig, at, letters in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 inside = table[np.frombuffer(letters or b"", np.uint8)]
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
                 if len(edge):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(edge) // 2, contig, np.int64)), pa.array(edge[::2]), pa.array(edge[1::2])], names=["contig_id", "start", "end"])
-
-    return genome.select(F.col("contig_id").cast("long").alias("contig_id"), F.col("seq").cast("binary").alias("b")).mapInArrow(step, "contig_id long, start long, end long")
+                    start, end = edge[::2], edge[1::2]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), contig, np.int64)), pa.array(start + at), pa.array(end + at), pa.array((start == 0) | (end == len(inside)))], names=["contig_id", "start", "end", "edge"])
+
+    letters = F.substring(F.col("bit"), F.lit(1), F.col("n").cast("int")) if tiled else F.col("seq")
+    own = genome.select(F.col("contig_id").cast("long").alias("contig_id"), (F.col("at") if tiled else F.lit(0)).cast("long").alias("at"), letters.cast("binary").alias("b"))
+    own = own.mapInArrow(step, "contig_id long, start long, end long, edge boolean")
+    if not tiled:
+        return own.drop("edge")
+    by = Window.partitionBy("contig_id").orderBy("start")
+    met = own.where("edge").withColumn("__new", F.coalesce(F.col("start") > F.lag("end").over(by), F.lit(True)).cast("int")).withColumn("__run", F.sum("__new").over(by))  # two a tile at most
+    met = met.groupBy("contig_id", "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__run")
+    return own.where("not edge").drop("edge").unionByName(met)
 
 
 def fetch(genome: DataFrame, where: DataFrame, start: int, end: int) -> DataFrame:
