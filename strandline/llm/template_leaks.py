@@ -1,7 +1,7 @@
 """Benchmark decontamination by templates: numbers, names and units become typed placeholders.
 
-Marked text.  A capitalised word inside a sentence is a name, and so is one that begins a sentence or stands behind a quote, bracket or line end, unless its lower-case form is common: a
-COMMON-th of all ordinary tokens of the documents or more, so COMMON words at most.  Digits (with inner separators) and number words are numbers; a unit word after a
+Marked text.  A capitalised word inside a sentence is a name, and so is one that begins a sentence or stands behind a quote, bracket or line end, unless it is common there: a
+COMMON-th of such words in all documents or more, so COMMON words at most, and no rarer as an ordinary token.  Digits (with inner separators) and number words are numbers; a unit word after a
 number is a unit.  Each gets a mark before its lower-case value, and everything that is no letter, digit or mark
 becomes a space.  The template is the marked text with the values cut off, so questions with other numbers and names share it.
 
@@ -31,8 +31,8 @@ from .common import cut
 WIDTH, PLAIN, RUN, COMMON = 6, 3, 13, 1000
 BROADCAST_ROWS = 200_000
 
-#: Marks of names, numbers, units, of a separator inside a number, and of capitalised words that may be names (private use code points).
-NAME, NUMBER, UNIT, POINT, MAYBE = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
+#: Marks of names, numbers, units, and of capitalised words that may be names (private use code points).
+NAME, NUMBER, UNIT, MAYBE = "\ue000", "\ue001", "\ue002", "\ue003"
 
 # Unit words.
 UNITS = "kg g mg lb lbs oz km m cm mm mi mile miles ft feet foot inch inches yd yards meter meters metre metres l ml litre litres liter liters gallon gallons s sec seconds second min minute minutes h hr hour hours day days week weeks month months year years eur usd dollar dollars euro euros cent cents percent mph kmh w kw v a hz khz mhz ghz kb mb gb tb".split()
@@ -41,16 +41,18 @@ UNITS = "kg g mg lb lbs oz km m cm mm mi mile miles ft feet foot inch inches yd
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
 
 # (pattern, replacement) steps before and after lower case; group references are numbers.  A name follows a letter, digit, comma, semicolon or
-# bracket and a space; other capitalised words may be names.  Where one step looks around, SQL's engine, which cannot, takes two that consume what they see.
-BEFORE = [(r" (?=\p{Lu})(?<=[\p{L}\p{N},;)] )", f" {NAME}"), (rf"([^\p{{L}}\p{{N}}{NAME}])(\p{{Lu}})", 1, MAYBE, 2)]
-BEFORE_SQL = [(rf"([\p{{L}}\p{{N}},;){NAME}] )(\p{{Lu}})", 1, NAME, 2)] * 2 + BEFORE[1:]
-POINTS = [(r"(?<=[0-9])[.,:/](?=[0-9])", POINT)]
-POINTS_SQL = [(r"([0-9])[.,:/]([0-9])", 1, POINT, 2)] * 2
-_WORDED = f" {MAYBE}?({'|'.join(NUMBER_WORDS)})"
-_COUNTED = [(rf"([0-9][0-9{POINT}]*)", NUMBER, 1, " "), (rf"[^a-z0-9\p{{L}}\p{{N}}{NAME}-{MAYBE}]+", " ")]
-_MEASURED = [(rf"({NUMBER}[^ ]* )({'|'.join(UNITS)})( )", 1, UNIT, 2, 3)]
-AFTER = [*_COUNTED, (f"{_WORDED}(?= )", " ", NUMBER, 1), *_MEASURED]
-AFTER_SQL = [*_COUNTED, *[(f"{_WORDED}( )", " ", NUMBER, 1, 2)] * 2, *_MEASURED]
+# bracket and a space; other capitalised words may be names.  Patterns begin with what is rare and look around from there; SQL's engine, which cannot look around, takes
+# steps that consume what they see, twice where one match hides the next.
+BEFORE = [(r" (?=\p{Lu})(?<=[\p{L}\p{N},;)] )", f" {NAME}"), (rf"\p{{Lu}}(?<![\p{{L}}\p{{N}}{NAME}].)", MAYBE, 0)]
+BEFORE_SQL = [*[(rf"([\p{{L}}\p{{N}},;){NAME}] )(\p{{Lu}})", 1, NAME, 2)] * 2, (rf"([^\p{{L}}\p{{N}}{NAME}])(\p{{Lu}})", 1, MAYBE, 2)]
+_WORDED = f"({'|'.join(NUMBER_WORDS)})"
+_INITIALS = "".join(sorted({w[0] for w in NUMBER_WORDS}))
+_OTHER = rf"[^a-z0-9\p{{L}}\p{{N}}{NAME}-{MAYBE}]"
+_MEASURED = (rf"{NUMBER}([^ ]* )({'|'.join(UNITS)})( )", NUMBER, 1, UNIT, 2, 3)
+#: What is no token becomes a space, but for separators inside numbers; then digits and number words are numbers, and units after them units.
+AFTER = [(rf"(?:(?![.,:/](?=[0-9])(?<=[0-9].)){_OTHER})+", " "), (r"([0-9][0-9.,:/]*) ?", NUMBER, 1, " "), (f" {MAYBE}?(?=[{_INITIALS}]){_WORDED}(?= )", " ", NUMBER, 1), _MEASURED]
+_HELD = "\ue005"  # in SQL, a separator inside a number
+AFTER_SQL = [*[(r"([0-9])([.,:/])([0-9])", 1, _HELD, 2, 3)] * 2, (rf"([^{_HELD}])[.,:/]+", 1, " "), (rf"[^a-z0-9\p{{L}}\p{{N}}{NAME}-{MAYBE}{_HELD}.,:/]+", " "), (_HELD, ""), (" +", " "), (r"([0-9][0-9.,:/]*) ?", NUMBER, 1, " "), *[(f" {MAYBE}?{_WORDED}( )", " ", NUMBER, 1, 2)] * 2, _MEASURED]
 TO_TEMPLATE = (rf"([{NAME}-{UNIT}])[^ ]*", 1)
 
 
@@ -64,7 +66,7 @@ def drafted(text: Column) -> Column:
     for step in BEFORE:
         x = _replace(x, step)
     x = F.lower(x)
-    for step in POINTS + AFTER:
+    for step in AFTER:
         x = _replace(x, step)
     return x
 
@@ -72,20 +74,26 @@ def drafted(text: Column) -> Column:
 def marked(draft: Column, common: list[str]) -> Column:
     """Capitalised words that are not common are names, the others ordinary."""
     if common:
-        draft = _replace(draft, (f"{MAYBE}({'|'.join(common)})( )", 1, 2))
+        draft = _replace(draft, (f"{MAYBE}({'|'.join(common)})(?= )", 1))
     return F.translate(draft, MAYBE, NAME)
 
 
-def common_words(drafts: DataFrame) -> list[str]:
-    """drafts: m.  The ordinary tokens that are a COMMON-th of all or more: COMMON words at most, in order."""
-    each = drafts.select(F.explode(F.split(F.trim("m"), " ")).alias("w")).where((F.col("w") != "") & ~F.col("w").rlike(f"[{NAME}-{MAYBE}]"))
-    counts = each.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    return sorted(r["w"] for r in counts.where(F.col("n") * COMMON >= total).collect())  # at most COMMON rows
+def template(draft: Column, common: list[str]) -> Column:
+    """What is marked, without its values."""
+    one = f"{MAYBE}({'|'.join(common)})(?= )|" if common else "(\\z.)|"
+    return F.translate(_replace(draft, (rf"(?=[{NAME}-{MAYBE}])(?:{one}([{NAME}-{MAYBE}])[^ ]*)", 1, 2)), MAYBE, NAME)
 
 
-def template(marked_text: Column) -> Column:
-    return _replace(marked_text, TO_TEMPLATE)
+def common_words(drafts: DataFrame) -> list[str]:
+    """drafts: m.  Of the words that may be names, those that are a COMMON-th of their occurrences or more (so COMMON at most) and that ordinary tokens are as often, in order."""
+    words = drafts.select(F.explode(F.regexp_extract_all("m", F.lit(f"{MAYBE}([^ ]+)"), F.lit(1))).alias("w"))
+    counts = cut(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "capitalised")
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    often = {r["w"]: r["n"] for r in counts.where(F.col("n") * COMMON >= total).collect()}  # at most COMMON rows
+    if not often:
+        return []
+    plain = drafts.select(F.explode(F.split("m", " ")).alias("w")).where(F.col("w").isin(list(often))).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return sorted(r["w"] for r in plain.collect() if r["n"] >= often[r["w"]])
 
 
 def tokens(x: Column) -> Column:
@@ -104,29 +112,29 @@ def needed(n: Column) -> Column:
 
 
 def tiles(texts: DataFrame) -> DataFrame:
-    """texts: did, h (the hash of the text) and m (marked).  did, h, at (a token's place), w (the hash of the tile that begins there)."""
-    own = texts.select("did", "h", tokens(template(F.col("m"))).alias("t")).where(F.size("t") >= WIDTH)
-    tile = F.transform(F.sequence(F.lit(0), (F.size("t") / WIDTH).cast("int") - 1), lambda i: F.xxhash64(F.array_join(F.slice("t", i * WIDTH + 1, WIDTH), " ")))
+    """texts: did, h (the hash of the text) and t (template).  did, h, at (a token's place), w (the hash of the tile that begins there)."""
+    own = texts.select("did", "h", tokens(F.col("t")).alias("t")).where(F.size("t") >= WIDTH)
+    tile = F.transform(F.sequence(F.lit(0), (F.size("t") / WIDTH).cast("int") - 1), lambda i: F.xxhash64(F.slice("t", i * WIDTH + 1, WIDTH)))
     return own.select("did", "h", F.posexplode(tile).alias("i", "w")).select("did", "h", (F.col("i") * WIDTH).alias("at"), "w")
 
 
 def windows(items: DataFrame) -> DataFrame:
-    """items: item_id and m (marked).  item_id and one row for each telling window: its place and hash."""
-    own = items.select("item_id", tokens(template(F.col("m"))).alias("tt")).where(F.size("tt") >= WIDTH)
-    each = F.transform(F.sequence(F.lit(0), F.size("tt") - WIDTH), lambda i: F.array_join(F.slice("tt", i + 1, WIDTH), " "))
-    return own.select("item_id", F.posexplode(each).alias("ip", "s")).where(telling(F.col("s"))).select("item_id", "ip", F.xxhash64("s").alias("w"))
+    """items: item_id and t (template).  item_id and one row for each telling window: its place and hash."""
+    own = items.select("item_id", tokens(F.col("t")).alias("tt")).where(F.size("tt") >= WIDTH)
+    each = F.transform(F.sequence(F.lit(0), F.size("tt") - WIDTH), lambda i: F.slice("tt", i + 1, WIDTH))
+    return own.select("item_id", F.posexplode(each).alias("ip", "s")).where(telling(F.array_join("s", " "))).select("item_id", "ip", F.xxhash64("s").alias("w"))
 
 
 def untiled(items: DataFrame) -> DataFrame:
     """item_id, ip, r, w: the runs of r tokens that leak an item but hold no telling window at some place of the tiles."""
-    own = items.select("item_id", tokens(template(F.col("m"))).alias("tt")).withColumn("n", F.size("tt")).withColumn("r", needed(F.col("n")))
+    own = items.select("item_id", tokens(F.col("t")).alias("tt")).withColumn("n", F.size("tt")).withColumn("r", needed(F.col("n")))
     told = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - WIDTH, F.lit(0))), lambda i: telling(F.array_join(F.slice("tt", i + 1, WIDTH), " ")))
     own = own.where(F.col("r") >= PLAIN).select("item_id", "tt", "r", told.alias("told"), F.explode(F.sequence(F.lit(0), F.col("n") - F.col("r"))).alias("ip"))
     # The tiles of a document meet a run at one of WIDTH places.
     places = F.filter(F.sequence(F.col("ip"), F.col("ip") + F.greatest(F.col("r") - WIDTH, F.lit(0))), lambda i: F.get("told", i))
     own = own.withColumn("safe", (F.col("r") >= WIDTH) & (F.size(F.array_distinct(F.transform(places, lambda i: i % WIDTH))) == WIDTH)).where("not safe")
-    own = own.withColumn("s", F.array_join(F.slice("tt", F.col("ip") + 1, F.col("r")), " "))
-    return own.where(telling(F.col("s"), F.col("r"))).select("item_id", "ip", "r", F.xxhash64("s").alias("w"))
+    own = own.withColumn("s", F.slice("tt", F.col("ip") + 1, F.col("r")))
+    return own.where(telling(F.array_join("s", " "), F.col("r"))).select("item_id", "ip", "r", F.xxhash64("s").alias("w"))
 
 
 def met_untiled(texts: DataFrame, items: DataFrame) -> DataFrame | None:
@@ -136,9 +144,9 @@ def met_untiled(texts: DataFrame, items: DataFrame) -> DataFrame | None:
     if not sizes:
         return None
     runs = F.broadcast(runs) if sum(sizes.values()) <= BROADCAST_ROWS else runs
-    own = texts.select("did", "h", tokens(template(F.col("m"))).alias("t"))
+    own = texts.select("did", "h", tokens(F.col("t")).alias("t"))
     own = own.withColumn("r", F.explode(F.array(*[F.lit(r) for r in sorted(sizes)]))).where(F.size("t") >= F.col("r"))
-    each = F.transform(F.sequence(F.lit(0), F.size("t") - F.col("r")), lambda i: F.xxhash64(F.array_join(F.slice("t", i + 1, F.col("r")), " ")))
+    each = F.transform(F.sequence(F.lit(0), F.size("t") - F.col("r")), lambda i: F.xxhash64(F.slice("t", i + 1, F.col("r"))))
     return own.select("did", "h", "r", F.posexplode(each).alias("at", "w")).join(runs, ["r", "w"]).select("did", "h", "item_id", (F.col("at") - F.col("ip")).alias("shift"))
 
 
@@ -146,18 +154,19 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """did, h, item_id, run, n_tokens (of the item), n_changed: the leaked items of each text, by their best alignment."""
     drafts = cut(docs.select(F.col("doc_id").alias("did"), F.xxhash64("text").alias("h"), drafted(F.col("text")).alias("m")), "marked")
     common = common_words(drafts)
-    texts = drafts.select("did", "h", marked(F.col("m"), common).alias("m"))
-    items = items.select("item_id", marked(drafted(F.col("text")), common).alias("m"))
+    both = [marked(F.col("m"), common).alias("m"), template(F.col("m"), common).alias("t")]
+    texts = drafts.select("did", "h", *both)
+    items = items.select("item_id", drafted(F.col("text")).alias("m")).select("item_id", *both)
     small = windows(items)
     if small.count() <= BROADCAST_ROWS:
         small = F.broadcast(small)
     met = tiles(texts).join(small, "w").select("did", "h", "item_id", (F.col("at") - F.col("ip")).alias("shift"))
     more = met_untiled(texts, items)
     met = (met if more is None else met.union(more)).distinct()
-    again = texts.select(F.col("did").alias("d2"), F.col("h").alias("h2"), "m")
+    again = drafts.select(F.col("did").alias("d2"), F.col("h").alias("h2"), "m")
     own = met.join(again, F.col("did").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")))
-    own = own.select("did", "h", "item_id", "shift", tokens(F.col("m")).alias("dm"), tokens(template(F.col("m"))).alias("dt"))
-    full = items.select(F.col("item_id").alias("i2"), tokens(F.col("m")).alias("mt"), tokens(template(F.col("m"))).alias("tt"))
+    own = own.select("did", "h", "item_id", "shift", *[tokens(c).alias(n) for c, n in zip(both, ("dm", "dt"), strict=True)])
+    full = items.select(F.col("item_id").alias("i2"), tokens(F.col("m")).alias("mt"), tokens(F.col("t")).alias("tt"))
     pairs = own.join(full, F.col("item_id") == F.col("i2"))
     lo, hi = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("tt"), F.size("dt") - F.col("shift"))
     n = hi - lo
@@ -213,7 +222,7 @@ def _sql_drafted(text: str) -> str:
     for s in BEFORE_SQL:
         x = step(x, s)
     x = f"lower({x})"
-    for s in POINTS_SQL + AFTER_SQL:
+    for s in AFTER_SQL:
         x = step(x, s)
     return x
 
@@ -226,9 +235,9 @@ _SQL_MARKED = f"translate(regexp_replace(m, p, '{chr(92)}1{chr(92)}2', 'g'), '{M
 #: Alignments come from any three tokens that an item and a document share, at all places of both, so no tile or telling window is taken on trust.
 ORACLE = f"""
 WITH d0 AS MATERIALIZED (SELECT doc_id, text, {_sql_drafted('text')} AS m FROM documents),
-tk AS (SELECT unnest(string_split(trim(m), ' ')) AS w FROM d0),
-wn AS (SELECT w, count(*) AS n FROM tk WHERE w <> '' AND NOT regexp_matches(w, '[{NAME}-{MAYBE}]') GROUP BY w),
-pt AS (SELECT '{MAYBE}(' || coalesce(string_agg(w, '|'), '{POINT}{POINT}') || ')( )' AS p FROM wn WHERE n * {COMMON} >= (SELECT sum(n) FROM wn)),
+tk AS MATERIALIZED (SELECT w, count(*) AS n FROM (SELECT unnest(string_split(trim(m), ' ')) AS w FROM d0) GROUP BY w),
+cp AS (SELECT w[2:] AS w, n FROM tk WHERE w[1] = '{MAYBE}' AND length(w) > 1),
+pt AS (SELECT '{MAYBE}(' || coalesce(string_agg(cp.w, '|'), '{_HELD}') || ')( )' AS p FROM cp JOIN tk ON tk.w = cp.w AND tk.n >= cp.n WHERE cp.n * {COMMON} >= (SELECT sum(n) FROM cp)),
 d AS MATERIALIZED (SELECT doc_id, text, trim(m) AS m, trim({_sql_template('m')}) AS t FROM (SELECT doc_id, text, {_SQL_MARKED} AS m FROM d0, pt)),
 b AS MATERIALIZED (SELECT item_id, trim(m) AS m, trim({_sql_template('m')}) AS t FROM (SELECT item_id, {_SQL_MARKED} AS m FROM (SELECT item_id, {_sql_drafted('text')} AS m FROM benchmark), pt)),
 dl AS MATERIALIZED (SELECT DISTINCT doc_id, text, string_split(m, ' ') AS dm, string_split(t, ' ') AS dt FROM d),

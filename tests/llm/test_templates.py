@@ -43,9 +43,9 @@ def test_slots_must_be_consistent(spark):
 def test_common_words_at_a_sentence_s_start_are_ordinary(spark):
     """So copies in lower case are found, if they have no names."""
     item = "The rice is good. They pay for it at the market. How many of them want more of it now?"
-    assert found(spark, [(1, item.lower()), (2, TALK), (3, item)], [(7, item)]) == {1: (7, 0), 3: (7, 0)}
-    words = T.common_words(spark.createDataFrame([(f" {TALK.lower()} {T.MAYBE}the {T.NAME}bob {T.NUMBER}3 ",)], "m string"))
-    assert words == sorted(set(TALK.lower().split()))
+    assert found(spark, [(1, item.lower()), (2, TALK + " they the how"), (3, item)], [(7, item)]) == {1: (7, 0), 3: (7, 0)}
+    own = spark.createDataFrame([(f" {T.MAYBE}the the {T.MAYBE}bob {T.NUMBER}3 {T.MAYBE}a {T.MAYBE}a a ",), (f" {T.MAYBE}the the the cat cat ",)], "m string")
+    assert T.common_words(own) == ["the"]  # a is rarer as an ordinary word, bob is none, cat never stands where a name might
     assert T.common_words(spark.createDataFrame([], "m string")) == [] and T.common_words(spark.createDataFrame([("  ",)], "m string")) == []
 
 
@@ -55,13 +55,13 @@ def test_common_words_at_a_sentence_s_start_are_ordinary(spark):
         ("Sarah met Bob, Al. Tim", "M:sarah met N:bob N:al M:tim"),
         ("twenty five cats, One dog. Three-quarters", "#:twenty #:five cats N:one dog #:three quarters"),
         ("5 kg and seven Miles", "#:5 U:kg and #:seven N:miles"),
-        ("1,000.5 km x2y (Berlin) O'Neil", "#:1;000;5 U:km x#:2 y M:berlin N:o M:neil"),
+        ("1,000.5 km x2y (Berlin) O'Neil", "#:1,000.5 U:km x#:2 y M:berlin N:o M:neil"),
         ("Ärger\nÉcole", "M:ärger M:école"),
         ("", ""),
     ],
 )
 def test_drafts(spark, text, want):
-    marks = str.maketrans({T.NAME: "N:", T.NUMBER: "#:", T.UNIT: "U:", T.MAYBE: "M:", T.POINT: ";"})
+    marks = str.maketrans({T.NAME: "N:", T.NUMBER: "#:", T.UNIT: "U:", T.MAYBE: "M:"})
     got = spark.createDataFrame([(text,)], "t string").select(T.drafted(F.col("t")).alias("m")).first().m
     assert got.translate(marks).split() == want.split()
 
