@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import kmer as K
-from ..sources import genome as G
+from ..sources import genome as G, shared
 from .tracks import BIN
 
 HALF, STEP, CENTRE, FLANK = 2048, 32, 96, 1024
@@ -26,25 +26,40 @@ def not_own(site: DataFrame, own: str = "own") -> DataFrame:
     return site.where(F.col(own).isNull() | (F.abs(F.col("pos") - F.col(own)) > HALF + K.K))
 
 
+def successors(site: DataFrame, gap: int) -> tuple[DataFrame, DataFrame]:
+    """For the different places of each query: query_id, pos and next, the first place more than gap behind it (none if more than gap is free of places before that one);
+    and query_id and pos of those that come more than gap behind all others before them.
+
+    Places meet in bins of gap + 1, so a bin has that many places at most: the one sought is in the next bin or, first of all, in the one after it."""
+    size = gap + 1
+    places = site.select("query_id", "pos").distinct().withColumn("__bin", F.floor(F.col("pos") / size))
+    bins = places.groupBy("query_id", "__bin").agg(F.array_sort(F.collect_list("pos")).alias("own"))
+    near = F.explode(F.array(*[F.struct((F.col("__bin") + d).alias("__bin"), F.lit(-d).alias("d")) for d in (-2, -1, 0, 1)])).alias("z")
+    # Each bin is handed to those before it and the one behind it: a row for each bin and what it can see.
+    seen = bins.select("query_id", "own", near).select("query_id", "z.*", "own").groupBy("query_id", "__bin")
+    seen = seen.agg(*[F.first(F.when(F.col("d") == -d, F.col("own")), ignorenulls=True).alias(n) for d, n in ((1, "last"), (0, "own"), (-1, "one"), (-2, "two"))]).where("own is not null")
+    each = seen.select("query_id", "last", "one", "two", "own", F.posexplode("own").alias("i", "pos"))
+    ahead = F.coalesce(F.get(F.filter("one", lambda p: p > F.col("pos") + gap), F.lit(0)), F.get("two", F.lit(0)))
+    behind = F.when(F.col("i") > 0, F.get("own", F.col("i") - 1)).otherwise(F.element_at("last", -1))
+    each = each.select("query_id", "pos", ahead.alias("next"), F.coalesce(F.col("pos") - behind > gap, F.lit(True)).alias("first"))
+    each = shared.settled(each)
+    return each.where("next is not null").select("query_id", "pos", "next"), each.where("first").select("query_id", "pos")
+
+
 def thinned(site: DataFrame, gap: int = 2 * HALF) -> DataFrame:
-    """Of each query's sites by place, those more than gap after the last kept one.
-
-    Keeping is sequential, but a pause of more than gap always begins anew; so sites are parted at pauses first, and only what lies
-    between two pauses is walked through."""
-    w = Window.partitionBy("query_id").orderBy("pos", "reverse")
-    far = F.coalesce(F.col("pos") - F.lag("pos").over(w) > gap, F.lit(True))
-    own = site.withColumn("__new", far.cast("int")).withColumn("__run", F.sum("__new").over(w)).drop("__new")
-
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["pos", "reverse"], ignore_index=True)
-        keep, last = [], None
-        for i, p in enumerate(g.pos.tolist()):
-            if last is None or p - last > gap:
-                keep.append(i)
-                last = p
-        return g.iloc[keep]
-
-    return own.groupBy("query_id", "__run").applyInPandas(walk, own.schema).drop("__run")
+    """Of each query's sites by place, those more than gap after the last kept one; of several at a place, the first strand.
+
+    Keeping is sequential, but which place is kept after a kept one does not depend on those before: so each place knows its successor, and a place behind a pause of more than gap is
+    kept whatever was before it.  From those, successors are followed by doubling: after k rounds, what is up to 2 ** k - 1 steps away is kept, and jumps are 2 ** k long.
+    No query's sites meet in one task."""
+    jumps, kept = successors(site, gap)
+    while not jumps.isEmpty():
+        met = kept.join(jumps, ["query_id", "pos"]).select("query_id", F.col("next").alias("pos"))
+        kept = shared.settled(kept.unionByName(met).distinct())
+        far = jumps.select("query_id", F.col("pos").alias("next"), F.col("next").alias("__n"))
+        jumps = shared.settled(jumps.join(far, ["query_id", "next"]).select("query_id", "pos", F.col("__n").alias("next")))
+    own = site.join(kept, ["query_id", "pos"])
+    return own.withColumn("__k", F.row_number().over(Window.partitionBy("query_id", "pos").orderBy("reverse"))).where("__k = 1").drop("__k").select(site.columns)
 
 
 def subsampled(site: DataFrame, most: int = MOST_SITES, seed: int = 0) -> DataFrame:
