@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import random
 from statistics import median
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import kmer as K
+from ..sources import shared
 from .search import absent
 
 
@@ -21,26 +21,36 @@ def unique_windows(site: DataFrame, kmers: DataFrame, n: int, seed: int = 0) ->
 
 
 def random_absent(kmers: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n random windows that the genome has in neither orientation."""
-    rng = random.Random(seed)
-    rows = [(f"r{i}", rng.getrandbits(K.BITS)) for i in range(4 * n)]
-    return absent(kmers, kmers.sparkSession.createDataFrame(rows, "query_id string, q long")).orderBy("query_id").limit(n)
-
-
-def shuffled_twins(spark: SparkSession, queries: list[tuple[str, str]], kmers: DataFrame, seed: int = 0, tries: int = 1000, at_once: int = 20) -> DataFrame:
-    """For each query, its letters in another order that the genome lacks: the first of so many tries, a few at once for those that have none yet.  A query without
-    any has no row."""
-    rng, found, missing = random.Random(seed), [], dict(queries)
-    for first in range(0, tries, at_once):
-        rows = [(i, t, "".join(rng.sample(q, len(q)))) for i, q in missing.items() for t in range(first, first + at_once)]
-        own = spark.createDataFrame(rows, "query_id string, t int, text string").withColumn("q", K.pack_clean(F.col("text")))
-        got = absent(kmers, own).groupBy("query_id").agg(F.min_by("q", "t").alias("q")).collect()  # at most a row a query
-        found += [(r.query_id, r.q) for r in got]
-        for r in got:
-            del missing[r.query_id]
-        if not missing:
+    """n random windows that the genome has in neither orientation: the hashes of numbers, of which four times as many are tried."""
+    own = kmers.sparkSession.range(4 * n).select(F.format_string("r%08d", "id").alias("query_id"), F.xxhash64("id", F.lit(seed)).bitwiseAND(F.lit(K.ALL)).alias("q"))
+    return absent(kmers, own).orderBy("query_id").limit(n)
+
+
+def shuffled(queries: DataFrame, seed: int = 0) -> DataFrame:
+    """queries: query_id, text and t (the number of a try).  With q, the letters in the order of their hashes by query, try and place, packed."""
+    h = lambda i: F.md5(F.concat_ws("-", "query_id", F.lit(seed), "t", i))
+    letters = F.transform(F.sequence(F.lit(0), F.lit(K.K - 1)), lambda i: F.struct(h(i).alias("h"), F.substring(F.col("text"), i + 1, F.lit(1)).alias("c")))
+    return queries.select("query_id", "text", "t", K.pack_clean(F.array_join(F.transform(F.array_sort(letters), lambda x: x["c"]), "")).alias("q"))
+
+
+#: Tries of the first round of twins; each round has four times as many as the one before.
+FIRST_TRIES = 20
+
+
+def shuffled_twins(spark: SparkSession, queries: DataFrame | list[tuple[str, str]], kmers: DataFrame, seed: int = 0, tries: int = 1000) -> DataFrame:
+    """queries: query_id and text.  query_id and q: for each, its letters in another order that the genome lacks, the first of so many tries.  A query without any has no row.  Orders
+    are drawn and looked up in Spark, in rounds for the queries that have none yet; a round has more tries, so there are few."""
+    missing = spark.createDataFrame(queries, "query_id string, text string") if isinstance(queries, list) else queries.select("query_id", "text")
+    out, first, many = None, 0, FIRST_TRIES
+    while first < tries:
+        own = missing.withColumn("t", F.explode(F.sequence(F.lit(first), F.lit(min(first + many, tries) - 1))))
+        got = shared.settled(absent(kmers, shuffled(own, seed)).groupBy("query_id").agg(F.min_by("q", "t").alias("q")))
+        out = got if out is None else out.unionByName(got)
+        missing = shared.settled(missing.join(got, "query_id", "left_anti"))
+        if missing.isEmpty():
             break
-    return spark.createDataFrame(found, "query_id string, q long")
+        first, many = first + many, 4 * many
+    return out
 
 
 def centred(points: DataFrame, site: DataFrame, name: str, n: int, seed: int = 0) -> DataFrame:
@@ -64,9 +74,8 @@ def query_classes(site: DataFrame, kmers: DataFrame, n: int, motif: DataFrame |
     if repeats is not None:
         inside = repeats.where(F.col("end") - F.col("start") >= K.K).select((F.col("start") + F.pmod(F.xxhash64("start", "end", F.lit(seed)), F.col("end") - F.col("start") - K.K + 1) + K.K // 2).alias("pos"))
         out = out.unionByName(centred(inside, site, "te", n, seed))
-    out = out.persist()
-    genomic = [(f"{r['class']}_shuf/{r.query_id}", r.w) for r in out.select("class", "query_id", K.unpack(F.col("q")).alias("w")).collect()]  # n a class
-    twins = shuffled_twins(spark, genomic, kmers, seed) if genomic else spark.createDataFrame([], "query_id string, q long")
+    out = shared.settled(out)
+    twins = shuffled_twins(spark, out.select(F.concat("class", F.lit("_shuf/"), "query_id").alias("query_id"), K.unpack(F.col("q")).alias("text")), kmers, seed)
     twins = twins.select(F.split("query_id", "/")[0].alias("class"), "query_id", "q", F.lit(None).cast("long").alias("own"))
     none = random_absent(kmers, n, seed).select(F.lit("absent").alias("class"), "query_id", "q", F.lit(None).cast("long").alias("own"))
     return out.unionByName(twins).unionByName(none)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import ball, kmer as K
-from ..operators import features as FE, profiles as P, search as S, tracks as T, tree, views as V
-from ..sources import annotations as A, genome as G, shared, store
+from ..operators import features as FE, profiles as P, sampling, search as S, tracks as T, tree, views as V
+from ..sources import annotations as A, fasta, genome as G, shared, store
 from . import fixtures as X, oracle as O
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -604,6 +604,54 @@ def permutation_study(spark, sf):
     return P.class_summary(rows).withColumns({"share": F.round("share", 9), "median_z": F.round(F.col("median_z") + _OFF, 5), "level_share": F.round("level_share", 9)})
 
 
+def _twins(spark, sf) -> DataFrame:
+    own = X.grown_queries(spark, sf)
+    return sampling.shuffled_twins(spark, own.select(F.concat(F.lit("unique_shuf/"), "query_id").alias("query_id"), K.unpack(F.col("q")).alias("text")), X.kmers(spark, sf))
+
+
+@query(f"WITH {O.GROWN}{O.twins(sampling.FIRST_TRIES)} SELECT query_id, q FROM tw")
+def shuffled_twins(spark, sf):
+    """For each query of the set that grows, its letters in another order that the genome lacks."""
+    return _twins(spark, sf).select("query_id", text("q"))
+
+
+_STUDY = f"""WITH RECURSIVE {O.GROWN}{O.twins(sampling.FIRST_TRIES)}, q AS (SELECT query_id, q FROM gq UNION ALL SELECT query_id, q FROM tw){O.variants(4)[len(O.QUERIES):]}, {O.SIGNAL}, {_PS0},
+no AS MATERIALIZED (SELECT ps0.* FROM ps0 LEFT JOIN gq USING (query_id) WHERE own IS NULL OR abs(pos - own) > {P.HALF + 31}), {_thin('th', 'no')},
+su AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY md5(pos || '-0'), pos, reverse) AS k FROM th) WHERE k <= {P.MOST_SITES})"""
+
+
+def _study_sites(spark, sf) -> DataFrame:
+    grown, twins = X.grown_queries(spark, sf), _twins(spark, sf)
+    asked = shared.settled(grown.unionByName(twins.withColumn("own", F.lit(None).cast("long"))))
+    hit = S.hits(S.scan(X.kmers(spark, sf), asked.select("query_id", "q"), 4), X.sites(spark, sf)).join(X.contigs(spark, sf).select("contig_id", "offset", "len"), "contig_id")
+    own = hit.select("query_id", "contig_id", "offset", "len", "pos", (F.col("strand") == "-").alias("reverse")).distinct()
+    away = P.not_own(own.join(asked.select("query_id", "own"), "query_id")).drop("own")
+    return P.subsampled(P.thinned(shared.settled(away)))
+
+
+@query(f'{_STUDY} SELECT query_id, contig_id, off AS "offset", len, pos, reverse FROM su')
+def study_sites(spark, sf):
+    """Of the queries that grow with the genome and of their twins: sites within 4 mismatches, own places out, thinned, 500 a query at most."""
+    return _study_sites(spark, sf)
+
+
+@query(f"""{_STUDY}, {_stats('su', P.SHIFTS)}, {_test('ts', 'shape')}, {_test('tl_', 'level')},
+ef AS (SELECT query_id, count(*) AS effective FROM su GROUP BY query_id),
+rw AS (SELECT CASE WHEN starts_with(query_id, 'unique_shuf') THEN 'unique_shuf' ELSE 'unique' END AS class, ts.track, effective, ts.z, ts.p, tl_.p AS level_p FROM ts JOIN tl_ USING (query_id, track) JOIN ef USING (query_id) WHERE ts.p IS NOT NULL)
+SELECT class, track, 4 AS n, count(*) AS testable, (list_sort(list(effective))[count(*) // 2 + 1])::INTEGER AS median_sites, count(*) FILTER (p <= {P.ALPHA}) AS significant, round(count(*) FILTER (p <= {P.ALPHA}) / count(*), 9) AS share,
+       round(list_sort(list(z))[count(*) // 2 + 1] + {_OFF}, 5) AS median_z, round(count(*) FILTER (level_p <= {P.ALPHA}) / count(*), 9) AS level_share FROM rw GROUP BY class, track""")
+def study_classes(spark, sf):
+    """The permutation study of the queries that grow with the genome, and of their twins as control."""
+    own = shared.settled(_study_sites(spark, sf))
+    stats = shared.settled(P.profile_stats(own, X.base_bins(spark, sf), X.length(spark, sf), P.stated_shifts()))
+    level = P.tested(stats, "level").select("query_id", "track", F.col("p").alias("level_p"))
+    count = own.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("effective"))
+    rows = P.tested(stats).join(level, ["query_id", "track"]).join(count, "query_id")
+    kind = F.when(F.col("query_id").startswith("unique_shuf"), "unique_shuf").otherwise("unique")
+    rows = rows.select(kind.alias("class"), "track", F.lit(4).alias("n"), "effective", "z", "p", "level_p")
+    return P.class_summary(rows).withColumns({"share": F.round("share", 9), "median_z": F.round(F.col("median_z") + _OFF, 5), "level_share": F.round("level_share", 9)})
+
+
 # Files: written from the tables in the shared folder, and read back.
 
 
@@ -634,6 +682,18 @@ def fasta_files_read(spark, sf):
     return own.select("contig_id", "name", "description", F.length("seq").cast("long").alias("len"), F.md5("seq").alias("letters"))
 
 
+@query(f"WITH {O.SITES}, od AS (SELECT contig_id, name, lang, row_number() OVER (ORDER BY contig_id // 2, contig_id) - 1 AS nth FROM g) SELECT nth AS contig_id, name, coalesce(lang, '') AS description, count(*) AS n_windows, sum(start)::BIGINT AS starts, min(fwd) AS least_fwd, max(kmer) AS most_kmer FROM od JOIN w ON w.contig_id = od.contig_id GROUP BY ALL")
+def fasta_windows(spark, sf):
+    """The windows of a FASTA folder of several files, read by splits as tiles, no record whole."""
+
+    def write(path: str) -> None:
+        G.fasta_lines(X.genome(spark, sf)).repartitionByRange("contig_id").sortWithinPartitions("contig_id").select("value").write.text(path)
+
+    own = fasta.read(spark, _folder(spark, sf, "fasta-parts", write))
+    w = G.windows(own.tiles).groupBy("contig_id").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("start").alias("starts"), F.min("fwd").alias("least_fwd"), F.max("kmer").alias("most_kmer"))
+    return own.contigs.join(w, "contig_id").select("contig_id", "name", "description", "n_windows", "starts", text("least_fwd"), text("most_kmer"))
+
+
 def _index(spark, sf) -> str:
     return _folder(spark, sf, "index", lambda path: store.build(X.genome(spark, sf).drop("source"), path))
 

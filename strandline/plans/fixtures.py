@@ -12,6 +12,8 @@ from ..sources import genome as G
 
 #: Stated windows: query, contig, start.
 WINDOWS = [("a", 7, 100), ("b", 12, 200), ("c", 30, 300)]
+#: Which contigs have a window in the query set that grows, and where.
+GROWN_EVERY, GROWN_AT = 50, 100
 _KEPT: dict[tuple[str, str, str], DataFrame] = {}
 _LENGTH: dict[tuple[str, str], int] = {}
 
@@ -59,6 +61,14 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stated.unionByName(search.top_copy(kmers(spark, sf_dir)).select(F.lit("top").alias("query_id"), F.col("kmer").alias("q")))
 
 
+def grown_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, q and own (its place) of a query set that grows with the genome: the window at GROWN_AT of each contig whose number GROWN_EVERY divides.  Equal windows, in either
+    orientation, are one query, by the least contig."""
+    own = sites(spark, sf_dir).where((F.pmod("contig_id", F.lit(GROWN_EVERY)) == 0) & (F.col("start") == GROWN_AT))
+    least = own.groupBy("kmer").agg(F.min(F.struct("contig_id", "fwd", "pos")).alias("x"))
+    return least.select(F.concat(F.lit("u"), "x.contig_id").alias("query_id"), F.col("x.fwd").alias("q"), F.col("x.pos").alias("own"))
+
+
 def variants(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     return _kept(spark, sf_dir, f"variants{n}", lambda: search.result_set(search.scan(kmers(spark, sf_dir), queries(spark, sf_dir), n)))
 

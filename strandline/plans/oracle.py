@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .fixtures import WINDOWS
+from .fixtures import GROWN_AT, GROWN_EVERY, WINDOWS
 
 _PICK = " OR ".join(f"(contig_id = {c} AND start = {s})" for _, c, s in WINDOWS)
 _NAME = " ".join(f"WHEN contig_id = {c} THEN '{q}'" for q, c, _ in WINDOWS)
@@ -34,6 +34,21 @@ q AS (SELECT CASE {_NAME} END AS query_id, fwd AS q FROM w WHERE {_PICK}
 )
 
 
+GROWN = (
+    SITES
+    + f""",
+gq AS MATERIALIZED (SELECT 'u' || contig_id AS query_id, fwd AS q, pos AS own FROM (SELECT *, row_number() OVER (PARTITION BY kmer ORDER BY contig_id) AS r FROM w WHERE contig_id % {GROWN_EVERY} = 0 AND start = {GROWN_AT}) WHERE r = 1)"""
+)
+
+
+def twins(tries: int) -> str:
+    """In SQL, the first of so many orders of each query's letters that the genome lacks.  Stands after GROWN."""
+    return f""",
+tt AS (SELECT query_id, q, t, unnest(range(31)) AS i FROM (SELECT 'unique_shuf/' || query_id AS query_id, q, unnest(range({tries})) AS t FROM gq)),
+ts_ AS (SELECT query_id, t, string_agg(substr(q, i::INTEGER + 1, 1), '' ORDER BY md5(query_id || '-0-' || t || '-' || i)) AS q FROM tt GROUP BY query_id, t),
+tw AS MATERIALIZED (SELECT query_id, arg_min(q, t) AS q FROM ts_ a WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.kmer = least(a.q, reverse(translate(a.q, 'ACGT', 'TGCA')))) GROUP BY query_id)"""
+
+
 def variants(n: int) -> str:
     return (
         QUERIES
