@@ -339,6 +339,12 @@ def feature_overlap(spark, sf):
     return FE.overlapping(X.features(spark, sf), *REGION)
 
 
+@query(f"{_f(*REGION)} ORDER BY start, end_, kind, name, strand LIMIT 200")
+def features_limited(spark, sf):
+    """The first 200 features that a region shows."""
+    return FE.overlapping(X.features(spark, sf), *REGION, limit=200)
+
+
 @query(_f(20_000, 20_001))
 def feature_at(spark, sf):
     return FE.at(X.features(spark, sf), 20_000)
@@ -358,6 +364,18 @@ def feature_density(spark, sf):
     return FE.density(X.features(spark, sf), *_whole(spark, sf), WIDTH, ["en", "fr"])
 
 
+@query(
+    f"""WITH {O.FEATURES}, m AS (SELECT * FROM f WHERE kind IN ('en', 'fr')), t AS (SELECT count(*) AS n FROM m), d AS (SELECT {_C0} AS c0, {_C1} AS c1 FROM m),
+dn AS (SELECT col, count(*) AS features FROM (SELECT unnest(range(c0, least(greatest(c1, c0 + 1), {WIDTH}))) AS col FROM d) GROUP BY col)
+SELECT 'density' AS what, col AS place, features AS value, n AS total FROM dn, t WHERE n > 1500 UNION ALL SELECT 'features', start, end_, n FROM (SELECT * FROM m ORDER BY start, end_, kind, name, strand LIMIT 1500), t WHERE n <= 1500"""
+)
+def features_or_density(spark, sf):
+    """What a view of the whole genome gets: features up to a limit, else how many each column has."""
+    what, own, total = FE.features_or_density(X.features(spark, sf), *_whole(spark, sf), WIDTH, 1500, ["en", "fr"])
+    own = own.select(F.col("start").alias("place"), F.col("end").alias("value")) if what == "features" else own.select(F.col("col").alias("place"), F.col("features").alias("value"))
+    return own.select(F.lit(what).alias("what"), "place", "value", F.lit(total).cast("long").alias("total"))
+
+
 @query(f"WITH {O.FEATURES}, r AS (SELECT event_id AS region_id, date_diff('second', TIMESTAMP '2024-01-01', ts) % {O.L} AS r_start FROM events) SELECT region_id, r_start, r_start + 500 AS r_end, start, end_ AS \"end\", kind, name, strand, set_ AS \"set\" FROM r JOIN f ON start < r_start + 500 AND end_ > r_start")
 def feature_join(spark, sf):
     start = X.seconds(spark, sf)
@@ -494,6 +512,12 @@ def thinned_sites(spark, sf):
     return P.thinned(_all_sites(spark, sf))
 
 
+@query(f"WITH {O.variants(4)}, {_PS0} SELECT query_id, contig_id, off AS \"offset\", len, pos, reverse FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY md5(pos || '-0'), pos, reverse) AS k FROM ps0) WHERE k <= 20")
+def subsampled_sites(spark, sf):
+    """Of each query's sites, twenty by hash: a limit that the commonest window is beyond."""
+    return P.subsampled(_all_sites(spark, sf), 20)
+
+
 _MOTIF = 12
 
 
@@ -549,7 +573,7 @@ def signal_scale(spark, sf):
 @query(f"WITH {O.GENOME}, {O.SIGNAL} SELECT track, round((total / cov)::FLOAT::DOUBLE, 3) AS value FROM b0 WHERE bin = (SELECT min(bin) FROM b0 WHERE bin >= 3000)")
 def signal_value_at(spark, sf):
     first = X.base_bins(spark, sf).where("bin >= 3000").agg(F.min("bin")).first()[0]
-    return T.value_at(X.base_bins(spark, sf), first * T.BIN).withColumn("value", F.round(F.col("value").cast("double"), 3))
+    return T.value_at(X.base_bins(spark, sf), (3000 if first is None else first) * T.BIN).withColumn("value", F.round(F.col("value").cast("double"), 3))
 
 
 @query(f"WITH {O.GENOME}, {O.SIGNAL}, x AS (SELECT track, bin, (total / cov)::FLOAT AS value FROM b0), y AS (SELECT *, max(value) OVER (PARTITION BY track ORDER BY bin RANGE BETWEEN 16 PRECEDING AND 16 FOLLOWING) AS most FROM x) SELECT track, bin, round(value::DOUBLE, 3) AS value FROM y WHERE most <= value ORDER BY y.value DESC, track, bin LIMIT 100")
@@ -726,13 +750,11 @@ def index_walks_n4(spark, sf):
     return found.select("query_id", text("variant"), "mismatches", text("leaf"), "flipped")
 
 
-@query(f"WITH {O.GENOME} SELECT contig_id, len, md5(replace(seq, 'N', 'A')) AS letters FROM g WHERE len > 0")
+@query(f"WITH {O.GENOME}, ti AS (SELECT contig_id, seq, len, unnest(range(0, len, {1 << 16})) AS at_ FROM g) SELECT contig_id, at_ AS at, least(len - at_, {1 << 16})::INTEGER AS n, md5(replace(substr(seq, at_ + 1, {1 << 16}), 'N', 'A')) AS letters FROM ti")
 def packed_sequence(spark, sf):
-    """The packed letters of the index on disk, unpacked contig by contig; letters that are none of four are the first."""
-    four = F.udf(lambda bits, n: store.unpacked(bytes(bits), n), "string")
-    own = store.table(spark, _index(spark, sf), "tiles").select("contig_id", F.struct("at", four("bits", "n").alias("text")).alias("t"), F.col("n").cast("long").alias("n"))
-    own = own.groupBy("contig_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["text"]), "").alias("seq"), F.sum("n").alias("len"))
-    return own.select("contig_id", "len", F.md5("seq").alias("letters"))
+    """The packed letters of the index on disk, unpacked tile by tile; letters that are none of four are the first."""
+    own = store.letters_of_tiles(store.table(spark, _index(spark, sf), "tiles"))
+    return own.select("contig_id", "at", "n", F.md5("letters").alias("letters"))
 
 
 def _lines(spark, sf, what: str, rows) -> str:
