@@ -676,6 +676,34 @@ def study_classes(spark, sf):
     return P.class_summary(rows).withColumns({"share": F.round("share", 9), "median_z": F.round(F.col("median_z") + _OFF, 5), "level_share": F.round("level_share", 9)})
 
 
+_ZONE = 1 << 12
+
+
+@query(
+    f"""WITH {O.QUERIES}, q2 AS (SELECT query_id, q AS o FROM q UNION ALL SELECT query_id, reverse(translate(q, 'ACGT', 'TGCA')) FROM q),
+z AS (SELECT r // {_ZONE} AS zone, min(kmer) AS lo, max(kmer) AS hi, count(*) AS windows FROM (SELECT kmer, row_number() OVER (ORDER BY kmer) - 1 AS r FROM k) GROUP BY r // {_ZONE}),
+c AS (SELECT *, coalesce(list_position(list_transform(range(1, 32), lambda i: lo[i] = hi[i]), false), 32) - 1 AS same FROM z),
+d AS (SELECT query_id, zone, windows, min(CASE WHEN same > 0 THEN hamming(lo[1:same], o[1:same]) ELSE 0 END + CASE WHEN same < 31 AND NOT (o[same + 1] >= lo[same + 1] AND o[same + 1] <= hi[same + 1]) THEN 1 ELSE 0 END) AS least FROM c, q2 GROUP BY ALL)
+SELECT query_id, n::INTEGER AS n, count(*) AS zones_read, sum(windows)::BIGINT AS windows_read FROM d, range(5) AS r(n) WHERE least <= n GROUP BY query_id, n"""
+)
+def zones_read(spark, sf):
+    """How many zones of the sorted index a search of up to four mismatches has to read, where any."""
+    zone = S.zones(store.table(spark, _index(spark, sf), "kmers"), _ZONE)
+    queries, least = X.queries(spark, sf), S.least_distance(F.col("lo"), F.col("hi"), F.col("o"))
+    both = queries.select("query_id", F.explode(F.array("q", K.revcomp(F.col("q")))).alias("o"))
+    met = zone.join(both, least <= 4).groupBy("query_id", "zone", "windows").agg(F.min(least).alias("least"))
+    own = met.select("query_id", "windows", F.explode(F.sequence(F.col("least"), F.lit(4))).alias("n")).groupBy("query_id", "n")
+    return own.agg(F.count(F.lit(1)).alias("zones_read"), F.sum("windows").alias("windows_read"))
+
+
+@query(f"WITH {O.variants(2)} SELECT query_id, variant, mismatches, leaf, flipped FROM v")
+def search_zones_n2(spark, sf):
+    """Everything within two mismatches, from the index on disk by zones."""
+    kmers = store.table(spark, _index(spark, sf), "kmers")
+    own = S.scan_by_zones(kmers, S.zones(kmers, _ZONE), X.queries(spark, sf), 2)
+    return own.select("query_id", text("variant"), "mismatches", text("leaf"), "flipped")
+
+
 # Files: written from the tables in the shared folder, and read back.
 
 
