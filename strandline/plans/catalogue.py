@@ -39,7 +39,7 @@ def text(c: str):
 
 @query(f"WITH {O.SITES} SELECT contig_id, count(*) AS n_windows, min(fwd) AS least_fwd, max(fwd) AS most_fwd, count(*) FILTER (fc) AS fwd_canonical, sum(start)::BIGINT AS starts FROM w GROUP BY contig_id")
 def kmer_windows(spark, sf):
-    w = G.windows(X.genome(spark, sf))
+    w = G.windows(X.genome(spark, sf), X.dealt(spark, sf))
     own = w.groupBy("contig_id").agg(F.count(F.lit(1)).alias("n_windows"), F.min("fwd").alias("least_fwd"), F.max("fwd").alias("most_fwd"), F.count_if("fwd_canonical").alias("fwd_canonical"), F.sum("start").alias("starts"))
     return own.select("contig_id", "n_windows", text("least_fwd"), text("most_fwd"), "fwd_canonical", "starts")
 
@@ -53,7 +53,7 @@ def canonical_counts(spark, sf):
 @query(f"WITH {O.SITES} SELECT contig_id, substr(rc, 1, 2) AS lead, count(*) AS n_windows, min(rc) AS least_rc, max(rc) AS most_rc, sum(start)::BIGINT AS starts, sum(start) FILTER (substr(rc, 31, 1) = 'A')::BIGINT AS starts_a, sum(start) FILTER (substr(rc, 16, 1) = 'C')::BIGINT AS starts_c FROM w GROUP BY contig_id, substr(rc, 1, 2)")
 def kmer_revcomp(spark, sf):
     """All windows' reverse complements, summed up by contig and first two letters."""
-    own = G.windows(X.genome(spark, sf)).select("contig_id", "start", "rc", K.window(F.col("rc"), 2, 0).alias("lead"), K.base_at(F.col("rc"), F.lit(30)).alias("last"), K.base_at(F.col("rc"), F.lit(15)).alias("mid"))
+    own = G.windows(X.genome(spark, sf), X.dealt(spark, sf)).select("contig_id", "start", "rc", K.window(F.col("rc"), 2, 0).alias("lead"), K.base_at(F.col("rc"), F.lit(30)).alias("last"), K.base_at(F.col("rc"), F.lit(15)).alias("mid"))
     own = own.groupBy("contig_id", "lead").agg(
         F.count(F.lit(1)).alias("n_windows"), F.min("rc").alias("least_rc"), F.max("rc").alias("most_rc"), F.sum("start").alias("starts"),
         F.sum(F.when(F.col("last") == 0, F.col("start"))).alias("starts_a"), F.sum(F.when(F.col("mid") == 1, F.col("start"))).alias("starts_c"),

@@ -81,8 +81,17 @@ def result_sites(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     return search.result_sites(variants(spark, sf_dir, n), sites(spark, sf_dir))
 
 
+def dealt(spark: SparkSession, sf_dir: str) -> bool:
+    """Whether the tiles of the genome are to be dealt, by the lengths that are known."""
+    return contigs(spark, sf_dir).agg(F.coalesce(F.max("len"), F.lit(0)).alias("n")).first()["n"] > G.DEALT
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One feature for each run between line ends: kind is the language, name the source."""
+    return _kept(spark, sf_dir, "features", lambda: _features(spark, sf_dir))
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = genome(spark, sf_dir)
     met = G.runs(own, "[^N]").join(own.select("contig_id", "description", "source"), "contig_id").join(contigs(spark, sf_dir).select("contig_id", "offset"), "contig_id")
     strand = F.when((F.col("end") - F.col("start")) % 2 == 0, F.lit("+")).otherwise(F.lit("-"))
