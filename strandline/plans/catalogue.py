@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import ball, kmer as K
-from ..operators import features as FE, profiles as P, sampling, search as S, tracks as T, tree, views as V
+from ..operators import features as FE, motifs, profiles as P, sampling, search as S, tracks as T, tree, views as V
 from ..sources import annotations as A, fasta, genome as G, shared, store
 from . import fixtures as X, oracle as O
 
@@ -676,6 +676,80 @@ def study_classes(spark, sf):
     return P.class_summary(rows).withColumns({"share": F.round("share", 9), "median_z": F.round(F.col("median_z") + _OFF, 5), "level_share": F.round("level_share", 9)})
 
 
+_MOTIF_TRACK, _CONTROL_TRACK = "purchase", "error"
+_MOTIF_SETS = ["H8", "H10", "H10_residual", "E8c", "E10c", "E12c"]
+_MOTIF_HITS = f"""WITH RECURSIVE {O.GROWN}, q AS (SELECT query_id, q FROM gq){O.variants(10)[len(O.QUERIES):]}, {O.SIGNAL},
+m AS ({" UNION ALL ".join(f"SELECT query_id, {k} AS k, {(31 - k) // 2} AS w, substr(q, {(31 - k) // 2 + 1}, {k}) AS p FROM q" for k in (8, 10, 12))}),
+m2 AS (SELECT query_id, k, w, p, false AS rc FROM m UNION ALL SELECT query_id, k, w, reverse(translate(p, 'ACGT', 'TGCA')), true FROM m),
+mb AS (SELECT off, a, substr(seq, a + 1, 512 + 11) AS bit FROM (SELECT off, seq, unnest(range(0, len - 7, 512)) AS a FROM g WHERE len >= 8)),
+t AS ({_windows_sql(8)} UNION ALL {_windows_sql(10)} UNION ALL {_windows_sql(12)}),
+st AS (SELECT query_id, 'H8' AS set_, pos, strand = '-' AS reverse FROM s WHERE mismatches <= 8 UNION ALL SELECT query_id, 'H10', pos, strand = '-' FROM s
+  UNION ALL SELECT query_id, 'H10_residual', pos, strand = '-' FROM s WHERE substr(variant, 10, 12) <> substr(q, 10, 12)
+  UNION ALL SELECT query_id, 'E' || k || 'c', CASE WHEN rc THEN pos - (31 - k - w) ELSE pos - w END, rc FROM t JOIN m2 USING (k, p))"""
+
+
+def _motif_scores(sets: str, name: str = "") -> str:
+    """In SQL, the scores of sets (query_id, set_, pos, reverse): tables ts (by query_id || '|' || set_) and effective."""
+    return f"""ss AS MATERIALIZED (SELECT DISTINCT query_id || '|' || set_ AS query_id, pos, reverse FROM {sets} JOIN gq USING (query_id) WHERE abs(pos - own) > {P.HALF + 31}), {_thin('th', 'ss')},
+sl AS (SELECT u.query_id, u.pos, u.reverse, g.off, g.len FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY md5(pos || '-0'), pos, reverse) AS k FROM th) u JOIN g ON u.pos + 15 >= g.off AND u.pos + 15 < g.off + g.len WHERE u.k <= {P.MOST_SITES}),
+su AS MATERIALIZED (SELECT * FROM sl WHERE query_id IN (SELECT query_id FROM sl GROUP BY query_id HAVING count(*) >= 3)), {_stats('su', P.SHIFTS)}, {_test('ts', 'shape')}"""
+
+
+_MOTIF_ROWS = f"""{_MOTIF_HITS}, {_motif_scores('st')}, ef AS (SELECT query_id, count(*) AS effective FROM th GROUP BY query_id),
+mr AS MATERIALIZED (SELECT gq.query_id, x.set_, tk.track, coalesce(effective, 0) AS effective, obs, z, p FROM gq CROSS JOIN (SELECT unnest({_MOTIF_SETS}) AS set_) x CROSS JOIN (SELECT DISTINCT track FROM b0 WHERE track IN ('{_MOTIF_TRACK}', '{_CONTROL_TRACK}')) tk
+  LEFT JOIN ef ON ef.query_id = gq.query_id || '|' || x.set_ LEFT JOIN ts ON ts.query_id = gq.query_id || '|' || x.set_ AND ts.track = tk.track)"""
+
+
+def _motif_inputs(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Sites within ten mismatches of the queries that grow, and the occurrences of their central motifs."""
+    asked = X.grown_queries(spark, sf)
+    hit = S.hits(S.scan(X.kmers(spark, sf), asked.select("query_id", "q"), 10), X.sites(spark, sf))
+    genome = X.genome(spark, sf).join(X.contigs(spark, sf).select("contig_id", "offset"), "contig_id")
+    exact = P.motif_hits(genome, asked.select("query_id", "q"), list(motifs.KS)).where(F.col("w") == F.floor((K.K - F.col("k")) / 2))
+    return shared.settled(hit), exact
+
+
+def _motif_bins(spark, sf) -> DataFrame:
+    return X.base_bins(spark, sf).where(F.col("track").isin(_MOTIF_TRACK, _CONTROL_TRACK))
+
+
+def _motif_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
+    hit, exact = _motif_inputs(spark, sf)
+    sets = motifs.near_sets(hit).unionByName(motifs.exact_sets(exact))
+    rows = motifs.scored(sets, X.grown_queries(spark, sf), X.contigs(spark, sf), _motif_bins(spark, sf), X.length(spark, sf), names=_MOTIF_SETS)
+    return hit, shared.settled(rows)
+
+
+@query(f"{_MOTIF_ROWS} SELECT query_id, set_ AS \"set\", track, effective, round(obs + {_OFF}, 6) AS obs, round(z + {_OFF}, 5) AS z, round(p, 9) AS p FROM mr")
+def motif_study(spark, sf):
+    """Of each query that grows with the genome: its neighbourhoods and its central exact motifs, scored alike against a hundred shifts."""
+    _, rows = _motif_rows(spark, sf)
+    return rows.withColumns({"obs": F.round(F.col("obs") + _OFF, 6), "z": F.round(F.col("z") + _OFF, 5), "p": F.round("p", 9)})
+
+
+@query(
+    f"""{_MOTIF_ROWS}, pq AS (SELECT query_id, max(z) FILTER (set_ IN ('H8', 'H10')) AS ours, max(z) FILTER (set_ LIKE 'E%c') AS central, coalesce(bool_or(p <= {P.ALPHA}) FILTER (set_ IN ('H8', 'H10')), false) AS sure FROM mr WHERE track = '{_MOTIF_TRACK}' GROUP BY query_id),
+n AS (SELECT count(*) AS qualifying, count(*) FILTER (central >= ours) AS beaten FROM pq WHERE sure)
+SELECT qualifying, beaten, CASE WHEN qualifying > 0 THEN beaten / qualifying END AS share, CASE WHEN qualifying < 5 THEN 'INCONCLUSIVE' WHEN beaten / qualifying > 0.8 THEN 'KILL' WHEN beaten / qualifying > 0.5 THEN 'PIVOT' ELSE 'CONTINUE' END AS verdict FROM n"""
+)
+def motif_verdict(spark, sf):
+    """Whether the central exact motifs do as well as the neighbourhoods that are significant on the main track."""
+    _, rows = _motif_rows(spark, sf)
+    return P.motif_verdict(rows.where(F.col("track") == _MOTIF_TRACK))
+
+
+@query(
+    f"""{_MOTIF_ROWS}, hr AS (SELECT query_id, track, 8 + 2 * (max(z) FILTER (set_ = 'H10') > coalesce(max(z) FILTER (set_ = 'H8'), '-infinity'::DOUBLE))::INTEGER AS n, max(z) AS near_z FROM mr WHERE set_ IN ('H8', 'H10') AND p IS NOT NULL GROUP BY query_id, track),
+er AS (SELECT query_id, track, set_, z, row_number() OVER (PARTITION BY query_id, track ORDER BY round(z, 9) DESC, set_[2:-2]::INTEGER DESC) AS r FROM mr WHERE set_ LIKE 'E%' AND z IS NOT NULL)
+SELECT query_id, track, n::INTEGER AS n, set_[2:-2]::INTEGER AS k, (31 - set_[2:-2]::INTEGER) // 2 AS w, round(near_z + {_OFF}, 5) AS near_z, round(z + {_OFF}, 5) AS best_z FROM hr JOIN er USING (query_id, track) WHERE r = 1"""
+)
+def best_motif(spark, sf):
+    """Of each query whose neighbourhood can be tested: its better radius and the central motif with the greatest score."""
+    _, rows = _motif_rows(spark, sf)
+    own = motifs.best_motifs(rows, 1.0)
+    return own.withColumns({"near_z": F.round(F.col("near_z") + _OFF, 5), "best_z": F.round(F.col("best_z") + _OFF, 5)})
+
+
 _ZONE = 1 << 12
 
 
