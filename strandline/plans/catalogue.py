@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import ball, kmer as K
-from ..operators import features as FE, motifs, profiles as P, sampling, search as S, tracks as T, tree, views as V
+from ..operators import features as FE, lanes, motifs, profiles as P, sampling, search as S, tracks as T, tree, views as V
 from ..sources import annotations as A, fasta, genome as G, shared, store
 from . import fixtures as X, oracle as O
 
@@ -750,6 +750,25 @@ def best_motif(spark, sf):
     return own.withColumns({"near_z": F.round(F.col("near_z") + _OFF, 5), "best_z": F.round(F.col("best_z") + _OFF, 5)})
 
 
+_VIEW, _VIEW_PIXELS, _VIEW_HEIGHT = 20_000, 400, 40
+
+
+@query(
+    f"""WITH RECURSIVE {O.FEATURES}, vw AS (SELECT i::VARCHAR AS view_id, i * {_VIEW} AS a, (i + 1) * {_VIEW} AS b FROM (SELECT unnest(range((SELECT n FROM gl) // {_VIEW} + 1)) AS i)),
+px AS (SELECT view_id, f.*, (start - a)::DOUBLE / {_VIEW}::DOUBLE * {_VIEW_PIXELS}::DOUBLE AS x0, greatest((start - a)::DOUBLE / {_VIEW}::DOUBLE * {_VIEW_PIXELS}::DOUBLE + 1, (end_ - a)::DOUBLE / {_VIEW}::DOUBLE * {_VIEW_PIXELS}::DOUBLE) AS x1 FROM f JOIN vw ON start < b AND end_ > a),
+pl AS MATERIALIZED (SELECT *, CASE WHEN x1 - x0 > 40 OR name IS NULL THEN 0 ELSE least(80, length(name) * 6 + 4) END AS label, row_number() OVER (PARTITION BY view_id ORDER BY start, end_, kind, name, strand) AS i FROM px),
+fo AS (SELECT view_id, 0::BIGINT AS i, 0 AS lane, false AS free, list_transform(range({(_VIEW_HEIGHT - 2) // 9}), lambda z: '-infinity'::DOUBLE) AS ends FROM (SELECT DISTINCT view_id FROM pl)
+  UNION ALL SELECT view_id, i, lane, free, list_transform(ends, lambda e, j: CASE WHEN j = lane THEN greatest(e, x1 + CASE WHEN free THEN label ELSE 0 END) ELSE e END)
+  FROM (SELECT pl.*, fo.ends, len(list_filter(fo.ends, lambda e: e < pl.x0 - 1)) > 0 AS free, CASE WHEN len(list_filter(fo.ends, lambda e: e < pl.x0 - 1)) > 0 THEN list_position(list_transform(fo.ends, lambda e: e < pl.x0 - 1), true) ELSE list_position(fo.ends, list_min(fo.ends)) END AS lane
+        FROM fo JOIN pl ON pl.view_id = fo.view_id AND pl.i = fo.i + 1))
+SELECT view_id, start, end_ AS "end", kind, name, strand, (lane - 1)::INTEGER AS lane, free AS labelled FROM fo JOIN pl USING (view_id, i)"""
+)
+def feature_lanes(spark, sf):
+    """The lanes of all features, in views of equal length over the whole genome."""
+    views = spark.range(X.length(spark, sf) // _VIEW + 1).select(F.col("id").cast("string").alias("view_id"), (F.col("id") * _VIEW).alias("start"), ((F.col("id") + 1) * _VIEW).alias("end"))
+    return lanes.packed(views, X.features(spark, sf), _VIEW_PIXELS, _VIEW_HEIGHT)
+
+
 _ZONE = 1 << 12
 
 
