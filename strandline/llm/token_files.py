@@ -1,13 +1,13 @@
 """Token ids in Arrow files: equal-length sequences with masks, readable at any place without copying.
 
-Files.  `write` deals documents by ascending `doc_id` into ranges; each range becomes `ids-NNNNN.arrow`, an Arrow file
+Files.  `write` deals documents by ascending `doc_id`, and the hash of their text, into ranges; each range becomes `ids-NNNNN.arrow`, an Arrow file
 whose batches hold two fixed-size lists per row, `ids` (`seq_len` unsigned integers of the smallest width that
 holds the vocabulary) and `mask` (true where an id is real; only the last row of a file is padded), and
 `docs-NNNNN.arrow`, which says where each document begins.  Rows have equal length, so sequence *i* is at a known
 place of a known batch, and a mapped file gives it as a view.
 
 Cases.  A null or empty text is the end id alone.  A null `doc_id` comes first.  Rows with equal `doc_id` are all
-kept, in order of their text.  Columns besides the two named ones are ignored, whatever their names.  An empty table
+kept, in order of that hash, and may stand in several files.  A task holds a batch of documents at a time, of its index too.  Columns besides the two named ones are ignored, whatever their names.  An empty table
 gives no files and no rows.  Long texts are encoded whole.  A tokenizer whose description does not prove that pieces between spaces can be
 encoded one by one encodes whole texts.
 """
@@ -213,6 +213,9 @@ class TokenFile:
         return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, "<u4"), *parts])
 
 
+INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
+
+
 def _texts(batches: Iterable[pa.RecordBatch], doc_ids: list) -> Iterator[str]:
     for batch in batches:
         doc_ids.extend(batch.column(0).to_pylist())
@@ -228,28 +231,27 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, seq_len
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, enc = TaskContext.get().partitionId(), encoder(tokenizer)
         end = np.array([end_id], enc.width).tobytes()
-        doc_ids, sizes = [], []
+        docs_of, n_ids, n_docs = [], 0, 0  # of documents that are read and not yet written
 
-        def fill(sink: pa.NativeFile) -> None:
+        def fill_both(sink: pa.NativeFile, index_sink: pa.NativeFile) -> None:
+            nonlocal n_ids, n_docs
             out = _Writer(sink, enc.width, seq_len)
-            for some in in_parts(_texts(batches, doc_ids)):
-                got = enc.encode(some)
-                sizes.extend(len(x) // enc.width.itemsize + 1 for x in got)
-                out.add(np.frombuffer(end.join([*got, b""]), enc.width))
+            with pa.ipc.new_file(index_sink, INDEX) as index:
+                for some in in_parts(_texts(batches, docs_of)):
+                    got = enc.encode(some)
+                    n = np.array([len(x) // enc.width.itemsize + 1 for x in got], np.int64)
+                    out.add(np.frombuffer(end.join([*got, b""]), enc.width))
+                    index.write_batch(pa.RecordBatch.from_arrays([pa.array(docs_of[: len(some)], pa.int64()), pa.array(n_ids + np.cumsum(n) - n), pa.array(n)], schema=INDEX))
+                    del docs_of[: len(some)]
+                    n_ids, n_docs = n_ids + int(n.sum()), n_docs + len(n)
             out.close()
 
-        put(f"{folder}/ids-{part:05d}.arrow", fill)
-        n = np.array(sizes, np.int64)
-        index = pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "start": np.cumsum(n) - n, "n_tokens": n})
-
-        def fill_index(sink: pa.NativeFile) -> None:
-            with pa.ipc.new_file(sink, index.schema) as out:
-                out.write_batch(index)
-
-        put(f"{folder}/docs-{part:05d}.arrow", fill_index)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_ids": pa.array([int(n.sum())], pa.int64()), "n_docs": pa.array([len(n)], pa.int64())})
+        put(f"{folder}/ids-{part:05d}.arrow", lambda sink: put(f"{folder}/docs-{part:05d}.arrow", lambda index_sink: fill_both(sink, index_sink)))
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_ids": pa.array([n_ids], pa.int64()), "n_docs": pa.array([n_docs], pa.int64())})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text")).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # A range may part the documents of one doc_id (or of none) by the hash of their texts, so they are many tasks too.
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.xxhash64("text").alias("hash"))
+    rows = rows.repartitionByRange(partitions(spark), "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     found = in_arrow(rows, step, "part int, n_ids long, n_docs long", "words").collect()  # as many rows as partitions
     return sorted((r.asDict() for r in found if r.n_docs), key=lambda r: r["part"])
 

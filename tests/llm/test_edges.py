@@ -514,6 +514,23 @@ def test_media(spark):
     assert ends[0][-1] == len(data) and ends[2] == [64] and len({*ends[0]} & {e + 1000 for e in ends[1]}) > 0.9 * len(ends[1])
 
 
+def test_token_files_deal_rows_of_one_id(spark, tmp_path):
+    """Documents without an id, and those of one id, are dealt over the files; the index has all of them, at places without gaps."""
+    texts = [f"word{i} " * (i % 9) + str(i) for i in range(3000)]
+    own = spark.createDataFrame([(None if i < 1500 else 7 if i < 2900 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    files = token_files.write(own, f"file://{tmp_path}", TOKENIZER, seq_len=64)
+    assert len(files) > 4 and max(f["n_docs"] for f in files) < 1500
+    got = token_files.read_documents(spark, f"file://{tmp_path}", files).orderBy("start").collect()
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in got] == [None] * 1500 + [7] * 1400 + list(range(2900, 3000))
+    encode = token_files.WordEncoder(TOKENIZER).tokenizer.encode
+    want = sorted(zlib.crc32(np.array([*encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for t in texts)
+    assert sorted(r.ids_crc32 for r in got) == want
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
