@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -769,6 +770,27 @@ def feature_lanes(spark, sf):
     return lanes.packed(views, X.features(spark, sf), _VIEW_PIXELS, _VIEW_HEIGHT)
 
 
+@query(
+    f"""WITH {O.FEATURES}, {O.SIGNAL.strip()},
+fs AS (SELECT 0 AS place, 'lines' AS name, kind, count(*) AS n FROM f WHERE strand = '+' GROUP BY kind UNION ALL SELECT 1, 'turned', kind, count(*) FROM f WHERE strand = '-' GROUP BY kind)
+SELECT 'features' AS what, place::BIGINT AS place, name, kind, n, n AS n_rows FROM fs
+UNION ALL SELECT 'tracks', row_number() OVER (ORDER BY track) - 1, track, '', (SELECT n FROM gl), count(*) FROM b0 WHERE track IN ('{_MOTIF_TRACK}', '{_CONTROL_TRACK}') GROUP BY track"""
+)
+def annotation_registry(spark, sf):
+    """Feature sets and tracks written beside an index, one set twice: the registry's entries in their order, and the rows that the tables hold."""
+    path, own, base = shared.new_folder(spark, "annotations"), X.features(spark, sf), X.base_bins(spark, sf)
+    for name, strand in (("lines", "-"), ("turned", "-"), ("lines", "+")):
+        store.write_features(own.where(F.col("strand") == strand), path, name)
+    for name in sorted((_MOTIF_TRACK, _CONTROL_TRACK)):
+        store.write_track(base.where(F.col("track") == name), path, name, X.length(spark, sf))
+    found = store.registry(spark, path)
+    entries = [("features", i, e["name"], k, n) for i, e in enumerate(found["features"]) for k, n in e["kinds"].items()] + [("tracks", i, e["name"], "", e["length"]) for i, e in enumerate(found["tracks"])]
+    listed = spark.createDataFrame(entries, "what string, place long, name string, kind string, n long")  # a row a set and kind, or a track
+    held = [spark.read.parquet(f"{path}/features/{e['name']}").groupBy("kind").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(e["name"]).alias("name"), "kind", "n_rows") for e in found["features"]]
+    held += [spark.read.parquet(f"{path}/tracks/{e['name']}").where("level = 0").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(e["name"]).alias("name"), F.lit("").alias("kind"), "n_rows") for e in found["tracks"]]
+    return listed.join(reduce(DataFrame.unionByName, held), ["name", "kind"]).select("what", "place", "name", "kind", "n", "n_rows")
+
+
 _ZONE = 1 << 12
 
 
