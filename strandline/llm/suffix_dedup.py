@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -563,10 +564,12 @@ def _cut_out(path: str, keep: list[str]):
         want = handed(path, part)
         cols = None
         if want is not None:
-            want = want.sort_by([("row", "ascending"), ("a", "ascending")])
-            sums_of = want.column("t").to_numpy()
-            whole = [want.column(c).to_numpy() for c in ("start", "n", "z")]
-            cols = want.column("row").to_numpy(), np.stack((want.column("a").to_numpy(), want.column("b").to_numpy()), 1)
+            row_of, sums_of, start, n, z = (want.column(c).to_numpy() for c in ("row", "t", "start", "n", "z"))
+            many = pc.list_value_length(want.column("a")).to_numpy()
+            a, b = (pc.list_flatten(want.column(c)).to_numpy() + np.repeat(start, many) for c in ("a", "b"))
+            order = np.lexsort((a, np.repeat(row_of, many)))
+            sums_of, *whole = (np.repeat(c, many)[order] for c in (sums_of, start, n, z))
+            cols = np.repeat(row_of, many)[order], np.stack((a[order], b[order]), 1)
         for batch in batches:
             texts, n_removed, n_spans, sums, n_bytes, left, spans = batch.column(1).to_pylist(), [], [], [], [], [], []
             lo = np.searchsorted(cols[0], np.arange(row, row + len(texts) + 1)) if cols else np.zeros(len(texts) + 1, np.int64)
@@ -624,8 +627,9 @@ def dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     single = cut(in_arrow(pieces.join(crowds, same, "left_semi"), _windows, "h long, d long, z long, copies long, a int, w binary"), "crowded")
     twice = single.groupBy("w").agg(F.count(F.lit(1)).alias("c"), F.max("copies").alias("m")).where("c > 1 or m > 1").select(F.col("w").alias("w2"))
     single = single.join(twice, F.col("w") == F.col("w2"), "left_semi").select(F.col("h").alias("h2"), F.col("d").alias("d2"), "z", F.struct("a", (F.col("a") + 1).alias("b")).alias("s"))
-    again = shared.join(repeats.union(single), (F.col("h") == F.col("h2")) & (F.col("d") == F.col("d2")))
-    again = again.select("part", "row", "t", "start", "n", "z", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
+    # All of a super-window's runs are one row, so each place that it stands in is met once, however many runs there are.
+    runs_of = repeats.union(single).groupBy("h2", "d2", "z").agg(F.collect_list("s").alias("s"))
+    again = shared.join(runs_of, (F.col("h") == F.col("h2")) & (F.col("d") == F.col("d2"))).select("part", "row", "t", "start", "n", "z", F.col("s.a").alias("a"), F.col("s.b").alias("b"))
     spans = hand(again, "spans")
     for table in (shared, kinds, pieces, crowds):
         drop(table)
