@@ -70,7 +70,8 @@ def run(spark: SparkSession, sequences: str, probes: str, output: str, checkpoin
     sought, rows, bad = probe_table(spark, probes)
     _same_settings(spark, sought, conf, checkpoint)
     taken = stream_of(spark, sequences, conf).observe("read", F.count(F.lit(1)).alias("sequences"), F.count_if(F.col("contig_id").isNull()).alias("unnamed"))
-    hits = feed.screened(G.windows(taken.where("contig_id is not null"), deal=False), sought, conf["mismatches"])
+    windows = G.windows(taken.where("contig_id is not null"), deal=False, keep=feed.sieve(sought, conf["mismatches"]))
+    hits = feed.screened(windows, sought, conf["mismatches"])
     hits = hits.select(F.col("query_id").alias("probe_id"), "contig_id", "start", "strand", K.unpack(F.col("variant")).alias("letters"), F.col("mismatches").cast("int").alias("mismatches"))
     hits = hits.observe("written", F.count(F.lit(1)).alias("hits"))
     query = hits.writeStream.format("parquet").partitionBy("mismatches").option("checkpointLocation", f"{checkpoint.rstrip('/')}/stream").trigger(availableNow=True).start(output)

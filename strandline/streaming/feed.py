@@ -4,8 +4,11 @@ The stream is stateless (a query's answer does not depend on other queries), so
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -31,6 +34,44 @@ def _either_way(own: DataFrame, *keep: str) -> DataFrame:
     return own.select(*keep, F.explode(ways).alias("z")).select(*keep, "z.*")
 
 
+#: Bits of an index into a table of `sieve`, and how full a table may be before it leaves out too little.
+SIEVE, FULL = 24, 0.25
+
+
+def sieve(probes: DataFrame, n: int) -> Callable[[np.ndarray], np.ndarray] | None:
+    """Which packed windows may be within n substitutions of a probe, in either orientation: all that are, and few others.  None if too many would be.
+
+    Of n + 2 disjoint blocks two at least are the same.  Each pair of blocks has a table of bits, by a hash of the probes' letters there; it is of one size, whatever the number of probes, and
+    is put together from bytes that Spark groups.  What is kept is still to be compared."""
+    edges = [K.K * i // (n + 2) for i in range(n + 3)]
+    spans = list(combinations(zip(edges, edges[1:], strict=False), 2))
+    mask = np.array([sum(((1 << 2 * (b - a)) - 1) << 2 * (K.K - b) for a, b in pair) for pair in spans], np.uint64)[:, None]
+    base = (np.arange(len(spans)) << (SIEVE - 3))[:, None]
+
+    def places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        slot = (((x.view(np.uint64) & mask) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SIEVE)).astype(np.int64)
+        return base + (slot >> 3), (1 << (slot & 7)).astype(np.uint8)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, bit = (c.ravel() for c in places(batch.column(0).to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bit.astype(np.int64))], names=["at", "bits"])
+
+    own = _either_way(probes, "query_id", "q").select("o").mapInArrow(step, "at long, bits long")
+    known = own.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(len(spans) << (SIEVE - 3), np.uint8)
+    table[known.column("at").to_numpy()] = known.column("bits").to_numpy().astype(np.uint8)
+    most = [min(1 << SIEVE, 4 ** sum(b - a for a, b in pair)) for pair in spans]
+    if any(np.bitwise_count(t).sum() > FULL * m for t, m in zip(table.reshape(len(spans), -1), most, strict=True)):
+        return None
+
+    def keep(fwd: np.ndarray) -> np.ndarray:
+        at, bit = places(fwd)
+        return (table[at] & bit).any(axis=0)
+
+    return keep
+
+
 def screened(windows: DataFrame, probes: DataFrame, n: int) -> DataFrame:
     """windows: contig_id, start, fwd, a stream or a table.  probes: query_id and q, a table.  A row for each window within n substitutions of a probe, in either orientation:
     query_id, contig_id, start, strand, mismatches and variant (the window as the probe reads it).  Probes are the side that Spark may send out, by its own measure of their size."""
