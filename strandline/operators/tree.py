@@ -13,6 +13,7 @@ from ..functions import kmer as K
 
 #: Ranks in a key; results of more mismatches cannot be ordered.
 MOST_RANKS = 18
+#: Variants up to which a session shows a spanning tree where one is asked for; `mst` itself takes any number.
 MST_LIMIT = 25_000
 
 
@@ -91,21 +92,31 @@ def lengths(order: DataFrame) -> DataFrame:
 
 def _distance(a: np.ndarray, b: np.int64) -> np.ndarray:
     x = np.bitwise_xor(a, b)
-    return np.bitwise_count((x | (x >> 1)) & 0x1555555555555555).astype(np.int64)
+    x |= x >> 1
+    x &= 0x1555555555555555
+    return np.bitwise_count(x)
+
+
+#: Above any distance: what windows of the tree have in place of an edge.
+_SHUT = np.uint8(64)
 
 
 def spanning_tree(query: int, kmers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prim from the query: the parent (-1: the query) and the edge of each window.  Of equal edges the lower index is taken, and a parent changes
-    only for a shorter edge."""
-    n = len(kmers)
-    parent, edge = np.full(n, -1, np.int64), _distance(kmers, np.int64(query))
-    open_ = np.ones(n, bool)
-    for _ in range(n):
-        i = int(np.where(open_, edge, 99).argmin())
-        open_[i] = False
-        d = _distance(kmers, kmers[i])
-        nearer = open_ & (d < edge)
-        edge[nearer], parent[nearer] = d[nearer], i
+    """Prim from the query, of any number of windows: the parent (-1: the query) and the edge of each window.  Of equal edges the lower index is taken, and a parent changes
+    only for a shorter edge.  Distances are made when they are needed, so memory is some numbers a window; time is the square of their number, and those of the tree leave the arrays."""
+    parent, edge = np.full(len(kmers), -1, np.int64), np.zeros(len(kmers), np.int64)
+    at, own, up = np.arange(len(kmers)), kmers.astype(np.int64), parent.copy()
+    near = _distance(own, np.int64(query))
+    while len(at):
+        shut = np.zeros(len(at), np.uint8)
+        for _ in range(-(-len(at) // 2)):
+            i = int(near.argmin())
+            parent[at[i]], edge[at[i]], near[i], shut[i] = up[i], near[i], _SHUT, _SHUT
+            d = _distance(own, own[i]) | shut
+            nearer = d < near
+            near[nearer], up[nearer] = d[nearer], at[i]
+        left = shut == 0
+        at, own, up, near = at[left], own[left], up[left], near[left]
     return parent, edge
 
 
@@ -130,10 +141,8 @@ def preorder(parent: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def mst(result: DataFrame, n: int) -> DataFrame:
     """query_id, row, vi, parent_vi (null: the query), edge, depth (emitted: one more than the node's, at most 255), size.  A query's tree is sequential, so each is
-    one group of at most MST_LIMIT variants.  Larger results stand in the order of `ordered`, every variant a child of the query."""
-    own = result.where(F.col("mismatches") <= n)
-    sizes = own.groupBy("query_id").agg(F.count(F.lit(1)).alias("c"))
-    small, large = sizes.where(F.col("c") <= MST_LIMIT).select("query_id"), sizes.where(F.col("c") > MST_LIMIT).select("query_id")
+    one group, whatever its size."""
+    own = result.where(F.col("mismatches") <= n).select("query_id", "q", "variant", "vi")
 
     def group(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("vi", ignore_index=True)
@@ -143,10 +152,7 @@ def mst(result: DataFrame, n: int) -> DataFrame:
         up = pd.array([None if p < 0 else int(vi[p]) for p in parent[order]], dtype="Int64")
         return pd.DataFrame({"query_id": g.query_id[0], "row": np.arange(len(g)), "vi": vi[order], "parent_vi": up, "edge": edge[order], "depth": np.minimum(depth[order] + 1, 255), "size": size[order]})
 
-    trees = own.join(small, "query_id", "left_semi").groupBy("query_id").applyInPandas(group, "query_id string, row long, vi long, parent_vi long, edge long, depth long, size long")
-    one = F.lit(1).cast("long")
-    rest = ordered(own.join(large, "query_id", "left_semi"), n).select("query_id", F.col("row").cast("long").alias("row"), F.col("vi").cast("long").alias("vi"), F.lit(None).cast("long").alias("parent_vi"), F.col("mismatches").cast("long").alias("edge"), one.alias("depth"), one.alias("size"))
-    return trees.unionByName(rest)
+    return own.groupBy("query_id").applyInPandas(group, "query_id string, row long, vi long, parent_vi long, edge long, depth long, size long")
 
 
 def mst_clades(tree: DataFrame) -> DataFrame:
